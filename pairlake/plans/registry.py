@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pairlake.plans import pairing
+from pairlake.plans import pairing, texts
 
-MODULES = (pairing,)
+MODULES = (pairing, texts)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
