@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlake.functions.draws import draw, step_past
 from pairlake.operators.ranks import shuffled_rank
+from pairlake.session import cut
 
 
 def partner(
@@ -46,7 +47,8 @@ def make_pairs(
     negative: alt another target, base neither of the two, label 0.
     """
     by = list(by)
-    ranks = shuffled_rank(keys, key, seed, by=by)
+    # id-only and read by up to four joins: written once
+    ranks = cut(shuffled_rank(keys, key, seed, by=by))
     holders = ranks.drop("n")
     reps = ranks.withColumnRenamed(key, "seed_id").select("*", F.explode(F.sequence(F.lit(1), F.lit(pos + neg))).alias("rep"))
     reps = reps.withColumn("label", (F.col("rep") <= pos).cast("int"))
@@ -142,6 +144,7 @@ def attach(pairs: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str =
     (pair, role, id) rows, joined, and put together again per pair. A positive
     pair does not carry its seed twice.
     """
+    pairs = cut(pairs)  # id-only, needed on both sides of the text join
     role = lambda name: F.struct(F.lit(name).alias("role"), F.col(f"{name}_id").alias("doc"))
     needed = F.when(F.col("label") == 1, F.array(role("seed"), role("base"))).otherwise(
         F.array(role("seed"), role("alt"), role("base"))
