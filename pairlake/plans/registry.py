@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pairlake.plans import pairing, perturbing, texts
+from pairlake.plans import measuring, pairing, perturbing, texts
 
-MODULES = (pairing, texts, perturbing)
+MODULES = (pairing, texts, perturbing, measuring)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
