@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pairlake.functions.bind import let
+
 
 def _double(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -33,8 +35,8 @@ def cosine01(a: Column, b: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    size = norm(v)
-    return F.transform(_double(v), lambda x: F.when(size > 0, x / size).otherwise(x))
+    scale = lambda size: F.transform(_double(v), lambda x: F.when(size > 0, x / size).otherwise(x))
+    return let(norm(v), scale)
 
 
 def to_label(score: Column, rule: str = "cosine") -> Column:
@@ -47,9 +49,8 @@ def to_label(score: Column, rule: str = "cosine") -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    powers = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / total(powers))
+    powers = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return let(powers, lambda p: let(total(p), lambda t: F.transform(p, lambda x: x / t)))
 
 
 # Fixed value: probabilities are kept away from 0 by this much.

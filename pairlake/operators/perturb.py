@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairlake.functions.bind import let
 from pairlake.functions.draws import draw, share, step_past
 from pairlake.functions.lexer import is_integer, is_name, is_string, raw_tokens
 from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES
@@ -27,27 +28,29 @@ def lines_of(text: Column) -> Column:
 
 def inject(seed: Column, base: Column, drawn: Column) -> Column:
     """The seed whole, before, between or after the lines of the base."""
-    lines = lines_of(base)
-    at = F.pmod(drawn, F.size(lines) + 1).cast("int")
-    tail = F.slice(lines, at + 1, F.size(lines))
-    return F.array_join(F.concat(F.slice(lines, F.lit(1), at), F.array(seed), tail), "\n")
+    def put(lines: Column) -> Column:
+        at = F.pmod(drawn, F.size(lines) + 1).cast("int")
+        tail = F.slice(lines, at + 1, F.size(lines))
+        return F.array_join(F.concat(F.slice(lines, F.lit(1), at), F.array(seed), tail), "\n")
+
+    return let(lines_of(base), put)
 
 
 def interleave(seed: Column, base: Column, seed_no: int, *keys) -> Column:
     """Every seed line at a random place of the base; the order of both is kept."""
-    mine, other = lines_of(seed), lines_of(base)
-    places = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(1), F.size(mine)),
-            lambda j: F.pmod(draw(seed_no, "mix", *keys, j), F.size(other) + 1).cast("int"),
-        )
-    )
     entry = lambda at, side, i, x: F.struct(at.cast("int").alias("at"), F.lit(side).alias("side"), i.alias("i"), x.alias("x"))
-    rows = F.concat(
-        F.transform(F.arrays_zip(places.alias("at"), mine.alias("x")), lambda z, i: entry(z["at"], 0, i, z["x"])),
-        F.transform(other, lambda x, i: entry(i, 1, i, x)),
-    )
-    return F.array_join(F.transform(F.array_sort(rows), lambda r: r["x"]), "\n")
+
+    def mix(mine: Column, other: Column) -> Column:
+        spots = F.size(other) + 1
+        places = F.transform(mine, lambda x, j: F.pmod(draw(seed_no, "mix", *keys, j + 1), spots).cast("int"))
+        placed = F.arrays_zip(F.array_sort(places).alias("at"), mine.alias("x"))
+        rows = F.concat(
+            F.transform(placed, lambda z, i: entry(z["at"], 0, i, z["x"])),
+            F.transform(other, lambda x, i: entry(i, 1, i, x)),
+        )
+        return F.array_join(F.transform(F.array_sort(rows), lambda r: r["x"]), "\n")
+
+    return let(lines_of(seed), lambda mine: let(lines_of(base), lambda other: mix(mine, other)))
 
 
 def append_wrapped(first: Column, second: Column) -> Column:
@@ -86,13 +89,16 @@ JSON_PARTS = r"""\"(?:[^\"\\]|\\.)*\"|[{}\[\],:]|\s+|[^\s{}\[\],:\"]+"""
 
 def rename_keys(json: Column, seed_no: int, *keys) -> Column:
     """Object keys of a JSON text, at any depth, replaced; values stay as written (reversible)."""
-    parts = F.regexp_extract_all(json, F.lit(JSON_PARTS), F.lit(0))
-    solid = F.filter(parts, lambda t: F.trim(t) != "")
-    one = lambda t, i: F.when(
-        t.startswith('"') & (F.get(solid, i + 1) == ":"),
-        F.concat(F.lit('"'), new_name(seed_no, F.substr(t, F.lit(2), F.length(t) - 2), *keys), F.lit('"')),
-    ).otherwise(t)
-    return F.array_join(F.transform(solid, one), "")
+    parts = F.filter(F.regexp_extract_all(json, F.lit(JSON_PARTS), F.lit(0)), lambda t: F.trim(t) != "")
+
+    def recode(solid: Column) -> Column:
+        new = lambda t: new_name(seed_no, F.substr(t, F.lit(2), F.length(t) - 2), *keys)
+        one = lambda t, i: F.when(
+            t.startswith('"') & (F.get(solid, i + 1) == ":"), F.concat(F.lit('"'), new(t), F.lit('"'))
+        ).otherwise(t)
+        return F.array_join(F.transform(solid, one), "")
+
+    return let(parts, recode)
 
 
 def eligible_literals(df: DataFrame, key: str, text: str = "text", reserved: Sequence[str] = ()) -> DataFrame:
@@ -112,19 +118,20 @@ def string_dictionary(
         tagged = F.transform(out, lambda t: F.struct(draw(seed_no, "place", *keys, t).alias("h"), t.alias("t")))
         out = F.transform(F.array_sort(tagged), lambda r: r["t"])
     if rotate:
-        by = F.pmod(draw(seed_no, "rotate", *keys), F.greatest(F.size(out), F.lit(1))).cast("int")
-        out = F.concat(F.slice(out, by + 1, F.size(out)), F.slice(out, F.lit(1), by))
+        by = lambda w: F.pmod(draw(seed_no, "rotate", *keys), F.greatest(F.size(w), F.lit(1))).cast("int")
+        out = let(out, lambda w: F.concat(F.slice(w, by(w) + 1, F.size(w)), F.slice(w, F.lit(1), by(w))))
     return out
 
 
 def reference_literals(text: Column, dictionary: Column, shift: int = 0) -> Column:
     """The text with each dictionary literal replaced by its index (reversible)."""
-    at = lambda t: F.array_position(dictionary, t)
-    one = lambda t: F.when(
-        is_string(t) & (at(t) > 0),
-        F.concat(F.lit("_s(0x"), F.lower(F.hex(at(t) - 1 + shift)), F.lit(")")),
-    ).otherwise(t)
-    return F.array_join(F.transform(raw_tokens(text, blanks=True), one), "")
+    def recode(words: Column) -> Column:
+        at = lambda t: F.array_position(words, t)
+        reference = lambda t: F.concat(F.lit("_s(0x"), F.lower(F.hex(at(t) - 1 + shift)), F.lit(")"))
+        one = lambda t: F.when(is_string(t) & (at(t) > 0), reference(t)).otherwise(t)
+        return F.array_join(F.transform(raw_tokens(text, blanks=True), one), "")
+
+    return let(dictionary, recode)
 
 
 def encode_dictionary(dictionary: Column, encoding: str = "none") -> Column:
@@ -150,18 +157,19 @@ def split_literals(text: Column, n: int, reserved: Sequence[str] = ()) -> Column
 
 def permute_lines(text: Column, threshold: float, seed_no: int, *keys) -> Column:
     """struct(text, line_order): the lines of a share of documents in random order (reversible)."""
-    tagged = F.transform(
-        lines_of(text),
-        lambda x, i: F.struct(
-            F.when(share(draw(seed_no, "permute", *keys), threshold), draw(seed_no, "line", *keys, i))
-            .otherwise(i.cast("bigint")).alias("h"),
-            i.alias("i"), x.alias("x"),
+    place = lambda moved, i: F.when(moved, draw(seed_no, "line", *keys, i)).otherwise(i.cast("bigint"))
+    tagged = let(
+        share(draw(seed_no, "permute", *keys), threshold),
+        lambda moved: F.array_sort(
+            F.transform(lines_of(text), lambda x, i: F.struct(place(moved, i).alias("h"), i.alias("i"), x.alias("x")))
         ),
     )
-    ordered = F.array_sort(tagged)
-    return F.struct(
-        F.array_join(F.transform(ordered, lambda r: r["x"]), "\n").alias("text"),
-        F.array_join(F.transform(ordered, lambda r: r["i"].cast("string")), ",").alias("line_order"),
+    return let(
+        tagged,
+        lambda rows: F.struct(
+            F.array_join(F.transform(rows, lambda r: r["x"]), "\n").alias("text"),
+            F.array_join(F.transform(rows, lambda r: r["i"].cast("string")), ",").alias("line_order"),
+        ),
     )
 
 
@@ -181,14 +189,13 @@ def number_expressions(text: Column, seed_no: int, *keys) -> Column:
 
 def dead_from(text: Column, donor: Column, threshold: float, seed_no: int, *keys) -> Column:
     """After a share of the lines, one line of a second text that the row already holds."""
-    pool = lines_of(donor)
-
-    def one(x: Column, i: Column) -> Column:
-        drawn = draw(seed_no, "dead", *keys, i)
-        extra = F.get(pool, F.pmod(draw(seed_no, "dead_line", *keys, i), F.size(pool)).cast("int"))
-        return F.when(share(drawn, threshold), F.concat(x, F.lit("\n"), extra)).otherwise(x)
+    def put(pool: Column) -> Column:
+        extra = lambda i: F.get(pool, F.pmod(draw(seed_no, "dead_line", *keys, i), F.size(pool)).cast("int"))
+        chosen = lambda i: share(draw(seed_no, "dead", *keys, i), threshold)
+        one = lambda x, i: F.when(chosen(i), F.concat(x, F.lit("\n"), extra(i))).otherwise(x)
+        return F.array_join(F.transform(lines_of(text), one), "\n")
 
-    return F.array_join(F.transform(lines_of(text), one), "\n")
+    return let(lines_of(donor), put)
 
 
 def inject_dead(df: DataFrame, key: str, text: str, threshold: float, seed_no: int) -> DataFrame:
@@ -246,8 +253,8 @@ def inline_literals(text: Column, dictionary: Column, shift: int = 0) -> Column:
     """Index references back to the literals; references beyond the dictionary stay."""
     parts = F.regexp_extract_all(text, F.lit(r"(?s)_s\(0x[0-9a-f]+\)|[^_]+|_"), F.lit(0))
     at = lambda t: F.conv(F.regexp_extract(t, r"0x([0-9a-f]+)\)$", 1), 16, 10).cast("int") - shift
-    one = lambda t: F.when(t.rlike(r"^_s\(0x[0-9a-f]{1,6}\)$"), F.coalesce(F.get(dictionary, at(t)), t)).otherwise(t)
-    return F.array_join(F.transform(parts, one), "")
+    word = lambda words, t: F.when(t.rlike(r"^_s\(0x[0-9a-f]{1,6}\)$"), F.coalesce(F.get(words, at(t)), t)).otherwise(t)
+    return let(dictionary, lambda words: F.array_join(F.transform(parts, lambda t: word(words, t)), ""))
 
 
 def undo_rename(df: DataFrame, key: str, text: str, mapping: DataFrame) -> DataFrame:

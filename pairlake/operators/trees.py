@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from pairlake.functions.bind import let
 from pairlake.functions.lexer import js_escape
 from pairlake.functions.text import line_count
 from pairlake.functions.treedist import tree_distance as _pair_distance
@@ -157,9 +158,8 @@ def strip_keys(stream: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
 
 def json_node_count(json: Column) -> Column:
     """Objects, arrays and nulls of a JSON text; scalars do not count. No explode, no shuffle."""
-    toks = json_tokens(json)
-    after = lambda i: F.coalesce(F.get(toks, i + 1), F.lit(""))
-    return F.size(F.filter(toks, lambda x, i: x.isin("{", "[") | ((x == "null") & (after(i) != ":"))))
+    node = lambda toks, x, i: x.isin("{", "[") | ((x == "null") & (F.coalesce(F.get(toks, i + 1), F.lit("")) != ":"))
+    return let(json_tokens(json), lambda toks: F.size(F.filter(toks, lambda x, i: node(toks, x, i))))
 
 
 def node_count(tree: DataFrame, key: str) -> DataFrame:
@@ -181,9 +181,11 @@ def _opening(html: Column) -> Column:
 
 def feature_vector(df: DataFrame, key: str, html: str = "html", template: Sequence[str] = TEMPLATE) -> DataFrame:
     """(key, lines, features MAP, vec ARRAY): line count and a counter per template tag, absent = 0."""
-    opened = df.select(key, line_count(F.col(html)).alias("lines"), _opening(F.col(html)).alias("_o"))
     tags = F.array(*[F.lit(t) for t in template])
-    counts = opened.select(key, "lines", F.transform(tags, lambda t: F.size(F.filter("_o", lambda x: x == t))).alias("_c"))
+    count = lambda opened: F.transform(tags, lambda t: F.size(F.filter(opened, lambda x: x == t)))
+    counts = df.select(
+        key, line_count(F.col(html)).alias("lines"), let(_opening(F.col(html)), count).alias("_c")
+    )
     return counts.select(
         key, "lines", F.map_from_arrays(tags, "_c").alias("features"), F.concat(F.array("lines"), "_c").alias("vec")
     )
@@ -191,10 +193,12 @@ def feature_vector(df: DataFrame, key: str, html: str = "html", template: Sequen
 
 def category_vector(df: DataFrame, key: str, html: str = "html", groups: dict[str, Sequence[str]] = TAG_GROUPS) -> DataFrame:
     """(key, one counter per group): several tags counted together."""
-    opened = df.select(key, _opening(F.col(html)).alias("_o"))
-    return opened.select(
-        key, *[F.size(F.filter("_o", lambda x, g=tags: x.isin(*g))).alias(name) for name, tags in groups.items()]
-    )
+
+    def count(opened: Column, tags: Sequence[str]) -> Column:
+        return F.size(F.filter(opened, lambda x: x.isin(*tags)))
+
+    record = lambda opened: F.struct(*[count(opened, tags).alias(name) for name, tags in groups.items()])
+    return df.select(key, let(_opening(F.col(html)), record).alias("_g")).select(key, "_g.*")
 
 
 # ---- distances ------------------------------------------------------------
