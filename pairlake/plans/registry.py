@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pairlake.plans import learning, measuring, pairing, perturbing, texts
+from pairlake.plans import learning, measuring, modelling, pairing, perturbing, texts
 
-MODULES = (pairing, texts, perturbing, measuring, learning)
+MODULES = (pairing, texts, perturbing, measuring, learning, modelling)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
