@@ -74,36 +74,42 @@ def search(
         for row in _distances(_matrix(v), centres):
             bounds = (row[:, None] + near).ravel()
             limit = np.partition(bounds, wanted - 1)[wanted - 1] if np.isfinite(bounds).sum() >= wanted else np.inf
-            found.append(np.flatnonzero(row - radius <= limit + 1e-9).astype("int32"))
+            # scores are compared to 9 decimals: (distance)^2 = 4 - 4 * score
+            reach = np.sqrt(limit * limit + 8e-9) + 1e-6
+            found.append(np.flatnonzero(row - radius <= reach).astype("int32"))
         return pd.Series(found)
 
     asked = cut(t.select("id", "v", F.explode(visits("v")).alias("cell")))
     asks = {r["cell"]: -(-r["c"] // block) for r in asked.groupBy("cell").agg(F.count("*").alias("c")).collect()}
-    # a block pair is one task group of at most about block x block scores
-    lookup = lambda d: F.create_map(*[F.lit(int(x)) for kv in d.items() for x in kv]) if d else F.create_map(F.lit(-1), F.lit(1))
-    many = lambda d: F.coalesce(F.try_element_at(lookup(d), F.col("cell")), F.lit(0))
-    spread = lambda own: F.pmod(draw(seed_no, "block", "id"), F.greatest(many(own), F.lit(1))).cast("int")
-    each = lambda other: F.explode(F.when(many(other) > 0, F.sequence(F.lit(0), many(other) - 1)).otherwise(F.array().cast("array<int>")))
-    left = asked.select("cell", spread(asks).alias("tb"), "id", "v").select("*", each(parts).alias("sb"))
-    right = placed.select("cell", spread(parts).alias("sb"), "id", "v").select("*", each(asks).alias("tb"))
+    # one row per cell, at most MAX_PIVOTS: how many blocks either side has there.
+    # A pair of blocks is one task group; cells without seeds or targets drop out.
+    sizes = [(int(c), int(parts[c]), int(asks[c])) for c in parts if c in asks]
+    table = F.broadcast(targets.sparkSession.createDataFrame(sizes, "cell int, seed_blocks int, target_blocks int"))
+    own = lambda n: F.pmod(draw(seed_no, "block", "id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(table, "cell").select("cell", own("target_blocks").alias("tb"), every("seed_blocks").alias("sb"), "id", "v")
+    right = placed.join(table, "cell").select("cell", every("target_blocks").alias("tb"), own("seed_blocks").alias("sb"), "id", "v")
 
     def best(asking: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(offered):
             return pd.DataFrame({target: [], seed: [], "score": []}).astype({target: "int64", seed: "int64", "score": "float64"})
         ids = offered["id"].to_numpy()
         others = _matrix(offered["v"])
-        rows = []
+        keys_of, seeds_of, scores_of = [], [], []
         for start in range(0, len(asking), 256):
             some = asking.iloc[start : start + 256]
             scores = np.round(np.clip((_matrix(some["v"]) @ others.T + 1) / 2, 0, 1), 9)
             for key, line in zip(some["id"].to_numpy(), scores):
                 allowed = np.flatnonzero(ids != key) if skip_same else np.arange(len(ids))
                 if len(allowed) > k:
-                    edge = np.partition(line[allowed], -k)[-k]
-                    allowed = allowed[line[allowed] >= edge]
+                    # everything that ties with the k-th stays until ids decide
+                    allowed = allowed[line[allowed] >= np.partition(line[allowed], -k)[-k]]
                 order = allowed[np.lexsort((ids[allowed], -line[allowed]))][:k]
-                rows.append(pd.DataFrame({target: key, seed: ids[order], "score": line[order]}))
-        return pd.concat(rows)
+                keys_of.append(np.full(len(order), key))
+                seeds_of.append(ids[order])
+                scores_of.append(line[order])
+        parts = [np.concatenate(x) for x in (keys_of, seeds_of, scores_of)]
+        return pd.DataFrame(dict(zip((target, seed, "score"), parts)))
 
     keys = ["cell", "tb", "sb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, out)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pairlake.plans import learning, measuring, modelling, pairing, perturbing, texts
+from pairlake.plans import flagship as flagship_plan
+from pairlake.plans import learning, measuring, modelling, pairing, perturbing, storing, texts
 
-MODULES = (pairing, texts, perturbing, measuring, learning, modelling)
+MODULES = (flagship_plan, pairing, texts, perturbing, measuring, learning, modelling, storing)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
+flagship = flagship_plan.flagship
