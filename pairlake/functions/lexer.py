@@ -106,6 +106,12 @@ def class_string(text: Column) -> Column:
     return F.array_join(F.transform(raw_tokens(text), class_letter), "")
 
 
+def class_lines(text: Column) -> Column:
+    """``class_string`` with the line breaks kept. No token spans a line, so texts mixed by
+    lines can be lexed once per document and mixed in this form."""
+    return F.array_join(F.transform(F.split(text, "\n"), class_string), "\n")
+
+
 def join_tokens(toks: Column) -> Column:
     return F.array_join(toks, " ")
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pairlake.functions import edit
 from pairlake.functions.lexer import join_tokens, tokens
 from pairlake.operators import trees
+from pairlake.session import fan_out
 
 PAIR_SCHEMA = T.StructType(
     [
@@ -52,7 +53,7 @@ def datapair(
     seed_trees = tree_of(seeds, seed_id, seed).select(seed_id, F.col("tree").alias("_st"), F.col("n").alias("_sn"))
     target_trees = tree_of(pairs, pair, target).select(pair, F.col("tree").alias("_tt"), F.col("n").alias("_tn"))
     joined = sided.join(seed_trees, seed_id, "left").join(target_trees, pair, "left")
-    joined = joined.fillna("", ["_st", "_tt"]).fillna(0, ["_sn", "_tn"])
+    joined = fan_out(joined.fillna("", ["_st", "_tt"]).fillna(0, ["_sn", "_tn"]), pair)
     own = [c for c in pairs.columns if c not in (seed, target)]
     first = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(1))
     asts = [first(c).alias(n) if to_ast else F.lit(None).cast("string").alias(n)

@@ -7,7 +7,7 @@ The steps marked reversible have their inverse in ``restore``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -301,23 +301,25 @@ def restore(
 # ---- all cells of the grid ------------------------------------------------
 
 
-def transform_cell(text: Column, donor: Column, exp: str, mix: str, seed_no: int, *keys) -> Column:
-    """One text under one experiment and mixing strategy."""
+def cell_steps(exp: str, mix: str, seed_no: int, keys: Sequence[str], donor: Column) -> list[tuple[str, Callable[[Column], Column]]]:
+    """The named steps of one cell, in order; cells that begin alike have equal names."""
     flags = {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[exp], "dead": "true" if mix == "M3" else "false"}
     on = lambda name: flags[name] == "true"
     reserved = [p for p in [flags["reserved_strings"]] if p]
+    share_of_words, chunk = float(flags["string_array_threshold"]), int(flags["split_length"])
+    steps = []
     if on("rename"):
-        text = rename(text, seed_no, *keys)
-    if on("string_array") and float(flags["string_array_threshold"]) > 0:
-        words = string_dictionary(text, float(flags["string_array_threshold"]), seed_no, *keys, reserved=reserved)
-        text = reference_literals(text, words)
+        steps.append(("rename", lambda t: rename(t, seed_no, *keys)))
+    if on("string_array") and share_of_words > 0:
+        words = lambda t: string_dictionary(t, share_of_words, seed_no, *keys, reserved=reserved)
+        steps.append(("string_array", lambda t: reference_literals(t, words(t))))
     if on("split_strings"):
-        text = split_literals(text, int(flags["split_length"]), reserved)
+        steps.append(("split", lambda t: split_literals(t, chunk, reserved)))
     if on("permute"):
-        text = permute_lines(text, float(flags["permute_threshold"]), seed_no, *keys)["text"]
+        steps.append(("permute", lambda t: permute_lines(t, float(flags["permute_threshold"]), seed_no, *keys)["text"]))
     if on("dead"):
-        text = dead_from(text, donor, float(flags["dead_threshold"]), seed_no, *keys)
-    return text
+        steps.append(("dead", lambda t: dead_from(t, donor, float(flags["dead_threshold"]), seed_no, *keys)))
+    return steps
 
 
 def apply_profiles(
@@ -327,22 +329,35 @@ def apply_profiles(
 
     M1 transforms the alt text alone, M2 mixes it in the base first, M3 adds dead
     lines of the base. ``partial`` transforms the alt text only, then mixes it in.
-    Each cell is one projection of the pair rows: the texts are shuffled once, by
-    the attach step, and never again for the cells.
+    All cells are projections of the pair rows: the texts are shuffled once, by
+    the attach step, and a step that several cells begin with is done once.
     """
-    cells = None
     place = draw(seed_no, "inject", "pair_id")
-    alt, base = F.col("alt_text"), F.col("base_text")
-    for exp in exps:
-        for mix in mixes:
-            if partial:
-                done = transform_cell(alt, base, exp, mix, seed_no, "pair_id")
-                target = done if mix == "M1" else inject(done, base, place)
-            else:
-                start = alt if mix == "M1" else inject(alt, base, place)
-                target = transform_cell(start, base, exp, mix, seed_no, "pair_id")
-            one = F.struct(F.lit(exp).alias("exp"), F.lit(mix).alias("mix"), target.alias("target_text"))
-            cells = [one] if cells is None else [*cells, one]
-    return pairs.select("*", F.explode(F.array(*cells)).alias("_cell")).select(
+    base = F.col("base_text")
+    late = lambda mix: partial and mix != "M1"
+    work = pairs.withColumns({
+        "_plain": F.col("alt_text"),
+        **({"_mixed": inject(F.col("alt_text"), base, place)} if not partial and set(mixes) - {"M1"} else {}),
+    })
+    at = {}  # (exp, mix) -> column reached so far
+    done = {}  # (start, step names..) -> column
+    todo = {(e, m): cell_steps(e, m, seed_no, ["pair_id"], base) for e in exps for m in mixes}
+    for cell in todo:
+        start = "_plain" if cell[1] == "M1" or partial else "_mixed"
+        at[cell] = ((start,), start)
+    for depth in range(max(map(len, todo.values()))):
+        new = {}
+        for cell, steps in todo.items():
+            if depth < len(steps):
+                (trail, column), (name, step) = at[cell], steps[depth]
+                trail = (*trail, name)
+                if trail not in done:
+                    done[trail] = f"_step{len(done)}"
+                    new[done[trail]] = step(F.col(column))
+                at[cell] = (trail, done[trail])
+        work = work.withColumns(new)
+    target = lambda cell: inject(F.col(at[cell][1]), base, place) if late(cell[1]) else F.col(at[cell][1])
+    cells = [F.struct(F.lit(e).alias("exp"), F.lit(m).alias("mix"), target((e, m)).alias("target_text")) for e, m in todo]
+    return work.select(*pairs.columns, F.explode(F.array(*cells)).alias("_cell")).select(
         *pairs.columns, "_cell.exp", "_cell.mix", "_cell.target_text"
     )

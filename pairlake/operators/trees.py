@@ -16,6 +16,7 @@ from pairlake.functions.bind import let
 from pairlake.functions.lexer import js_escape
 from pairlake.functions.text import line_count
 from pairlake.functions.treedist import tree_distance as _pair_distance
+from pairlake.session import fan_out
 
 # HTML elements without content.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -256,6 +257,7 @@ def tree_distance_within(
     left = texts.select(F.col(key).alias(a), F.col("tree").alias("_a"))
     right = texts.select(F.col(key).alias(b), F.col("tree").alias("_b"))
     both = ids.join(left, a, "left").join(right, b, "left").fillna("", ["_a", "_b"])
+    both = fan_out(both, pair)
     if limit is None:
         return both.select(pair, tree_distance(F.col("_a"), F.col("_b")).cast("bigint").alias("distance"), F.lit(True).alias("exact"))
     both = both.join(tree_bound(pairs, pair, a, b, tree, key), pair)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairlake.session import spread
+
 SEED = 42
 
 
@@ -11,6 +13,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# The key column of the text tables.
+KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
+def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """A text table for work that is heavy per row."""
+    return spread(table(spark, folder, name), KEYS[name])
+
+
 def sql_draw(salt: str, *keys: str, seed: int = SEED) -> str:
     """The check SQL of functions.draws.draw."""
     parts = ", ".join([f"'{seed}'", f"'{salt}'", *[f"cast({k} as varchar)" for k in keys]])

@@ -6,25 +6,31 @@ from pyspark.sql import functions as F
 
 from pairlake.functions import edit
 from pairlake.functions.draws import draw
-from pairlake.functions.lexer import class_string
+from pairlake.functions.lexer import class_lines
 from pairlake.operators import pairs as P
 from pairlake.operators import perturb as E
 from pairlake.operators.splits import with_stage
-from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_split, table
+from pairlake.plans.common import SEED, sql_draw, table, texts
 from pairlake.plans.perturbing import ATTACHED, sql_inject
+from pairlake.session import fan_out
 from pairlake.plans.texts import sql_class, sql_raw
 
 
 def flagship(spark, folder):
-    """Split, positive and negative pairs, texts attached, alt mixed into base, whole
-    texts lexed, token distance, report per stage and label."""
+    """Split, positive and negative pairs, alt mixed into base, whole texts lexed, token
+    distance, report per stage and label.
+
+    Lexing is per document and before the pairing: what is shuffled to the pairs
+    is one letter per token with the line breaks, which is all that mixing by
+    lines and the distance need.
+    """
     docs = table(spark, folder, "documents")
     keys = with_stage(docs.select("doc_id"), "doc_id", SEED)
-    made = P.attach(P.make_pairs(keys, "doc_id", SEED), docs)
+    letters = texts(spark, folder).select("doc_id", class_lines(F.col("text")).alias("text"))
+    made = P.attach(P.make_pairs(keys, "doc_id", SEED), letters)
     target = E.inject(F.col("alt_text"), F.col("base_text"), draw(SEED, "inject", "pair_id"))
-    lexed = made.select(
-        "stage", "label", class_string(F.col("seed_text")).alias("seed"), class_string(target).alias("target")
-    )
+    flat = lambda c: F.replace(c, F.lit("\n"), F.lit(""))
+    lexed = fan_out(made.select("pair_id", "stage", "label", flat(F.col("seed_text")).alias("seed"), flat(target).alias("target")), "pair_id")
     far = edit.string_distance(F.col("seed"), F.col("target"))
     sized = lexed.select("stage", "label", F.length("seed").alias("n"), F.length("target").alias("m"), far.alias("ed"))
     return sized.groupBy("stage", "label").agg(

@@ -11,7 +11,7 @@ from pairlake.operators import metrics as M
 from pairlake.operators import pairs as P
 from pairlake.operators import sequences as Q
 from pairlake.operators import vocab as I
-from pairlake.plans.common import SEED, sql_draw, sql_pairs, table
+from pairlake.plans.common import SEED, sql_draw, sql_pairs, table, texts
 from pairlake.plans.measuring import VECTOR_PAIRS, _soft, _vector_pairs
 from pairlake.plans.pairing import STAGED, _staged
 from pairlake.plans.texts import sql_raw, sql_tokens
@@ -104,7 +104,7 @@ def _train_weights(s, d):
 
 def _vocab(s, d):
     # texts are read once, weighted by their use, instead of once per pair
-    docs = table(s, d, "documents").select("doc_id", join_tokens(tokens(F.col("text"), "value")).alias("toks"))
+    docs = texts(s, d).select("doc_id", join_tokens(tokens(F.col("text"), "value")).alias("toks"))
     return I.fit_vocab(docs.join(_train_weights(s, d), "doc_id"), ["toks"], weight="times")
 
 
@@ -119,7 +119,7 @@ ORACLES["fit_vocab"] = f"WITH {VOCAB} SELECT * FROM vocab"
 
 
 def _encoded(s, d, n=64):
-    docs = table(s, d, "documents").select("doc_id", join_tokens(tokens(F.col("text"), "value")).alias("toks"))
+    docs = texts(s, d).select("doc_id", join_tokens(tokens(F.col("text"), "value")).alias("toks"))
     return I.encode(docs, "doc_id", "toks", _vocab(s, d), n)
 
 
@@ -154,7 +154,7 @@ SELECT doc_id, batch_id, width, array_to_string(list_concat(ids, list_transform(
 def _embedded(s, d):
     part = lambda i: ((F.pmod(draw(SEED, f"dim{i}", "token"), F.lit(2001)) - 1000) / F.lit(1000.0))
     vectors = _vocab(s, d).select("token", F.array(*[part(i) for i in range(4)]).alias("vec"))
-    toks = lex(table(s, d, "documents"), ["doc_id"], mode="value").select("doc_id", F.col("value").alias("token"))
+    toks = lex(texts(s, d), ["doc_id"], mode="value").select("doc_id", F.col("value").alias("token"))
     e = I.embed(toks, "doc_id", F.broadcast(vectors), 4)  # the vocabulary limit bounds it
     return e.select("doc_id", *[F.round(F.get("vector", F.lit(i)), 6).alias(f"v{i}") for i in range(4)])
 
@@ -171,7 +171,7 @@ KERNELS = ([1, 2, 3, 2, 1], [1, -1, 1, -1], [2, 0, 1])
 
 
 def _sizes(s, d):
-    return table(s, d, "documents").select("doc_id", F.transform(raw_tokens(F.col("text")), lambda t: F.length(t)).alias("seq"))
+    return texts(s, d).select("doc_id", F.transform(raw_tokens(F.col("text")), lambda t: F.length(t)).alias("seq"))
 
 
 _sizes_sql = f"SELECT doc_id, list_transform({sql_raw('text')}, lambda x: length(x)) AS seq FROM documents"
@@ -202,7 +202,7 @@ SELECT doc_id, peaks[1] AS peak0, peaks[2] AS peak1, peaks[3] AS peak2, round(p0
 
 
 def _softmaxed(s, d):
-    e = table(s, d, "embeddings")
+    e = texts(s, d, "embeddings")
     soft = V.softmax(F.transform("embedding", lambda x: x.cast("double")))
     noisy = Q.gumbel_softmax(F.col("embedding"), SEED, "vec_id", temperature=0.5)
     return e.select("vec_id", soft.alias("p"), noisy.alias("g")).select(

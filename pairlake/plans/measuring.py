@@ -13,7 +13,7 @@ from pairlake.operators import perturb as E
 from pairlake.operators import report as R
 from pairlake.operators import splits as S
 from pairlake.operators import trees as TR
-from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_split, sql_step, table
+from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_split, sql_step, table, texts
 from pairlake.plans.pairing import STAGED, _staged
 from pairlake.plans.texts import sql_class, sql_raw, sql_tokens
 
@@ -41,7 +41,7 @@ nodes AS (SELECT page_id, mode, pos AS node_id, greatest(run + CASE WHEN delta =
 
 
 def _page_nodes(s, d):
-    return TR.nodes(TR.html_stream(table(s, d, "pages"), "page_id"), "page_id")
+    return TR.nodes(TR.html_stream(texts(s, d, "pages"), "page_id"), "page_id")
 
 
 QUERIES["html_nodes"] = lambda s, d: TR.with_parent(_page_nodes(s, d), "page_id")
@@ -87,7 +87,7 @@ ORACLES["json_node_count"] = f"SELECT event_id, count(*) AS n FROM ({JSON_TREE})
 QUERIES["html_node_count"] = lambda s, d: TR.node_count(_page_nodes(s, d), "page_id")
 ORACLES["html_node_count"] = f"WITH {HTML_NODES} SELECT page_id, count(*) AS n FROM nodes GROUP BY page_id"
 
-QUERIES["feature_vector"] = lambda s, d: TR.feature_vector(table(s, d, "pages"), "page_id").select(
+QUERIES["feature_vector"] = lambda s, d: TR.feature_vector(texts(s, d, "pages"), "page_id").select(
     "page_id", "lines", F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"),
     F.element_at("features", F.lit("p")).alias("paragraphs"),
 )
@@ -98,7 +98,7 @@ WITH o AS (SELECT page_id, len(regexp_split_to_array(html, '\\r\\n|\\r|\\n|\\x{{
 SELECT page_id, lines, array_to_string(list_concat([cast(lines AS VARCHAR)], list_transform([{_tags}],
   lambda t: cast(len(list_filter(o, lambda x: x = t)) AS VARCHAR))), ',') AS vec, len(list_filter(o, lambda x: x = 'p')) AS paragraphs FROM o"""
 
-QUERIES["category_vector"] = lambda s, d: TR.category_vector(table(s, d, "pages"), "page_id")
+QUERIES["category_vector"] = lambda s, d: TR.category_vector(texts(s, d, "pages"), "page_id")
 ORACLES["category_vector"] = f"WITH o AS (SELECT page_id, {_opening} AS o FROM pages) SELECT page_id, " + ", ".join(
     f"len(list_filter(o, lambda x: x IN ({', '.join(repr(t) for t in tags)}))) AS \"{g}\"" for g, tags in TR.TAG_GROUPS.items()
 ) + " FROM o"
@@ -155,7 +155,7 @@ SELECT conv_id, turn, levenshtein(text, reply) AS distance,
 
 
 def _class_pairs(s, d):
-    letters = table(s, d, "documents").select("doc_id", class_string(F.col("text")).alias("text"))
+    letters = texts(s, d).select("doc_id", class_string(F.col("text")).alias("text"))
     return P.attach(P.make_pairs(_staged(s, d), "doc_id", SEED), letters)
 
 
@@ -276,15 +276,15 @@ QUERIES["length_histogram"] = lambda s, d: R.histogram(table(s, d, "documents"),
 ORACLES["length_histogram"] = """
 SELECT cast(ceil(length(text) / 1000.0) AS BIGINT) AS bin, count(*) AS files FROM documents GROUP BY bin"""
 
-QUERIES["token_histogram"] = lambda s, d: R.histogram(table(s, d, "documents"), F.size(tokens(F.col("text"))), 100)
+QUERIES["token_histogram"] = lambda s, d: R.histogram(texts(s, d), F.size(tokens(F.col("text"))), 100)
 ORACLES["token_histogram"] = f"""
 SELECT cast(ceil(len({sql_raw("text")}) / 100.0) AS BIGINT) AS bin, count(*) AS files FROM documents GROUP BY bin"""
 
-QUERIES["token_frequencies"] = lambda s, d: R.token_frequencies(lex(table(s, d, "documents"), ["doc_id"], mode="value"))
+QUERIES["token_frequencies"] = lambda s, d: R.token_frequencies(lex(texts(s, d), ["doc_id"], mode="value"))
 ORACLES["token_frequencies"] = f"""
 SELECT value, count(*) AS freq FROM (SELECT unnest({sql_tokens("text", "value")}) AS value FROM documents) GROUP BY value"""
 
-QUERIES["token_stats"] = lambda s, d: R.token_stats(lex(table(s, d, "documents"), ["doc_id"], mode="value"), ["doc_id"])
+QUERIES["token_stats"] = lambda s, d: R.token_stats(lex(texts(s, d), ["doc_id"], mode="value"), ["doc_id"])
 ORACLES["token_stats"] = f"""
 SELECT cast(sum(len(t)) AS BIGINT) AS tokens, (SELECT count(DISTINCT v) FROM (SELECT unnest({sql_tokens("text", "value")}) AS v FROM documents)) AS distinct_tokens,
   count(*) AS files, max(len(t)) AS max_length FROM (SELECT {sql_tokens("text", "value")} AS t FROM documents)"""
@@ -292,7 +292,7 @@ SELECT cast(sum(len(t)) AS BIGINT) AS tokens, (SELECT count(DISTINCT v) FROM (SE
 QUERIES["file_count"] = lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("files"))
 ORACLES["file_count"] = "SELECT source, count(*) AS files FROM documents GROUP BY source"
 
-QUERIES["parse_outcomes"] = lambda s, d: R.outcomes(TR.html_stream(table(s, d, "pages"), "page_id"), "page_id", "mode")
+QUERIES["parse_outcomes"] = lambda s, d: R.outcomes(TR.html_stream(texts(s, d, "pages"), "page_id"), "page_id", "mode")
 ORACLES["parse_outcomes"] = f"WITH {HTML_NODES} SELECT mode, count(*) AS files FROM m GROUP BY mode"
 
 
@@ -327,7 +327,7 @@ SELECT seed_length, dest_length, token_ed, round(token_ed / seed_length, 9) AS t
 
 
 def _describe(s, d):
-    t = table(s, d, "documents").select("n_chars", F.length("text").alias("chars"), F.size(tokens(F.col("text"))).alias("n_tokens"))
+    t = texts(s, d).select("n_chars", F.length("text").alias("chars"), F.size(tokens(F.col("text"))).alias("n_tokens"))
     r = R.describe(t, ["n_chars", "chars", "n_tokens"])
     return r.select("name", "count", *[F.round(c, 6).alias(c) for c in r.columns[2:]])
 

@@ -8,7 +8,7 @@ from pairlake.functions.draws import draw
 from pairlake.operators import pairs as P
 from pairlake.operators import perturb as E
 from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES
-from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_step, table
+from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_step, table, texts
 from pairlake.plans.pairing import STAGED, _staged
 from pairlake.plans.texts import SQL_IS_NAME, SQL_IS_STRING, _q, sql_raw
 
@@ -109,12 +109,12 @@ t AS (SELECT r.doc_id, r.doc_id AS first, b.doc_id AS second, 1 AS label FROM r
 SELECT t.doc_id, label, md5(a.text || {NL} || '(function () {{' || {NL} || b.text || {NL} || '}})();' || {NL}) AS digest
 FROM t JOIN documents a ON a.doc_id = first JOIN documents b ON b.doc_id = second"""
 
-QUERIES["rename"] = lambda s, d: table(s, d, "documents").select(
+QUERIES["rename"] = lambda s, d: texts(s, d).select(
     "doc_id", F.md5(E.rename(F.col("text"), SEED, "doc_id")).alias("digest")
 )
 ORACLES["rename"] = f"SELECT doc_id, md5({sql_rename('text', 'doc_id')}) AS digest FROM documents"
 
-QUERIES["rename_map"] = lambda s, d: E.rename_map(table(s, d, "documents"), "doc_id", "text", SEED, ["^_"]).groupBy("doc_id").agg(
+QUERIES["rename_map"] = lambda s, d: E.rename_map(texts(s, d), "doc_id", "text", SEED, ["^_"]).groupBy("doc_id").agg(
     F.count("*").alias("names"), F.countDistinct("new").alias("new_names"), F.min("new").alias("least"), F.max("name").alias("last")
 )
 ORACLES["rename_map"] = f"""
@@ -132,7 +132,7 @@ FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"""
 
 def _string_array(s, d):
     words = E.string_dictionary(F.col("html"), 0.75, SEED, "page_id", rotate=True, shuffle=True)
-    t = table(s, d, "pages").select("page_id", "html", words.alias("w"))
+    t = texts(s, d, "pages").select("page_id", "html", words.alias("w"))
     return t.select(
         "page_id", F.size("w").alias("words"), F.md5(E.reference_literals(F.col("html"), F.col("w"), 7)).alias("digest"),
         F.array_join(E.encode_dictionary(F.col("w"), "base64"), ",").alias("dictionary"),
@@ -151,7 +151,7 @@ SELECT page_id, len(w) AS words,
     THEN '_s(0x' || lower(to_hex(list_position(w, x) - 1 + 7)) || ')' ELSE x END), '')) AS digest,
   array_to_string(list_transform(w, lambda x: to_base64(encode(x))), ',') AS dictionary FROM u"""
 
-QUERIES["split_literals"] = lambda s, d: table(s, d, "pages").select(
+QUERIES["split_literals"] = lambda s, d: texts(s, d, "pages").select(
     "page_id", *[F.md5(E.split_literals(F.col("html"), n)).alias(f"chunks_{n}") for n in (5, 9, 10)]
 )
 ORACLES["split_literals"] = "SELECT page_id, " + ", ".join(
@@ -159,13 +159,13 @@ ORACLES["split_literals"] = "SELECT page_id, " + ", ".join(
 ) + " FROM pages"
 
 RESERVED = ["^.(?:https?:)?/", "[0-9]"]
-QUERIES["eligible_literals"] = lambda s, d: E.eligible_literals(table(s, d, "pages"), "page_id", "html", RESERVED)
+QUERIES["eligible_literals"] = lambda s, d: E.eligible_literals(texts(s, d, "pages"), "page_id", "html", RESERVED)
 ORACLES["eligible_literals"] = f"""
 SELECT page_id, pos - 1 AS pos, x AS literal FROM (SELECT page_id, unnest({sql_raw("html")}) AS x,
   generate_subscripts({sql_raw("html")}, 1) AS pos FROM pages)
 WHERE {SQL_IS_STRING} AND NOT regexp_matches(x, {_q(RESERVED[0])}) AND NOT regexp_matches(x, {_q(RESERVED[1])})"""
 
-QUERIES["permute_lines"] = lambda s, d: table(s, d, "documents").select(
+QUERIES["permute_lines"] = lambda s, d: texts(s, d).select(
     "doc_id", E.permute_lines(F.col("text"), 0.75, SEED, "doc_id").alias("p")
 ).select("doc_id", F.md5("p.text").alias("digest"), "p.line_order")
 ORACLES["permute_lines"] = f"""
@@ -190,7 +190,7 @@ SELECT doc_id, md5(string_agg(x, {NL} ORDER BY line, side)) AS digest,
 
 
 def _restore(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text", F.md5("text").alias("was"))
+    docs = texts(s, d).select("doc_id", "text", F.md5("text").alias("was"))
     renamed = docs.withColumn("coded", E.rename(F.col("text"), SEED, "doc_id"))
     words = renamed.withColumn("w", E.string_dictionary(F.col("coded"), 0.75, SEED, "doc_id"))
     coded = words.withColumn("coded", E.split_literals(E.reference_literals(F.col("coded"), F.col("w")), 9))
@@ -204,7 +204,7 @@ def _restore(s, d):
 QUERIES["restore"] = _restore
 ORACLES["restore"] = "SELECT doc_id, md5(text) AS digest, 0 AS failed FROM documents"
 
-QUERIES["number_expressions"] = lambda s, d: table(s, d, "documents").select(
+QUERIES["number_expressions"] = lambda s, d: texts(s, d).select(
     "doc_id", F.md5(E.number_expressions(F.col("text"), SEED, "doc_id")).alias("digest")
 )
 _num = f"({sql_draw('number', 'doc_id', '(i - 1)')} % (cast(x AS BIGINT) + 1))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairlake.functions import lexer as L
 from pairlake.functions import text as T
 from pairlake.operators import pairs as P
-from pairlake.plans.common import SEED, sql_pairs, table
+from pairlake.plans.common import SEED, sql_pairs, table, texts
 from pairlake.plans.pairing import STAGED, _staged
 
 QUERIES, ORACLES = {}, {}
@@ -56,20 +56,20 @@ def sql_tokens(text: str, mode: str = "class") -> str:
 
 
 for _mode in ("class", "value"):
-    QUERIES[f"lex_{_mode}"] = lambda s, d, m=_mode: table(s, d, "documents").select(
+    QUERIES[f"lex_{_mode}"] = lambda s, d, m=_mode: texts(s, d).select(
         "doc_id", L.tokens(F.col("text"), m).alias("t")
     ).select("doc_id", F.size("t").alias("n_tokens"), F.md5(L.join_tokens(F.col("t"))).alias("digest"))
     ORACLES[f"lex_{_mode}"] = f"""
 SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest
 FROM (SELECT doc_id, {sql_tokens('text', _mode)} AS t FROM documents)"""
 
-QUERIES["token_table"] = lambda s, d: L.lex(table(s, d, "conversations"), ["conv_id", "turn"])
+QUERIES["token_table"] = lambda s, d: L.lex(texts(s, d, "conversations"), ["conv_id", "turn"])
 ORACLES["token_table"] = f"""
 SELECT conv_id, turn, pos - 1 AS pos, x AS value, {sql_class()} AS class
 FROM (SELECT conv_id, turn, unnest({sql_raw('text')}) AS x, generate_subscripts({sql_raw('text')}, 1) AS pos
       FROM conversations)"""
 
-QUERIES["escape_text"] = lambda s, d: table(s, d, "documents").select(
+QUERIES["escape_text"] = lambda s, d: texts(s, d).select(
     "doc_id", F.md5(L.js_escape(F.col("text"))).alias("escaped")
 )
 ORACLES["escape_text"] = f"SELECT doc_id, md5({sql_escape('text')}) AS escaped FROM documents"
@@ -109,7 +109,7 @@ SELECT doc_id, length(text) AS chars, cast(ceil(length(text) / 1000.0) AS BIGINT
 QUERIES["truncate_text"] = lambda s, d: table(s, d, "documents").select("doc_id", T.truncate(F.col("text")).alias("text"))
 ORACLES["truncate_text"] = "SELECT doc_id, substr(text, 1, 1024) AS text FROM documents"
 
-QUERIES["compact_text"] = lambda s, d: table(s, d, "documents").select(
+QUERIES["compact_text"] = lambda s, d: texts(s, d).select(
     "doc_id", T.compact(F.col("text")).alias("t"), F.octet_length("text").alias("b")
 ).select("doc_id", F.md5("t").alias("digest"), (F.col("b") - F.octet_length("t")).alias("saved_bytes"))
 ORACLES["compact_text"] = """
@@ -117,7 +117,7 @@ WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '/\\*[\\s\\S
 e AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS t FROM c)
 SELECT doc_id, md5(t) AS digest, strlen(text) - strlen(t) AS saved_bytes FROM e"""
 
-QUERIES["canonical_text"] = lambda s, d: table(s, d, "documents").select(
+QUERIES["canonical_text"] = lambda s, d: texts(s, d).select(
     "doc_id", F.md5(T.canonical_lines(F.col("text"))).alias("digest")
 )
 ORACLES["canonical_text"] = """

@@ -57,3 +57,24 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` for heavy work per row: unchanged if it has a file per core, else hashed by key.
+
+    A corpus of few files (or of one row group) would run in a few tasks; a
+    large one is left where it is and pays no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
+def fan_out(df: DataFrame, key: str) -> DataFrame:
+    """Small rows with costly work each, over all shuffle partitions.
+
+    The explicit number keeps AQE from merging them by size, which says
+    nothing about the work.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, key)
