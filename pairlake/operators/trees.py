@@ -130,13 +130,13 @@ CONTAINERS = ("element", "object", "array")
 
 def with_parent(tree: DataFrame, key: str) -> DataFrame:
     """Adds ``parent_id``: the nearest earlier container one level up, -1 at the top."""
-    child = tree.withColumn("_level", F.col("depth") - 1).withColumn("_open", F.lit(None).cast("int"))
-    opens = tree.where(F.col("kind").isin(*CONTAINERS)).withColumn("_level", F.col("depth"))
-    opens = opens.withColumn("_open", F.col("node_id"))
-    both = child.withColumn("_child", F.lit(True)).unionByName(opens.withColumn("_child", F.lit(False)))
-    w = Window.partitionBy(key, "_level").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("parent_id", F.coalesce(F.last("_open", ignorenulls=True).over(w), F.lit(-1)))
-    return found.where("_child").select(*tree.columns, "parent_id")
+    row = lambda level, opened: F.struct(level.alias("level"), opened.cast("int").alias("open"))
+    child = row(F.col("depth") - 1, F.lit(None))
+    both = F.when(F.col("kind").isin(*CONTAINERS), F.array(child, row(F.col("depth"), F.col("node_id")))).otherwise(F.array(child))
+    rows = tree.select("*", F.explode(both).alias("_r"))
+    w = Window.partitionBy(key, "_r.level").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("parent_id", F.coalesce(F.last("_r.open", ignorenulls=True).over(w), F.lit(-1)))
+    return found.where(F.col("_r.open").isNull()).select(*tree.columns, "parent_id")
 
 
 def strip_keys(stream: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
