@@ -39,16 +39,18 @@ def token_sides(df: DataFrame, seed: str, target: str, mode: str = "class") -> D
 
 def datapair(
     pairs: DataFrame, seed: str, target: str, pair: str = "pair_id", seed_id: str = "seed_id",
-    mode: str = "class", to_ast: bool = False,
+    mode: str = "class", to_ast: bool = False, corpus: DataFrame | None = None,
 ) -> DataFrame:
     """The pair columns plus the full pair record, for HTML-like texts.
 
     ``pairs`` carries whole seed and target texts. Seed trees are built once
     per seed document, target trees once per pair; both meet the pair by key.
+    ``corpus`` (seed_id, text) gives the seed documents, so that their trees are
+    built from the scan; else they are taken out of the pairs.
     """
     sided = token_sides(pairs, seed, target, mode)
     # one row per seed: copies of a seed in several pairs are dropped before parsing
-    seeds = pairs.select(seed_id, seed).dropDuplicates([seed_id])
+    seeds = corpus.toDF(seed_id, seed) if corpus is not None else pairs.select(seed_id, seed).dropDuplicates([seed_id])
     tree_of = lambda df, key, text: trees.tree_texts(trees.nodes(trees.html_stream(df, key, text), key), key)
     seed_trees = tree_of(seeds, seed_id, seed).select(seed_id, F.col("tree").alias("_st"), F.col("n").alias("_sn"))
     target_trees = tree_of(pairs, pair, target).select(pair, F.col("tree").alias("_tt"), F.col("n").alias("_tn"))

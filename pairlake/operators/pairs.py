@@ -151,6 +151,9 @@ def attach(pairs: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str =
     )
     roles = pairs.select("pair_id", F.explode(needed).alias("r")).select("pair_id", "r.role", "r.doc")
     texts = roles.join(corpus.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc")
+    # by pair first: else the texts would be sorted before the shuffle too, for a partial
+    # aggregate that cannot shrink them
+    texts = texts.repartition("pair_id")
     at = lambda name: F.max(F.when(F.col("role") == name, F.col("text")))
     sides = texts.groupBy("pair_id").agg(
         at("seed").alias("seed_text"), at("alt").alias("_alt"), at("base").alias("base_text")

@@ -7,9 +7,11 @@ The steps marked reversible have their inverse in ``restore``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairlake.functions.bind import let
 from pairlake.functions.draws import draw, share, step_past
@@ -257,16 +259,31 @@ def inline_literals(text: Column, dictionary: Column, shift: int = 0) -> Column:
     return let(dictionary, lambda words: F.array_join(F.transform(parts, lambda t: word(words, t)), ""))
 
 
-def undo_rename(df: DataFrame, key: str, text: str, mapping: DataFrame) -> DataFrame:
-    """(key, text) with generated names turned back by a join on (key, new)."""
-    toks = df.select(key, F.posexplode(raw_tokens(F.col(text), blanks=True)).alias("pos", "t"))
-    back = mapping.select(key, F.col("new").alias("t"), "name")
-    joined = toks.join(back, [key, "t"], "left").select(key, "pos", F.coalesce("name", "t").alias("t"))
-    whole = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("ts"))  # one document
-    texts = whole.select(key, F.array_join(F.transform("ts", lambda r: r["t"]), "").alias("_text"))
-    return df.select(key, F.col(text).alias("_was")).join(texts, key, "left").select(
-        key, F.coalesce("_text", "_was").alias(text)
-    )
+# Fixed value: what a generated name looks like. It may follow a number directly.
+GENERATED = r"_0x[0-9a-f]{16}"
+
+
+@F.pandas_udf(T.StringType())
+def _names_back(texts: pd.Series, new: pd.Series, name: pd.Series) -> pd.Series:
+    def one(text, coded, plain):
+        if text is None or coded is None:
+            return text
+        back = dict(zip(coded, plain))
+        return re.sub(GENERATED, lambda m: back.get(m[0], m[0]), text)
+
+    return pd.Series([one(*row) for row in zip(texts, new, name)], dtype=object)
+
+
+def undo_rename(df: DataFrame, key: str, columns: Sequence[str], mapping: DataFrame) -> DataFrame:
+    """``df`` with generated names turned back in the given text columns.
+
+    The mapping of a document, as long as its distinct names, meets the text by
+    one join on the document; tokens are never exploded.
+    """
+    names = mapping.groupBy(key).agg(F.collect_list(F.struct("new", "name")).alias("_m"))
+    joined = df.join(names, key, "left")
+    back = {c: _names_back(F.col(c), F.col("_m.new"), F.col("_m.name")) for c in columns}
+    return joined.withColumns(back).drop("_m")
 
 
 def restore(
@@ -288,8 +305,7 @@ def restore(
         key, "_want", inline(F.col("_plain")).alias("_strict"), inline(fold_literals(F.col("_plain"))).alias("_loose")
     )
     if mapping is not None:
-        for c in ("_strict", "_loose"):
-            step = step.join(undo_rename(step, key, c, mapping).withColumnRenamed(c, c + "_u"), key).drop(c).withColumnRenamed(c + "_u", c)
+        step = undo_rename(step, key, ["_strict", "_loose"], mapping)
     met = lambda c: F.md5(c) == F.col("_want")
     return step.select(
         key,

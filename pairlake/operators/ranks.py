@@ -109,3 +109,21 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[f
         "fraction",
         (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("spot") - F.floor("spot"))).alias("value"),
     )
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, parts: int = 1000) -> DataFrame:
+    """Inner join on the unique keys of ``right``, where some keys may hold most of ``left``.
+
+    ``weight`` says how many left rows a key has. Keys with more than 1/``parts``
+    of all rows, of which there are fewer than ``parts``, are broadcast, so their
+    rows stay where they are; the others are joined by a shuffle.
+    """
+    on = list(on)
+    heavy = F.col(weight) * parts > right.agg(F.sum(weight)).scalar()
+    hot = right.where(heavy).drop(weight)
+    cold = right.where(~heavy).drop(weight)
+    values = [c for c in hot.columns if c not in on]
+    tagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    done = tagged.where("_hot").drop("_hot")
+    rest = tagged.where("_hot is null").drop("_hot", *values).join(cold, on)
+    return done.unionByName(rest)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pairlake.operators.ranks import shuffled_rank
 
@@ -32,16 +33,22 @@ def fit_vocab(df: DataFrame, columns: Sequence[str], max_tokens: int = MAX_TOKEN
     return top.select("token", (place + 1).cast("int").alias("id"), "freq")
 
 
-def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, n: int) -> DataFrame:
+def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, n: int, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(key, ids ARRAY of n, length): unknown = 1, cut or padded with 0 to n.
 
-    ``vocab`` comes from ``fit_vocab``: its row limit bounds the broadcast.
+    The vocabulary, whose size is checked, goes to the tasks as a dictionary and
+    each text is looked up where it is: no token table, no shuffle. (A map column
+    would be searched entry by entry for each token.)
     """
-    cut = df.select(key, F.posexplode_outer(F.slice(words(F.col(text)), 1, n)).alias("pos", "token"))
-    ids = cut.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id")))
-    whole = ids.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("e"))  # at most n entries per row
-    whole = whole.select(key, F.transform("e", lambda r: r["id"]).alias("ids"))
+    known = {r["token"]: r["id"] for r in vocab.select("token", "id").limit(max_tokens + 1).collect()}
+    if len(known) > max_tokens:
+        raise ValueError(f"the vocabulary has more than {max_tokens} tokens")
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def look_up(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [known.get(w, UNKNOWN) for w in t.split()[:n]] if t else [])
+
+    whole = df.select(key, look_up(F.col(text)).alias("ids"))
     return whole.select(key, pad_to(F.col("ids"), F.lit(n)).alias("ids"), F.size("ids").alias("length"))
 
 

@@ -199,7 +199,8 @@ def _mixed_pages(s, d):
 
 
 def _datapair(s, d, mode="class"):
-    return D.datapair(_mixed_pages(s, d), "seed_text", "target_text", mode=mode, to_ast=True)
+    pages = texts(s, d, "pages").select("page_id", "html")
+    return D.datapair(_mixed_pages(s, d), "seed_text", "target_text", mode=mode, to_ast=True, corpus=pages)
 
 
 _join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pairlake.operators.ranks import running
+from pairlake.operators.ranks import join_hot, running
+from pairlake.session import cut
 
 
 def scan_corpus(spark: SparkSession, path: str, glob: str = "*.js", recursive: bool = False) -> DataFrame:
@@ -36,10 +37,12 @@ def renumber_corpus(df: DataFrame, path: str, prefix: str, suffix: str = "", end
     levels = paths.select("path", F.posexplode("parts").alias("level", "name"), "parts").select(
         "path", "level", "name", F.array_join(F.slice("parts", F.lit(1), F.col("level")), "/").alias("parent")
     )
-    entries = levels.select("parent", "name", "level").distinct()
-    placed = running(entries, ["name"], {"upto": F.lit(1)}, by=["parent", "level"])
-    placed = placed.select("parent", "level", "name", (F.col("upto") - 1).alias("place"))
-    named = levels.join(placed, ["parent", "level", "name"]).groupBy("path").agg(
+    entries = levels.groupBy("parent", "level", "name").agg(F.count("*").alias("uses"))
+    placed = cut(running(entries, ["name"], {"upto": F.lit(1)}, by=["parent", "level"]))
+    placed = placed.select("parent", "level", "name", "uses", (F.col("upto") - 1).alias("place"))
+    # a top directory is an entry of very many paths
+    found = join_hot(levels, placed, ["parent", "level", "name"], "uses")
+    named = found.groupBy("path").agg(
         F.array_sort(F.collect_list(F.struct("level", "place"))).alias("p")  # as many as the path is deep
     )
     numbers = F.array_join(F.transform("p", lambda r: r["place"].cast("string")), "-")

@@ -91,7 +91,7 @@ def test_restore_statuses(spark):
 
 
 def test_restore_inverts_everything(spark):
-    df = spark.createDataFrame([(1, TEXT), (2, ""), (3, "é = 'ü' ;\n\n 7")], "k long, t string")
+    df = spark.createDataFrame([(1, TEXT), (2, ""), (3, "é = 'ü' ;\n\n 7"), (4, "5abc 1.5x don't can't 7é_")], "k long, t string")
     coded = df.withColumn("c", perturb.rename(F.col("t"), 1, "k"))
     coded = coded.withColumn("w", perturb.string_dictionary(F.col("c"), 0.5, 1, "k"))
     coded = coded.withColumn("c", perturb.split_literals(perturb.reference_literals(F.col("c"), F.col("w")), 5))
