@@ -21,6 +21,7 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     """Unit-cost distance of two sequences of hashable symbols."""
     if len(a) < len(b):
         a, b = b, a
+    a, b = _without_ends(a, b)
     size = len(a)
     if not b:
         return size
@@ -47,9 +48,33 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return distance
 
 
+def _without_ends(a: Sequence, b: Sequence) -> tuple[Sequence, Sequence]:
+    """Both without their common beginning and end, found by halving (slices compare fast)."""
+    for flip in (False, True):
+        low, high = 0, len(b)
+        while low < high:
+            mid = (low + high + 1) // 2
+            same = a[len(a) - mid :] == b[len(b) - mid :] if flip else a[:mid] == b[:mid]
+            low, high = (mid, high) if same else (low, mid - 1)
+        a, b = (a[: len(a) - low], b[: len(b) - low]) if flip else (a[low:], b[low:])
+    return a, b
+
+
+def contained(short: Sequence, long: Sequence) -> bool:
+    """Whether ``short`` arises from ``long`` by leaving symbols out: then only their number counts."""
+    rest = iter(long)
+    return all(symbol in rest for symbol in short)
+
+
+def distance(a: Sequence, b: Sequence) -> int:
+    """``edit_distance`` with the quick cases first (a text mixed whole into another)."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    return len(long) - len(short) if contained(short, long) else edit_distance(a, b)
+
+
 def _pairwise(a: pd.Series, b: pd.Series, split) -> pd.Series:
     out = [
-        None if x is None or y is None else 0 if x == y else edit_distance(split(x), split(y))
+        None if x is None or y is None else 0 if x == y else distance(split(x), split(y))
         for x, y in zip(a, b)
     ]
     return pd.Series(out, dtype="Int64")
