@@ -12,6 +12,10 @@ GRAMMAR = (
 # The same with runs of blanks as tokens, so that joining them gives the text back.
 GRAMMAR_WITH_BLANKS = GRAMMAR + r"|\s+"
 
+# String literals and the runs between them. No other token holds a quote, so the literals
+# are the same as those of the full grammar, at a fraction of the pieces.
+LITERAL_PARTS = r"""\"[^\"\n]*\"|'[^'\n]*'|[^\"']+|[\"']"""
+
 # Operator groups, whose label is also the name of the class.
 OPERATOR_GROUPS = {
     "+/-": ("+", "-"),
@@ -40,6 +44,11 @@ def raw_tokens(text: Column, blanks: bool = False) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def literal_parts(text: Column) -> Column:
+    """The text cut in string literals and whatever lies between them."""
+    return F.regexp_extract_all(text, F.lit(LITERAL_PARTS), F.lit(0))
+
+
 def is_name(token: Column) -> Column:
     return token.rlike(r"^[\p{L}_$]")
 

@@ -37,6 +37,13 @@ def token_sides(df: DataFrame, seed: str, target: str, mode: str = "class") -> D
     )
 
 
+def to_features(pairs: DataFrame) -> DataFrame:
+    """(obf, org, lbl): what a model sees of a pair record."""
+    return pairs.select(
+        F.col("obfuscated_tokens").alias("obf"), F.col("seed_tokens").alias("org"), F.col("result").alias("lbl")
+    )
+
+
 def datapair(
     pairs: DataFrame, seed: str, target: str, pair: str = "pair_id", seed_id: str = "seed_id",
     mode: str = "class", to_ast: bool = False, corpus: DataFrame | None = None,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairlake.functions.bind import let
 from pairlake.functions.draws import draw, share, step_past
-from pairlake.functions.lexer import is_integer, is_name, is_string, raw_tokens
+from pairlake.functions.lexer import is_integer, is_name, is_string, literal_parts, raw_tokens
 from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES
 from pairlake.operators.ranks import shuffled_rank
 
@@ -115,7 +115,7 @@ def string_dictionary(
 ) -> Column:
     """The chosen distinct literals of one document, in first-use, shuffled or rotated order."""
     chosen = lambda t: is_string(t) & _free(t, reserved) & share(draw(seed_no, "literal", *keys, t), threshold)
-    out = F.array_distinct(F.filter(raw_tokens(text), chosen))
+    out = F.array_distinct(F.filter(literal_parts(text), chosen))
     if shuffle:
         tagged = F.transform(out, lambda t: F.struct(draw(seed_no, "place", *keys, t).alias("h"), t.alias("t")))
         out = F.transform(F.array_sort(tagged), lambda r: r["t"])
@@ -131,7 +131,7 @@ def reference_literals(text: Column, dictionary: Column, shift: int = 0) -> Colu
         at = lambda t: F.array_position(words, t)
         reference = lambda t: F.concat(F.lit("_s(0x"), F.lower(F.hex(at(t) - 1 + shift)), F.lit(")"))
         one = lambda t: F.when(is_string(t) & (at(t) > 0), reference(t)).otherwise(t)
-        return F.array_join(F.transform(raw_tokens(text, blanks=True), one), "")
+        return F.array_join(F.transform(literal_parts(text), one), "")
 
     return let(dictionary, recode)
 
@@ -154,7 +154,7 @@ def split_literals(text: Column, n: int, reserved: Sequence[str] = ()) -> Column
         cuttable = is_string(t) & (F.length(t) > 2) & _free(t, reserved)
         return F.when(cuttable, joined).otherwise(t)
 
-    return F.array_join(F.transform(raw_tokens(text, blanks=True), one), "")
+    return F.array_join(F.transform(literal_parts(text), one), "")
 
 
 def permute_lines(text: Column, threshold: float, seed_no: int, *keys) -> Column:

@@ -15,6 +15,7 @@ from pairlake.operators import splits as S
 from pairlake.operators import trees as TR
 from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_split, sql_step, table, texts
 from pairlake.plans.pairing import STAGED, _staged
+from pairlake.plans.perturbing import sql_inject
 from pairlake.plans.texts import sql_class, sql_raw, sql_tokens
 
 QUERIES, ORACLES = {}, {}
@@ -28,7 +29,7 @@ SQL_TAGS = f"regexp_extract_all({_clean}, '{TR.TAG}', 0)"
 SQL_NAME = "lower(regexp_extract(x, '^</?([A-Za-z][A-Za-z0-9]*)', 1))"
 _void = ", ".join(f"'{v}'" for v in TR.VOID)
 HTML_NODES = f"""
-t AS (SELECT page_id, unnest({SQL_TAGS}) AS x, generate_subscripts({SQL_TAGS}, 1) - 1 AS pos FROM pages),
+t AS (SELECT page_id, unnest({SQL_TAGS}) AS x, generate_subscripts({SQL_TAGS}, 1) - 1 AS pos FROM html_source),
 n AS (SELECT page_id, pos, {SQL_NAME} AS label, starts_with(x, '</') AS close FROM t),
 c AS (SELECT page_id, label, sum(CASE WHEN close THEN -1 ELSE 1 END) AS net FROM n GROUP BY ALL),
 dl AS (SELECT n.*, CASE WHEN net <> 0 THEN 0 WHEN close THEN -1 ELSE 1 END AS delta FROM n JOIN c USING (page_id, label)),
@@ -40,6 +41,9 @@ nodes AS (SELECT page_id, mode, pos AS node_id, greatest(run + CASE WHEN delta =
       WHERE delta > 0 OR (delta = 0 AND NOT close))"""
 
 
+HTML_NODES = "html_source AS (SELECT page_id, html FROM pages)," + HTML_NODES
+
+
 def _page_nodes(s, d):
     return TR.nodes(TR.html_stream(texts(s, d, "pages"), "page_id"), "page_id")
 
@@ -209,6 +213,42 @@ QUERIES["datapair"] = lambda s, d: _datapair(s, d, "value").select(
     _join("dist_string"), _join("dist_ast"), _join("dist_token"), "seed_ast", "obfuscated_ast",
 )
 
+
+
+def _sizes(s, d):
+    at = lambda c, i, name: F.get(c, F.lit(i)).alias(name)
+    return _datapair(s, d).select(
+        "pair_id", "stage", "result", F.md5("seed_tokens").alias("seed_tokens"), F.md5("obfuscated_tokens").alias("obfuscated_tokens"),
+        at("dist_string", 1, "seed_chars"), at("dist_string", 2, "target_chars"), at("dist_ast", 1, "seed_nodes"),
+        at("dist_ast", 2, "target_nodes"), at("dist_token", 0, "token_ed"), at("dist_token", 1, "seed_length"), at("dist_token", 2, "dest_length"),
+    )
+
+
+_letters = lambda c: f"array_to_string(list_transform({sql_raw(c)}, lambda x: {sql_class(True)}), '')"
+MIXED = f"""s AS ({PAGE_STAGED}), {sql_pairs("s", "page_id")},
+mx AS (SELECT pair_id, seed_id, label, stage, x.html AS seed_text, {sql_inject("y.html", "z.html", sql_draw("inject", "pair_id"))} AS target_text
+  FROM pairs JOIN pages x ON x.page_id = seed_id JOIN pages y ON y.page_id = alt_id JOIN pages z ON z.page_id = base_id)"""
+QUERIES["datapair_sizes"] = _sizes
+ORACLES["datapair_sizes"] = f"""
+WITH {MIXED}, html_source AS (SELECT pair_id AS page_id, target_text AS html FROM mx UNION ALL SELECT 's' || page_id, html FROM pages),
+{HTML_NODES[HTML_NODES.index("t AS ("):]},
+c2 AS (SELECT page_id, count(*) + 1 AS n FROM nodes GROUP BY page_id)
+SELECT pair_id, stage, label AS result, md5(array_to_string({sql_tokens("seed_text")}, ' ')) AS seed_tokens,
+  md5(array_to_string({sql_tokens("target_text")}, ' ')) AS obfuscated_tokens, length(seed_text) AS seed_chars, length(target_text) AS target_chars,
+  a.n AS seed_nodes, b.n AS target_nodes, levenshtein({_letters("seed_text")}, {_letters("target_text")}) AS token_ed,
+  len({sql_raw("seed_text")}) AS seed_length, len({sql_raw("target_text")}) AS dest_length
+FROM mx JOIN c2 a ON a.page_id = 's' || seed_id JOIN c2 b ON b.page_id = pair_id"""
+
+
+def _features(s, d):
+    t = _turns(s, d).withColumn("result", F.lit(1))
+    return D.to_features(D.token_sides(t, "text", "reply", "value"))
+
+
+QUERIES["to_features"] = _features
+ORACLES["to_features"] = f"""
+SELECT array_to_string({sql_tokens("reply", "value")}, ' ') AS obf, array_to_string({sql_tokens("text", "value")}, ' ') AS org, 1 AS lbl FROM ({TURNS})"""
+
 QUERIES["score_one_pair"] = lambda s, d: D.token_sides(
     P.one_pair(table(s, d, "documents").select("doc_id", class_string(F.col("text")).alias("text"), F.md5("text").alias("m")), "doc_id", "text", 0, 1),
     "seed_text", "target_text",
