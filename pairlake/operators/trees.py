@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pairlake.functions.bind import let
 from pairlake.functions.lexer import js_escape
 from pairlake.functions.text import line_count
-from pairlake.functions.treedist import tree_distance as _pair_distance
+from pairlake.functions.treedist import forest_within, tree_distance as _pair_distance
 from pairlake.session import fan_out
 
 # HTML elements without content.
@@ -145,12 +145,10 @@ def strip_keys(stream: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     s = stream.withColumn("_run", F.sum("delta").over(w))
     s = s.withColumn("_level", F.when(F.col("delta") == -1, F.col("_run") + 1).otherwise(F.col("_run")))
     s = s.withColumn("_hit", F.col("label").isin(*names) & (F.col("delta") >= 0))
-    # a closing mark takes the verdict of the container it closes
-    own = Window.partitionBy(key, "_level").orderBy("pos")
-    brackets = s.where("delta <> 0").withColumn(
-        "_hit", F.when(F.col("delta") == -1, F.lag("_hit").over(own)).otherwise(F.col("_hit"))
-    )
-    s = brackets.unionByName(s.where("delta = 0"))
+    # a closing mark takes the verdict of the container it closes: the bracket before it on its level
+    own = Window.partitionBy(key, "_level", F.col("delta") == 0).orderBy("pos")
+    s = s.withColumn("_opened", F.lag("_hit").over(own))
+    s = s.withColumn("_hit", F.when(F.col("delta") == -1, F.col("_opened")).otherwise(F.col("_hit"))).drop("_opened")
     inside = F.sum(F.when(F.col("_hit"), F.col("delta")).otherwise(0)).over(w)
     s = s.withColumn("_in", inside)
     gone = (F.col("_in") > 0) | F.col("_hit")
@@ -207,15 +205,28 @@ def category_vector(df: DataFrame, key: str, html: str = "html", groups: dict[st
 
 def tree_texts(tree: DataFrame, key: str) -> DataFrame:
     """(key, tree, n): each tree as one text of depth:label entries in document order."""
-    entry = F.concat(F.col("depth").cast("string"), F.lit(":"), js_escape(F.col("label")))
+    plain = F.col("label").rlike(r"^[A-Za-z0-9_]*$")  # nearly all labels: nothing to escape
+    label = F.when(plain, F.col("label")).otherwise(js_escape(F.col("label")))
+    entry = F.concat(F.col("depth").cast("string"), F.lit(":"), label)
     whole = tree.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_id", entry.alias("e")))).alias("es"))
     return whole.select(key, F.array_join(F.transform("es", lambda r: r["e"]), " ").alias("tree"), F.size("es").alias("n"))
 
 
 def _parse(text: str) -> tuple[list[int], list[str]]:
     parts = [e.split(":", 1) for e in text.split(" ")] if text else []
-    # the root above the top-level nodes, equal in both trees
-    return [0, *[int(d) for d, _ in parts]], ["", *[label for _, label in parts]]
+    return [int(d) for d, _ in parts], [label for _, label in parts]
+
+
+def _text_distance(x: str | None, y: str | None, insert: float, remove: float, update) -> float | None:
+    if x is None or y is None:
+        return None
+    (da, la), (db, lb) = _parse(x), _parse(y)
+    if update is None and len(la) <= len(lb) and forest_within(da, la, db, lb):
+        return (len(lb) - len(la)) * float(insert)
+    if update is None and len(lb) < len(la) and forest_within(db, lb, da, la):
+        return (len(la) - len(lb)) * float(remove)
+    # with the root above the top-level nodes, equal in both trees
+    return _pair_distance([0, *da], ["", *la], [0, *db], ["", *lb], insert, remove, update)
 
 
 def tree_distance(a: Column, b: Column, insert: float = 1, remove: float = 1, update=None) -> Column:
@@ -223,10 +234,7 @@ def tree_distance(a: Column, b: Column, insert: float = 1, remove: float = 1, up
 
     @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        one = lambda p, q: None if p is None or q is None else 0.0 if p == q and update is None else _pair_distance(
-            *_parse(p), *_parse(q), insert, remove, update
-        )
-        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="float64")
+        return pd.Series([_text_distance(p, q, insert, remove, update) for p, q in zip(x, y)], dtype="float64")
 
     return run(a, b)
 

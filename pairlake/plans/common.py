@@ -14,7 +14,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 # The key column of the text tables.
-KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id", "events": "event_id"}
 
 
 def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:

@@ -16,6 +16,7 @@ from pairlake.operators import trees as TR
 from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_split, sql_step, table, texts
 from pairlake.plans.pairing import STAGED, _staged
 from pairlake.plans.perturbing import sql_inject
+from pairlake.session import fan_out
 from pairlake.plans.texts import sql_class, sql_raw, sql_tokens
 
 QUERIES, ORACLES = {}, {}
@@ -63,7 +64,7 @@ JSON_TEXT = (
 
 
 def _event_json(s, d):
-    return table(s, d, "events").selectExpr("event_id", f"{JSON_TEXT} as j".replace('\\"', '"'))
+    return texts(s, d, "events").selectExpr("event_id", f"{JSON_TEXT} as j".replace('\\"', '"'))
 
 
 def _json_nodes(s, d):
@@ -175,7 +176,7 @@ FROM pairs JOIN l a ON a.doc_id = seed_id JOIN l b ON b.doc_id = base_id"""
 
 
 def _turn_tokens(s, d):
-    t = _turns(s, d)
+    t = fan_out(_turns(s, d), "conv_id", "turn")
     return D.token_sides(t, "text", "reply", "class")
 
 

@@ -69,7 +69,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
 
 
-def fan_out(df: DataFrame, key: str) -> DataFrame:
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Small rows with costly work each, over all shuffle partitions.
 
     The explicit number keeps AQE from merging them by size, which says
@@ -77,4 +77,4 @@ def fan_out(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(parts, key)
+    return df.repartition(parts, *keys)

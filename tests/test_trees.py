@@ -137,6 +137,29 @@ def test_tree_distance_is_exact(monkeypatch, wide):
         assert d == brute(forest(*a), forest(*b)) == treedist.tree_distance(*b, *a)
 
 
+def test_forest_within_is_exact():
+    rng, hits = random.Random(9), 0
+
+    def tree(most):
+        depths = [1]
+        for _ in range(rng.randint(0, most)):
+            depths.append(rng.randint(1, depths[-1] + 1))
+        return depths, [rng.choice("ab") for _ in depths]
+
+    text = lambda t: " ".join(f"{d}:{x}" for d, x in zip(*t))
+    for _ in range(300):
+        a, b = tree(3), tree(6)
+        at, down = rng.randint(0, len(b[0])), rng.randint(0, 2)
+        before = b[0][at - 1] if at else 0
+        mixed = (b[0][:at] + [d + min(down, before) for d in a[0]] + b[0][at:], b[1][:at] + a[1] + b[1][at:])
+        for other in (b, mixed):
+            want = brute((("", forest(*a)),), (("", forest(*other)),))
+            hits += treedist.forest_within(*a, *other)
+            assert trees._text_distance(text(a), text(other), 1, 1, None) == want
+            assert trees._text_distance(text(other), text(a), 1, 1, None) == want
+    assert hits > 300
+
+
 def test_tree_costs():
     assert treedist.tree_distance([0, 1], ["r", "x"], [0], ["r"], insert=1, remove=3) == 3
     assert treedist.tree_distance([0], ["a"], [0], ["b"], update=lambda x, y: 0.5 * (x != y)) == 0.5
