@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pairlake.functions.bind import let
 from pairlake.functions.draws import draw, share, step_past
 from pairlake.functions.lexer import is_integer, is_name, is_string, literal_parts, raw_tokens
-from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES
+from pairlake.functions.text import compact
+from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES, profile_rows
 from pairlake.operators.ranks import shuffled_rank
 
 # The wrapper that an appended text is put in.
@@ -317,63 +318,81 @@ def restore(
 # ---- all cells of the grid ------------------------------------------------
 
 
-def cell_steps(exp: str, mix: str, seed_no: int, keys: Sequence[str], donor: Column) -> list[tuple[str, Callable[[Column], Column]]]:
-    """The named steps of one cell, in order; cells that begin alike have equal names."""
-    flags = {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[exp], "dead": "true" if mix == "M3" else "false"}
+Step = tuple[str, Callable[[Column], Column]]
+
+
+def steps_of(flags: dict[str, str], seed_no: int, keys: Sequence[str], donor: Column) -> list[Step]:
+    """The steps that the flags of a profile switch on, in order; equal steps have equal names."""
     on = lambda name: flags[name] == "true"
     reserved = [p for p in [flags["reserved_strings"]] if p]
-    share_of_words, chunk = float(flags["string_array_threshold"]), int(flags["split_length"])
-    steps = []
-    if on("rename"):
-        steps.append(("rename", lambda t: rename(t, seed_no, *keys)))
-    if on("string_array") and share_of_words > 0:
-        words = lambda t: string_dictionary(t, share_of_words, seed_no, *keys, reserved=reserved)
-        steps.append(("string_array", lambda t: reference_literals(t, words(t))))
-    if on("split_strings"):
-        steps.append(("split", lambda t: split_literals(t, chunk, reserved)))
-    if on("permute"):
-        steps.append(("permute", lambda t: permute_lines(t, float(flags["permute_threshold"]), seed_no, *keys)["text"]))
-    if on("dead"):
-        steps.append(("dead", lambda t: dead_from(t, donor, float(flags["dead_threshold"]), seed_no, *keys)))
-    return steps
+    words_share, chunk = float(flags["string_array_threshold"]), int(flags["split_length"])
+    moved, dead = float(flags["permute_threshold"]), float(flags["dead_threshold"])
+    rotate, shuffle = on("rotate"), on("shuffle")
+    words = lambda t: string_dictionary(t, words_share, seed_no, *keys, rotate=rotate, shuffle=shuffle, reserved=reserved)
+    known: list[tuple[bool, str, Callable[[Column], Column]]] = [
+        (on("rename"), "rename", lambda t: rename(t, seed_no, *keys)),
+        (on("numbers"), "numbers", lambda t: number_expressions(t, seed_no, *keys)),
+        (on("string_array") and words_share > 0, f"words {words_share} {rotate} {shuffle} {reserved}",
+         lambda t: reference_literals(t, words(t))),
+        (on("split_strings"), f"split {chunk} {reserved}", lambda t: split_literals(t, chunk, reserved)),
+        (on("permute"), f"permute {moved}", lambda t: permute_lines(t, moved, seed_no, *keys)["text"]),
+        (on("dead"), f"dead {dead}", lambda t: dead_from(t, donor, dead, seed_no, *keys)),
+        (on("compact"), "compact", compact),
+    ]
+    return [(name, step) for wanted, name, step in known if wanted]
+
+
+Cell = tuple[dict[str, str], dict[str, str], bool, bool]  # tags, flags, partial, mixed
+
+
+def run_cells(pairs: DataFrame, seed_no: int, cells: Sequence[Cell]) -> DataFrame:
+    """One row per pair and cell: the pair columns, the tags of the cell, ``target_text``.
+
+    A cell transforms the alt text, mixed in the base before (``mixed``), after the
+    transformation (``mixed`` and ``partial``) or not at all. All cells are
+    projections of the pair rows: the texts are shuffled once, by the attach step,
+    and a step that several cells begin with is done once.
+    """
+    place, base = draw(seed_no, "inject", "pair_id"), F.col("base_text")
+    early = [mixed and not partial for _, _, partial, mixed in cells]
+    work = pairs.withColumn("_plain", F.col("alt_text"))
+    if any(early):
+        work = work.withColumn("_mixed", inject(F.col("alt_text"), base, place))
+    trails = [("_mixed",) if e else ("_plain",) for e in early]
+    columns = {t: t[0] for t in trails}  # steps taken so far -> column
+    todo = [steps_of(flags, seed_no, ["pair_id"], base) for _, flags, _, _ in cells]
+    for depth in range(max(map(len, todo), default=0)):
+        new = {}
+        for c, steps in enumerate(todo):
+            if depth < len(steps):
+                name, step = steps[depth]
+                before, trails[c] = trails[c], (*trails[c], name)
+                if trails[c] not in columns:
+                    columns[trails[c]] = f"_step{len(columns)}"
+                    new[columns[trails[c]]] = step(F.col(columns[before]))
+        work = work.withColumns(new)
+    rows = []
+    for (tags, _, partial, mixed), trail in zip(cells, trails):
+        done = F.col(columns[trail])
+        target = inject(done, base, place) if mixed and partial else done
+        rows.append(F.struct(*[F.lit(v).alias(k) for k, v in tags.items()], target.alias("target_text")))
+    names = [*cells[0][0], "target_text"]
+    return work.select(*pairs.columns, F.explode(F.array(*rows)).alias("_cell")).select(
+        *pairs.columns, *[f"_cell.{n}" for n in names]
+    )
 
 
 def apply_profiles(
     pairs: DataFrame, seed_no: int, exps: Sequence[str] = EXPERIMENTS, mixes: Sequence[str] = MIXES, partial: bool = False
 ) -> DataFrame:
-    """One row per pair and cell with ``target_text``; ``pairs`` holds the attached texts.
+    """The grid of experiments: M1 transforms the alt text alone, M2 mixes it in the base
+    first, M3 adds dead lines of the base. ``partial`` transforms before mixing."""
+    flags = lambda exp, mix: {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[exp], "dead": str(mix == "M3").lower()}
+    return run_cells(pairs, seed_no, [({"exp": e, "mix": m}, flags(e, m), partial, m != "M1") for e in exps for m in mixes])
 
-    M1 transforms the alt text alone, M2 mixes it in the base first, M3 adds dead
-    lines of the base. ``partial`` transforms the alt text only, then mixes it in.
-    All cells are projections of the pair rows: the texts are shuffled once, by
-    the attach step, and a step that several cells begin with is done once.
-    """
-    place = draw(seed_no, "inject", "pair_id")
-    base = F.col("base_text")
-    late = lambda mix: partial and mix != "M1"
-    work = pairs.withColumns({
-        "_plain": F.col("alt_text"),
-        **({"_mixed": inject(F.col("alt_text"), base, place)} if not partial and set(mixes) - {"M1"} else {}),
-    })
-    at = {}  # (exp, mix) -> column reached so far
-    done = {}  # (start, step names..) -> column
-    todo = {(e, m): cell_steps(e, m, seed_no, ["pair_id"], base) for e in exps for m in mixes}
-    for cell in todo:
-        start = "_plain" if cell[1] == "M1" or partial else "_mixed"
-        at[cell] = ((start,), start)
-    for depth in range(max(map(len, todo.values()))):
-        new = {}
-        for cell, steps in todo.items():
-            if depth < len(steps):
-                (trail, column), (name, step) = at[cell], steps[depth]
-                trail = (*trail, name)
-                if trail not in done:
-                    done[trail] = f"_step{len(done)}"
-                    new[done[trail]] = step(F.col(column))
-                at[cell] = (trail, done[trail])
-        work = work.withColumns(new)
-    target = lambda cell: inject(F.col(at[cell][1]), base, place) if late(cell[1]) else F.col(at[cell][1])
-    cells = [F.struct(F.lit(e).alias("exp"), F.lit(m).alias("mix"), target((e, m)).alias("target_text")) for e, m in todo]
-    return work.select(*pairs.columns, F.explode(F.array(*cells)).alias("_cell")).select(
-        *pairs.columns, "_cell.exp", "_cell.mix", "_cell.target_text"
-    )
+
+def apply_modes(pairs: DataFrame, seed_no: int, names: Sequence[str]) -> DataFrame:
+    """The same for profiles given by name or mode word; adds ``mode``."""
+    rows = {key: r for r in profile_rows() for key in (r["mode"], r["name"])}
+    cells = [({"mode": n}, {**DEFAULT_FLAGS, **rows[n]["over"]}, rows[n]["partial"], rows[n]["mixed"]) for n in names]
+    return run_cells(pairs, seed_no, cells)

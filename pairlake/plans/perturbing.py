@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairlake.functions.draws import draw
 from pairlake.operators import pairs as P
 from pairlake.operators import perturb as E
-from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES
+from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES, profile_rows
 from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_step, table, texts
 from pairlake.plans.pairing import STAGED, _staged
 from pairlake.plans.texts import SQL_IS_NAME, SQL_IS_STRING, _q, sql_raw
@@ -214,25 +214,39 @@ SELECT doc_id, md5(array_to_string(list_transform({sql_raw("text", True)}, lambd
 FROM documents"""
 
 
-def sql_cell(exp, mix):
-    flags = {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[exp]}
-    place = sql_inject("alt_text", "base_text", sql_draw("inject", "pair_id"))
-    steps = [f"SELECT pair_id, label, base_text, {'alt_text' if mix == 'M1' else place} AS t FROM att"]
+def sql_cell(tags, flags, partial, mixed):
+    place = lambda t: sql_inject(t, "base_text", sql_draw("inject", "pair_id"))
+    steps = [f"SELECT pair_id, label, base_text, {place('alt_text') if mixed and not partial else 'alt_text'} AS t FROM att"]
     if flags["rename"] == "true":
         steps.append(sql_rename("t", "pair_id"))
     if flags["split_strings"] == "true":
         steps.append(sql_split("t", 9))
     if flags["permute"] == "true":
         steps.append(sql_permute("t", 0.75, "pair_id"))
-    if mix == "M3":
+    if flags["dead"] == "true":
         steps.append(sql_dead_from("t", "base_text", 0.4, "pair_id"))
+    if mixed and partial:
+        steps.append(place("t"))
     sql = steps[0]
     for step in steps[1:]:
         sql = f"SELECT pair_id, label, base_text, {step} AS t FROM ({sql})"
-    return f"SELECT pair_id, label, '{exp}' AS exp, '{mix}' AS mix, md5(t) AS digest, length(t) AS chars FROM ({sql})"
+    named = ", ".join(f"'{v}' AS {k}" for k, v in tags.items())
+    return f"SELECT pair_id, label, {named}, md5(t) AS digest, length(t) AS chars FROM ({sql})"
 
 
 QUERIES["profile_cells"] = lambda s, d: E.apply_profiles(_attached(s, d), SEED).select(
     "pair_id", "label", "exp", "mix", F.md5("target_text").alias("digest"), F.length("target_text").alias("chars")
 )
-ORACLES["profile_cells"] = f"WITH {ATTACHED} " + " UNION ALL ".join(sql_cell(e, m) for e in EXPERIMENTS for m in MIXES)
+ORACLES["profile_cells"] = f"WITH {ATTACHED} " + " UNION ALL ".join(
+    sql_cell({"exp": e, "mix": m}, {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[e], "dead": str(m == "M3").lower()}, False, m != "M1")
+    for e in EXPERIMENTS for m in MIXES
+)
+
+SOME_MODES = ("w_string", "object", "sco", "string_dead", "p_control", "w_control_ast")
+QUERIES["profile_modes"] = lambda s, d: E.apply_modes(_attached(s, d), SEED, SOME_MODES).select(
+    "pair_id", "label", "mode", F.md5("target_text").alias("digest"), F.length("target_text").cast("bigint").alias("chars")
+)
+_rows = {r["mode"]: r for r in profile_rows()}
+ORACLES["profile_modes"] = f"WITH {ATTACHED} " + " UNION ALL ".join(
+    sql_cell({"mode": m}, {**DEFAULT_FLAGS, **_rows[m]["over"]}, _rows[m]["partial"], _rows[m]["mixed"]) for m in SOME_MODES
+)

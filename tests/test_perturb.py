@@ -109,3 +109,14 @@ def test_profiles_and_partial(spark):
     assert "b0" in cells[("Exp_val", "M2")] and "b0" not in cells[("Exp_var", "M2")]
     part = {(r.exp, r.mix): r.target_text for r in perturb.apply_profiles(df, 1, partial=True).collect()}
     assert part[("Exp_var", "M1")] == cells[("Exp_var", "M1")] and "b0" in part[("Exp_var", "M2")]
+
+
+def test_modes_by_name(spark):
+    df = spark.createDataFrame([("p", "v = 'abcdefghijkl'  + 5;\n// note\nw", "b0\nb1\nb2")], "pair_id string, alt_text string, base_text string")
+    names = ["hi", "low", "minify", "w_string", "EXP_val_m1", "p_control", "B"]
+    out = {r["mode"]: r.target_text for r in perturb.apply_modes(df, 1, names).collect()}
+    assert set(out) == set(names)
+    assert "// note" not in out["minify"] and "v = 'abcdefghijkl' + 5;" in out["minify"] and "b1" in out["minify"]
+    assert out["w_string"] == out["EXP_val_m1"] and "'abcdefghi'+'jkl'" in out["w_string"] and "b0" not in out["w_string"]
+    assert [x for x in out["p_control"].split("\n") if x[0] == "b"] == ["b0", "b1", "b2"]
+    assert "_s(0x0)" in out["B"] and "_0x" in out["hi"] and "(" in out["hi"] and " 5" not in out["hi"]
