@@ -91,7 +91,7 @@ def first_success(
     or stop the job if ``strict``.
     """
     by = list(by)
-    ranks = shuffled_rank(keys, key, seed, by=by)
+    ranks = cut(shuffled_rank(keys, key, seed, by=by))  # id-only, read three times
     holders = ranks.drop("n").join(ok.select(key, "ok"), key).withColumnRenamed(key, "partner")
     tries = ranks.select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
     tries = tries.withColumn(
@@ -115,7 +115,7 @@ def pair_targets(targets: DataFrame, seed: int, by: Sequence[str] = ("stage", "e
     is drawn among the sources of the cell, avoiding source and base.
     """
     by = list(by)
-    ranks = shuffled_rank(targets, "source", seed, "counter", by=by)
+    ranks = cut(shuffled_rank(targets, "source", seed, "counter", by=by))  # id-only, read three times
     holders = ranks.drop("n")
     known = targets.join(ranks, [*by, "source"])
     base_rank = holders.select(*by, F.col("source").alias("base"), F.col("rank").alias("base_rank"))
@@ -179,7 +179,7 @@ def completeness(source: DataFrame, destination: DataFrame, key: str) -> DataFra
 def two_folder_pairs(keys: DataFrame, key: str, seed: int) -> DataFrame:
     """The older two-folder form, per name: a "1" target (own text, another text) and
     a "0" target (two other texts, different from each other): (key, first, second, label)."""
-    ranks = shuffled_rank(keys, key, seed)
+    ranks = cut(shuffled_rank(keys, key, seed))  # id-only, read by five joins
     holders = ranks.drop("n")
     one = partner(ranks, holders, draw(seed, "one", key), ["rank"], "second").select(
         key, F.col(key).alias("first"), "second", F.lit(1).alias("label")

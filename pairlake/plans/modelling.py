@@ -14,7 +14,6 @@ from pairlake.operators.shapes import infer_shapes
 from pairlake.operators.splits import with_stage
 from pairlake.functions.draws import draw
 from pairlake.plans.common import SEED, sql_pairs, sql_split, table
-from pairlake.plans.pairing import _staged
 from pairlake.plans.perturbing import _attached
 from pairlake.session import cut
 
