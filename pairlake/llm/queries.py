@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairlake.llm import ann, classifier, mixing, pii, quality, secretscan, sharding
+from pairlake.llm import ann, classifier, linededup, mixing, ngramjoin, pieces, pii, quality, secretscan, sharding
 from pairlake.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents")).select("doc_id", "rep_id", "class_id", "n_links")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secretscan.digest(secretscan.scan(docs), "doc_id", "secrets")
@@ -23,12 +27,23 @@ def op4_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors.where("vec_id % 20 = 0"), vectors)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs).select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.judge(docs, trusted).drop("text")
 
 
+def op7_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = pieces.decode(coded)
+    return coded.select("doc_id", "ids", back.eqNullSafe(F.coalesce("text", F.lit(""))).alias("same"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.detect(docs), "doc_id", "pii")
@@ -48,7 +63,8 @@ def op10_slot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_secret_scan, op3_source_mix, op4_one_bit_search, op6_quality_rules, op8_personal_data, op9_quality_votes, op10_slot_table,
+        op1_ngram_join, op2_secret_scan, op3_source_mix, op4_one_bit_search, op5_line_dedup, op6_quality_rules, op7_piece_codes,
+        op8_personal_data, op9_quality_votes, op10_slot_table,
     )
 }
 ORACLES: dict[str, str] = {}
