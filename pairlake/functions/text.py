@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairlake.functions.lexer import LITERAL_PARTS
+
 LINE_BREAKS = "\r\n|\r|\n| | "
 
 
@@ -42,12 +44,18 @@ def length_bin(length: Column, width: int) -> Column:
     return F.ceil(length / F.lit(width)).cast("bigint")
 
 
+# String literals, both kinds of comments, the marks of an address, and what lies between.
+COMMENT_PARTS = r"""\"[^\"\n]*\"|'[^'\n]*'|/\*[\s\S]*?\*/|://|//[^\n]*|[^\"'/:]+|[\"'/:]"""
+
+
 def compact(text: Column) -> Column:
-    """Without comments and with runs of blanks collapsed."""
-    out = F.regexp_replace(text, r"/\*[\s\S]*?\*/", " ")
-    out = F.regexp_replace(out, r"(^|[^:])//[^\n]*", "$1")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, r" *\n[ \n]*", "\n")
+    """Without comments and with runs of blanks collapsed, but for those in string literals."""
+    parts = lambda t, pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    joined = lambda t, pattern, one: F.array_join(F.transform(parts(t, pattern), one), "")
+    out = joined(text, COMMENT_PARTS, lambda t: F.when(t.startswith("/*") & (F.length(t) > 2), " ").when(t.startswith("//"), "").otherwise(t))
+    blanks = lambda t: F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" *\n[ \n]*", "\n")
+    literal = lambda t: F.substring(t, 1, 1).isin('"', "'") & (F.length(t) > 1)
+    out = joined(out, LITERAL_PARTS, lambda t: F.when(literal(t), t).otherwise(blanks(t)))
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
 
 

@@ -51,21 +51,20 @@ def datapair(
     """The pair columns plus the full pair record, for HTML-like texts.
 
     ``pairs`` carries whole seed and target texts. Seed trees are built once
-    per seed document, target trees once per pair; both meet the pair by key.
+    per seed document and meet the pair by key, target trees in the pair's row.
     ``corpus`` (seed_id, text) gives the seed documents, so that their trees are
     built from the scan; else they are taken out of the pairs.
     """
     sided = token_sides(pairs, seed, target, mode)
     # one row per seed: copies of a seed in several pairs are dropped before parsing
     seeds = corpus.toDF(seed_id, seed) if corpus is not None else pairs.select(seed_id, seed).dropDuplicates([seed_id])
-    tree_of = lambda df, key, text: trees.tree_texts(trees.nodes(trees.html_stream(df, key, text), key), key)
-    seed_trees = tree_of(seeds, seed_id, seed).select(seed_id, F.col("tree").alias("_st"), F.col("n").alias("_sn"))
-    target_trees = tree_of(pairs, pair, target).select(pair, F.col("tree").alias("_tt"), F.col("n").alias("_tn"))
-    joined = sided.join(seed_trees, seed_id, "left").join(target_trees, pair, "left")
+    seed_trees = seeds.select(seed_id, trees.html_tree(F.col(seed)).alias("_s")).select(
+        seed_id, F.col("_s.tree").alias("_st"), F.col("_s.n").alias("_sn"))
+    sided = sided.withColumn("_t", trees.html_tree(F.col(target))).withColumns({"_tt": F.col("_t.tree"), "_tn": F.col("_t.n")}).drop("_t")
+    joined = sided.join(seed_trees, seed_id, "left")
     joined = fan_out(joined.fillna("", ["_st", "_tt"]).fillna(0, ["_sn", "_tn"]), pair)
     own = [c for c in pairs.columns if c not in (seed, target)]
-    first = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(1))
-    asts = [first(c).alias(n) if to_ast else F.lit(None).cast("string").alias(n)
+    asts = [trees.first_of(F.col(c)).alias(n) if to_ast else F.lit(None).cast("string").alias(n)
             for c, n in (("_tt", "obfuscated_ast"), ("_st", "seed_ast"))]
     return joined.select(
         *own, "obfuscated_tokens", "seed_tokens",

@@ -49,13 +49,14 @@ EXPERIMENT_FLAGS = {
     "Exp_ast": BLOCKS,
 }
 EXPERIMENT_FLAGS["Exp_all"] = {**EXPERIMENT_FLAGS["Exp_var"], **EXPERIMENT_FLAGS["Exp_val"], **BLOCKS}
-PRESET_BASE = {"compact": "true", "string_array": "true", "rotate": "true", "shuffle": "true", "rename": "true"}
-HEAVY = {**PRESET_BASE, **BLOCKS, **DEAD, **KEYS, "numbers": "true", "split_strings": "true", "reserved_strings": ""}
+# Presets do not start from the base of the experiments: no literal is reserved.
+PRESET_BASE = {"compact": "true", "string_array": "true", "rotate": "true", "shuffle": "true", "rename": "true", "reserved_strings": ""}
+HEAVY = {**PRESET_BASE, **BLOCKS, **DEAD, **KEYS, "numbers": "true", "split_strings": "true"}
 PRESETS = {
     "low": {**PRESET_BASE, "string_array_threshold": "0.75"},
     "medium": {**HEAVY, "split_length": "10", "encoding": "base64", "string_array_threshold": "0.75"},
     "hi": {**HEAVY, "split_length": "10", "encoding": "base64", "string_array_threshold": "0.75"},
-    "minify": {"compact": "true"},
+    "minify": {"compact": "true", "reserved_strings": ""},
     "A": {**PRESET_BASE, "string_array_threshold": "0.75"},
     "B": {**HEAVY, "split_length": "5", "permute_threshold": "1", "dead_threshold": "1", "string_array_threshold": "1"},
     "C": {**HEAVY, "split_length": "5", "permute_threshold": "1", "dead_threshold": "1", "string_array_threshold": "1"},

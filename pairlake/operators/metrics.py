@@ -37,24 +37,50 @@ def classification_metrics(cm: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by.., auc): exact area with ties averaged; null if a class is missing.
+def by_score(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., s, p, c, upto): per distinct score its positives, its rows, and the rows up to it.
 
-    Rows are first added up per distinct score, then ranked by running counts
-    over range partitions, so neither many copies of one score nor a crowded
-    score range ends in one task.
+    All metrics of this module follow from this table, so the scored rows are
+    computed once. Rows are added up per score before they are ranked by running
+    counts over range partitions, so neither many copies of one score nor a
+    crowded score range ends in one task.
     """
     by = list(by)
-    counts = df.groupBy(*by, F.col(score).alias("_s")).agg(
-        F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("c")
-    )
-    seen = running(counts, ["_s"], {"upto": F.col("c")}, by=by)
+    counts = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("c"))
+    return running(counts, ["s"], {"upto": F.col("c")}, by=by)
+
+
+def _auc() -> Column:
+    """Aggregate over ``by_score``: exact area with ties averaged; null if a class is missing."""
     twice_rank = (2 * F.col("upto") - F.col("c") + 1).cast("double")
-    sums = seen.groupBy(*by).agg(
-        F.sum(F.col("p") * twice_rank).alias("r2"), F.sum("p").cast("double").alias("pos"), F.sum("c").cast("double").alias("n")
-    )
-    pos, neg = F.col("pos"), F.col("n") - F.col("pos")
-    return sums.select(*by, F.try_divide(F.col("r2") / 2 - pos * (pos + 1) / 2, pos * neg).alias("auc"))
+    ranks, pos = F.sum(F.col("p") * twice_rank) / 2, F.sum("p").cast("double")
+    return F.try_divide(ranks - pos * (pos + 1) / 2, pos * (F.sum("c").cast("double") - pos))
+
+
+def _cells(predicted: Column) -> list[Column]:
+    """Aggregates over ``by_score``: the four counts."""
+    hit = lambda on, n: F.coalesce(F.sum(F.when(predicted == on, n)), F.lit(0)).cast("bigint")
+    pos, neg = F.col("p"), F.col("c") - F.col("p")
+    return [hit(1, pos).alias("tp"), hit(1, neg).alias("fp"), hit(0, pos).alias("fn"), hit(0, neg).alias("tn")]
+
+
+def _loss() -> Column:
+    """Aggregate over ``by_score``: the cross-entropy of ``bce``."""
+    s = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), F.col("s")))
+    known = F.when(F.col("s").isNotNull(), F.col("c"))
+    return -F.sum(F.col("p") * F.log(s) + (F.col("c") - F.col("p")) * F.log(1 - s)) / F.sum(known)
+
+
+def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., auc): exact area with ties averaged; null if a class is missing."""
+    return by_score(df, score, label, by).groupBy(*by).agg(_auc().alias("auc"))
+
+
+def evaluate(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., tp, fp, fn, tn, accuracy, precision, recall, f1, loss, auc); predicted by rounding, half to even."""
+    sums = by_score(df, score, label, by).groupBy(*by).agg(*_cells(F.rint("s")), _loss().alias("loss"), _auc().alias("auc"))
+    order = [*by, "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1", "loss", "auc"]
+    return classification_metrics(sums).select(*order)
 
 
 def bce(score: Column, label: Column) -> Column:
@@ -66,18 +92,13 @@ def bce(score: Column, label: Column) -> Column:
 def threshold_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
     """(by.., accuracy, precision, recall, loss, auc); predicted positive above the threshold."""
     by = list(by)
-    flagged = df.withColumn("_p", (F.col(score) > threshold).cast("int"))
-    base = flagged.groupBy(*by).agg(*_counts(F.col(label), F.col("_p")), bce(F.col(score), F.col(label)).alias("loss"))
+    above = (F.col("s") > threshold).cast("int")
+    sums = by_score(df, score, label, by).groupBy(*by).agg(*_cells(above), _loss().alias("loss"), _auc().alias("auc"))
     zero = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0))
-    table = base.select(
+    return sums.select(
         *by, F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"),
-        zero("tp", "fp").alias("precision"), zero("tp", "fn").alias("recall"), "loss",
+        zero("tp", "fp").alias("precision"), zero("tp", "fn").alias("recall"), "loss", "auc",
     )
-    auc = roc_auc(df, score, label, by)
-    if by:
-        return table.join(auc, by)
-    one = F.lit(1).alias("_one")
-    return table.select("*", one).join(auc.select("*", one), "_one").drop("_one")  # one row each
 
 
 def reward(score: Column, label: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import zlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -85,10 +86,7 @@ def score(model: PipelineModel, features: DataFrame) -> DataFrame:
 
 def evaluate(scored: DataFrame, by: Sequence[str] = ("stage",)) -> DataFrame:
     """Counts, accuracy in percent, precision, recall, F1, loss and AUC per group."""
-    flagged = scored.withColumn("_p", F.rint("score").cast("int"))
-    basic = M.classification_metrics(M.confusion(flagged, "label", "_p", by))
-    loss = scored.groupBy(*by).agg(M.bce(F.col("score"), F.col("label")).alias("loss"))
-    return basic.join(loss, list(by)).join(M.roc_auc(scored, "score", "label", by), list(by), "left")
+    return M.evaluate(scored, "score", "label", by)
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -101,6 +99,9 @@ def load(path: str) -> PipelineModel:
 
 # ---- pluggable encoders ---------------------------------------------------
 
+# The JVM's rule for blanks.
+WORDS = re.compile(r"[^ \t\n\x0b\f\r]+")
+
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
@@ -110,9 +111,9 @@ def hashing_encoder(dim: int = 256) -> Encoder:
     def encode(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
-            codes = np.array([zlib.crc32(w.encode()) for w in text.split()], dtype=np.int64)
-            if len(codes):
-                np.add.at(out[i], codes % dim, np.where(codes & (1 << 31), -1.0, 1.0))
+            for word in WORDS.findall(text):
+                code = hashlib.md5(word.encode()).hexdigest()
+                out[i, int(code[:15], 16) % dim] += 1.0 if code[15] < "8" else -1.0
         return out
 
     return encode
@@ -120,12 +121,12 @@ def hashing_encoder(dim: int = 256) -> Encoder:
 
 def score_pairs(
     pairs: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encoder,
-    seed: str = "seed_text", target: str = "target_text", max_length: int | None = 1024,
+    seed: str = "seed_text", target: str = "target_text", max_length: int | None = None,
 ) -> DataFrame:
     """The pair columns (without the texts) with cosine, score and pred from a text encoder.
 
-    The encoder is made once per task and fed Arrow batches. ``max_length`` cuts
-    the texts as an encoder with a fixed context needs it; None takes them whole.
+    The encoder is made once per task and fed Arrow batches. Texts are
+    taken whole; ``max_length`` cuts them, for an encoder with a fixed context.
     """
     keep = [f for f in pairs.schema.fields if f.name not in (seed, target)]
     if max_length is not None:

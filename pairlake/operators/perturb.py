@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairlake.functions.bind import let
 from pairlake.functions.draws import draw, share, step_past
-from pairlake.functions.lexer import is_integer, is_name, is_string, literal_parts, raw_tokens
+from pairlake.functions.lexer import is_integer, is_name, is_string, literal_parts, raw_tokens, tokens
 from pairlake.functions.text import compact
 from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES, profile_rows
 from pairlake.operators.ranks import shuffled_rank
@@ -104,6 +104,22 @@ def rename_keys(json: Column, seed_no: int, *keys) -> Column:
     return let(parts, recode)
 
 
+def rename_text_keys(text: Column, seed_no: int, *keys) -> Column:
+    """Names and string literals before a ':' replaced, in any text; equal keys alike, quotes stay."""
+
+    def recode(toks: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(toks, i), F.lit(""))
+        before_colon = lambda i: (at(i + 1) == ":") | (at(i + 1).rlike(r"^\s+$") & (at(i + 2) == ":"))
+        inner = lambda t: F.substr(t, F.lit(2), F.length(t) - 2)
+        quote = lambda t: F.substring(t, 1, 1)
+        one = lambda t, i: F.when(is_name(t) & before_colon(i), new_name(seed_no, t, *keys)).when(
+            is_string(t) & (F.length(t) > 2) & before_colon(i), F.concat(quote(t), new_name(seed_no, inner(t), *keys), quote(t))
+        ).otherwise(t)
+        return F.array_join(F.transform(toks, one), "")
+
+    return let(raw_tokens(text, blanks=True), recode)
+
+
 def eligible_literals(df: DataFrame, key: str, text: str = "text", reserved: Sequence[str] = ()) -> DataFrame:
     """(key, pos, literal): string literals that match no reserved pattern."""
     toks = df.select(key, F.posexplode(raw_tokens(F.col(text))).alias("pos", "literal"))
@@ -127,11 +143,15 @@ def string_dictionary(
 
 
 def reference_literals(text: Column, dictionary: Column, shift: int = 0) -> Column:
-    """The text with each dictionary literal replaced by its index (reversible)."""
+    """The text with each dictionary literal replaced by its index (reversible).
+
+    What looks like a reference in the text already gets one more underscore.
+    """
     def recode(words: Column) -> Column:
         at = lambda t: F.array_position(words, t)
         reference = lambda t: F.concat(F.lit("_s(0x"), F.lower(F.hex(at(t) - 1 + shift)), F.lit(")"))
-        one = lambda t: F.when(is_string(t) & (at(t) > 0), reference(t)).otherwise(t)
+        other = lambda t: F.regexp_replace(t, r"_s(_*)\(0x", r"_s_$1(0x")
+        one = lambda t: F.when(is_string(t) & (at(t) > 0), reference(t)).otherwise(other(t))
         return F.array_join(F.transform(literal_parts(text), one), "")
 
     return let(dictionary, recode)
@@ -146,14 +166,18 @@ def encode_dictionary(dictionary: Column, encoding: str = "none") -> Column:
 
 
 def split_literals(text: Column, n: int, reserved: Sequence[str] = ()) -> Column:
-    """String literals cut in chunks of n characters joined by '+' (reversible)."""
+    """String literals cut in chunks of n characters joined by '+' (reversible).
+
+    A '+' that stands alone between two literals of the text gets one more
+    blank behind it, so that a bare one is always a cut.
+    """
 
     def one(t: Column) -> Column:
         quote = F.substring(t, 1, 1)
         chunks = F.regexp_extract_all(F.substr(t, F.lit(2), F.length(t) - 2), F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
         joined = F.array_join(F.transform(chunks, lambda c: F.concat(quote, c, quote)), "+")
         cuttable = is_string(t) & (F.length(t) > 2) & _free(t, reserved)
-        return F.when(cuttable, joined).otherwise(t)
+        return F.when(cuttable, joined).when(t.rlike(r"^\+ *$"), F.regexp_replace(t, r"^\+", "+ ")).otherwise(t)
 
     return F.array_join(F.transform(literal_parts(text), one), "")
 
@@ -177,15 +201,18 @@ def permute_lines(text: Column, threshold: float, seed_no: int, *keys) -> Column
 
 
 def number_expressions(text: Column, seed_no: int, *keys) -> Column:
-    """Whole numbers n written as (a+b) with a + b = n."""
+    """Whole numbers n written as (a+b) with a + b = n.
+
+    b has the last digits of n, from a drawn place on, and a the others with
+    zeros behind: exact for numbers of any length.
+    """
 
     def one(t: Column, i: Column) -> Column:
-        n = F.try_to_number(t, F.lit("9" * 15)).cast("bigint")
-        a = F.pmod(draw(seed_no, "number", *keys, i), n + 1)
-        return F.when(
-            is_integer(t) & (F.length(t) <= 15),
-            F.concat(F.lit("("), a.cast("string"), F.lit("+"), (n - a).cast("string"), F.lit(")")),
-        ).otherwise(t)
+        at = F.pmod(draw(seed_no, "number", *keys, i), F.length(t) + 1).cast("int")
+        plain = lambda c: F.regexp_replace(F.concat(F.lit("0"), c), "^0+(?=[0-9])", "")
+        a = plain(F.concat(F.substr(t, F.lit(1), at), F.repeat(F.lit("0"), F.length(t) - at)))
+        b = plain(F.substr(t, at + 1, F.length(t) - at))
+        return F.when(is_integer(t), F.concat(F.lit("("), a, F.lit("+"), b, F.lit(")"))).otherwise(t)
 
     return F.array_join(F.transform(raw_tokens(text, blanks=True), one), "")
 
@@ -249,14 +276,35 @@ def unpermute(text: Column, line_order: Column) -> Column:
 
 
 def fold_literals(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"'\+'", ""), r'"\+"', "")
+    """Cut literals in one piece again; other '+' lose the blank that ``split_literals`` put behind."""
+
+    def fold(parts: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+        quote = lambda t: F.substring(t, 1, 1)
+        # the cut before part i, if there is one
+        joint = lambda i: (i > 0) & (at(i) == "+") & is_string(at(i - 1)) & is_string(at(i + 1)) & (quote(at(i - 1)) == quote(at(i + 1)))
+        shut = lambda t, i: F.when(joint(i + 1), F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+        opened = lambda t, i: F.when((i > 1) & joint(i - 1), F.substr(t, F.lit(2), F.length(t))).otherwise(t)
+        one = lambda t, i: (
+            F.when(is_string(t), opened(shut(t, i), i)).when(joint(i), "")
+            .when(t.rlike(r"^\+ +$"), F.regexp_replace(t, r"^\+ ", "+")).otherwise(t)
+        )
+        return F.array_join(F.transform(parts, one), "")
+
+    return let(literal_parts(text), fold)
 
 
 def inline_literals(text: Column, dictionary: Column, shift: int = 0) -> Column:
-    """Index references back to the literals; references beyond the dictionary stay."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)_s\(0x[0-9a-f]+\)|[^_]+|_"), F.lit(0))
-    at = lambda t: F.conv(F.regexp_extract(t, r"0x([0-9a-f]+)\)$", 1), 16, 10).cast("int") - shift
-    word = lambda words, t: F.when(t.rlike(r"^_s\(0x[0-9a-f]{1,6}\)$"), F.coalesce(F.get(words, at(t)), t)).otherwise(t)
+    """Index references back to the literals; references beyond the dictionary stay.
+
+    Places in an array have fewer than 15 hex digits, whatever the shift.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)_s\(0x[0-9a-f]+\)|_s_+\(0x|[^_]+|_"), F.lit(0))
+    at = lambda t: F.conv(F.regexp_extract(t, r"0x([0-9a-f]+)\)$", 1), 16, 10).cast("bigint") - shift
+    inside = lambda words, t: (at(t) >= 0) & (at(t) < F.size(words))
+    word = lambda words, t: F.when(
+        t.rlike(r"^_s\(0x[0-9a-f]{1,15}\)$"), F.when(inside(words, t), F.get(words, at(t).cast("int"))).otherwise(t)
+    ).when(t.startswith("_s_"), F.regexp_replace(t, "^_s_", "_s")).otherwise(t)
     return let(dictionary, lambda words: F.array_join(F.transform(parts, lambda t: word(words, t)), ""))
 
 
@@ -321,28 +369,69 @@ def restore(
 Step = tuple[str, Callable[[Column], Column]]
 
 
-def steps_of(flags: dict[str, str], seed_no: int, keys: Sequence[str], donor: Column) -> list[Step]:
-    """The steps that the flags of a profile switch on, in order; equal steps have equal names."""
+# Fixed value: how the first line of a text with a literal dictionary begins.
+HEADER = "_s="
+
+
+def with_dictionary(text: Column, dictionary: Column, encoding: str = "none") -> Column:
+    """The text with its dictionary literals referenced, and a first line that holds them as JSON (reversible)."""
+    body = lambda words: F.concat(F.lit(HEADER), F.to_json(encode_dictionary(words, encoding)), F.lit("\n"), reference_literals(text, words))
+    return let(dictionary, body)
+
+
+def parted(text: Column) -> Column:
+    """struct(header, body): the dictionary line with its end, or '', and the rest."""
+    end = F.locate("\n", text)
+    return F.when(
+        text.startswith(HEADER) & (end > 0),
+        F.struct(F.substr(text, F.lit(1), end).alias("header"), F.substr(text, end + 1, F.length(text)).alias("body")),
+    ).otherwise(F.struct(F.lit("").alias("header"), text.alias("body")))
+
+
+def without_dictionary(text: Column, encoding: str = "none") -> Column:
+    """The inverse of ``with_dictionary``."""
+    def back(p: Column) -> Column:
+        words = F.from_json(F.substr(p["header"], F.lit(len(HEADER) + 1), F.length(p["header"])), "array<string>")
+        if encoding == "base64":
+            words = F.transform(words, lambda w: F.decode(F.unbase64(w), "UTF-8"))
+        return F.when(p["header"] != "", inline_literals(p["body"], words)).otherwise(p["body"])
+
+    return let(parted(text), back)
+
+
+def as_tree(text: Column) -> Column:
+    """A text as JSON: a list of its lines, each the list of its token classes."""
+    return F.to_json(F.transform(lines_of(text), lambda x: tokens(x)))
+
+
+def steps_of(flags: dict[str, str], seed_no: int, keys: Sequence[str], donor: Column, to_ast: bool = False) -> list[Step]:
+    """The steps that the flags of a profile switch on, in order; equal steps have equal names.
+
+    Steps after the string dictionary leave its line alone.
+    """
     on = lambda name: flags[name] == "true"
     reserved = [p for p in [flags["reserved_strings"]] if p]
     words_share, chunk = float(flags["string_array_threshold"]), int(flags["split_length"])
-    moved, dead = float(flags["permute_threshold"]), float(flags["dead_threshold"])
+    moved, dead, coding = float(flags["permute_threshold"]), float(flags["dead_threshold"]), flags["encoding"]
     rotate, shuffle = on("rotate"), on("shuffle")
+    array = on("string_array") and words_share > 0
     words = lambda t: string_dictionary(t, words_share, seed_no, *keys, rotate=rotate, shuffle=shuffle, reserved=reserved)
+    after = lambda step: (lambda t: let(parted(t), lambda p: F.concat(p["header"], step(p["body"])))) if array else step
     known: list[tuple[bool, str, Callable[[Column], Column]]] = [
         (on("rename"), "rename", lambda t: rename(t, seed_no, *keys)),
+        (on("rename_keys"), "keys", lambda t: rename_text_keys(t, seed_no, *keys)),
         (on("numbers"), "numbers", lambda t: number_expressions(t, seed_no, *keys)),
-        (on("string_array") and words_share > 0, f"words {words_share} {rotate} {shuffle} {reserved}",
-         lambda t: reference_literals(t, words(t))),
-        (on("split_strings"), f"split {chunk} {reserved}", lambda t: split_literals(t, chunk, reserved)),
-        (on("permute"), f"permute {moved}", lambda t: permute_lines(t, moved, seed_no, *keys)["text"]),
-        (on("dead"), f"dead {dead}", lambda t: dead_from(t, donor, dead, seed_no, *keys)),
-        (on("compact"), "compact", compact),
+        (array, f"words {words_share} {rotate} {shuffle} {reserved} {coding}", lambda t: with_dictionary(t, words(t), coding)),
+        (on("split_strings"), f"split {chunk} {reserved}", after(lambda t: split_literals(t, chunk, reserved))),
+        (on("permute"), f"permute {moved}", after(lambda t: permute_lines(t, moved, seed_no, *keys)["text"])),
+        (on("dead"), f"dead {dead}", after(lambda t: dead_from(t, donor, dead, seed_no, *keys))),
+        (on("compact"), "compact", after(compact)),
+        (to_ast, "tree", as_tree),
     ]
     return [(name, step) for wanted, name, step in known if wanted]
 
 
-Cell = tuple[dict[str, str], dict[str, str], bool, bool]  # tags, flags, partial, mixed
+Cell = tuple[dict[str, str], dict[str, str], bool, bool, bool]  # tags, flags, partial, mixed, to_ast
 
 
 def run_cells(pairs: DataFrame, seed_no: int, cells: Sequence[Cell]) -> DataFrame:
@@ -354,13 +443,13 @@ def run_cells(pairs: DataFrame, seed_no: int, cells: Sequence[Cell]) -> DataFram
     and a step that several cells begin with is done once.
     """
     place, base = draw(seed_no, "inject", "pair_id"), F.col("base_text")
-    early = [mixed and not partial for _, _, partial, mixed in cells]
+    early = [mixed and not partial for _, _, partial, mixed, _ in cells]
     work = pairs.withColumn("_plain", F.col("alt_text"))
     if any(early):
         work = work.withColumn("_mixed", inject(F.col("alt_text"), base, place))
     trails = [("_mixed",) if e else ("_plain",) for e in early]
     columns = {t: t[0] for t in trails}  # steps taken so far -> column
-    todo = [steps_of(flags, seed_no, ["pair_id"], base) for _, flags, _, _ in cells]
+    todo = [steps_of(flags, seed_no, ["pair_id"], base, to_ast) for _, flags, _, _, to_ast in cells]
     for depth in range(max(map(len, todo), default=0)):
         new = {}
         for c, steps in enumerate(todo):
@@ -372,7 +461,7 @@ def run_cells(pairs: DataFrame, seed_no: int, cells: Sequence[Cell]) -> DataFram
                     new[columns[trails[c]]] = step(F.col(columns[before]))
         work = work.withColumns(new)
     rows = []
-    for (tags, _, partial, mixed), trail in zip(cells, trails):
+    for (tags, _, partial, mixed, _), trail in zip(cells, trails):
         done = F.col(columns[trail])
         target = inject(done, base, place) if mixed and partial else done
         rows.append(F.struct(*[F.lit(v).alias(k) for k, v in tags.items()], target.alias("target_text")))
@@ -388,11 +477,11 @@ def apply_profiles(
     """The grid of experiments: M1 transforms the alt text alone, M2 mixes it in the base
     first, M3 adds dead lines of the base. ``partial`` transforms before mixing."""
     flags = lambda exp, mix: {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[exp], "dead": str(mix == "M3").lower()}
-    return run_cells(pairs, seed_no, [({"exp": e, "mix": m}, flags(e, m), partial, m != "M1") for e in exps for m in mixes])
+    return run_cells(pairs, seed_no, [({"exp": e, "mix": m}, flags(e, m), partial, m != "M1", False) for e in exps for m in mixes])
 
 
 def apply_modes(pairs: DataFrame, seed_no: int, names: Sequence[str]) -> DataFrame:
     """The same for profiles given by name or mode word; adds ``mode``."""
     rows = {key: r for r in profile_rows() for key in (r["mode"], r["name"])}
-    cells = [({"mode": n}, {**DEFAULT_FLAGS, **rows[n]["over"]}, rows[n]["partial"], rows[n]["mixed"]) for n in names]
+    cells = [({"mode": n}, {**DEFAULT_FLAGS, **rows[n]["over"]}, rows[n]["partial"], rows[n]["mixed"], rows[n]["to_ast"]) for n in names]
     return run_cells(pairs, seed_no, cells)

@@ -82,17 +82,26 @@ def running(
     )
 
 
+def value_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(name, value, c, upto): the distinct values of several columns, their counts, and the running counts."""
+    parts = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    long = df.selectExpr(f"stack({len(columns)}, {parts}) as (name, value)").where("value is not null")
+    counts = long.groupBy("name", "value").agg(F.count("*").alias("c"))
+    return running(counts, ["value"], {"upto": F.col("c")}, by=["name"])
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> DataFrame:
     """(name, fraction, value): interpolated exact quantiles of several columns.
 
     Values are pre-aggregated to distinct values, then located by running
     counts; no buffer with all distinct values exists in any task.
     """
-    parts = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    long = df.selectExpr(f"stack({len(columns)}, {parts}) as (name, value)").where("value is not null")
-    counts = long.groupBy("name", "value").agg(F.count("*").alias("c"))
-    seen = running(counts, ["value"], {"upto": F.col("c")}, by=["name"])
-    total = counts.groupBy("name").agg(F.sum("c").alias("n"))  # one row per column name
+    return quantiles_of(value_ranks(df, columns), fractions)
+
+
+def quantiles_of(seen: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    """The same from a table of ``value_ranks``."""
+    total = seen.groupBy("name").agg(F.sum("c").alias("n"))  # one row per column name
     wanted = F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
     spots = total.select("name", "n", wanted.alias("fraction")).withColumn(
         "spot", F.col("fraction") * (F.col("n") - 1)

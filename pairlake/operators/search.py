@@ -1,10 +1,10 @@
 """Clone search: the k most similar seeds of each target, exact.
 
 A k-nearest-neighbour join over pivots (Lu et al., PVLDB 2012). Seeds belong to
-the cell of their nearest pivot. The triangle inequality gives each target a
-distance within which its k neighbours must lie, hence the cells it has to
-visit; the other cells are skipped without losing a result. Visited cells are
-cut in blocks, so that a cell with most of all seeds (many copies of one text)
+the cell of their nearest pivot, and in it to a ring by their distance to the pivot.
+The triangle inequality gives each target a distance within which its k
+neighbours must lie, hence the rings it has to visit; the others are skipped
+without losing a result. Visited rings are cut in blocks, so that a cell with most of all seeds (many copies of one text)
 is still spread over tasks, and each task keeps only its k best per target.
 """
 
@@ -20,6 +20,7 @@ from pairlake.session import cut
 
 MAX_PIVOTS = 4096
 MAX_K = 1000
+RINGS = 64
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -33,13 +34,17 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search(
     targets: DataFrame, seeds: DataFrame, k: int, target: str = "target_id", seed: str = "seed_id",
-    vector: str = "vector", skip_same: bool = False, pivots: int = 64, block: int = 2048, seed_no: int = 0,
+    vector: str = "vector", skip_same: bool = False, pivots: int | None = None, block: int = 2048, seed_no: int = 0,
 ) -> DataFrame:
     """(target, seed, score, place): the k best seeds by (cosine + 1) / 2, ties by seed id.
 
-    ``skip_same`` leaves out the pair of equal ids. Only ``pivots`` vectors and
-    ``pivots * k`` distances come to the driver, both limited by checks.
+    ``skip_same`` leaves out the pair of equal ids. Only ``pivots`` vectors,
+    ``pivots * k`` distances and the sizes of ``pivots * RINGS`` rings come to the
+    driver, all limited by checks. By default there are as many pivots as the
+    square root of the number of seeds says, within the limit.
     """
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, max(16, int(seeds.count() ** 0.5)))
     if not (1 <= pivots <= MAX_PIVOTS and 1 <= k <= MAX_K):
         raise ValueError(f"pivots must be in 1..{MAX_PIVOTS} and k in 1..{MAX_K}")
     wanted = k + (1 if skip_same else 0)
@@ -59,14 +64,17 @@ def search(
         return pd.DataFrame({"cell": cell.astype("int32"), "far": d[np.arange(len(cell)), cell]})
 
     placed = cut(s.select("id", "v", nearest("v").alias("n")).select("id", "v", "n.cell", "n.far"))
-    stats = {r["cell"]: (r["c"], r["radius"]) for r in placed.groupBy("cell").agg(F.count("*").alias("c"), F.max("far").alias("radius")).collect()}
+    # distances of unit vectors are below 2
+    placed = placed.withColumn("ring", F.col("cell") * RINGS + F.least(F.floor(F.col("far") * (RINGS / 2)), F.lit(RINGS - 1)).cast("int"))
+    stats = placed.groupBy("ring").agg(F.count("*").alias("c"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect()
     order = Window.partitionBy("cell").orderBy("far", "id")
     close = placed.select("cell", "far", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= wanted)
     near = np.full((len(centres), wanted), np.inf)
     for r in close.select("cell", "r", "far").collect():
         near[r["cell"], r["r"] - 1] = r["far"]
-    radius = np.array([stats.get(i, (0, -np.inf))[1] for i in range(len(centres))])
-    parts = {c: -(-n // block) for c, (n, _) in stats.items()}
+    rings = np.array([r["ring"] for r in stats], dtype=np.int32)
+    lows, highs = np.array([r["lo"] for r in stats]), np.array([r["hi"] for r in stats])
+    parts = {r["ring"]: -(-r["c"] // block) for r in stats}
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def visits(v: pd.Series) -> pd.Series:
@@ -76,13 +84,15 @@ def search(
             limit = np.partition(bounds, wanted - 1)[wanted - 1] if np.isfinite(bounds).sum() >= wanted else np.inf
             # scores are compared to 9 decimals: (distance)^2 = 4 - 4 * score
             reach = np.sqrt(limit * limit + 8e-9) + 1e-6
-            found.append(np.flatnonzero(row - radius <= reach).astype("int32"))
+            far = row[rings // RINGS]
+            found.append(rings[(far - highs <= reach) & (lows - far <= reach)])
         return pd.Series(found)
 
+    placed = placed.drop("cell").withColumnRenamed("ring", "cell")
     asked = cut(t.select("id", "v", F.explode(visits("v")).alias("cell")))
     asks = {r["cell"]: -(-r["c"] // block) for r in asked.groupBy("cell").agg(F.count("*").alias("c")).collect()}
-    # one row per cell, at most MAX_PIVOTS: how many blocks either side has there.
-    # A pair of blocks is one task group; cells without seeds or targets drop out.
+    # one row per ring, at most MAX_PIVOTS * RINGS: how many blocks either side has there.
+    # A pair of blocks is one task group; rings without seeds or targets drop out.
     sizes = [(int(c), int(parts[c]), int(asks[c])) for c in parts if c in asks]
     table = F.broadcast(targets.sparkSession.createDataFrame(sizes, "cell int, seed_blocks int, target_blocks int"))
     own = lambda n: F.pmod(draw(seed_no, "block", "id"), F.col(n)).cast("int")

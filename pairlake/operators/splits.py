@@ -78,6 +78,26 @@ def with_stage(
     return known.withColumn("stage", stage).drop("_cuts")
 
 
+def leaked_keys(staged: DataFrame, key: str) -> DataFrame:
+    """(key, stages): keys in more than one stage, with the names of these in order."""
+    seen = staged.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("stage")), ",").alias("stages"))
+    return seen.where(F.contains("stages", F.lit(",")))
+
+
+def leaked_texts(staged: DataFrame, text: str) -> DataFrame:
+    """(text, stages, rows): equal texts in more than one stage.
+
+    Texts meet by their digest; copies are added up before the shuffle, and
+    never paired.
+    """
+    digest = F.sha2(F.col(text), 256).alias("_d")
+    per = staged.groupBy(digest, "stage").agg(F.count("*").alias("c"), F.min(text).alias("_t"))
+    found = per.groupBy("_d").agg(
+        F.array_join(F.array_sort(F.collect_set("stage")), ",").alias("stages"), F.sum("c").alias("rows"), F.min("_t").alias(text)
+    )
+    return found.where(F.contains("stages", F.lit(","))).select(text, "stages", "rows")
+
+
 def shard(df: DataFrame, key: str, total: int, index: int, seed: int = 0) -> DataFrame:
     """Keys whose place in the shuffle is ``index`` modulo ``total``."""
     ranked = shuffled_rank(df, key, seed)

@@ -34,19 +34,22 @@ TAG_GROUPS = {
 }
 TEMPLATE = tuple(tag for tags in TAG_GROUPS.values() for tag in tags)
 
-TAG = "</?[A-Za-z][A-Za-z0-9]*[^>]*>"
+# Fixed value: a tag. The name reaches to a blank, '/' or '>'; a '>' in a quoted value does not end
+# it, unless the quote is never closed.
+TAG = """</?[A-Za-z][^\\s/>]*(?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>|[^>]*>)"""
+TAG_NAME = "^</?([A-Za-z][^\\s/>]*)"
 
 
 def raw_tags(html: Column) -> Column:
     """Tags in order, comments and the bodies of script and style left out."""
     out = F.regexp_replace(html, "(?s)<!--.*?-->", "")
     for name in ("script", "style"):
-        out = F.regexp_replace(out, f"(?is)(<{name}\\b[^>]*>).*?(</{name}>)", "$1$2")
+        out = F.regexp_replace(out, f"(?is)(<{name}(?:\\s[^>]*)?>).*?(</{name}>)", "$1$2")
     return F.regexp_extract_all(out, F.lit(TAG), F.lit(0))
 
 
 def tag_name(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, "^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    return F.lower(F.regexp_extract(tag, TAG_NAME, 1))
 
 
 def html_stream(df: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -205,13 +208,67 @@ def category_vector(df: DataFrame, key: str, html: str = "html", groups: dict[st
 
 def tree_texts(tree: DataFrame, key: str) -> DataFrame:
     """(key, tree, n): each tree as one text of depth:label entries in document order."""
-    plain = F.col("label").rlike(r"^[A-Za-z0-9_]*$")  # nearly all labels: nothing to escape
+    plain = F.col("label").rlike(r"^[A-Za-z0-9_\-]*$")  # nearly all labels: nothing to escape
     label = F.when(plain, F.col("label")).otherwise(js_escape(F.col("label")))
     entry = F.concat(F.col("depth").cast("string"), F.lit(":"), label)
     whole = tree.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_id", entry.alias("e")))).alias("es"))
     return whole.select(key, F.array_join(F.transform("es", lambda r: r["e"]), " ").alias("tree"), F.size("es").alias("n"))
 
 
+def _escaped(label: str) -> str:
+    """``js_escape`` of a label, for the rare one that needs it."""
+    units = label.encode("utf-16-be")
+    codes = [units[i] << 8 | units[i + 1] for i in range(0, len(units), 2)]
+    return "".join(chr(c) if chr(c) in PLAIN else f"%{c:02X}" if c < 256 else f"%u{c:04X}" for c in codes)
+
+
+# Fixed value: the characters that ``js_escape`` leaves alone.
+PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@*_+-./")
+
+
+@F.pandas_udf(T.StructType([T.StructField("tree", T.StringType()), T.StructField("n", T.IntegerType())]))
+def _row_trees(tags: pd.Series) -> pd.DataFrame:
+    """Tree texts from arrays of 'name' and '/name': the rules of ``html_stream`` and ``nodes``, in one pass over a row."""
+
+    def one(marks) -> tuple[str, int]:
+        net: dict[str, int] = {}
+        for m in marks:
+            name = m.lstrip("/")
+            net[name] = net.get(name, 0) + (-1 if m[0] == "/" else 1)
+        entries, depth = [], 0
+        for m in marks:
+            close, name = m[0] == "/", m.lstrip("/")
+            if net[name]:
+                if not close:
+                    entries.append(f"{max(depth + 1, 1)}:{_escaped(name)}")
+            elif close:
+                depth -= 1
+            else:
+                depth += 1
+                entries.append(f"{max(depth, 1)}:{_escaped(name)}")
+        return " ".join(entries), len(entries)
+
+    return pd.DataFrame([("", 0) if x is None else one(x) for x in tags], columns=["tree", "n"])
+
+
+def html_tree(html: Column) -> Column:
+    """struct(tree, n): the tree text of one HTML text and its number of nodes; no explode, no shuffle."""
+    mark = lambda t: F.concat(F.when(t.startswith("</"), "/").otherwise(""), tag_name(t))
+    return _row_trees(F.transform(raw_tags(html), mark))
+
+
+def first_of(tree: Column) -> Column:
+    """The first top-level subtree of a tree text: its root and all that follows on a deeper level; '' of an empty tree."""
+    depth = lambda e: F.split_part(e, F.lit(":"), F.lit(1)).cast("int")
+
+    def cut(entries: Column) -> Column:
+        root = depth(F.get(entries, F.lit(0)))
+        at = F.transform(entries, lambda e, i: F.when((i > 0) & (depth(e) <= root), i))
+        return F.array_join(F.slice(entries, F.lit(1), F.coalesce(F.array_min(at), F.size(entries))), " ")
+
+    return F.when(tree == "", "").otherwise(let(F.split(tree, " "), cut))
+
+
 def _parse(text: str) -> tuple[list[int], list[str]]:
     parts = [e.split(":", 1) for e in text.split(" ")] if text else []
     return [int(d) for d, _ in parts], [label for _, label in parts]

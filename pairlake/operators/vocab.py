@@ -45,10 +45,11 @@ def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, n: int, max_tok
         raise ValueError(f"the vocabulary has more than {max_tokens} tokens")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def look_up(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [known.get(w, UNKNOWN) for w in t.split()[:n]] if t else [])
+    def look_up(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: [known.get(w, UNKNOWN) for w in t] if t is not None else [])
 
-    whole = df.select(key, look_up(F.col(text)).alias("ids"))
+    # cut by ``words``, as the vocabulary was
+    whole = df.select(key, look_up(F.slice(words(F.col(text)), F.lit(1), F.lit(n))).alias("ids"))
     return whole.select(key, pad_to(F.col("ids"), F.lit(n)).alias("ids"), F.size("ids").alias("length"))
 
 

@@ -69,8 +69,8 @@ SELECT toxic, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision,
 def _losses(s, d):
     v = _vector_pairs(s, d).select(
         "partner", (F.col("la") == F.col("lb")).cast("int").alias("label"), V.cosine01(F.col("a"), F.col("b")).alias("score"),
-        V.softmax(F.transform(F.slice("a", 1, 3), lambda x: x.cast("double") * 5)).alias("probs"),
-        V.softmax(F.transform(F.slice("b", 1, 3), lambda x: x.cast("double") * 5)).alias("other"), "la", "lb",
+        V.softmax(F.transform("a", lambda x: x.cast("double") * 5)).alias("probs"),
+        V.softmax(F.transform("b", lambda x: x.cast("double") * 5)).alias("other"), "la", "lb",
     ).withColumn("overlap", V.overlap_penalty(F.col("probs"), F.col("other"), F.col("la"), F.col("lb")))
     one = [F.col(c) for c in ("score", "label", "probs")]
     r = v.groupBy("label").agg(
@@ -83,7 +83,7 @@ def _losses(s, d):
 QUERIES["losses"] = _losses
 ORACLES["losses"] = f"""
 WITH {VECTOR_PAIRS}, v AS (SELECT la, lb, (la = lb)::INTEGER AS label, greatest(0, least(1, (list_cosine_similarity(a, b) + 1) / 2)) AS score,
-  a[1:3] AS a3, b[1:3] AS b3 FROM vp),
+  a AS a3, b AS b3 FROM vp),
 w AS (SELECT *, {_soft("a3")} AS probs, {_soft("b3")} AS other FROM v),
 x AS (SELECT *, greatest(1e-7, least(1 - 1e-7, score)) AS p, list_sum(list_transform(probs, lambda q: -ln(q + 1e-10)))
     * CASE WHEN round_even(score, 0) = label THEN 1 ELSE -1 END AS ml,
@@ -118,22 +118,25 @@ QUERIES["fit_vocab"] = _vocab
 ORACLES["fit_vocab"] = f"WITH {VOCAB} SELECT * FROM vocab"
 
 
-def _encoded(s, d, n=64):
+LENGTH = 6000  # fixed value: the sequence length of the models
+
+
+def _encoded(s, d, n=LENGTH):
     docs = texts(s, d).select("doc_id", join_tokens(tokens(F.col("text"), "value")).alias("toks"))
     return I.encode(docs, "doc_id", "toks", _vocab(s, d), n)
 
 
 _ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
 QUERIES["encode"] = lambda s, d: _encoded(s, d).select(
-    "doc_id", "length", _ids("ids"), F.size(F.filter(I.padding_mask(F.col("ids")), lambda m: m)).alias("real")
+    "doc_id", "length", F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids"), F.size(F.filter(I.padding_mask(F.col("ids")), lambda m: m)).alias("real")
 )
 ENCODED = f"""{VOCAB},
-ex AS (SELECT doc_id, unnest(({sql_tokens("text", "value")})[1:64]) AS token, generate_subscripts(({sql_tokens("text", "value")})[1:64], 1) AS pos FROM documents),
+ex AS (SELECT doc_id, unnest(({sql_tokens("text", "value")})[1:{LENGTH}]) AS token, generate_subscripts(({sql_tokens("text", "value")})[1:{LENGTH}], 1) AS pos FROM documents),
 en AS (SELECT documents.doc_id, coalesce(list(coalesce(id, 1) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS ids
   FROM documents LEFT JOIN ex ON ex.doc_id = documents.doc_id LEFT JOIN vocab USING (token) GROUP BY documents.doc_id)"""
 ORACLES["encode"] = f"""
 WITH {ENCODED} SELECT doc_id, len(ids) AS length, len(ids) AS real,
-  array_to_string(list_concat(ids, list_transform(range(64 - len(ids)), lambda x: 0)), ' ') AS ids FROM en"""
+  md5(array_to_string(list_concat(ids, list_transform(range({LENGTH} - len(ids)), lambda x: 0)), ' ')) AS ids FROM en"""
 
 
 def _batched(s, d):
@@ -201,13 +204,18 @@ SELECT doc_id, peaks[1] AS peak0, peaks[2] AS peak1, peaks[3] AS peak2, round(p0
     seq[least(least(p, greatest(len(seq) - 16, 0)) + o, len(seq) - 1) + 1]))), lambda v: cast(v AS VARCHAR)), ' ') AS selected FROM g"""
 
 
+def _shown(name, places):
+    """All places of a vector as text."""
+    return F.array_join(F.transform(name, lambda x: F.format_string(f"%.{places}f", x)), ",").alias(name)
+
+
 def _softmaxed(s, d):
     e = texts(s, d, "embeddings")
     soft = V.softmax(F.transform("embedding", lambda x: x.cast("double")))
     noisy = Q.gumbel_softmax(F.col("embedding"), SEED, "vec_id", temperature=0.5)
     return e.select("vec_id", soft.alias("p"), noisy.alias("g")).select(
-        "vec_id", F.round(F.get("p", F.lit(0)), 9).alias("p0"), F.round(V.total(F.col("p")), 6).alias("p_sum"),
-        Q.peak(F.col("p"))["at"].alias("p_peak"), Q.peak(F.col("g"))["at"].alias("g_peak"), F.round(F.get("g", F.lit(0)), 7).alias("g0"),
+        "vec_id", _shown("p", 9), F.round(V.total(F.col("p")), 6).alias("p_sum"),
+        Q.peak(F.col("p"))["at"].alias("p_peak"), Q.peak(F.col("g"))["at"].alias("g_peak"), _shown("g", 7),
     )
 
 
@@ -216,8 +224,8 @@ ORACLES["softmax"] = f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 n AS (SELECT vec_id, v, list_transform(v, lambda x, i: (x - ln(-ln(({sql_draw("soft", "vec_id", "(i - 1)")}::DOUBLE + 0.5) / 1152921504606846976.0))) / 0.5) AS y FROM e),
 z AS (SELECT vec_id, v, y, list_sum(list_transform(v, lambda x: exp(x - list_max(v)))) AS sv, list_sum(list_transform(y, lambda x: exp(x - list_max(y)))) AS sy FROM n)
-SELECT vec_id, round(exp(v[1] - list_max(v)) / sv, 9) AS p0, 1.0::DOUBLE AS p_sum, list_position(v, list_max(v)) - 1 AS p_peak,
-  list_position(y, list_max(y)) - 1 AS g_peak, round(exp(y[1] - list_max(y)) / sy, 7) AS g0 FROM z"""
+SELECT vec_id, array_to_string(list_transform(v, lambda x: printf('%.9f', exp(x - list_max(v)) / sv)), ',') AS p, 1.0::DOUBLE AS p_sum, list_position(v, list_max(v)) - 1 AS p_peak,
+  list_position(y, list_max(y)) - 1 AS g_peak, array_to_string(list_transform(y, lambda x: printf('%.7f', exp(x - list_max(y)) / sy)), ',') AS g FROM z"""
 
 
 def _early(s, d):

@@ -17,7 +17,7 @@ from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_split
 from pairlake.plans.pairing import STAGED, _staged
 from pairlake.plans.perturbing import sql_inject
 from pairlake.session import fan_out
-from pairlake.plans.texts import sql_class, sql_raw, sql_tokens
+from pairlake.plans.texts import _q, sql_class, sql_raw, sql_tokens
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,9 +25,9 @@ QUERIES, ORACLES = {}, {}
 
 _clean = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
 for _n in ("script", "style"):
-    _clean = f"regexp_replace({_clean}, '(?is)(<{_n}\\b[^>]*>).*?(</{_n}>)', '\\1\\2', 'g')"
-SQL_TAGS = f"regexp_extract_all({_clean}, '{TR.TAG}', 0)"
-SQL_NAME = "lower(regexp_extract(x, '^</?([A-Za-z][A-Za-z0-9]*)', 1))"
+    _clean = f"regexp_replace({_clean}, '(?is)(<{_n}(?:\\s[^>]*)?>).*?(</{_n}>)', '\\1\\2', 'g')"
+SQL_TAGS = f"regexp_extract_all({_clean}, {_q(TR.TAG)}, 0)"
+SQL_NAME = "lower(regexp_extract(x, '^</?([A-Za-z][^\\s/>]*)', 1))"
 _void = ", ".join(f"'{v}'" for v in TR.VOID)
 HTML_NODES = f"""
 t AS (SELECT page_id, unnest({SQL_TAGS}) AS x, generate_subscripts({SQL_TAGS}, 1) - 1 AS pos FROM html_source),
@@ -138,25 +138,31 @@ QUERIES["tree_distance"] = lambda s, d: TR.tree_distance_within(
 
 # ---- distances ------------------------------------------------------------
 
-ASCII = r"[^\x20-\x7E]"
-
 
 def _turns(s, d):
-    t = table(s, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", ASCII, "?").alias("text"))
+    t = table(s, d, "conversations").select("conv_id", "turn", "text")
     nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     return t.join(nxt, ["conv_id", "turn"])
 
 
-TURNS = f"""SELECT a.conv_id, a.turn, regexp_replace(a.text, '{ASCII}', '?', 'g') AS text, regexp_replace(b.text, '{ASCII}', '?', 'g') AS reply
-FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
+TURNS = """SELECT a.conv_id, a.turn, a.text, b.text AS reply FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
+# The SQL distance counts bytes: each character beyond ASCII of a pair is written as one control character instead.
+_CONTROLS = " || ".join(f"chr({c})" for c in range(1, 32) if c not in (9, 10, 13))
+
+
+def sql_lev(a, b):
+    beyond = f"array_to_string(list_sort(list_distinct(regexp_extract_all({a} || {b}, '[^\\x00-\\x7F]', 0))), '')"
+    one = lambda c: f"translate({c}, {beyond}, substr({_CONTROLS}, 1, length({beyond})))"
+    return f"levenshtein({one(a)}, {one(b)})"
+
 
 QUERIES["string_distance"] = lambda s, d: _turns(s, d).select(
     "conv_id", "turn", edit.string_distance(F.col("text"), F.col("reply")).alias("distance"),
     edit.string_distance_within(F.col("text"), F.col("reply"), 120).alias("within_120"),
 )
 ORACLES["string_distance"] = f"""
-SELECT conv_id, turn, levenshtein(text, reply) AS distance,
-  CASE WHEN levenshtein(text, reply) <= 120 THEN levenshtein(text, reply) ELSE -1 END AS within_120 FROM ({TURNS})"""
+SELECT conv_id, turn, distance, CASE WHEN distance <= 120 THEN distance ELSE -1 END AS within_120
+FROM (SELECT conv_id, turn, {sql_lev("text", "reply")} AS distance FROM ({TURNS}))"""
 
 
 def _class_pairs(s, d):
@@ -209,13 +215,18 @@ def _datapair(s, d, mode="class"):
 
 
 _join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-QUERIES["datapair"] = lambda s, d: _datapair(s, d, "value").select(
+# No SQL for the exact tree distance: it has to lie between the difference and the sum of the sizes, both without the root.
+_fits = lambda: (
+    (F.get("dist_ast", F.lit(0)) >= F.abs(F.get("dist_ast", F.lit(1)) - F.get("dist_ast", F.lit(2))))
+    & (F.get("dist_ast", F.lit(0)) <= F.get("dist_ast", F.lit(1)) + F.get("dist_ast", F.lit(2)) - 2)
+).cast("int").alias("ast_fits")
+QUERIES["datapair"] = lambda s, d: _datapair(s, d).select(
     "pair_id", "stage", "result", F.md5("seed_tokens").alias("seed_tokens"), F.md5("obfuscated_tokens").alias("obfuscated_tokens"),
-    _join("dist_string"), _join("dist_ast"), _join("dist_token"), "seed_ast", "obfuscated_ast",
+    _join("dist_string"), _join("dist_token"), F.get("dist_ast", F.lit(1)).alias("seed_nodes"), F.get("dist_ast", F.lit(2)).alias("target_nodes"),
+    _fits(), "seed_ast", "obfuscated_ast",
 )
 
 
-
 def _sizes(s, d):
     at = lambda c, i, name: F.get(c, F.lit(i)).alias(name)
     return _datapair(s, d).select(
@@ -229,6 +240,23 @@ _letters = lambda c: f"array_to_string(list_transform({sql_raw(c)}, lambda x: {s
 MIXED = f"""s AS ({PAGE_STAGED}), {sql_pairs("s", "page_id")},
 mx AS (SELECT pair_id, seed_id, label, stage, x.html AS seed_text, {sql_inject("y.html", "z.html", sql_draw("inject", "pair_id"))} AS target_text
   FROM pairs JOIN pages x ON x.page_id = seed_id JOIN pages y ON y.page_id = alt_id JOIN pages z ON z.page_id = base_id)"""
+# (page_id, n, first): number of nodes with the root, and the first top-level subtree
+SUBTREES = """
+f1 AS (SELECT page_id, arg_min(depth, node_id) AS d0, min(node_id) AS n0 FROM nodes GROUP BY page_id),
+f2 AS (SELECT nodes.page_id, min(node_id) AS stop FROM nodes JOIN f1 USING (page_id) WHERE node_id > n0 AND depth <= d0 GROUP BY nodes.page_id),
+c2 AS (SELECT nodes.page_id, count(*) + 1 AS n, string_agg(depth || ':' || label, ' ' ORDER BY node_id) FILTER (stop IS NULL OR node_id < stop) AS first
+  FROM nodes LEFT JOIN f2 USING (page_id) GROUP BY nodes.page_id)"""
+PAIR_TREES = f"""{MIXED}, html_source AS (SELECT pair_id AS page_id, target_text AS html FROM mx UNION ALL SELECT 's' || page_id, html FROM pages),
+{HTML_NODES[HTML_NODES.index("t AS ("):]}, {SUBTREES},
+rec AS (SELECT mx.*, a.n AS seed_nodes, b.n AS target_nodes, a.first AS seed_ast, b.first AS obfuscated_ast,
+  levenshtein({_letters("seed_text")}, {_letters("target_text")}) AS token_ed, len({sql_raw("seed_text")}) AS seed_length, len({sql_raw("target_text")}) AS dest_length
+  FROM mx JOIN c2 a ON a.page_id = 's' || seed_id JOIN c2 b ON b.page_id = pair_id)"""
+ORACLES["datapair"] = f"""
+WITH {PAIR_TREES}
+SELECT pair_id, stage, label AS result, md5(array_to_string({sql_tokens("seed_text")}, ' ')) AS seed_tokens,
+  md5(array_to_string({sql_tokens("target_text")}, ' ')) AS obfuscated_tokens,
+  {sql_lev("seed_text", "target_text")} || ',' || length(seed_text) || ',' || length(target_text) AS dist_string,
+  token_ed || ',' || seed_length || ',' || dest_length AS dist_token, seed_nodes, target_nodes, 1 AS ast_fits, seed_ast, obfuscated_ast FROM rec"""
 QUERIES["datapair_sizes"] = _sizes
 ORACLES["datapair_sizes"] = f"""
 WITH {MIXED}, html_source AS (SELECT pair_id AS page_id, target_text AS html FROM mx UNION ALL SELECT 's' || page_id, html FROM pages),
@@ -242,25 +270,32 @@ FROM mx JOIN c2 a ON a.page_id = 's' || seed_id JOIN c2 b ON b.page_id = pair_id
 
 
 def _features(s, d):
-    t = _turns(s, d).withColumn("result", F.lit(1))
-    return D.to_features(D.token_sides(t, "text", "reply", "value"))
+    sided = D.token_sides(_mixed_pages(s, d), "seed_text", "target_text", "value")
+    f = D.to_features(sided.withColumn("result", F.col("label").cast("int")))
+    return f.select(F.md5("obf").alias("obf"), F.md5("org").alias("org"), "lbl")
 
 
 QUERIES["to_features"] = _features
 ORACLES["to_features"] = f"""
-SELECT array_to_string({sql_tokens("reply", "value")}, ' ') AS obf, array_to_string({sql_tokens("text", "value")}, ' ') AS org, 1 AS lbl FROM ({TURNS})"""
+WITH {MIXED} SELECT md5(array_to_string({sql_tokens("target_text", "value")}, ' ')) AS obf, md5(array_to_string({sql_tokens("seed_text", "value")}, ' ')) AS org,
+  label AS lbl FROM mx"""
 
-QUERIES["score_one_pair"] = lambda s, d: D.token_sides(
-    P.one_pair(table(s, d, "documents").select("doc_id", class_string(F.col("text")).alias("text"), F.md5("text").alias("m")), "doc_id", "text", 0, 1),
-    "seed_text", "target_text",
-).select(
-    "seed_id", "target_id", F.length("seed_text").alias("seed_length"), F.length("target_text").alias("dest_length"),
-    edit.string_distance(F.col("seed_text"), F.col("target_text")).alias("token_ed"), F.lit(0).alias("result"),
-)
+
+def _one_pair(s, d):
+    made = P.one_pair(table(s, d, "pages").select("page_id", "html"), "page_id", "html", 0, 1)
+    rec = D.datapair(made.select("*", F.lit("0.1").alias("pair_id"), F.lit(0).alias("label")), "seed_text", "target_text", to_ast=True)
+    return rec.select("seed_id", "target_id", "obfuscated_tokens", "seed_tokens", _join("dist_string"), _join("dist_token"),
+                      F.get("dist_ast", F.lit(1)).alias("seed_nodes"), F.get("dist_ast", F.lit(2)).alias("target_nodes"), _fits(), "result", "seed_ast", "obfuscated_ast")
+
+
+QUERIES["score_one_pair"] = _one_pair
 ORACLES["score_one_pair"] = f"""
-WITH l AS (SELECT doc_id, array_to_string(list_transform({sql_raw("text")}, lambda x: {sql_class(True)}), '') AS c FROM documents)
-SELECT a.doc_id::INTEGER AS seed_id, b.doc_id::INTEGER AS target_id, length(a.c) AS seed_length, length(b.c) AS dest_length, levenshtein(a.c, b.c) AS token_ed, 0 AS result
-FROM l a, l b WHERE a.doc_id = 0 AND b.doc_id = 1"""
+WITH html_source AS (SELECT page_id, html FROM pages WHERE page_id IN (0, 1)), {HTML_NODES[HTML_NODES.index("t AS ("):]}, {SUBTREES}
+SELECT a.page_id::INTEGER AS seed_id, b.page_id::INTEGER AS target_id, array_to_string({sql_tokens("b.html")}, ' ') AS obfuscated_tokens,
+  array_to_string({sql_tokens("a.html")}, ' ') AS seed_tokens, {sql_lev("a.html", "b.html")} || ',' || length(a.html) || ',' || length(b.html) AS dist_string,
+  levenshtein({_letters("a.html")}, {_letters("b.html")}) || ',' || len({sql_raw("a.html")}) || ',' || len({sql_raw("b.html")}) AS dist_token,
+  x.n AS seed_nodes, y.n AS target_nodes, 1 AS ast_fits, 0 AS result, x.first AS seed_ast, y.first AS obfuscated_ast
+FROM pages a, pages b, c2 x, c2 y WHERE a.page_id = 0 AND b.page_id = 1 AND x.page_id = 0 AND y.page_id = 1"""
 
 # ---- vectors --------------------------------------------------------------
 
@@ -289,12 +324,11 @@ WITH {VECTOR_PAIRS} SELECT vec_id, partner, round(greatest(0, least(1, (list_cos
   CASE WHEN list_cosine_similarity(a, b) < 0 THEN 0 ELSE 1 END AS by_cosine,
   cast(round_even((list_cosine_similarity(a, b) + 1) / 2, 0) AS INTEGER) AS by_round FROM vp"""
 
-_text = lambda c, n: F.array_join(F.transform(c, lambda x: F.format_string("%.4f", F.round(x, 4) + 0.0)), ",").alias(n)
 QUERIES["l2_normalise"] = lambda s, d: table(s, d, "embeddings").select(
     "vec_id", V.l2_normalise(F.transform("embedding", lambda x: x * 3)).alias("u")
-).select("vec_id", F.round(V.norm(F.col("u")), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.get("u", F.lit(63)), 6).alias("last"))
+).select("vec_id", F.round(V.norm(F.col("u")), 6).alias("norm"), F.array_join(F.transform("u", lambda x: F.format_string("%.6f", x)), ",").alias("u"))
 ORACLES["l2_normalise"] = """
-SELECT vec_id, 1.0::DOUBLE AS norm, round(e[1] / n, 6) AS first, round(e[64] / n, 6) AS last
+SELECT vec_id, 1.0::DOUBLE AS norm, array_to_string(list_transform(e, lambda x: printf('%.6f', x / n)), ',') AS u
 FROM (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))"""
 
 QUERIES["kl_divergence"] = lambda s, d: _vector_pairs(s, d).select(
@@ -331,41 +365,30 @@ ORACLES["token_stats"] = f"""
 SELECT cast(sum(len(t)) AS BIGINT) AS tokens, (SELECT count(DISTINCT v) FROM (SELECT unnest({sql_tokens("text", "value")}) AS v FROM documents)) AS distinct_tokens,
   count(*) AS files, max(len(t)) AS max_length FROM (SELECT {sql_tokens("text", "value")} AS t FROM documents)"""
 
-QUERIES["file_count"] = lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("files"))
+QUERIES["file_count"] = lambda s, d: R.file_count(table(s, d, "documents"), ["source"])
 ORACLES["file_count"] = "SELECT source, count(*) AS files FROM documents GROUP BY source"
 
 QUERIES["parse_outcomes"] = lambda s, d: R.outcomes(TR.html_stream(texts(s, d, "pages"), "page_id"), "page_id", "mode")
 ORACLES["parse_outcomes"] = f"WITH {HTML_NODES} SELECT mode, count(*) AS files FROM m GROUP BY mode"
 
 
-def _token_records(s, d):
-    p = _class_pairs(s, d)
-    return p.select(
-        "stage", F.col("label").alias("result"),
-        F.array(edit.string_distance(F.col("seed_text"), F.col("base_text")), F.length("seed_text").cast("bigint"), F.length("base_text").cast("bigint")).alias("dist_token"),
-        F.array(F.abs(F.length("seed_text") - F.length("base_text")).cast("bigint"), F.length("seed_text").cast("bigint"), F.length("base_text").cast("bigint")).alias("dist_ast"),
-    )
-
-
-QUERIES["pair_stats"] = lambda s, d: R.pair_stats(_token_records(s, d))
+QUERIES["pair_stats"] = lambda s, d: R.pair_stats(_datapair(s, d))
 ORACLES["pair_stats"] = f"""
-WITH s AS ({STAGED}), {sql_pairs("s", "doc_id")}, l AS (SELECT doc_id, len({sql_raw("text")}) AS n FROM documents)
-SELECT stage, max(a.n) AS max_seed_tokens, max(b.n) AS max_dest_tokens FROM pairs JOIN l a ON a.doc_id = seed_id JOIN l b ON b.doc_id = base_id GROUP BY stage"""
+WITH {MIXED} SELECT stage, max(len({sql_raw("seed_text")})) AS max_seed_tokens, max(len({sql_raw("target_text")})) AS max_dest_tokens FROM mx GROUP BY stage"""
 
 
 def _report(s, d):
-    r = R.length_report(_token_records(s, d).where("stage <> 'test'"))
-    return r.select(*[F.round(c, 9).alias(c) if c.endswith("delta") else c for c in r.columns])
+    r = R.length_report(_datapair(s, d).where("stage <> 'test'"))
+    same = F.abs(F.col("ast_delta") * F.col("seed_ast") - F.col("ast_ed")) < 1e-6
+    fits = (F.col("ast_ed") >= F.abs(F.col("seed_ast") - F.col("dest_ast"))) & (F.col("ast_ed") <= F.col("seed_ast") + F.col("dest_ast") - 2)
+    return r.select("seed_length", "dest_length", "token_ed", F.round("token_delta", 9).alias("token_delta"), "seed_ast", "dest_ast",
+                    (same & fits).cast("int").alias("ast_fits"), "label")
 
 
 QUERIES["length_report"] = _report
 ORACLES["length_report"] = f"""
-WITH s AS ({STAGED}), {sql_pairs("s", "doc_id")},
-l AS (SELECT doc_id, array_to_string(list_transform({sql_raw("text")}, lambda x: {sql_class(True)}), '') AS c FROM documents),
-v AS (SELECT label, length(a.c) AS seed_length, length(b.c) AS dest_length, levenshtein(a.c, b.c) AS token_ed
-  FROM pairs JOIN l a ON a.doc_id = seed_id JOIN l b ON b.doc_id = base_id WHERE stage <> 'test')
-SELECT seed_length, dest_length, token_ed, round(token_ed / seed_length, 9) AS token_delta, seed_length AS seed_ast, dest_length AS dest_ast,
-  abs(seed_length - dest_length) AS ast_ed, round(abs(seed_length - dest_length) / seed_length, 9) AS ast_delta, label FROM v"""
+WITH {PAIR_TREES} SELECT seed_length, dest_length, token_ed, round(token_ed / seed_length, 9) AS token_delta, seed_nodes AS seed_ast, target_nodes AS dest_ast,
+  1 AS ast_fits, label FROM rec WHERE stage <> 'test'"""
 
 
 def _describe(s, d):

@@ -8,14 +8,15 @@ from pairlake.functions import vectors as V
 from pairlake.operators import models as K
 from pairlake.operators import perturb as E
 from pairlake.operators import pairs as P
-from pairlake.operators.grid import MIXES
+from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES
 from pairlake.operators.search import search
 from pairlake.operators.shapes import infer_shapes
 from pairlake.operators.splits import with_stage
 from pairlake.functions.draws import draw
 from pairlake.plans.common import SEED, sql_pairs, sql_split, table
-from pairlake.plans.perturbing import _attached
-from pairlake.session import cut
+from pairlake.plans.pairing import STAGED
+from pairlake.plans.perturbing import ATTACHED, _attached, sql_cell
+from pairlake.session import cut, scratch
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,7 +24,7 @@ QUERIES, ORACLES = {}, {}
 def _search(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     found = search(
-        e.withColumnRenamed("id", "target_id"), e.withColumnRenamed("id", "seed_id"), 5, skip_same=True, pivots=16, block=512
+        e.withColumnRenamed("id", "target_id"), e.withColumnRenamed("id", "seed_id"), 5, skip_same=True
     )
     return found.select("target_id", "seed_id", F.round("score", 6).alias("score"), "place")
 
@@ -38,22 +39,21 @@ FROM p QUALIFY place <= 5"""
 
 
 def _shapes(s, d):
-    e = table(s, d, "embeddings")
-    d2 = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.split("text", "\n").alias("lines"))
-    both = e.join(d2, "vec_id", "left").select(
-        "vec_id", "embedding", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"),
-        F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda x: F.split(x, " ")).alias("words"),
-        F.array().cast("array<int>").alias("nothing"),
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    lines = F.split("text", "\n")
+    both = table(s, d, "documents").join(e, "doc_id", "left").select(
+        "doc_id", F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"), lines.alias("lines"),
+        F.transform(lines, lambda x: F.split(x, " ")).alias("words"), F.array().cast("array<int>").alias("nothing"),
     )
     return infer_shapes(both).select("key", "level", F.coalesce(F.col("size").cast("string"), F.lit("variable")).alias("size"), "type")
 
 
 QUERIES["infer_shapes"] = _shapes
 ORACLES["infer_shapes"] = """
-WITH t AS (SELECT e.vec_id, embedding, coalesce(string_split(text, chr(10)), []::VARCHAR[]) AS lines FROM embeddings e LEFT JOIN documents ON doc_id = vec_id),
+WITH t AS (SELECT doc_id, embedding, string_split(text, chr(10)) AS lines FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
 w AS (SELECT len(string_split(unnest(lines), ' ')) AS n FROM t),
 z(key, level, lo, hi, type) AS (
-  SELECT 'vec_id', 0, 1, 1, 'int' UNION ALL SELECT 'nothing', 0, -1, -1, 'int'
+  SELECT 'doc_id', 0, 1, 1, 'int' UNION ALL SELECT 'nothing', 0, -1, -1, 'int'
   UNION ALL SELECT 'embedding', 0, min(len(embedding)), max(len(embedding)), 'float' FROM t
   UNION ALL SELECT 'lines', 0, min(len(lines)) FILTER (len(lines) > 0), max(len(lines)), 'str' FROM t
   UNION ALL SELECT 'words', 0, min(len(lines)) FILTER (len(lines) > 0), max(len(lines)), 'str' FROM t
@@ -105,11 +105,47 @@ def _train_evaluate(s, d):
 QUERIES["train_evaluate"] = _train_evaluate
 
 
+def _saved(s, d):
+    """Scores of a model against those of the same model stored and read again."""
+    features = cut(K.pair_features(_mixed(s, d)))
+    model, path = K.train(features.where("stage = 'train'")), scratch(s, "model")
+    K.save(model, path)
+    live = K.score(model, features).select("pair_id", "stage", F.col("score").alias("a"))
+    back = K.score(K.load(path), features).select("pair_id", F.col("score").alias("b"))
+    return live.join(back, "pair_id").groupBy("stage").agg(F.count("*").alias("rows"), F.count_if(F.col("a") != F.col("b")).alias("different"))
+
+
+QUERIES["saved_model"] = _saved
+ORACLES["saved_model"] = f"""
+WITH s AS ({STAGED}), {sql_pairs("s", "doc_id")} SELECT stage, count(*) AS rows, 0::BIGINT AS different FROM pairs GROUP BY stage"""
+
+
 def _encoder_scores(s, d):
-    cells = E.apply_profiles(_attached(s, d), SEED, exps=("Exp_var",), mixes=MIXES)
-    scored = K.score_pairs(cells.select("exp", "mix", "stage", "label", "seed_text", "target_text"), max_length=None)
-    r = K.evaluate(scored, ["exp", "mix", "stage"])
+    cells = E.apply_profiles(_attached(s, d), SEED)
+    scored = K.score_pairs(cells.select("exp", "mix", "stage", "label", "seed_text", "target_text"))
+    r = K.evaluate(scored.withColumn("score", F.round("score", 9)), ["exp", "mix", "stage"])
     return r.select("exp", "mix", "stage", "tp", "fp", "fn", "tn", F.round("auc", 6).alias("auc"))
 
 
 QUERIES["encoder_scores"] = _encoder_scores
+_bag = lambda key, text, source: f"""
+SELECT {key}, bucket, sum(sign) AS c FROM (SELECT {key}, ('0x' || substr(m, 1, 15))::BIGINT % 256 AS bucket,
+  CASE WHEN substr(m, 16, 1) < '8' THEN 1 ELSE -1 END AS sign
+  FROM (SELECT {key}, md5(unnest(list_filter(regexp_split_to_array({text}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''))) AS m FROM {source})) GROUP BY {key}, bucket"""
+_cells = " UNION ALL ".join(
+    sql_cell({"exp": e, "mix": m}, {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[e], "dead": str(m == "M3").lower()}, False, m != "M1", out="hdr || t AS target")
+    for e in EXPERIMENTS for m in MIXES
+)
+ORACLES["encoder_scores"] = f"""
+WITH {ATTACHED}, cells AS ({_cells}),
+a AS ({_bag("doc_id", "text", "documents")}), na AS (SELECT doc_id, sum(c * c) AS q FROM a GROUP BY doc_id),
+b AS ({_bag("pair_id, exp, mix", "target", "cells")}), nb AS (SELECT pair_id, exp, mix, sum(c * c) AS q FROM b GROUP BY ALL),
+ab AS (SELECT b.pair_id, exp, mix, sum(a.c * b.c) AS dot FROM b JOIN pairs USING (pair_id) JOIN a ON a.doc_id = seed_id AND a.bucket = b.bucket GROUP BY ALL),
+v AS (SELECT cells.exp, cells.mix, stage, pairs.label,
+  round((CASE WHEN na.q * nb.q > 0 THEN coalesce(dot, 0) / (sqrt(na.q) * sqrt(nb.q)) ELSE 0 END + 1) / 2, 9) AS score
+  FROM cells JOIN pairs USING (pair_id) LEFT JOIN na ON na.doc_id = seed_id LEFT JOIN nb USING (pair_id, exp, mix) LEFT JOIN ab USING (pair_id, exp, mix)),
+k AS (SELECT *, round_even(score, 0) AS pred, rank() OVER (PARTITION BY exp, mix, stage ORDER BY score)
+  + (count(*) OVER (PARTITION BY exp, mix, stage, score) - 1) / 2.0 AS rk FROM v),
+c AS (SELECT exp, mix, stage, count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp, count(*) FILTER (label = 1 AND pred = 0) AS fn,
+  count(*) FILTER (label = 0 AND pred = 0) AS tn, sum(label) AS pos, count(*) AS n, sum(rk) FILTER (label = 1) AS rs FROM k GROUP BY ALL)
+SELECT exp, mix, stage, tp, fp, fn, tn, round((rs - pos * (pos + 1) / 2) / (pos * (n - pos)), 6) AS auc FROM c"""

@@ -9,6 +9,7 @@ from pairlake.operators import grid as G
 from pairlake.operators import pairs as P
 from pairlake.operators import splits as S
 from pairlake.operators.ranks import shuffled_rank
+from pairlake.sources.corpus import filter_names
 from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_split, sql_step, table
 
 QUERIES, ORACLES = {}, {}
@@ -25,8 +26,7 @@ def _staged(spark, d):
 STAGED = sql_split("documents", "doc_id")
 
 QUERIES["name_filter"] = lambda s, d: (
-    table(s, d, "pages").where(F.col("url").endswith(".html") & ~F.col("url").startswith("https://blog."))
-    .select("page_id", "url")
+    filter_names(table(s, d, "pages"), "url", ".html", "https://blog.").select("page_id", "url")
 )
 ORACLES["name_filter"] = (
     "SELECT page_id, url FROM pages WHERE suffix(url, '.html') AND NOT starts_with(url, 'https://blog.')"
@@ -52,6 +52,17 @@ SELECT doc_id, 'train' AS stage FROM r WHERE rank < floor(0.8 * n)
 UNION ALL SELECT doc_id, 'validation' FROM r WHERE rank >= floor(0.8 * n) AND rank < floor(0.9 * n)
 UNION ALL SELECT doc_id, 'test' FROM r WHERE rank >= floor(0.8 * n)"""
 
+QUERIES["leaked_keys"] = lambda s, d: S.leaked_keys(S.with_stage(_docs(s, d).select("doc_id"), "doc_id", SEED, overlap=True), "doc_id")
+ORACLES["leaked_keys"] = f"""
+SELECT doc_id, string_agg(stage, ',' ORDER BY stage) AS stages FROM ({ORACLES["split_overlap"]}) GROUP BY doc_id HAVING count(DISTINCT stage) > 1"""
+
+QUERIES["leaked_texts"] = lambda s, d: S.leaked_texts(S.with_stage(_docs(s, d), "doc_id", SEED), "text").select(
+    F.md5("text").alias("digest"), "stages", "rows"
+)
+ORACLES["leaked_texts"] = f"""
+SELECT md5(text) AS digest, string_agg(DISTINCT stage, ',' ORDER BY stage) AS stages, count(*) AS rows
+FROM ({STAGED}) JOIN documents USING (doc_id) GROUP BY text HAVING count(DISTINCT stage) > 1"""
+
 QUERIES["shard"] = lambda s, d: S.shard(_docs(s, d), "doc_id", 3, 1, SEED).select("doc_id", "rank")
 ORACLES["shard"] = f"SELECT doc_id, rank FROM ({sql_rank('documents', 'doc_id')}) WHERE rank % 3 = 1"
 
@@ -77,22 +88,39 @@ def _profile_use(s, d):
     )
 
 
+# Written by hand, not from operators.grid: the defaults, the profiles, and what each of them changes.
+FLAG_DEFAULTS = """
+('compact', 'false'), ('dead', 'false'), ('dead_threshold', '0.4'), ('encoding', 'none'), ('numbers', 'false'), ('permute', 'false'),
+('permute_threshold', '0.75'), ('rename', 'false'), ('rename_keys', 'false'), ('reserved_strings', '.*'), ('rotate', 'false'),
+('shuffle', 'false'), ('split_length', '9'), ('split_strings', 'false'), ('string_array', 'false'), ('string_array_threshold', '0')"""
+PROFILE_VALUES = """
+(0, 'w_sco', 'EXP_all_m1', 'w_sco', 1, 0, 0), (1, 'EXP_var_m1', 'EXP_var_m1', 'w_object', 1, 0, 0), (2, 'w_string', 'EXP_val_m1', 'w_string', 1, 0, 0),
+(3, 'EXP_ast_m1', 'EXP_ast_m1', 'w_control', 1, 0, 0), (4, 'sco', 'EXP_all_m2', 'sco', 0, 1, 0), (5, 'EXP_var_m2', 'EXP_var_m2', 'object', 0, 1, 0),
+(6, 'string', 'EXP_val_m2', 'string', 0, 1, 0), (7, 'EXP_ast_m2', 'EXP_ast_m2', 'control', 0, 1, 0), (8, 'sco_dead', 'EXP_all_m3', 'sco_dead', 0, 1, 0),
+(9, 'EXP_var_m3', 'EXP_var_m3', 'object_dead', 0, 1, 0), (10, 'string_dead', 'EXP_val_m3', 'string_dead', 0, 1, 0),
+(11, 'EXP_ast_m3', 'EXP_ast_m3', 'control_dead', 0, 1, 0), (12, 'p_control', 'p_control', 'p_control', 1, 1, 0),
+(13, 'w_control_ast', 'w_control_ast', 'w_control_ast', 1, 0, 1), (14, 'low', 'low', 'low', 0, 1, 0), (15, 'medium', 'medium', 'medium', 0, 1, 0),
+(16, 'hi', 'hi', 'hi', 0, 1, 0), (17, 'minify', 'minify', 'minify', 0, 1, 0), (18, 'A', 'A', 'A', 0, 1, 0), (19, 'B', 'B', 'B', 0, 1, 0), (20, 'C', 'C', 'C', 0, 1, 0)"""
+# profiles (a pattern on the name), flag, value
+CHANGES = """
+('EXP_(all|val)_m.', 'rename', 'true'), ('EXP_(all|val)_m.', 'split_strings', 'true'), ('EXP_(all|val)_m.', 'reserved_strings', ''),
+('EXP_(all|var)_m.', 'rename_keys', 'true'), ('EXP_(all|ast)_m.', 'permute', 'true'), ('EXP_..._m3', 'dead', 'true'), ('._control.*', 'permute', 'true'),
+('low|medium|hi|A|B|C', 'string_array', 'true'), ('low|medium|hi|A|B|C', 'rotate', 'true'), ('low|medium|hi|A|B|C', 'shuffle', 'true'),
+('low|medium|hi|A|B|C', 'rename', 'true'), ('low|medium|hi|minify|A|B|C', 'compact', 'true'), ('low|medium|hi|minify|A|B|C', 'reserved_strings', ''),
+('low|medium|hi|A', 'string_array_threshold', '0.75'), ('B|C', 'string_array_threshold', '1'), ('medium|hi', 'encoding', 'base64'),
+('medium|hi', 'split_length', '10'), ('B|C', 'split_length', '5'), ('medium|hi|B|C', 'permute', 'true'), ('medium|hi|B|C', 'dead', 'true'),
+('medium|hi|B|C', 'rename_keys', 'true'), ('medium|hi|B|C', 'numbers', 'true'), ('medium|hi|B|C', 'split_strings', 'true'),
+('B|C', 'permute_threshold', '1'), ('B|C', 'dead_threshold', '1')"""
+
+
 def _profile_values() -> str:
-    # the flags written out by rule: defaults with the overrides of each row
-    rows, n = [], 0
-    for i, r in enumerate(G.profile_rows()):
-        merged = {**G.DEFAULT_FLAGS, **r["over"]}
-        text = ";".join(sorted(f"{k}={v}" for k, v in merged.items()))
-        alias = r["name"] if i % 2 else r["mode"]
-        rows.append(
-            f"({i}, '{alias}', '{r['name']}', '{r['mode']}', {int(r['partial'])}, {int(r['mixed'])}, "
-            f"{int(r['to_ast'])}, '{text}')"
-        )
-        n += 1
     return f"""
-WITH p(i, profile, name, mode, partial, mixed, to_ast, flags) AS (VALUES {", ".join(rows)})
+WITH p(i, profile, name, mode, partial, mixed, to_ast) AS (VALUES {PROFILE_VALUES}),
+d(k, v) AS (VALUES {FLAG_DEFAULTS}), c(names, k, v) AS (VALUES {CHANGES}),
+f AS (SELECT p.i, string_agg(d.k || '=' || coalesce(c.v, d.v), ';' ORDER BY d.k) AS flags
+      FROM p CROSS JOIN d LEFT JOIN c ON c.k = d.k AND regexp_full_match(p.name, c.names) GROUP BY p.i)
 SELECT profile, name, mode, partial, mixed, to_ast, flags, count(*) AS docs, cast(sum(doc_id) AS BIGINT) AS id_sum
-FROM documents JOIN p ON i = {sql_draw("profile", "doc_id")} % {n} GROUP BY ALL"""
+FROM documents JOIN p ON p.i = {sql_draw("profile", "doc_id")} % 21 JOIN f USING (i) GROUP BY ALL"""
 
 
 QUERIES["profile_flags"] = _profile_use

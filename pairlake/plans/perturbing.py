@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlake.functions.draws import draw
+from pairlake.functions.lexer import LITERAL_PARTS
 from pairlake.operators import pairs as P
 from pairlake.operators import perturb as E
 from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES, profile_rows
 from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_step, table, texts
 from pairlake.plans.pairing import STAGED, _staged
-from pairlake.plans.texts import SQL_IS_NAME, SQL_IS_STRING, _q, sql_raw
+from pairlake.plans.texts import SQL_IS_NAME, SQL_IS_STRING, _q, sql_class, sql_compact, sql_raw
 
 QUERIES, ORACLES = {}, {}
 NL = "chr(10)"
@@ -44,6 +45,10 @@ def sql_new_name(name, *keys):
     return f"'_0x' || substr(md5(concat_ws('|', {parts})), 1, 16)"
 
 
+def sql_parts(text):
+    return f"regexp_extract_all({text}, {_q(LITERAL_PARTS)}, 0)"
+
+
 def sql_rename(text, *keys):
     return (
         f"array_to_string(list_transform({sql_raw(text, True)}, lambda x: CASE WHEN {SQL_IS_NAME} "
@@ -54,8 +59,21 @@ def sql_rename(text, *keys):
 def sql_split(text, n):
     inner = f"regexp_extract_all(x[2:length(x)-1], '(?s).{{1,{n}}}', 0)"
     return (
-        f"array_to_string(list_transform({sql_raw(text, True)}, lambda x: CASE WHEN {SQL_IS_STRING} AND length(x) > 2 "
-        f"THEN array_to_string(list_transform({inner}, lambda c: x[1] || c || x[1]), '+') ELSE x END), '')"
+        f"array_to_string(list_transform({sql_parts(text)}, lambda x: CASE WHEN {SQL_IS_STRING} AND length(x) > 2 "
+        f"THEN array_to_string(list_transform({inner}, lambda c: x[1] || c || x[1]), '+') "
+        f"WHEN trim(x, ' ') = '+' AND x[1] = '+' THEN '+ ' || x[2:] ELSE x END), '')"
+    )
+
+
+def sql_number(text, *keys):
+    """A number's digits parted at a drawn place: zeros behind the first part, leading zeros dropped."""
+    at = f"({sql_draw('number', *keys, '(i - 1)')} % (length(x) + 1))"
+    plain = lambda c: f"regexp_replace('0' || {c}, '^0+([0-9])', '\\1')"
+    first = plain(f"(x[1:{at}] || repeat('0', length(x) - {at}))")
+    rest = plain(f"x[{at} + 1:]")
+    return (
+        f"array_to_string(list_transform({sql_raw(text, True)}, lambda x, i: CASE WHEN regexp_full_match(x, '[0-9]+') "
+        f"THEN '(' || {first} || '+' || {rest} || ')' ELSE x END), '')"
     )
 
 
@@ -190,7 +208,9 @@ SELECT doc_id, md5(string_agg(x, {NL} ORDER BY line, side)) AS digest,
 
 
 def _restore(s, d):
-    docs = texts(s, d).select("doc_id", "text", F.md5("text").alias("was"))
+    # texts that already hold what the coding writes
+    odd = F.concat("text", F.lit("\nx = 'a'+'b' + \"c\"+\"d\"; _s(0x1) _s_(0x2)"))
+    docs = texts(s, d).select("doc_id", odd.alias("text")).withColumn("was", F.md5("text"))
     renamed = docs.withColumn("coded", E.rename(F.col("text"), SEED, "doc_id"))
     words = renamed.withColumn("w", E.string_dictionary(F.col("coded"), 0.75, SEED, "doc_id"))
     coded = words.withColumn("coded", E.split_literals(E.reference_literals(F.col("coded"), F.col("w")), 9))
@@ -202,36 +222,66 @@ def _restore(s, d):
 
 
 QUERIES["restore"] = _restore
-ORACLES["restore"] = "SELECT doc_id, md5(text) AS digest, 0 AS failed FROM documents"
+ORACLES["restore"] = """
+SELECT doc_id, md5(text || chr(10) || 'x = ''a''+''b'' + "c"+"d"; _s(0x1) _s_(0x2)') AS digest, 0 AS failed FROM documents"""
 
 QUERIES["number_expressions"] = lambda s, d: texts(s, d).select(
     "doc_id", F.md5(E.number_expressions(F.col("text"), SEED, "doc_id")).alias("digest")
 )
-_num = f"({sql_draw('number', 'doc_id', '(i - 1)')} % (cast(x AS BIGINT) + 1))"
-ORACLES["number_expressions"] = f"""
-SELECT doc_id, md5(array_to_string(list_transform({sql_raw("text", True)}, lambda x, i: CASE WHEN regexp_matches(x, '^[0-9]{{1,15}}$')
-  THEN '(' || {_num.replace("cast(x AS BIGINT)", "coalesce(try_cast(x AS BIGINT), 0)")} || '+' || (coalesce(try_cast(x AS BIGINT), 0) - {_num.replace("cast(x AS BIGINT)", "coalesce(try_cast(x AS BIGINT), 0)")}) || ')' ELSE x END), '')) AS digest
-FROM documents"""
+ORACLES["number_expressions"] = f"SELECT doc_id, md5({sql_number('text', 'doc_id')}) AS digest FROM documents"
+
+
+def sql_dictionary(parts, key, threshold):
+    """CTE-free: the shuffled and rotated dictionary of a list of literal parts, from (k.., parts) to (k.., w)."""
+    chosen = f"list_distinct(list_filter({parts}, lambda x: {SQL_IS_STRING} AND {sql_share(sql_draw('literal', key, 'x'), threshold)}))"
+    return f"list_transform(list_sort(list_transform({chosen}, lambda x: {{'h': {sql_draw('place', key, 'x')}, 'x': x}})), lambda r: r.x)"
 
 
-def sql_cell(tags, flags, partial, mixed):
+def sql_cell(tags, flags, partial, mixed, to_ast=False, out="md5(hdr || t) AS digest, length(hdr || t) AS chars"):
+    """The steps of a profile as nested queries over (pair_id, label, base_text, hdr, t)."""
+    own = "pair_id, label, base_text"
     place = lambda t: sql_inject(t, "base_text", sql_draw("inject", "pair_id"))
-    steps = [f"SELECT pair_id, label, base_text, {place('alt_text') if mixed and not partial else 'alt_text'} AS t FROM att"]
-    if flags["rename"] == "true":
-        steps.append(sql_rename("t", "pair_id"))
-    if flags["split_strings"] == "true":
-        steps.append(sql_split("t", 9))
-    if flags["permute"] == "true":
-        steps.append(sql_permute("t", 0.75, "pair_id"))
-    if flags["dead"] == "true":
-        steps.append(sql_dead_from("t", "base_text", 0.4, "pair_id"))
+    sql = f"SELECT {own}, '' AS hdr, {place('alt_text') if mixed and not partial else 'alt_text'} AS t FROM att"
+    step = lambda expression: f"SELECT {own}, hdr, {expression} AS t FROM ({sql})"
+    on = lambda name: flags[name] == "true"
+    if on("rename"):
+        sql = step(sql_rename("t", "pair_id"))
+    if on("rename_keys"):
+        colon = "coalesce(k[i + 1] = ':' OR (regexp_full_match(k[i + 1], '\\s+') AND k[i + 2] = ':'), false)"
+        sql = f"SELECT {own}, hdr, {sql_raw('t', True)} AS k FROM ({sql})"
+        inner = sql_new_name("x[2:length(x) - 1]", "pair_id")
+        sql = step(
+            f"array_to_string(list_transform(k, lambda x, i: CASE WHEN {SQL_IS_NAME} AND {colon} THEN {sql_new_name('x', 'pair_id')} "
+            f"WHEN {SQL_IS_STRING} AND length(x) > 2 AND {colon} THEN x[1] || {inner} || x[1] ELSE x END), '')"
+        )
+    if on("numbers"):
+        sql = step(sql_number("t", "pair_id"))
+    if on("string_array") and float(flags["string_array_threshold"]) > 0:
+        words = sql_dictionary("k", "pair_id", float(flags["string_array_threshold"]))
+        sql = f"SELECT {own}, k, {words} AS w0 FROM (SELECT {own}, {sql_parts('t')} AS k FROM ({sql}))"
+        sql = f"SELECT *, {sql_draw('rotate', 'pair_id')} % greatest(len(w0), 1) AS r FROM ({sql})"
+        sql = f"SELECT {own}, k, list_concat(w0[r + 1:], w0[1:r]) AS w FROM ({sql})"
+        shown = "list_transform(w, lambda x: to_base64(encode(x)))" if flags["encoding"] == "base64" else "w"
+        sql = (
+            f"SELECT {own}, '_s=' || cast(to_json({shown}) AS varchar) || {NL} AS hdr, array_to_string(list_transform(k, lambda x: "
+            f"CASE WHEN {SQL_IS_STRING} AND list_contains(w, x) THEN '_s(0x' || lower(to_hex(list_position(w, x) - 1)) || ')' "
+            f"ELSE regexp_replace(x, '_s(_*)\\(0x', '_s_\\1(0x', 'g') END), '') AS t FROM ({sql})"
+        )
+    if on("split_strings"):
+        sql = step(sql_split("t", int(flags["split_length"])))
+    if on("permute"):
+        sql = step(sql_permute("t", float(flags["permute_threshold"]), "pair_id"))
+    if on("dead"):
+        sql = step(sql_dead_from("t", "base_text", float(flags["dead_threshold"]), "pair_id"))
+    if on("compact"):
+        sql = step(sql_compact("t"))
+    if to_ast:
+        lexed = f"list_transform({sql_raw('l')}, lambda x: {sql_class()})"
+        sql = step(f"cast(to_json(list_transform({sql_lines('t')}, lambda l: {lexed})) AS varchar)")
     if mixed and partial:
-        steps.append(place("t"))
-    sql = steps[0]
-    for step in steps[1:]:
-        sql = f"SELECT pair_id, label, base_text, {step} AS t FROM ({sql})"
+        sql = step(place("t"))
     named = ", ".join(f"'{v}' AS {k}" for k, v in tags.items())
-    return f"SELECT pair_id, label, {named}, md5(t) AS digest, length(t) AS chars FROM ({sql})"
+    return f"SELECT pair_id, label, {named}, {out} FROM ({sql})"
 
 
 QUERIES["profile_cells"] = lambda s, d: E.apply_profiles(_attached(s, d), SEED).select(
@@ -242,11 +292,10 @@ ORACLES["profile_cells"] = f"WITH {ATTACHED} " + " UNION ALL ".join(
     for e in EXPERIMENTS for m in MIXES
 )
 
-SOME_MODES = ("w_string", "object", "sco", "string_dead", "p_control", "w_control_ast")
-QUERIES["profile_modes"] = lambda s, d: E.apply_modes(_attached(s, d), SEED, SOME_MODES).select(
+PROFILES = profile_rows()
+QUERIES["profile_modes"] = lambda s, d: E.apply_modes(_attached(s, d), SEED, [r["name"] for r in PROFILES]).select(
     "pair_id", "label", "mode", F.md5("target_text").alias("digest"), F.length("target_text").cast("bigint").alias("chars")
 )
-_rows = {r["mode"]: r for r in profile_rows()}
 ORACLES["profile_modes"] = f"WITH {ATTACHED} " + " UNION ALL ".join(
-    sql_cell({"mode": m}, {**DEFAULT_FLAGS, **_rows[m]["over"]}, _rows[m]["partial"], _rows[m]["mixed"]) for m in SOME_MODES
+    sql_cell({"mode": r["name"]}, {**DEFAULT_FLAGS, **r["over"]}, r["partial"], r["mixed"], r["to_ast"]) for r in PROFILES
 )

@@ -17,7 +17,7 @@ flagship = flagship_plan.flagship
 AS_LONG = {
     **{name: ("rep",) for name in ("pairs_positive", "pairs_negative", "pairs_replicated", "record_json_back", "materialise")},
     **{name: ("n_tokens",) for name in ("lex_class", "lex_value", "stream_derive")},
-    **{name: ("seed_length", "dest_length") for name in ("token_distance", "score_one_pair")},
+    "token_distance": ("seed_length", "dest_length"),
     "first_success": ("attempt",), "token_table": ("pos",), "line_counts": ("lines",), "char_lengths": ("chars",),
     "compact_text": ("saved_bytes",), "string_array": ("words",), "eligible_literals": ("pos",), "profile_cells": ("chars",),
     "html_nodes": ("node_id", "parent_id"), "json_node_count": ("n",), "feature_vector": ("lines", "paragraphs"),

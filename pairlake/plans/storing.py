@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from pairlake.functions.lexer import join_tokens, tokens
@@ -69,12 +71,16 @@ ORACLES["scan_json"] = "SELECT page_id, url, md5(html) AS digest FROM pages"
 def _cells(s, d):
     path = scratch(s, "cells")
     docs = with_stage(table(s, d, "documents"), "doc_id", SEED).select("doc_id", "text", "stage")
-    C.write_cells(G.grid(docs, exp=G.EXPERIMENTS[:2], mix=G.MIXES[:2]), path)
-    return C.read_cells(s, path, stage="test", exp="Exp_var", mix="M2").select("doc_id", F.md5("text").alias("digest"))
+    C.write_cells(G.grid(docs, exp=G.EXPERIMENTS, mix=G.MIXES), path)
+    every = [C.read_cells(s, path, stage="test", exp=e, mix=m).select(F.lit(e).alias("exp"), F.lit(m).alias("mix"), "doc_id", F.md5("text").alias("digest"))
+             for e in G.EXPERIMENTS for m in G.MIXES]
+    return functools.reduce(lambda a, b: a.unionByName(b), every)
 
 
 QUERIES["read_cells"] = _cells
-ORACLES["read_cells"] = f"SELECT doc_id, md5(text) AS digest FROM ({STAGED}) JOIN documents USING (doc_id) WHERE stage = 'test'"
+ORACLES["read_cells"] = f"""
+SELECT exp, mix, doc_id, md5(text) AS digest FROM ({STAGED}) JOIN documents USING (doc_id),
+  (VALUES ('Exp_all'), ('Exp_var'), ('Exp_val'), ('Exp_ast')) e(exp), (VALUES ('M1'), ('M2'), ('M3')) m(mix) WHERE stage = 'test'"""
 
 
 def _manifest(s, d):
@@ -156,7 +162,8 @@ ORACLES["history"] = f"WITH {SCORES}, c AS ({CM}) SELECT 1 AS epoch, * FROM c UN
 def _derived(s, d):
     path = scratch(s, "derived")
     t = table(s, d, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
-    S.write_derived(S.derive(t, "doc_id", join_tokens(F.col("t")), F.size("t") > 20, "too few tokens"), path)
+    for _ in range(2):  # the second run has nothing left to add
+        S.write_derived(S.derive(t, "doc_id", join_tokens(F.col("t")), F.size("t") > 20, "too few tokens"), path, "doc_id")
     back = s.read.parquet(path)
     return back.select("doc_id", "status", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(F.md5("value"), F.lit("")).alias("digest"))
 
@@ -174,10 +181,15 @@ ORACLES["only_new"] = "SELECT doc_id, md5(text) AS digest FROM documents WHERE d
 
 def _stream(s, d):
     base = scratch(s, "stream")
+    docs = table(s, d, "documents")
     count = lambda df: df.select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
-    run = lambda: N.stream_derive(s, d, table(s, d, "documents").schema, count, f"{base}/sink", f"{base}/progress", "documents.parquet")
+    run = lambda: N.stream_derive(s, f"{base}/in", docs.schema, count, f"{base}/sink", f"{base}/progress")
+    half = F.col("doc_id") % 2 == 0
+    docs.where(half).write.parquet(f"{base}/in")
+    run()
+    docs.where(~half).write.mode("append").parquet(f"{base}/in")  # a second batch of files
     run()
-    return run()  # the second call finds nothing new
+    return run()  # finds nothing new
 
 
 QUERIES["stream_derive"] = _stream

@@ -112,10 +112,20 @@ ORACLES["truncate_text"] = "SELECT doc_id, substr(text, 1, 1024) AS text FROM do
 QUERIES["compact_text"] = lambda s, d: texts(s, d).select(
     "doc_id", T.compact(F.col("text")).alias("t"), F.octet_length("text").alias("b")
 ).select("doc_id", F.md5("t").alias("digest"), (F.col("b") - F.octet_length("t")).alias("saved_bytes"))
-ORACLES["compact_text"] = """
-WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/', ' ', 'g'), '(^|[^:])//[^\\n]*', '\\1', 'g') AS t FROM documents),
-e AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS t FROM c)
-SELECT doc_id, md5(t) AS digest, strlen(text) - strlen(t) AS saved_bytes FROM e"""
+
+
+def sql_compact(text: str) -> str:
+    """Comments out, then blanks collapsed between literals, then both ends trimmed."""
+    def parts(t: str, pattern: str, one: str) -> str:
+        return f"array_to_string(list_transform(regexp_extract_all({t}, {_q(pattern)}, 0), lambda x: {one}), '')"
+
+    out = parts(text, T.COMMENT_PARTS, "CASE WHEN x[1:2] = '/*' THEN ' ' WHEN x[1:2] = '//' THEN '' ELSE x END")
+    blanks = "regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g')"
+    return f"regexp_replace({parts(out, L.LITERAL_PARTS, f'CASE WHEN {SQL_IS_STRING} THEN x ELSE {blanks} END')}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+ORACLES["compact_text"] = f"""
+SELECT doc_id, md5(t) AS digest, strlen(text) - strlen(t) AS saved_bytes FROM (SELECT doc_id, text, {sql_compact("text")} AS t FROM documents)"""
 
 QUERIES["canonical_text"] = lambda s, d: texts(s, d).select(
     "doc_id", F.md5(T.canonical_lines(F.col("text"))).alias("digest")

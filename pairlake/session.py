@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that ``cut`` wrote and ``drop_cuts`` has not deleted yet.
+CUTS: list[str] = []
+
+
 def build(master: str = "local[8]", app: str = "pairlake", **conf: str) -> SparkSession:
     """A session with AQE on; shuffle partitions are left to AQE coalescing."""
     builder = (
@@ -55,18 +59,28 @@ def cut(df: DataFrame) -> DataFrame:
     same rows, and unlike an RDD checkpoint keeps column pruning and sizes.
     """
     path = scratch(df.sparkSession, "cut")
+    CUTS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` wrote in this session so far; call it when no query needs them any more."""
+    conf, done = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while CUTS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(CUTS.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` for heavy work per row: unchanged if it has a file per core, else hashed by key.
+    """``df`` for heavy work per row: unchanged if it has a partition per core, else hashed by key.
 
-    A corpus of few files (or of one row group) would run in a few tasks; a
+    A corpus of few files would run in a few tasks; a
     large one is left where it is and pays no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:

@@ -67,6 +67,11 @@ def derive(df: DataFrame, key: str, value: Column, ok: Column, reason: str) -> D
     )
 
 
-def write_derived(derived: DataFrame, path: str) -> None:
-    """One pass over the rows, one folder per status."""
+def write_derived(derived: DataFrame, path: str, key: str) -> None:
+    """One pass over the rows, one folder per status; keys that are stored already are left out, so a rerun adds nothing."""
+    spark = derived.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        known = spark.read.schema(derived.schema).parquet(path).select(key)
+        derived = derived.join(known, key, "left_anti")
     derived.write.mode("append").partitionBy("status").parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,10 @@ def read_shapes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def argument_key(*args, **kwargs) -> str:
-    """Folder name for an argument list."""
-    text = (str(args) + str(kwargs)).strip().replace(" ", "_")
+    """Folder name for an argument list; a DataFrame stands for what it computes."""
+    shown = lambda x: f"df{x.semanticHash()}" if isinstance(x, DataFrame) else x
+    named = {k: shown(v) for k, v in kwargs.items()}
+    text = (str(tuple(map(shown, args))) + str(named)).strip().replace(" ", "_")
     return re.sub(r"[^-\w.]", "", text)
 
 
@@ -48,18 +51,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def materialise(spark: SparkSession, root: str, fn: Callable[..., Sequence[DataFrame]], *args, **kwargs) -> list[DataFrame]:
+def materialise(spark: SparkSession, root: str, fn: Callable[..., Sequence[DataFrame]], *args, version: str = "", **kwargs) -> list[DataFrame]:
     """The results of ``fn(*args)``, computed and stored at the first call, read at later ones.
 
-    Outputs are numbered folders. A folder counts only with its success marker,
-    so a run that was lost half-way is computed again.
+    The key is the function's name, ``version`` (change it with the function or
+    its data) and the arguments. Each run writes numbered folders below a name of
+    its own, and is known only once its list is complete, so a run that was lost
+    half-way is neither read nor mixed with another.
     """
-    base = f"{root.rstrip('/')}/{argument_key(*args, **kwargs)}"
-    if not _exists(spark, f"{base}/_count/_SUCCESS"):
+    base = f"{root.rstrip('/')}/{argument_key(fn.__module__, fn.__qualname__, version)}/{argument_key(*args, **kwargs)}"
+    if not _exists(spark, f"{base}/_runs/_SUCCESS"):
+        run = f"{base}/{uuid.uuid4().hex}"
         results = list(fn(*args, **kwargs))
         for i, df in enumerate(results):
-            if not _exists(spark, f"{base}/{i}/_SUCCESS"):
-                df.write.mode("overwrite").parquet(f"{base}/{i}")
-        spark.range(len(results)).coalesce(1).write.mode("overwrite").parquet(f"{base}/_count")
-    total = spark.read.parquet(f"{base}/_count").count()
-    return [spark.read.parquet(f"{base}/{i}") for i in range(total)]
+            df.write.parquet(f"{run}/{i}")
+        spark.createDataFrame([(run, len(results))], "run string, n int").coalesce(1).write.mode("overwrite").parquet(f"{base}/_runs")
+    run, total = spark.read.parquet(f"{base}/_runs").first()
+    return [spark.read.parquet(f"{run}/{i}") for i in range(total)]

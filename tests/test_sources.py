@@ -11,11 +11,11 @@ from pairlake.operators.shapes import infer_shapes
 from pairlake.sources import cells, corpus, records
 from pairlake.streaming import incremental
 
-SCHEMA = ("att1 long, att2 array<long>, att3 array<array<long>>, att4 array<float>, att5 array<array<array<long>>>, "
-          "att6 array<array<array<long>>>, att7 string, att8 array<string>, none array<int>, some array<array<int>>")
+SCHEMA = ("n long, marks array<long>, rows array<array<long>>, pair array<float>, cube array<array<array<long>>>, "
+          "unit array<array<array<long>>>, title string, tags array<string>, none array<int>, hollow array<array<int>>")
 OBJECTS = [
-    (0, [1, 2, 3, 4], [[1], [2, 2], [3, 3, 3]], [1.0] * 5, [[[1, 2, 3]], [[1, 2, 3]] * 2, [[1, 2, 3]] * 3], [[[1]], [[2]], [[3]]], "abcdefg", ["a", "b"], [], [[]]),
-    (1, [2, 3, 4, 5, 6], [[1], [2, 2], [3, 3, 3], [4, 4, 4, 4]], [1.0] * 5, [[[1, 2, 3]], [[1, 2, 3]] * 2], [[[1]], [[2]], [[3]]], "efghijk", ["a", "b", "c"], [], [[]]),
+    (7, [8], [[5, 5], [6]], [0.5, 0.25], [[[4, 4], [4, 4]]], [[[9]], [[9]]], "first", ["x"], [], [[]]),
+    (8, [8, 9, 10], [[5], [6], [7, 7]], [0.125, 2.0], [[[4, 3]], [[2, 1]], [[0, 0]]], [[[9]], [[9]]], "second", ["y", "z"], [], [[]]),
 ]
 
 
@@ -24,9 +24,9 @@ def test_shapes(spark):
     got = {}
     for r in sorted(rows, key=lambda r: (r.key, r.level)):
         got.setdefault(r.key, []).append(r["size"])
-    assert got == {"att1": [1], "att2": [None], "att3": [None, None], "att4": [5], "att5": [None, None, 3], "att6": [3, 1, 1],
-                   "att7": [1], "att8": [None], "none": [-1], "some": [1, -1]}
-    assert {r.key: r.type for r in rows}["att4"] == "float" and {r.key: r.type for r in rows}["att8"] == "str"
+    assert got == {"n": [1], "marks": [None], "rows": [None, None], "pair": [2], "cube": [None, None, 2], "unit": [2, 1, 1],
+                   "title": [1], "tags": [None], "none": [-1], "hollow": [1, -1]}
+    assert {r.key: r.type for r in rows}["pair"] == "float" and {r.key: r.type for r in rows}["tags"] == "str"
 
 
 def test_records_round_trip(spark, tmp_path):
@@ -39,9 +39,9 @@ def test_records_round_trip(spark, tmp_path):
     sizes = back.groupBy(F.col("_metadata.file_name")).count().collect()
     assert max(r["count"] for r in sizes) <= 50
     assert records.read_shapes(spark, path).count() == 16
-    less = records.read_records(spark, path, ["att5", "att6"])
+    less = records.read_records(spark, path, ["cube", "unit"])
     plan = less._jdf.queryExecution().executedPlan().toString()
-    assert "att5" not in plan and less.columns == [c for c in df.columns if c not in ("att5", "att6")]
+    assert "cube" not in plan and less.columns == [c for c in df.columns if c not in ("cube", "unit")]
 
 
 def test_json_scan(spark, tmp_path):
@@ -75,7 +75,9 @@ def test_listed_and_derived(spark, tmp_path):
     rows = {r.path: (r.content, r.status) for r in corpus.scan_listed(listed, files, "path", "data/unknown").collect()}
     assert rows == {"a": ("A", "ok"), "b": (None, "failed")}
     out = corpus.derive(files, "path", F.lower("content"), F.col("content") == "A", "not A")
-    corpus.write_derived(out, str(tmp_path / "d"))
+    for _ in range(2):  # a rerun adds nothing
+        corpus.write_derived(out, str(tmp_path / "d"), "path")
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 2
     back = {r.path: (r.value, r.status, r.error) for r in spark.read.parquet(str(tmp_path / "d")).collect()}
     assert back == {"a": ("a", "ok", None), "data/unknown/c": (None, "failed", "not A")}
 
@@ -113,6 +115,14 @@ def test_materialise_computes_once(spark, tmp_path):
     assert calls == [10] and [d.count() for d in first] == [d.count() for d in again] == [4, 1]
     records.materialise(spark, str(tmp_path), compute, 11)
     assert calls == [10, 11]
+
+    def compute_other(n, step=1):
+        return [spark.range(0, 2 * n, step)]
+
+    other = records.materialise(spark, str(tmp_path), compute_other, 10, step=3)
+    assert [d.count() for d in other] == [7]
+    one, two = spark.range(3), spark.range(4)
+    assert records.argument_key(one) != records.argument_key(two) and records.argument_key(one) == records.argument_key(one)
     assert records.argument_key("a b", x="é/") == "a_bx_é"
 
 
