@@ -28,7 +28,9 @@ from pairlake.llm.common import WORD, fresh
 from pairlake.llm.components import components
 from pairlake.session import cut
 
-WORDS, SIMILARITY, TREES, LONGEST, SURE, RECALL, BLOCK, SEED = 5, 0.8, 24, 6, 0.999, 0.9999, 256, 42
+WORDS, SIMILARITY, TREES, LONGEST, SURE, RECALL, SEED = 5, 0.8, 24, 6, 0.9999, 0.9999, 42
+#: Classes and shingles of a block; what bounds the memory of a task that compares two blocks.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 #: Estimates this far (in standard deviations) below the threshold are still verified.
 DEVIATIONS = 6
 #: Bounds of a task's word cache and of the shingles hashed at a time.
@@ -45,16 +47,8 @@ class _Words(dict):
         return value
 
 
-def shingles(text: str, words: int = WORDS, find=re.compile(WORD).findall) -> set[tuple[str, ...]]:
-    """The set of word n-grams; of a shorter text, all its words are the one n-gram; none without words."""
-    found = find(text)
-    if len(found) <= words:
-        return {tuple(found)} if found else set()
-    return set(zip(*[found[k:] for k in range(words)]))
-
-
 def _hashed(text: str, words: int, cache: _Words, find=re.compile(WORD).findall) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
+    """Sorted distinct 64-bit hashes of the word n-grams; of a shorter text, all its words are the one n-gram; none without words."""
     found = find(text)
     if not found:
         return np.zeros(0, np.uint64)
@@ -82,20 +76,21 @@ def _functions(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(words: int, trees: int, longest: int, seed: int) -> Callable:
-    """Rows (doc, digest, text) to (doc, digest, class, signature); the signature of no shingles is null."""
+    """Rows (doc, digest, text) to (doc, digest, class, shingles, signature); the signature of no shingles is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _functions(trees * longest, seed)
         cache = _Words()
         for batch in batches:
-            names, signs = [], []
+            names, sizes, signs = [], [], []
             for value in batch.column(2):
                 hashed = _hashed(value.as_py() or "", words, cache)
                 names.append(xxhash.xxh3_128_digest(hashed.tobytes()))
+                sizes.append(len(hashed))
                 signs.append(signature(hashed, factors, shifts).tobytes() if len(hashed) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(signs, pa.binary())],
-                ["doc", "digest", "class", "sign"],
+                [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())],
+                ["doc", "digest", "class", "size", "sign"],
             )
 
     return run
@@ -120,23 +115,32 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
-def _candidates(rows: list[tuple], depth: int, trees: int, longest: int, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of a block pair that meet first in this tree and look similar enough. Rows: (node, i, j, tree, block, class, sign, ..)."""
-    _, i, j, tree = rows[0][:4]
-    signs = np.frombuffer(b"".join(r[6] for r in rows), ">u2").astype(np.uint16).reshape(len(rows), trees, longest)
-    margin = DEVIATIONS * np.sqrt(threshold * (1 - threshold) / (trees * longest))
-    side, out = np.array([r[4] for r in rows]), []
-    for a in range(len(rows)):
-        rest = np.arange(a + 1, len(rows))
-        if i != j:  # only between the two blocks
-            rest = rest[side[rest] != side[a]]
-        if not len(rest):
-            continue
-        same = signs[rest] == signs[a]
-        earlier = same[:, :tree, :depth].all(2).any(1)
-        likely = same.reshape(len(rest), -1).mean(1) >= threshold - margin
-        out += [(a, int(b)) for b in rest[~earlier & likely]]
-    return out
+class _Group:
+    """The classes of one block pair. Rows: (node, i, j, tree, block, class, size, sign, ..)."""
+
+    def __init__(self, rows: list[tuple], depth: int, trees: int, longest: int, threshold: float):
+        self.rows, self.depth, self.threshold = rows, depth, threshold
+        _, i, j, self.tree = rows[0][:4]
+        self.signs = np.frombuffer(b"".join(r[7] for r in rows), ">u2").astype(np.uint16).reshape(len(rows), trees, longest)
+        self.sizes = np.array([r[6] for r in rows], np.int64)
+        self.sides = np.array([r[4] for r in rows]) if i != j else None
+        self.least = threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / (trees * longest))
+
+    def candidates(self, step: int = 16) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, mask of some rows x all rows): pairs that meet first in this tree, whose sizes and signatures allow a link."""
+        n = len(self.rows)
+        for at in range(0, n, step):
+            some = slice(at, min(at + step, n))
+            same = self.signs[some, None] == self.signs[None]
+            mask = same.reshape(same.shape[0], n, -1).mean(2) >= self.least
+            if self.tree:
+                mask &= ~same[:, :, : self.tree, : self.depth].all(3).any(2)
+            small, large = np.minimum(self.sizes[some, None], self.sizes[None]), np.maximum(self.sizes[some, None], self.sizes[None])
+            mask &= small >= self.threshold * large
+            if self.sides is not None:  # only between the two blocks
+                mask &= self.sides[some, None] != self.sides[None]
+            mask[np.arange(same.shape[0]), np.arange(at, some.stop)] = False
+            yield at, mask
 
 
 def _wanted(depth: int, trees: int, longest: int, threshold: float) -> Callable:
@@ -144,9 +148,9 @@ def _wanted(depth: int, trees: int, longest: int, threshold: float) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
-            used = sorted({x for pair in _candidates(rows, depth, trees, longest, threshold) for x in pair})
-            if used:
-                chosen = [rows[k] for k in used]
+            used = np.concatenate([mask.any(1) for _, mask in _Group(rows, depth, trees, longest, threshold).candidates()])
+            if used.any():
+                chosen = [r for r, u in zip(rows, used) if u]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in chosen], t) for k, t in
                      ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()), (5, pa.binary()))],
@@ -156,57 +160,58 @@ def _wanted(depth: int, trees: int, longest: int, threshold: float) -> Callable:
     return run
 
 
-def _overlaps(sets: list[set], pairs: list[tuple[int, int]], step: int = 4096) -> list[int]:
-    """Exact sizes of intersections: by sets for few pairs, else by products of incidence matrices, in column blocks."""
-    if len(pairs) <= 4 * len(sets):
-        return [len(sets[a] & sets[b]) for a, b in pairs]
-    numbers: dict = {}
-    rows = [np.array([numbers.setdefault(x, len(numbers)) for x in s], np.int64) for s in sets]
-    total = np.zeros((len(sets), len(sets)), np.float64)
-    for at in range(0, len(numbers), step):
-        part = np.zeros((len(sets), min(step, len(numbers) - at)), np.float32)
-        for r, cols in enumerate(rows):
-            part[r, cols[(cols >= at) & (cols < at + step)] - at] = 1
-        total += part @ part.T  # at most ``step`` in a cell: exact in single precision
-    return [int(total[a, b]) for a, b in pairs]
+def _shared(sets: list[np.ndarray], step: int = 2048) -> np.ndarray:
+    """Exact sizes of all intersections: products of incidence matrices in blocks of columns; shingles of one set alone share nothing."""
+    whole = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, often = np.unique(whole, return_inverse=True, return_counts=True)
+    kept = often[column] > 1
+    number = np.cumsum(often > 1) - 1
+    owner, column = owner[kept], number[column[kept]]
+    total = np.zeros((len(sets), len(sets)), np.float32)  # below 2**24: exact
+    for at in range(0, int((often > 1).sum()), step):
+        part = np.zeros((len(sets), step), np.float32)
+        here = (column >= at) & (column < at + step)
+        part[owner[here], column[here] - at] = 1
+        total += part @ part.T
+    return total
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The least row of each row's component in a symmetric matrix of links."""
+    root = np.arange(len(linked))
+    while True:
+        near = np.where(linked, root[None], len(linked)).min(1)
+        new = np.minimum(root, near)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return root
+        root = new
 
 
 def _verified(words: int, depth: int, trees: int, longest: int, threshold: float) -> Callable:
     """Rows of block pairs with texts to (class, links, copies, root, found, expected)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Words()
         for rows in _groups(batches, 3):
-            pairs = _candidates(rows, depth, trees, longest, threshold)
-            sets = [shingles(r[8] or "", words) for r in rows]
-            links, copies = [0] * len(rows), [0] * len(rows)
-            root = list(range(len(rows)))
-            found, expected = 0, 0.0
-            for (a, b), both in zip(pairs, _overlaps(sets, pairs)):
-                either = len(sets[a]) + len(sets[b]) - both
-                if both < threshold * either:
-                    continue
-                found, expected = found + 1, expected + 1 / meeting(both / either, depth, trees)
-                for x, y in ((a, b), (b, a)):
-                    links[x] += 1
-                    copies[x] += rows[y][7]
-                while root[a] != a:
-                    a = root[a]
-                while root[b] != b:
-                    b = root[b]
-                root[max(a, b)] = min(a, b)
-            linked = [k for k in range(len(rows)) if links[k]]
-            if not linked:
+            group = _Group(rows, depth, trees, longest, threshold)
+            both = _shared([_hashed(r[9] or "", words, cache) for r in rows])
+            linked = np.concatenate([mask for _, mask in group.candidates()])
+            alike = both / (group.sizes[:, None] + group.sizes[None] - both)
+            linked &= both >= threshold * (group.sizes[:, None] + group.sizes[None] - both)
+            links = linked.sum(1)
+            some = np.flatnonzero(links)
+            if not len(some):
                 continue
-            tops = []
-            for k in linked:
-                while root[k] != k:
-                    k = root[k]
-                tops.append(rows[k][5])
-            rest = [0] * (len(linked) - 1)
+            copies = linked.astype(np.float64) @ np.array([r[8] for r in rows], np.float64)
+            root = _roots(linked)
+            expected = (1 / (1 - (1 - alike[linked] ** depth) ** trees)).sum() / 2
+            rest = [0] * (len(some) - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[k][5] for k in linked], pa.binary()), pa.array([links[k] for k in linked], pa.int64()),
-                 pa.array([copies[k] for k in linked], pa.int64()), pa.array(tops, pa.binary()),
-                 pa.array([found, *rest], pa.int64()), pa.array([expected, *rest], pa.float64())],
+                [pa.array([rows[k][5] for k in some], pa.binary()), pa.array(links[some], pa.int64()),
+                 pa.array(copies[some].astype(np.int64)), pa.array([rows[root[k]][5] for k in some], pa.binary()),
+                 pa.array([int(links.sum()) // 2, *rest], pa.int64()), pa.array([float(expected), *rest], pa.float64())],
                 ["class", "links", "copies", "root", "found", "expected"],
             )
 
@@ -214,28 +219,30 @@ def _verified(words: int, depth: int, trees: int, longest: int, threshold: float
 
 
 def _nodes(classes: DataFrame, depth: int, trees: int, longest: int, block: int) -> DataFrame:
-    """(node, i, j, tree, block, class): the trie nodes of two or more classes at this depth, in pairs of blocks.
+    """(node, i, j, tree, block, class, size, sign): the trie nodes of two or more classes at this depth, in pairs of blocks.
 
     Nodes of different trees with the same classes are kept in the first of
     them only. Node sizes come from partial aggregation.
     """
-    size = 2 * longest
+    width = 2 * longest
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.substring("sign", t * size + 1, F.lit(2 * depth))).alias("node")),
+        lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.substring("sign", t * width + 1, F.lit(2 * depth))).alias("node")),
     )
-    placed = classes.where("sign is not null").select("class", F.explode(keys).alias("k")).select("class", "k.tree", "k.node")
+    placed = classes.where("sign is not null").select("class", "size", F.explode(keys).alias("k")).select("class", "size", "k.tree", "k.node")
     first, second = F.xxhash64("class"), F.xxhash64(F.lit(1), "class")
     nodes = placed.groupBy("node", "tree").agg(
-        F.count("*").alias("size"), F.bit_xor(first).alias("x"), F.bit_xor(second).alias("y")
-    ).where("size > 1")
-    nodes = nodes.groupBy("x", "y", "size").agg(F.min(F.struct("tree", "node")).alias("k")).select("k.tree", "k.node", "size")
-    nodes = nodes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+        F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor(first).alias("x"), F.bit_xor(second).alias("y")
+    ).where("n > 1")
+    nodes = nodes.groupBy("x", "y", "n", "shingles").agg(F.min(F.struct("tree", "node")).alias("k"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    nodes = nodes.select("k.tree", "k.node", blocks.alias("blocks"))
     rows = placed.join(nodes, ["node", "tree"]).withColumn("block", F.pmod(F.xxhash64(F.lit(2), "class"), "blocks").cast("int"))
     # block b meets each block once, itself too
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.select("node", "tree", "block", "class", F.explode(others).alias("o"))
-    return rows.select("node", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "tree", "block", "class")
+    rows = rows.select("node", "tree", "block", "blocks", "class").join(classes.select("class", "size", "sign"), "class")
+    rows = rows.select("node", "tree", "block", "class", "size", "sign", F.explode(others).alias("o"))
+    return rows.select("node", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "tree", "block", "class", "size", "sign")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -244,17 +251,16 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 def links_at(docs: DataFrame, classes: DataFrame, depth: int, words: int, threshold: float, trees: int, longest: int, block: int) -> DataFrame:
     """(class, links, copies, root, found, expected) per class and block pair: verified links at this depth."""
-    blocks = _nodes(classes, depth, trees, longest, block).join(classes.select("class", "sign"), "class")
-    blocks = _dealt(blocks.select("node", "i", "j", "tree", "block", "class", "sign"))
+    blocks = _dealt(_nodes(classes, depth, trees, longest, block))
     wanted = cut(blocks.mapInArrow(
         _wanted(depth, trees, longest, threshold), "node long, i int, j int, tree int, block int, class binary"
     ))
     # each class's text comes from one of its documents, read again; texts without candidates are not joined
-    chosen = classes.join(wanted.select("class").distinct(), "class", "left_semi").select("class", "doc", "digest", "sign", "copies")
+    chosen = classes.join(wanted.select("class").distinct(), "class", "left_semi").select("class", "doc", "digest", "size", "sign", "copies")
     texts = docs.join(
         chosen.withColumnsRenamed({"doc": "d2", "digest": "g2"}), F.col("doc").eqNullSafe(F.col("d2")) & (F.col("digest") == F.col("g2"))
-    ).select("class", "sign", "copies", "text")
-    rows = wanted.join(texts, "class").select("node", "i", "j", "tree", "block", "class", "sign", "copies", "text")
+    ).select("class", "size", "sign", "copies", "text")
+    rows = wanted.join(texts, "class").select("node", "i", "j", "tree", "block", "class", "size", "sign", "copies", "text")
     return _dealt(rows).mapInArrow(
         _verified(words, depth, trees, longest, threshold), "class binary, links long, copies long, root binary, found long, expected double"
     )
@@ -266,10 +272,10 @@ def _ids(
 ) -> DataFrame:
     """One row per distinct (key, digest of the text), under ``names``: both, rep, class, number of links, first, rows alike."""
     read = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text"))
-    met = cut(read.mapInArrow(_sketch(words, trees, longest, seed), "doc long, digest long, class binary, sign binary"))
+    met = cut(read.mapInArrow(_sketch(words, trees, longest, seed), "doc long, digest long, class binary, size int, sign binary"))
     who = F.struct(F.col("doc").isNull().alias("absent"), "doc", "digest")
-    classes = met.groupBy("class").agg(F.min(who).alias("w"), F.count("*").alias("copies"), F.first("sign").alias("sign"))
-    classes = cut(classes.select("class", "w.absent", "w.doc", "w.digest", "copies", "sign"))
+    classes = met.groupBy("class").agg(F.min(who).alias("w"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sign").alias("sign"))
+    classes = cut(classes.select("class", "w.absent", "w.doc", "w.digest", "copies", "size", "sign"))
     depth = max((d for d in range(1, longest + 1) if meeting(threshold, d, trees) >= sure), default=1)
     while True:
         links = cut(links_at(read, classes, depth, words, threshold, trees, longest, block))
