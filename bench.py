@@ -23,7 +23,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = session.build(
-        f"local[{cpus}]", "bench", spark__driver__memory="20g", spark__ui__showConsoleProgress="false",
+        f"local[{cpus}]", "bench", spark__driver__memory="10g", spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions=cpus,
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,6 +35,7 @@ def main() -> None:
         registry.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
         print(name, times[name], file=sys.stderr)
+        session.drop_cuts(spark)
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(folder.rstrip("/")),
