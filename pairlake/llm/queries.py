@@ -67,4 +67,36 @@ QUERIES = {
         op8_personal_data, op9_quality_votes, op10_slot_table,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def _sql_draw(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT)"
+
+
+def _sql_slots(shards: int, slots: int) -> str:
+    """The table filled turn by turn: a shard's next free slot is looked for from where it stopped."""
+    here = f"(starts[turn % {shards} + 1] + j * strides[turn % {shards} + 1]) % {slots} + 1"
+    key = "coalesce(cast(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))"
+    return f"""
+WITH RECURSIVE s AS (SELECT i, 'shard-' || lpad(cast(i AS VARCHAR), 2, '0') AS name FROM range({shards}) t(i)),
+l AS (SELECT list({_sql_draw("'42'", "'start'", "name")} % {slots} ORDER BY i) AS starts,
+  list({_sql_draw("'42'", "'stride'", "name")} % {slots - 1} + 1 ORDER BY i) AS strides FROM s),
+f(turn, pos, owner) AS (
+  SELECT 0, list_transform(range({shards}), lambda x: 0), list_transform(range({slots}), lambda x: -1)
+  UNION ALL
+  SELECT turn + 1, list_transform(pos, lambda x, k: CASE WHEN k = turn % {shards} + 1 THEN j + 1 ELSE x END),
+    list_transform(owner, lambda x, k: CASE WHEN k = {here} THEN turn % {shards} ELSE x END)
+  FROM (SELECT *, list_filter(range(pos[turn % {shards} + 1], {slots}), lambda j: owner[{here}] < 0)[1] AS j FROM f, l WHERE turn < {slots})),
+o AS (SELECT unnest(range({slots})) AS slot, unnest(owner) AS i FROM f WHERE turn = {slots}),
+d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, {_sql_draw("'42'", "'slot'", key)} % {slots} AS slot FROM documents)
+SELECT doc_id, slot, name AS shard, n_bytes FROM d JOIN o USING (slot) JOIN s USING (i)"""
+
+
+#: The search is approximate by design, but its bound leaves out nothing in practice: the SQL is the exact answer.
+_EXACT_SEARCH = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score FROM e q JOIN e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
+SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 20"""
+
+ORACLES = {"op4_one_bit_search": _EXACT_SEARCH, "op10_slot_table": _sql_slots(sharding.SHARDS, sharding.SLOTS)}

@@ -27,7 +27,7 @@ BASE = KINDS[:3]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{4,}"
-SAMPLE, SMOOTHING, THRESHOLD, SEED = 4000, 0.5, 10.0, 42
+SAMPLE, SMOOTHING, UNIFORM, THRESHOLD, SEED = 4000, 10.0, 0.25, 10.0, 42
 MARK = "\x01"
 
 
@@ -98,11 +98,13 @@ def _states(value: Column) -> Column:
     return F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c))
 
 
-def fit(labelled: DataFrame, value: str = "value", label: str = "label", smoothing: float = SMOOTHING) -> list[float]:
+def fit(labelled: DataFrame, value: str = "value", label: str = "label", smoothing: float = SMOOTHING, uniform: float = UNIFORM) -> list[float]:
     """log(P(next | char, secret) / P(next | char, ordinary)) at place char * n + next, from (value, label 0 or 1).
 
-    Other labels, null ones and null values are left out. With no secrets
-    at all that model is uniform.
+    Transitions are smoothed towards how often the next character occurs at all.
+    Random strings may come from any alphabet, so a share ``uniform`` of their model
+    is the uniform one; with no secrets at all it is uniform as a whole. Other
+    labels, null ones and null values are left out.
     """
     n = len(ALPHABET) + 1
     steps = let(
@@ -113,13 +115,15 @@ def fit(labelled: DataFrame, value: str = "value", label: str = "label", smoothi
         ),
     )
     seen = labelled.where(F.col(label).isin(0, 1) & F.col(value).isNotNull()).select(F.col(label).cast("int").alias("l"), F.explode(steps).alias("at"))
-    counts = [[smoothing] * (n * n) for _ in range(2)]
+    counts = [[0.0] * (n * n) for _ in range(2)]
     for row in seen.groupBy("l", "at").agg(F.count("*").alias("c")).collect():  # at most 2 n^2 rows
         counts[row["l"]][row["at"]] += row["c"]
     shares = []
     for c in counts:
-        totals = [sum(c[a * n : (a + 1) * n]) for a in range(n)]
-        shares.append([c[at] / totals[at // n] for at in range(n * n)])
+        totals, whole = [sum(c[a * n : (a + 1) * n]) for a in range(n)], sum(c)
+        often = [(sum(c[b::n]) + 0.5) / (whole + 0.5 * n) for b in range(n)]
+        shares.append([(c[at] + smoothing * often[at % n]) / (totals[at // n] + smoothing) for at in range(n * n)])
+    shares[1] = [(1 - uniform) * s + uniform / n for s in shares[1]]
     return [math.log(s / o) for s, o in zip(shares[1], shares[0])]
 
 

@@ -300,6 +300,16 @@ def test_mixed_order_is_kept_by_files(spark, docs, tmp_path):
     assert [order[d] for d in read] == sorted(order.values())
 
 
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_same_as_sql(spark, name):
+    con = pytest.importorskip("duckdb").connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    ours = queries.QUERIES[name](spark, FOLDER)
+    theirs = con.execute(queries.ORACLES[name]).df()[ours.columns]
+    assert sorted(map(tuple, ours.collect())) == sorted(theirs.itertuples(index=False, name=None))
+
+
 def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "source_mix", "piece_codes"]
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
