@@ -58,13 +58,16 @@ RICH = "f(a) { b: 'some literal here', \"k\": 12345 } // note\nsecond line  with
 
 
 def test_every_profile_changes_a_rich_text(spark):
-    rows = [("p", RICH, RICH, "base one\nbase  two 'x' // c\nbase three")]
+    # line order changes in a share of the texts only, so there are several
+    rows = [(f"p{i}", RICH, RICH, "base one\nbase  two 'x' // c\nbase three") for i in range(6)]
     pair = spark.createDataFrame(rows, "pair_id string, seed_text string, alt_text string, base_text string")
     names = [r["name"] for r in grid.profile_rows()]
-    got = {r["mode"]: r["target_text"] for r in perturb.apply_modes(pair, 3, names).collect()}
-    assert len(got) == 21
-    for name, target in got.items():
-        assert RICH not in target, name
+    every = {(r["mode"], r["pair_id"]): r["target_text"] for r in perturb.apply_modes(pair, 3, names).collect()}
+    assert len(every) == 21 * 6
+    for name in names:
+        changed = sum(RICH not in every[name, f"p{i}"] for i in range(6))
+        assert changed == 6 or changed and name.startswith(("EXP_ast", "p_control")), name
+    got = {name: every[name, "p0"] for name in names}
     assert got["medium"].startswith(perturb.HEADER) and "some literal" not in got["medium"] and '"12345' not in got["medium"]
     assert one(spark, lambda t: perturb.without_dictionary(t), got["low"]).count("'some literal here'") == 1
     assert got["w_control_ast"].startswith('[["') and "some literal" not in got["w_control_ast"]
