@@ -28,13 +28,33 @@ from pairlake.llm.common import fresh
 #: The file of the public merge-type model, and the sign that stands for a blank in pieces.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-DROPOUT, VARIANTS, SEED, REMEMBERED = 0.1, 2, 42, 400_000
-#: A place behind all merges; the longest word that is merged on a list and remembered.
-NEVER, SHORT, MASK = 1 << 31, 40, (1 << 64) - 1
+DROPOUT, VARIANTS, SEED, REMEMBERED = 0.1, 1, 42, 200_000
+#: Behind all merges; the longest word that is merged in a table; words and characters handled at a time.
+NEVER, SHORT, TABLE_WORDS, STEP_CHARS = 1 << 31, 40, 8_000, 1_000_000
+MASK = (1 << 64) - 1
 #: A word with the blanks before it, blanks alone, a line end, or the blank sign itself.
 _WORDS = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}")
 
 
+def skips(own, place, piece, limit):
+    """Whether the candidate merge to ``piece`` at ``place`` of a word is skipped: a mixed hash below ``limit``.
+
+    ``_skips_all`` is the same for arrays.
+    """
+    mixed = (own ^ ((place + 1) * 0x9E3779B97F4A7C15 & MASK) ^ (piece * 0xC2B2AE3D27D4EB4F & MASK)) & MASK
+    mixed = ((mixed ^ (mixed >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    mixed = ((mixed ^ (mixed >> 27)) * 0x94D049BB133111EB) & MASK
+    return (mixed ^ (mixed >> 31)) < limit
+
+
+def _skips_all(own: np.ndarray, place: np.ndarray, piece: np.ndarray, limit: int) -> np.ndarray:
+    u = np.uint64
+    mixed = own ^ ((place.astype(u) + u(1)) * u(0x9E3779B97F4A7C15)) ^ (piece.astype(u) * u(0xC2B2AE3D27D4EB4F))
+    mixed = (mixed ^ (mixed >> u(30))) * u(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> u(27))) * u(0x94D049BB133111EB)
+    return (mixed ^ (mixed >> u(31))) < u(limit)
+
+
 class Model:
     """Pieces and scores of a merge-type model with byte fallback."""
 
@@ -63,55 +83,108 @@ class Model:
             raise ValueError("the model has no piece for every byte, so not every text can be decoded")
         if any("\n" in p or " " in p or BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("the model has pieces across words")
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """All ways to merge two symbols, as a sorted table. Symbols are piece ids, or numbers behind them for other characters."""
+        self.symbols = dict(self.ids)
+        for piece in self.ids:
+            for char in piece:
+                self.symbols.setdefault(char, len(self.shown) + len(self.symbols))
+        self.width = max(self.symbols.values()) + 1
+        found = {}
+        for piece, made in self.ids.items():
+            for at in range(1, len(piece)):
+                left, right = self.symbols.get(piece[:at]), self.symbols.get(piece[at:])
+                if left is not None and right is not None:
+                    found[left * self.width + right] = made
+        self.pairs = np.array(sorted(found), np.int64)
+        self.made = np.array([found[k] for k in self.pairs.tolist()], np.int64)
+        self.places = np.full(len(self.shown), NEVER, np.int64)
+        for piece, i in self.ids.items():
+            self.places[i] = self.ranks[piece]
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, place) of each pair of symbols; (0, NEVER) where they make none."""
+        keys = left * self.width + right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        known = (self.pairs[at] == keys) & (left >= 0) & (right >= 0)
+        made = np.where(known, self.made[at], 0)
+        return made, np.where(known, self.places[made], NEVER)
+
+    def words(self, words: list[str], dropout: float, key: int) -> list[bytes]:
+        """Ids of many short words, as bytes of 32-bit numbers; the agendas of all words advance together.
+
+        A word's agenda is a row of places; each round takes the first best
+        of every row, and merges or skips it.
+        """
+        sizes = np.array([len(w) for w in words])
+        codes = np.frombuffer("".join(words).replace(" ", BLANK).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, where = np.unique(codes, return_inverse=True)
+        chars = [chr(c) for c in kinds]
+        # characters that no piece has get numbers below 0
+        numbers = np.array([self.symbols.get(c, -1 - k) for k, c in enumerate(chars)], np.int64)
+        n, wide = len(words), int(sizes.max())
+        row = np.repeat(np.arange(n), sizes)
+        column = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        symbol = np.full((n, wide + 1), -(1 << 40), np.int64)
+        symbol[row, column] = numbers[where]
+        alive = np.zeros((n, wide + 1), bool)
+        alive[row, column] = True
+        after = np.broadcast_to(np.arange(1, wide + 2), (n, wide + 1)).copy()
+        before = after - 2
+        made, agenda = self._join(symbol[:, :-1], symbol[:, 1:])
+        own = np.array([xxhash.xxh3_64_intdigest(w, key) for w in words], np.uint64)
+        limit = min(int(dropout * (1 << 64)), MASK)
+        rows = np.arange(n)
+        while len(rows):
+            at = agenda[rows].argmin(1)
+            open_ = agenda[rows, at] < NEVER
+            rows, at = rows[open_], at[open_]
+            piece = made[rows, at]
+            agenda[rows, at] = NEVER
+            kept = ~_skips_all(own[rows], at, piece, limit)
+            r, left = rows[kept], at[kept]
+            right = after[r, left]
+            symbol[r, left] = piece[kept]
+            alive[r, right] = False
+            inside = right < wide
+            agenda[r[inside], right[inside]] = NEVER
+            follow = after[r, right]
+            after[r, left] = follow
+            before[r, np.minimum(follow, wide)] = left
+            more = follow < wide
+            x, a, b = r[more], left[more], follow[more]
+            made[x, a], agenda[x, a] = self._join(symbol[x, a], symbol[x, b])
+            prior = before[r, left]
+            more = prior >= 0
+            x, a, b = r[more], prior[more], left[more]
+            made[x, a], agenda[x, a] = self._join(symbol[x, a], symbol[x, b])
+        flat, counts = symbol[alive], alive.sum(1)
+        out: list[bytes] = []
+        whole = (flat >= 0) & (flat < len(self.shown))
+        ends = np.cumsum(counts)
+        spelt = np.add.reduceat(~whole, ends - counts) if n else []
+        small = flat.astype(np.int32)
+        odd = {v: c for c, v in zip(chars, numbers.tolist()) if not 0 <= v < len(self.shown)}
+        for k, (end, count) in enumerate(zip(ends.tolist(), counts.tolist())):
+            if not spelt[k]:
+                out.append(small[end - count : end].tobytes())
+                continue
+            ids: list[int] = []
+            for s in flat[end - count : end].tolist():
+                ids += self._single(odd[s]) if s in odd else [s]
+            out.append(array("i", ids).tobytes())
+        return out
 
     def word(self, word: str, dropout: float, key: int) -> list[int]:
-        """Ids of one word with the blanks before it; ``key`` seeds the skipping."""
+        """Ids of one word of any length with the blanks before it; the agenda is a heap."""
         if word == BLANK or word == "\n":  # the sign itself is no blank: its bytes
-            return self._single(word, raw=True)
+            return [self.bytes[b] for b in word.encode()]
         symbols: list[str | None] = list(word.replace(" ", BLANK))
-        if len(symbols) > 1:
-            (self._merge if len(symbols) <= SHORT else self._merge_long)(symbols, dropout, key, word)
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                known = self.ids.get(s)
-                if known is None:
-                    out += self._single(s)
-                else:
-                    out.append(known)
-        return out
-
-    def _single(self, char: str, raw: bool = False) -> list[int]:
-        known = None if raw else self.ids.get(char)
-        return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if known is None else [known]
-
-    def _merge(self, symbols: list[str], dropout: float, key: int, word: str) -> None:
-        """Merges in place, on an agenda that is a plain list: words are short."""
-        rank = self.ranks.get
-        agenda = [rank(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
-        starts = list(range(len(symbols)))
-        limit, own = int(dropout * (1 << 64)), xxhash.xxh3_64_intdigest(word, key)
-        while agenda:
-            best = min(agenda)
-            if best == NEVER:
-                break
-            at = agenda.index(best)
-            merged = symbols[at] + symbols[at + 1]
-            if limit and xxhash.xxh3_64_intdigest(merged, (own + starts[at]) & MASK) < limit:
-                agenda[at] = NEVER  # until a neighbour changes
-                continue
-            symbols[at : at + 2] = (merged,)
-            del agenda[at], starts[at + 1]
-            if at < len(agenda):
-                agenda[at] = rank(merged + symbols[at + 1], NEVER)
-            if at:
-                agenda[at - 1] = rank(symbols[at - 1] + merged, NEVER)
-
-    def _merge_long(self, symbols: list, dropout: float, key: int, word: str) -> None:
-        """The same on a heap, for words of any length; a symbol merged into the one before becomes None."""
         rank, size = self.ranks.get, len(symbols)
         before, after = list(range(-1, size - 1)), list(range(1, size + 1))
-        limit, own = int(dropout * (1 << 64)), xxhash.xxh3_64_intdigest(word, key)
+        limit, own = min(int(dropout * (1 << 64)), MASK), xxhash.xxh3_64_intdigest(word, key)
         agenda: list[tuple[int, int, int, str]] = []
 
         def offer(left: int, right: int) -> None:
@@ -126,8 +199,8 @@ class Model:
             a, b = symbols[left], symbols[right]
             if a is None or b is None or after[left] != right or len(a) + len(b) != len(merged):
                 continue  # one side was merged meanwhile
-            if limit and xxhash.xxh3_64_intdigest(merged, (own + left) & MASK) < limit:
-                continue
+            if skips(own, left, self.ids[merged], limit):
+                continue  # until a neighbour changes
             symbols[left], symbols[right] = merged, None
             follow = after[right]
             after[left] = follow
@@ -136,6 +209,11 @@ class Model:
                 offer(left, follow)
             if before[left] >= 0:
                 offer(before[left], left)
+        return [i for s in symbols if s is not None for i in self._single(s)]
+
+    def _single(self, symbol: str) -> list[int]:
+        known = self.ids.get(symbol)
+        return [self.bytes[b] for b in symbol.encode("utf-8", "surrogatepass")] if known is None else [known]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids from ``word`` on ' ' + text; the blank put before is taken off again."""
@@ -163,17 +241,39 @@ class Words(dict):
         self.model, self.dropout, self.key, self.most = model, dropout, key, most
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
+        return array("i", self.model.word(word, self.dropout, self.key)).tobytes()
+
+    def learn(self, parts: list[list[str]]) -> None:
+        """Encodes the new short words of some parted texts together. Long words come once, and are not remembered."""
+        seen: set[str] = set()
+        for words in parts:
+            seen.update(words)
+        new = [w for w in seen if len(w) <= SHORT and w not in self and w != BLANK and w != "\n"]
+        if len(self) + len(new) > self.most:
             self.clear()
-        value = array("i", self.model.word(word, self.dropout, self.key)).tobytes()
-        if len(word) <= SHORT:  # long words come once
-            self[word] = value
-        return value
+            new = [w for w in seen if len(w) <= SHORT and w != BLANK and w != "\n"]
+        new.sort(key=len)  # words of like length fill a table
+        for at in range(0, len(new), TABLE_WORDS):
+            some = new[at : at + TABLE_WORDS]
+            self.update(zip(some, self.model.words(some, self.dropout, self.key)))
 
 
-def encode_text(text: str, words: Words) -> bytes:
-    """Ids of a whole text as bytes; of the empty text none. A blank is put before, as the model's own way is."""
-    return b"".join(map(words.__getitem__, _WORDS.findall(" " + text))) if text else b""
+def encode_all(texts: list[str], words: Words) -> list[bytes]:
+    """Ids of whole texts as bytes; of the empty text none. A blank is put before, as the model's own way is.
+
+    New words are learnt for so many texts at a time as memory allows.
+    """
+    out: list[bytes] = []
+    some: list[list[str]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        some.append(_WORDS.findall(" " + text) if text else [])
+        size += len(text)
+        if size >= STEP_CHARS or k == len(texts) - 1:
+            words.learn(some)
+            out += [b"".join(map(words.__getitem__, part)) for part in some]
+            some, size = [], 0
+    return out
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
@@ -188,11 +288,17 @@ def _ids(data, dropout: float, variants: int, seed: int, remembered: int):
         model = Model(data.value)
         memory = [Words(model, dropout, seed * 1_000_003 + v, remembered // variants) for v in range(variants)]
         for texts, chosen in parts:
-            found = [b"" if not t.is_valid else encode_text(t.as_py(), memory[v]) for t, v in zip(texts, chosen.to_pylist())]
+            plain, which = [t or "" for t in texts.to_pylist()], np.array(chosen.to_pylist())
+            found = [b""] * len(plain)
+            for v, words in enumerate(memory):
+                own = np.flatnonzero(which == v).tolist()
+                for k, ids in zip(own, encode_all([plain[k] for k in own], words)):
+                    found[k] = ids
             ends = np.cumsum([0] + [len(f) // 4 for f in found]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
-    return run
+    # so called only to keep the optimiser from writing it twice where the ids are used twice, as by ``decode``
+    return run.asNondeterministic()
 
 
 def encode(
@@ -202,7 +308,9 @@ def encode(
     """``docs`` with ``ids`` (underscores put before if there is such a column).
 
     A row's variant is a hash of its key and the seed, so rows with equal keys and
-    texts have equal ids. Null and empty texts have no ids; a null key is a key.
+    texts have equal ids. With one variant a word is cut alike all through a run, and
+    otherwise under another seed; more variants vary it inside a run, and cost more,
+    as each remembers its own words. Null and empty texts have no ids; a null key is a key.
     Other columns and an empty table pass through. One row for each row given, no
     shuffle; the model is read once and broadcast.
     """
@@ -220,6 +328,8 @@ def decode(docs: DataFrame, ids: str = "ids", model: str = MODEL) -> Column:
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Model(data.value)
         for batch in parts:
-            yield pa.array([known.decode(x.as_py()) if x.is_valid else None for x in batch], pa.string())
+            ends, valid = batch.offsets.to_numpy(), batch.is_valid().to_pylist()
+            ids = batch.values.to_numpy(zero_copy_only=False)
+            yield pa.array([known.decode(ids[a:b].tolist()) if v else None for a, b, v in zip(ends, ends[1:], valid)], pa.string())
 
     return run(F.col(ids))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlake.llm import classifier, linededup, mixing, ngramjoin, pieces, pii, quality, secretscan, sharding
+from pairlake.llm import classifier, common, linededup, mixing, ngramjoin, pieces, pii, quality, secretscan, sharding
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot string, score string, ids string, _s string"
@@ -182,6 +182,14 @@ def test_quality_counts_and_verdict(spark, docs, labels):
     assert np.mean([k == (q == 1) for k, q in known]) > 0.95
 
 
+def test_first_rows_by_hash(spark):
+    rows = spark.range(5000).select("id", F.expr("case when id < 4000 then id % 7 else id * 230584300921369 end").alias("h"))
+    want = sorted((r["h"], r["id"]) for r in rows.collect())
+    for size in (1, 50, 700, 4500, 6000):
+        assert sorted((r["h"], r["id"]) for r in common.first_by(rows, "h", size, "id", bits=5).collect()) == want[:size]
+    assert common.first_by(rows.limit(0), "h", 3, "id").count() == 0
+
+
 def test_grams_of_long_texts_are_whole():
     text = "".join(chr(97 + i * i % 23) for i in range(1000))
     whole = np.concatenate(list(quality.buckets(text, 12)))
