@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pairlake.session import cut
 
-TOP, SEED, BOUND, BLOCK, QUERY_BLOCK, PLANES = 20, 42, 4.0, 8192, 1024, 6
+TOP, SEED, BOUND, BLOCK, QUERY_BLOCK, QUERY_STEP = 20, 42, 4.0, 8192, 1024, 64
 MOST_TASKS = 20_000  # a task then takes several pairs, one after another
 
 
@@ -49,36 +49,68 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     return np.packbits(bits, axis=1).view(np.uint64), length, own
 
 
+def signs(codes: np.ndarray, size: int) -> np.ndarray:
+    """The packed signs as a matrix of -1 and 1."""
+    bits = np.unpackbits(codes.view(np.uint8).reshape(len(codes), -1), axis=1, count=size)
+    return bits.astype(np.float32) * np.float32(2) - np.float32(1)
+
+
 def estimates(
-    codes: np.ndarray, length: np.ndarray, own: np.ndarray, query: np.ndarray, centre: np.ndarray, turn: np.ndarray,
-    bound: float = BOUND, planes: int = PLANES,
+    flips: np.ndarray, length: np.ndarray, own: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, bound: float = BOUND
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of one query with all coded vectors, and their error bounds.
+    """Estimated inner products of queries (rows) with all coded vectors (columns), and their error bounds.
 
-    The rotated query is rounded to ``planes`` bits per component and split in
-    bit planes; a product with a code is a sum of bit counts. The bound covers
-    the rounding and ``bound`` standard deviations of the code's error.
+    ``flips`` are the ``signs`` of the codes. The bound is ``bound`` standard
+    deviations of the code's error, and the rounding of single precision.
     """
-    size = len(query)
-    turned = turn @ query
-    low, step = turned.min(), max((turned.max() - turned.min()) / ((1 << planes) - 1), 1e-12)
-    whole = np.clip(np.rint((turned - low) / step), 0, (1 << planes) - 1).astype(np.int64)
-    words = codes.shape[1]
-    bits = np.zeros((planes, words * 64), np.uint8)
-    for p in range(planes):
-        bits[p, :size] = whole >> p & 1
-    cut_up = np.packbits(bits, axis=1).view(np.uint64)
-    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    summed = np.zeros(len(codes), np.int64)
-    for p in range(planes):
-        summed += np.bitwise_count(codes & cut_up[p]).sum(1, dtype=np.int64) << p
-    # sum of sign x component = 2 x (sum over set bits) - (sum over all)
-    product = (2 * (summed * step + ones * low) - (whole.sum() * step + size * low)) / np.sqrt(size)
+    size = queries.shape[1]
     safe = np.where(own > 0, own, 1)
-    norm = np.linalg.norm(query)
-    slack = 1e-9 * norm * (1 + np.linalg.norm(centre) + length)  # rounding of the sums
-    error = bound * norm * np.sqrt(np.maximum(1 - own**2, 0)) / safe / np.sqrt(max(size - 1, 1)) + step / 2 * np.sqrt(size) / safe
-    return centre @ query + length * np.where(own > 0, product / safe, 0), length * error + slack
+    product = (queries @ turn.T).astype(np.float32) @ flips.T
+    scale = np.where(own > 0, length / safe, 0) / np.sqrt(size)
+    near = product * scale + (queries @ centre)[:, None]
+    norm = np.linalg.norm(queries, axis=1)
+    spread = bound * np.sqrt(np.maximum(1 - own**2, 0)) / safe / np.sqrt(max(size - 1, 1)) * length
+    rounding = 1e-6 * np.sqrt(size) * length / safe + 1e-9 * (1 + np.linalg.norm(centre) + length)
+    return near, norm[:, None] * (spread + rounding)
+
+
+def best_of(
+    ids: np.ndarray, queries: np.ndarray, keys: np.ndarray, vectors: np.ndarray, near: np.ndarray, error: np.ndarray, top: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of the ``top`` best vectors of each query, exact, best first. ``keys`` have to ascend.
+
+    The best estimates are scored; their worst score is a floor that the true
+    neighbours reach. So all vectors whose upper bound reaches it are scored too.
+    """
+    n = len(keys)
+    low, high = np.searchsorted(keys, ids, "left"), np.searchsorted(keys, ids, "right")
+    for q in np.flatnonzero(low < high):
+        near[q, low[q] : high[q]] = -np.inf  # not the query itself
+    k = min(top, n)
+    first = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    known = np.isfinite(np.take_along_axis(near, first, 1))
+    scores = np.einsum("qkd,qd->qk", vectors[first], queries)
+    floor = np.where(known, scores, np.inf).min(1)
+    slack = 1e-12 * (1 + np.abs(floor))
+    mask = near + error >= (floor - slack)[:, None]
+    np.put_along_axis(mask, first, known, 1)
+    # single precision leaves those that may still be among the best, which are then summed exactly
+    small, asked = vectors.astype(np.float32), queries.astype(np.float32)
+    far = 1e-6 * np.sqrt(queries.shape[1]) * np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max()
+    columns = []
+    for q in range(len(ids)):
+        chosen = np.flatnonzero(mask[q])
+        if len(chosen) > top:
+            rough = small[chosen] @ asked[q]
+            chosen = chosen[rough >= np.partition(rough, -top)[-top] - 2 * far[q]]
+        columns.append(chosen)
+    row, column = np.repeat(np.arange(len(ids)), [len(c) for c in columns]), np.concatenate(columns)
+    score = exact(queries[row], vectors[column])
+    order = np.lexsort((keys[column], -score, row))
+    row, column, score = row[order], column[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < top
+    return row[kept], column[kept], score[kept]
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -148,30 +180,16 @@ def search(
                 qid, qv = _arrays(batch.column(0)[n])
                 vid, vv = _arrays(batch.column(1)[n])
                 order = np.argsort(vid, kind="stable")
-                vid, vv = vid[order], vv[order].astype(np.float64)
+                vid, vv = vid[order], vv[order]
                 codes, length, own = encode(vv, centre, turn)
-                out = [[], [], []]
-                for i, query in zip(qid, qv.astype(np.float64)):
-                    near, error = estimates(codes, length, own, query, centre, turn, bound)
-                    other = vid != i
-                    upper = np.where(other, near + error, -np.inf)
-                    k = min(top, int(other.sum()))
-                    if not k:
-                        continue
-                    # exact scores of the best estimates give a floor that the true neighbours reach
-                    first = np.argpartition(-np.where(other, near, -np.inf), k - 1)[:k]
-                    floor = exact(np.broadcast_to(query, (k, width)), vv[first]).min()
-                    chosen = np.flatnonzero(upper >= floor)
-                    chosen = np.union1d(chosen, first)
-                    scores = exact(np.broadcast_to(query, (len(chosen), width)), vv[chosen])
-                    best = np.lexsort((vid[chosen], -scores))[:k]
-                    out[0] += [i] * k
-                    out[1] += vid[chosen][best].tolist()
-                    out[2] += scores[best].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
-                    ["query_id", "vec_id", "score"],
-                )
+                flips = signs(codes, width)
+                for at in range(0, len(qid), QUERY_STEP):
+                    ids, some = qid[at : at + QUERY_STEP], qv[at : at + QUERY_STEP]
+                    near, error = estimates(flips, length, own, some, centre, turn, bound)
+                    row, column, score = best_of(ids, some, vid, vv, near, error, top)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[row]), pa.array(vid[column]), pa.array(score)], ["query_id", "vec_id", "score"]
+                    )
 
     # the work of a pair of blocks does not show in its bytes, so pairs are dealt out by number
     tasks = min(parts * wanted.count(), MOST_TASKS)

@@ -125,9 +125,10 @@ def test_estimates_are_close_and_bounded(size):
     rows, query, centre, turn = rng.standard_normal((4000, size)), rng.standard_normal(size), rng.standard_normal(size) / 9, ann.rotation(size)
     assert np.allclose(turn @ turn.T, np.eye(size))
     codes = ann.encode(rows, centre, turn)
-    near, error = ann.estimates(*codes, query, centre, turn)
+    near, error = (x[0] for x in ann.estimates(ann.signs(codes[0], size), *codes[1:], query[None], centre, turn))
     off = near - rows @ query
-    assert (np.abs(off) <= error).all() and (size < 10 or abs(off.mean()) < 0.1 * off.std())
+    # four standard deviations
+    assert (np.abs(off) > error).mean() < 0.001 and (size < 10 or abs(off.mean()) < 0.1 * off.std())
     assert codes[0].shape == (4000, -(-size // 64))
 
 
