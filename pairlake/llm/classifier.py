@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlake.functions.draws import draw
-from pairlake.llm.common import counts, fresh
+from pairlake.llm.common import counts, first_by
 
 BITS, DIMENSIONS, SAMPLE, NEIGHBOURS, SHARPNESS, BLOCK, SEED = 11, 48, 2000, 15, 4, 256, 42
 
@@ -142,7 +142,8 @@ def classify(
         limit = options.get("sample", SAMPLE) // 2
         seed = options.get("seed", SEED)
         # the sample is bounded before the texts are touched; twice the size, as some keys may have no text
-        kinds = [own.where(F.col("_label") == k).orderBy(draw(seed, "sample", "_key"), "_key").limit(2 * limit) for k in (0, 1)]
+        own = own.withColumn("_h", draw(seed, "sample", "_key"))
+        kinds = [first_by(own.where(F.col("_label") == k), "_h", 2 * limit, "_key").drop("_h") for k in (0, 1)]
         few = F.broadcast(kinds[0].unionByName(kinds[1]))
         labelled = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(few, F.col("_k") == F.col("_key"))
         model = fit(labelled, "_text", "_label", "_key", **options)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pairlake.functions.draws import DRAW_BITS
+
 #: Blanks of the word rule, and the word rule itself.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,6 +34,33 @@ def row_text(key: str, text: str) -> Column:
     return F.concat_ws("|", shown(F.col(key)), F.md5(shown(F.col(text))))
 
 
+def first_by(df: DataFrame, order: str, size: int, *ties: str, bits: int = 12) -> DataFrame:
+    """The first ``size`` rows by the 60-bit hash in column ``order``, then by ``ties``.
+
+    Rows are counted by the leading bits of the hash, and by further bits where
+    they are still too many, to find a bound that few more than ``size`` rows
+    meet; so no task gathers the first rows of all others. To the driver come
+    ``2**bits`` counts at a time.
+    """
+    low, shift, wanted = 0, DRAW_BITS, size
+    while True:
+        shift = max(0, shift - bits)
+        here = df.where(F.col(order) >= low).where(F.shiftright(order, shift) < (low >> shift) + (1 << bits))
+        counts = sorted(map(tuple, here.groupBy(F.shiftright(order, shift).alias("b")).agg(F.count("*").alias("c")).collect()))
+        last, seen = None, 0
+        for last, c in counts:
+            seen += c
+            if seen >= wanted:
+                break
+        if last is None:
+            return df.limit(0) if low == 0 else df.where(F.col(order) < low)
+        bound = (last + 1) << shift
+        if shift == 0 or c <= 4 * size or seen < wanted:
+            return df.where(F.col(order) < bound).orderBy(order, *ties).limit(size)
+        wanted -= seen - c
+        low = last << shift
+
+
 def buckets(text: str, bits: int, step: int = 1 << 20) -> Iterator[np.ndarray]:
     """Hashed character trigrams of a whole text, in blocks of bounded memory; shorter texts have none.
 
@@ -49,9 +78,3 @@ def counts(text: str, bits: int) -> np.ndarray:
     for block in buckets(text, bits):
         out += np.bincount(block, minlength=1 << bits)
     return out
-
-
-def rows_of(batches: Iterable) -> Iterator[tuple]:
-    """Arrow batches as tuples of Python values, with bounded memory: a batch at a time."""
-    for batch in batches:
-        yield from zip(*[c.to_pylist() for c in batch.columns])

@@ -9,7 +9,6 @@ table is partitioned.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -182,10 +181,6 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[Span]]:
 _ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def listed(spans: dict[str, list[Span]], kinds: tuple[str, ...]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in spans[k])
-
-
 def spans_of(text: str = "text") -> Column:
     """array<struct<kind, start, end, part>>: all personal data of each whole text, by kind, then start."""
 
@@ -251,8 +246,3 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.array(out, pa.string())
 
     return docs.withColumn(text, run(F.col(text)))
-
-
-def reference_digest(text: str) -> str:
-    """Lowercase hex digest of the base spans, for tests."""
-    return hashlib.sha256(listed(find(text, automaton()), BASE).encode()).hexdigest()

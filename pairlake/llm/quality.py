@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlake.functions.draws import draw
-from pairlake.llm.common import WORD, buckets, counts, fresh
+from pairlake.llm.common import WORD, buckets, counts, first_by, fresh
 
 BITS, SMOOTHING, THRESHOLD, MAX_TRUSTED, MIN_WORDS, SEED = 16, 0.5, -0.5, 20_000, 50, 42
 #: The characters that count as symbols.
@@ -76,8 +76,8 @@ def fit(
     to the driver are ``2**bits`` sums.
     """
     good, mark = fresh(docs, "_good", "_mark")
-    ids = trusted.select(F.col(key).alias(good)).where(F.col(good).isNotNull()).distinct()
-    ids = ids.orderBy(draw(seed, "trusted", good), good).limit(max_trusted).withColumn(mark, F.lit(True))
+    ids = trusted.select(F.col(key).alias(good)).where(F.col(good).isNotNull()).distinct().withColumn("h", draw(seed, "trusted", good))
+    ids = first_by(ids, "h", max_trusted, good).select(good, F.lit(True).alias(mark))
     marked = docs.join(F.broadcast(ids), F.col(key) == F.col(good), "left").select(text, mark)
     found = marked.mapInArrow(_gram_counts(bits), "bucket int, raw long, target long")
     sums = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()

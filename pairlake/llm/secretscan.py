@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlake.functions.bind import let
 from pairlake.functions.draws import draw
-from pairlake.llm.common import fresh, row_text
+from pairlake.llm.common import first_by, fresh, row_text
 
 #: The base rules. Each matches first and is checked for length after.
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -84,11 +84,11 @@ def samples(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), draw(seed, "sample", row_text(key, text)).alias(order))
     values = F.transform(F.filter(base_spans(F.col("t")), lambda s: F.length(s["part"]) >= 6), lambda s: s["part"])
     secret = rows.where(F.col("t").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select(order, F.explode(values).alias("value"))
-    secret = secret.orderBy(order, "value").limit(size)
+    secret = first_by(secret, order, size, "value")
     # of an assignment only the value is random
     secret = secret.select(F.regexp_replace("value", r"^.*[\"'\x20:=](?=[A-Za-z0-9+/_.=-]{6,}$)", "").alias("value"), F.lit(1).alias("label"))
     plain = F.regexp_replace("t", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
-    ordinary = rows.orderBy(order, "t").limit(size).select(F.explode(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0))).alias("value"))
+    ordinary = first_by(rows, order, size, "t").select(F.explode(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0))).alias("value"))
     return secret.unionByName(ordinary.withColumn("label", F.lit(0)))
 
 
