@@ -6,44 +6,65 @@ deadline ceil((i + 1) P / w); each slot of the sequence goes to the released
 block with the earliest deadline. In every prefix of the sequence a source has
 less than one block more or less than its weight asks for.
 
-The windows repeat every P slots, so the schedule of one period, a table whose
-size is a parameter, places all blocks of all cycles by arithmetic. Where a
-source runs out, a new period over the remaining sources begins (a phase).
-Only the number of rows per source comes to the driver.
+Weights are the targets themselves as whole numbers, not rounded, so the bound
+holds against the targets. The windows repeat every P slots, so the schedule of
+one period places all blocks of all cycles by arithmetic. Where a source runs out,
+a new period over the remaining sources begins (a phase); a period longer than its
+phase is made as far as the phase goes. So the schedule has a row per block at most,
+however many sources and phases there are. Only the number of rows per source comes
+to the driver; the driver's time grows with the blocks and with phases times sources.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from math import gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairlake.functions.draws import DRAW_BITS, draw
 from pairlake.llm.common import fresh, row_text
 
-BLOCK_ROWS, PERIOD, SEED, BUCKET_BITS = 16, 1000, 42, 10
+BLOCK_ROWS, SEED, BUCKET_BITS = 16, 42, 10
 
 
-def period(weights: dict[str, int]) -> list[str]:
+def slots(weights: dict[str, int]) -> Iterator[str]:
     """The source of each slot of one period, by earliest deadline among the released blocks; ties by name."""
     total = sum(weights.values())
-    waiting = sorted((0, s, 0) for s in weights)  # (release, source, block)
-    ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
-    out = []
-    heapq.heapify(waiting)
-    for slot in range(total):
+    waiting: list[tuple[int, str, int]] = []  # (release, source, block)
+    ready = [(-(-total // w), s, 0) for s, w in weights.items()]  # (deadline, source, block)
+    heapq.heapify(ready)
+    slot = 0
+    while ready or waiting:
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * total // weights[s]), s, i))
         _, s, i = heapq.heappop(ready)
-        out.append(s)
+        yield s
+        slot += 1
         if i + 1 < weights[s]:
             heapq.heappush(waiting, ((i + 1) * total // weights[s], s, i + 1))
-    return out
 
 
-def whole_weights(targets: dict[str, float], size: int = PERIOD) -> dict[str, int]:
+def period(weights: dict[str, int]) -> list[str]:
+    return list(slots(weights))
+
+
+def exact_weights(targets: dict[str, float]) -> dict[str, int]:
+    """Targets as the smallest whole numbers in just their proportions; targets not above 0 are left out."""
+    above = {s: Fraction(w) for s, w in targets.items() if w is not None and w > 0}
+    scale = lcm(*(w.denominator for w in above.values()))
+    whole = {s: int(w * scale) for s, w in above.items()}
+    common = gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()}
+
+
+def whole_weights(targets: dict[str, float], size: int) -> dict[str, int]:
     """Targets as integers with the sum ``size``, by largest remainder, at least 1 each; targets not above 0 are left out.
 
     Grows the sum instead where there are more sources than ``size``.
@@ -65,7 +86,7 @@ def whole_weights(targets: dict[str, float], size: int = PERIOD) -> dict[str, in
 @dataclass
 class Phase:
     start: int  # first slot
-    order: list[str]  # one period
+    order: list[str]  # one period, or all slots if the phase is shorter
     first: dict[str, int]  # a source's first block here
     stop: dict[str, int]  # its first block after
     weights: dict[str, int]
@@ -75,18 +96,26 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[Phase]:
     """The phases until all blocks of the weighted sources are placed."""
     done, out, start = dict.fromkeys(blocks, 0), [], 0
     while active := {s: w for s, w in weights.items() if blocks.get(s, 0) > done[s]}:
-        order = period(active)
-        cycles = min((blocks[s] - done[s]) // w for s, w in active.items())
-        upto = {s: done[s] + cycles * w for s, w in active.items()}
-        length = cycles * len(order)
-        # all blocks of one source are placed now, or before this period ends
-        for s in order if all(upto[s] < blocks[s] for s in active) else ():
+        left = {s: blocks[s] - done[s] for s in active}
+        order, upto = [], dict.fromkeys(active, 0)
+        for s in slots(active):
+            order.append(s)
             upto[s] += 1
-            length += 1
-            if upto[s] == blocks[s]:
+            if upto[s] == left[s]:  # before the first period ends, or at its end
                 break
-        out.append(Phase(start, order, {s: done[s] for s in active}, upto, active))
-        done |= upto
+        length = len(order)
+        if upto == active:
+            cycles = min(left[s] // w for s, w in active.items())
+            upto = {s: cycles * w for s, w in active.items()}
+            length *= cycles
+            # all blocks of one source are placed now, or before this period ends
+            for s in order if all(upto[s] < left[s] for s in active) else ():
+                upto[s] += 1
+                length += 1
+                if upto[s] == left[s]:
+                    break
+        out.append(Phase(start, order, {s: done[s] for s in active}, {s: done[s] + n for s, n in upto.items()}, active))
+        done |= out[-1].stop
         start += length
     return out
 
@@ -103,13 +132,14 @@ def mix(
     text: str = "text",
     source: str = "source",
     block_rows: int = BLOCK_ROWS,
-    size: int = PERIOD,
+    size: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """``df`` with ``block`` (in its source), ``slot`` and ``position`` (both from 0, over all sources).
 
-    ``targets``: weight per source; by default the square root of a source's
-    rows. Inside a source the rows are in a seeded shuffle. No row is dropped
+    ``targets``: weight per source, taken as they are; by default the square root
+    of a source's rows. ``size``: if given, the targets are first rounded to whole
+    numbers with this sum, at least 1 each. Inside a source the rows are in a seeded shuffle. No row is dropped
     or repeated: when a source is used up, the others go on by their weights.
     Sources without a weight above 0 follow at the end, one after another by
     name. Null sources are one source; rows equal in key and text are placed
@@ -132,22 +162,24 @@ def mix(
     wanted = {k: n**0.5 for k, n in per.items()} if targets is None else {
         "null" if k is None else f"={k}": w for k, w in targets.items()}
     blocks = {k: -(-n // block_rows) for k, n in per.items()}
-    plan = phases(blocks, whole_weights({k: w for k, w in wanted.items() if k in blocks}, size))
+    wanted = {k: w for k, w in wanted.items() if k in blocks}
+    plan = phases(blocks, exact_weights(wanted) if size is None else whole_weights(wanted, size))
     # (source, first, stop, start, period, weight, inside, at): a block first <= i < stop with (i - first) % weight = inside
-    rows = []
+    columns: list[list] = [[] for _ in range(8)]
     for p in plan:
-        seen = dict.fromkeys(p.weights, 0)
+        seen, turns = dict.fromkeys(p.order, 0), Counter(p.order)
         for at, k in enumerate(p.order):
-            if p.first[k] < p.stop[k]:  # a phase can be over before a source's turn
-                rows.append((k, p.first[k], p.stop[k], p.start, len(p.order), p.weights[k], seen[k], at))
+            for c, v in zip(columns, (k, p.first[k], p.stop[k], p.start, len(p.order), turns[k], seen[k], at)):
+                c.append(v)
             seen[k] += 1
     end = sum(p.stop[k] - p.first[k] for p in plan for k in p.weights)
     for k in sorted(set(blocks) - {k for p in plan for k in p.weights}):
-        rows.append((k, 0, blocks[k], end, 1, 1, 0, 0))
+        for c, v in zip(columns, (k, 0, blocks[k], end, 1, 1, 0, 0)):
+            c.append(v)
         end += blocks[k]
-    schedule = spark.createDataFrame(
-        rows, f"`{s}` string, first long, stop long, start long, period long, weight long, inside long, at long"
-    )
+    names = [s, "first", "stop", "start", "period", "weight", "inside", "at"]
+    kinds = [pa.string(), *[pa.int64()] * 7]
+    schedule = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names))
     before = Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col(s).alias(s2), F.col(b).alias(b2), F.coalesce(F.sum("c").over(before), F.lit(0)).alias(off)
@@ -158,11 +190,7 @@ def mix(
     ranked = ranked.select(*own, F.col(s), (F.col(r) + F.col(off)).alias(r))
     ranked = ranked.withColumn(block, F.floor(F.col(r) / block_rows))
     # one row per block, placed by the schedule
-    cells = spark.createDataFrame(list(blocks.items()), f"`{s}` string, n long")
-    cells = cells.select(s, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    spans = schedule.select(s, "first", "stop", "weight").distinct()
-    cells = cells.join(spans, s).where("i >= first and i < stop").withColumn("inside", F.expr("(i - first) % weight"))
-    cells = cells.join(schedule.select(s, "first", "inside", "start", "period", "at"), [s, "first", "inside"]).select(
+    cells = schedule.withColumn("i", F.explode(F.expr("sequence(first + inside, stop - 1, weight)"))).select(
         F.col(s).alias(s2), F.col("i").alias(b2), F.expr("start + (i - first) div weight * period + at").alias(slot)
     )
     placed = ranked.join(cells, (F.col(s) == F.col(s2)) & (F.col(block) == F.col(b2)))

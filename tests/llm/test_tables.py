@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -73,6 +74,35 @@ def test_mix_follows_weights(spark, docs):
         assert r["position"] // 2 == r["slot"]
 
 
+def test_targets_hold_with_one_hot_and_many_small_sources():
+    targets = {"hot": 0.95} | {f"s{i:03d}": 0.05 / 500 for i in range(500)}
+    blocks = {"hot": 30_000} | {f"s{i:03d}": 10 for i in range(500)}
+    total = sum(map(Fraction, targets.values()))
+    share = {s: Fraction(w) / total for s, w in targets.items()}
+    first = mixing.phases(blocks, mixing.exact_weights(targets))[0]
+    done = dict.fromkeys(targets, 0)
+    assert len(first.order) > 30_000
+    for n, s in enumerate(first.order, 1):
+        # a source lags most just before its turn, and leads most just after it
+        assert abs(done[s] - (n - 1) * share[s]) < 1
+        done[s] += 1
+        assert abs(done[s] - n * share[s]) < 1
+        if n % 5000 == 0:
+            assert all(abs(done[k] - n * share[k]) < 1 for k in share)
+
+
+def test_mix_keeps_true_targets(spark):
+    hot = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"))
+    small = spark.range(400).select((F.col("id") + 10_000).alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 200).alias("source"))
+    targets = {"hot": 0.95} | {f"s{i}": 0.05 / 200 for i in range(200)}
+    got = mixing.mix(hot.union(small).withColumn("text", F.lit("t")), targets, block_rows=1).orderBy("position").collect()
+    assert [r["slot"] for r in got] == list(range(4400))
+    done = 0
+    for n, r in enumerate(got[:4000], 1):
+        done += r["source"] == "hot"
+        assert done == 4000 or abs(done - 0.95 * n) < 1.001
+
+
 def test_mix_of_a_hot_source(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("source"))
     got = mixing.mix(rows, {"a": 1, "b": 1}, block_rows=10).collect()
