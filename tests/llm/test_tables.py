@@ -91,6 +91,13 @@ def test_targets_hold_with_one_hot_and_many_small_sources():
             assert all(abs(done[k] - n * share[k]) < 1 for k in share)
 
 
+def test_the_schedule_has_no_more_rows_than_blocks():
+    blocks = {f"s{i:03d}": i + 1 for i in range(300)}
+    found = mixing.phases(blocks, mixing.exact_weights({s: n**0.5 for s, n in blocks.items()}))
+    assert len(found) > 100 and sum(len(p.order) for p in found) <= sum(blocks.values())
+    assert {s: max(p.stop[s] for p in found if s in p.stop) for s in blocks} == blocks
+
+
 def test_mix_keeps_true_targets(spark):
     hot = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"))
     small = spark.range(400).select((F.col("id") + 10_000).alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 200).alias("source"))
