@@ -29,7 +29,7 @@ def op4_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.dedup(docs).select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"))
+    return linededup.dedup(docs, words=linededup.PASSAGE_WORDS).select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,6 +210,53 @@ def test_repeated_passages_go_and_clean_texts_stay(spark):
     assert len(got[8]) < 0.75 * len(text[8])
 
 
+def slow_passages(rows, words=50):
+    """By definition: (doc, unit) pairs that lie in a run of ``words`` words which occurs at an earlier place as well."""
+    seen, gone = {}, set()
+    for doc, text in sorted(rows):
+        ends = linededup.units(text)
+        parts = [text[a:b].strip() for a, b in zip([0, *ends], ends)]
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                if len(" ".join(parts[a:b]).split()) >= words:
+                    first = seen.setdefault(tuple(parts[a:b]), (doc, a, b))
+                    if first != (doc, a, b):
+                        gone |= {(doc, k) for k in range(max(a, first[2]) if first[0] == doc else a, b)}
+    return gone
+
+
+@pytest.mark.parametrize("glue", ("\n", " "))
+def test_all_repeated_passages_go_whole(spark, glue):
+    draw = random.Random(7)
+    fresh = iter(range(10**6))
+    unit = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n)) + "."
+    rows, planted = [], []
+    for n, size in [(2, 30), (3, 20), (4, 14), (5, 12), (6, 10), (10, 10), (4, 12)]:
+        for _ in range(4):
+            shared = [unit(size) for _ in range(n)]
+            for copy in range(2):
+                lines = [unit(draw.randint(3, 15)) for _ in range(draw.randint(0, 6))]
+                at = draw.randint(0, len(lines))
+                planted += [(len(rows), at + k) for k in range(n)] if copy and n * size >= 50 else []
+                rows.append((len(rows), glue.join([*lines[:at], *shared, *lines[at:]])))
+    rows.append((len(rows), glue.join(["the same ten words come here again and again now."] * 12)))
+    gone = slow_passages(rows)
+    assert set(planted) <= gone
+    got = linededup._repeated_runs(
+        spark.createDataFrame([(d, 1, t) for d, t in rows], "doc long, digest long, text string"), 50).collect()
+    found, text = set(), dict(rows)
+    for r in got:
+        ends = linededup.units(text[r["doc"]])
+        found |= {(r["doc"], k) for k, (a, b) in enumerate(zip([0, *ends], ends)) if r["at"] <= a and b <= r["end"]}
+    assert found == gone
+    less = {r["doc_id"]: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=50).collect()}
+    for doc, k in planted:
+        ends = linededup.units(text[doc])
+        assert text[doc][[0, *ends][k] : ends[k]].strip() not in less[doc]["text"]
+    for r in less.values():
+        assert all(a["end"] < b["at"] for a, b in zip(r["removed"], r["removed"][1:]))
+
+
 def test_chunks_partition_in_order():
     for seed in range(30):
         text = "\n".join(passage(random.Random(seed + k).randint(1, 9), seed + k) for k in range(6))
