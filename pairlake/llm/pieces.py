@@ -2,13 +2,13 @@
 
 Merge-type (BPE) models: a text's characters are merged, the best-scored pair
 first (from an agenda), and each candidate merge is skipped if a keyed hash of
-the seed, the variant, the word, the place and the merged piece says so. So one
-seed always gives one segmentation, other seeds and variants give others, and
-all of them decode to the text, character by character. Without dropout the
-segmentation is the model's own.
+the seed, the document, the word, the place and the merged piece says so. So one
+seed always gives one segmentation of a document, other seeds and documents give
+others, and all of them decode to the text, character by character. Without
+dropout the segmentation is the model's own.
 
-Pieces never cross a blank before a word, so words are encoded apart and
-remembered; the memory of a task is bounded.
+Pieces never cross a blank before a word, so words are encoded apart: with dropout
+each word of each document once, and otherwise remembered; the memory of a task is bounded.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pairlake.llm.common import fresh
 #: The file of the public merge-type model, and the sign that stands for a blank in pieces.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-DROPOUT, VARIANTS, SEED, REMEMBERED = 0.1, 1, 42, 200_000
+DROPOUT, SEED, REMEMBERED = 0.1, 42, 200_000
 #: Behind all merges; the longest word that is merged in a table; words and characters handled at a time.
 NEVER, SHORT, TABLE_WORDS, STEP_CHARS = 1 << 31, 40, 8_000, 1_000_000
 MASK = (1 << 64) - 1
@@ -68,8 +68,10 @@ class Model:
         for i in range(known.get_piece_size()):
             piece = known.id_to_piece(i)
             if known.is_byte(i):
-                self.bytes[int(piece[3:5], 16)] = i
-                self.shown.append(int(piece[3:5], 16))
+                byte = int(piece[3:5], 16)
+                self.bytes[byte] = i
+                # a byte below 128 is a character by itself
+                self.shown.append(chr(byte) if byte < 128 else byte)
             elif known.is_control(i) or known.is_unknown(i) or known.is_unused(i):
                 self.shown.append("")
             else:
@@ -112,10 +114,10 @@ class Model:
         made = np.where(known, self.made[at], 0)
         return made, np.where(known, self.places[made], NEVER)
 
-    def words(self, words: list[str], dropout: float, key: int) -> list[bytes]:
+    def words(self, words: list[str], dropout: float, key: int | list[int]) -> list[bytes]:
         """Ids of many short words, as bytes of 32-bit numbers; the agendas of all words advance together.
 
-        A word's agenda is a row of places; each round takes the first best
+        ``key``: of all words, or of each. A word's agenda is a row of places; each round takes the first best
         of every row, and merges or skips it.
         """
         sizes = np.array([len(w) for w in words])
@@ -134,7 +136,8 @@ class Model:
         after = np.broadcast_to(np.arange(1, wide + 2), (n, wide + 1)).copy()
         before = after - 2
         made, agenda = self._join(symbol[:, :-1], symbol[:, 1:])
-        own = np.array([xxhash.xxh3_64_intdigest(w, key) for w in words], np.uint64)
+        keys = [key] * n if isinstance(key, int) else key
+        own = np.array(list(map(xxhash.xxh3_64_intdigest, words, keys)), np.uint64)
         limit = min(int(dropout * (1 << 64)), MASK)
         rows = np.arange(n)
         while len(rows):
@@ -217,10 +220,14 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids from ``word`` on ' ' + text; the blank put before is taken off again."""
+        shown_all = list(map(self.shown.__getitem__, ids))
+        try:
+            return "".join(shown_all)[1:]
+        except TypeError:  # some are bytes of longer characters
+            pass
         parts: list[str] = []
         pending = bytearray()
-        for i in ids:
-            shown = self.shown[i]
+        for shown in shown_all:
             if shown.__class__ is int:
                 pending.append(shown)
                 continue
@@ -234,7 +241,7 @@ class Model:
 
 
 class Words(dict):
-    """Encoded words of one variant, remembered up to a bound, as bytes of 32-bit ids."""
+    """Encoded words of one key, remembered up to a bound, as bytes of 32-bit ids."""
 
     def __init__(self, model: Model, dropout: float, key: int, most: int):
         super().__init__()
@@ -276,24 +283,51 @@ def encode_all(texts: list[str], words: Words) -> list[bytes]:
     return out
 
 
+def encode_each(texts: list[str], keys: list[int], model: Model, dropout: float) -> list[bytes]:
+    """As ``encode_all``, but each text has a key of its own, so that nothing is remembered from text to text."""
+    out: list[bytes] = []
+    some: list[list[str]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        some.append(_WORDS.findall(" " + text) if text else [])
+        size += len(text)
+        if size >= STEP_CHARS or k == len(texts) - 1:
+            own = keys[len(out) : k + 1]
+            known: list[dict[str, bytes]] = [dict.fromkeys(words, b"") for words in some]
+            short: list[tuple[str, int]] = []
+            for n, (found, key) in enumerate(zip(known, own)):
+                for w in found:
+                    if len(w) <= SHORT and w != BLANK and w != "\n":
+                        short.append((w, n))
+                    else:
+                        found[w] = array("i", model.word(w, dropout, key)).tobytes()
+            short.sort(key=lambda x: len(x[0]))  # words of like length fill a table
+            for at in range(0, len(short), TABLE_WORDS):
+                table = short[at : at + TABLE_WORDS]
+                for (w, n), ids in zip(table, model.words([w for w, _ in table], dropout, [own[n] for _, n in table])):
+                    known[n][w] = ids
+            out += [b"".join(map(found.__getitem__, words)) for words, found in zip(some, known)]
+            some, size = [], 0
+    return out
+
+
 def read_model(spark: SparkSession, path: str) -> bytes:
     """The bytes of a model file, by Spark's reader, so that any store will do."""
     url = path if "://" in path else f"file://{path}"
     return bytes(spark.read.format("binaryFile").load(url).select("content").first()[0])
 
 
-def _ids(data, dropout: float, variants: int, seed: int, remembered: int):
+def _ids(data, dropout: float, remembered: int):
     @F.arrow_udf("array<int>")
     def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = Model(data.value)
-        memory = [Words(model, dropout, seed * 1_000_003 + v, remembered // variants) for v in range(variants)]
-        for texts, chosen in parts:
-            plain, which = [t or "" for t in texts.to_pylist()], np.array(chosen.to_pylist())
-            found = [b""] * len(plain)
-            for v, words in enumerate(memory):
-                own = np.flatnonzero(which == v).tolist()
-                for k, ids in zip(own, encode_all([plain[k] for k in own], words)):
-                    found[k] = ids
+        words = Words(model, dropout, 0, remembered)
+        for texts, keys in parts:
+            plain = [t or "" for t in texts.to_pylist()]
+            if dropout > 0:
+                found = encode_each(plain, [k & MASK for k in keys.to_pylist()], model, dropout)
+            else:
+                found = encode_all(plain, words)
             ends = np.cumsum([0] + [len(f) // 4 for f in found]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
@@ -302,22 +336,22 @@ def _ids(data, dropout: float, variants: int, seed: int, remembered: int):
 
 
 def encode(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, dropout: float = DROPOUT, variants: int = VARIANTS,
-    seed: int = SEED, remembered: int = REMEMBERED,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """``docs`` with ``ids`` (underscores put before if there is such a column).
 
-    A row's variant is a hash of its key and the seed, so rows with equal keys and
-    texts have equal ids. With one variant a word is cut alike all through a run, and
-    otherwise under another seed; more variants vary it inside a run, and cost more,
-    as each remembers its own words. Null and empty texts have no ids; a null key is a key.
+    The dropout of a row hangs on its key and the seed, so a word is cut differently
+    from document to document, alike inside of one, and rows with equal keys and texts
+    have equal ids. A row without key takes its text as the key. Null and empty texts
+    have no ids. ``remembered``: words that a task keeps where there is no dropout.
     Other columns and an empty table pass through. One row for each row given, no
     shuffle; the model is read once and broadcast.
     """
-    name, variant = fresh(docs, "ids", "_variant")
+    name, own = fresh(docs, "ids", "_own")
     data = docs.sparkSession.sparkContext.broadcast(read_model(docs.sparkSession, model))
-    which = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(variants)).cast("int")
-    return docs.withColumn(variant, which).withColumn(name, _ids(data, dropout, variants, seed, remembered)(F.col(text), F.col(variant))).drop(variant)
+    keyed = docs.withColumn(own, F.xxhash64(F.lit(seed), F.col(key), F.when(F.col(key).isNull(), F.col(text))))
+    return keyed.withColumn(name, _ids(data, dropout, remembered)(F.col(text), F.col(own))).drop(own)
 
 
 def decode(docs: DataFrame, ids: str = "ids", model: str = MODEL) -> Column:

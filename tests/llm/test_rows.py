@@ -309,3 +309,24 @@ def test_pieces_of_documents(spark, docs):
     assert coded.where(~pieces.decode(coded).eqNullSafe(F.col("text"))).count() == 0
     other = pieces.encode(docs, seed=43).select("doc_id", F.col("ids").alias("o"))
     assert coded.join(other, "doc_id").where("ids != o").count() > docs.count() / 2
+
+
+def test_dropout_varies_by_document(spark, model):
+    text = "the international transformation of information"
+    rows = [(i, text) for i in range(40)] + [(3, text), (None, text), (None, text + " x")]
+    coded = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), dropout=0.3).collect()
+    per = {}
+    for r in coded:
+        assert model.decode(r["ids"]) == r["text"]
+        per.setdefault((r["doc_id"], r["text"]), set()).add(tuple(r["ids"]))
+    assert all(len(v) == 1 for v in per.values())
+    # one word, many segmentations in one run
+    assert len(set().union(*per.values())) > 20
+
+
+def test_texts_with_own_keys_follow_the_rule(model, docs):
+    texts = [r["text"] for r in docs.limit(20).collect()] + ROUND_TRIPS
+    keys = [k * 0x9E3779B97F4A7C15 & pieces.MASK for k in range(len(texts))]
+    for text, key, ids in zip(texts, keys, pieces.encode_each(texts, keys, model, 0.1)):
+        want = [i for w in (pieces._WORDS.findall(" " + text) if text else []) for i in model.word(w, 0.1, key)]
+        assert np.frombuffer(ids, np.int32).tolist() == want
