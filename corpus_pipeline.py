@@ -39,9 +39,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, ids, text): the codes of each document, and the text that they decode to."""
-    coded = pieces.encode(docs).select("doc_id", "lang", "source", "ids")
-    return coded.withColumn("text", pieces.decode(coded))
+    """(doc_id, lang, source, ids, text, position): the codes of each document, the text that they decode to, and its place in the mixed order."""
+    placed, position = mixing.read_position(docs)
+    coded = pieces.encode(placed).select("doc_id", "lang", "source", "ids", F.col(position).alias("position"))
+    return coded.select("doc_id", "lang", "source", "ids", pieces.decode(coded).alias("text"), "position")
 
 
 STAGES = [

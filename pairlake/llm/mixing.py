@@ -18,6 +18,7 @@ to the driver; the driver's time grows with the blocks and with phases times sou
 from __future__ import annotations
 
 import heapq
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ from fractions import Fraction
 from math import gcd, lcm
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairlake.functions.draws import DRAW_BITS, draw
@@ -201,3 +203,27 @@ def ordered(df: DataFrame, **options) -> DataFrame:
     """``df`` in mixed order, with its own columns only: files and partitions follow the sequence."""
     placed = mix(df, **options)
     return placed.orderBy(placed.columns[-1]).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def read_position(df: DataFrame, **options) -> tuple[DataFrame, str]:
+    """``df`` with the name of a new column that ascends (with gaps) in the mixed order, for what ``ordered`` gave.
+
+    Rows read again from files have it from the numbers in the file's name and the
+    row's place in the file, as Spark reads files in any order. Rows that come from
+    no file, or from files that Spark did not write, are placed anew by ``mix`` with the same options.
+    """
+    name = fresh(df, "position")[0]
+    try:
+        if not all(re.search(r"/part-\d+[^/]*$", f) for f in df.inputFiles()):
+            raise AnalysisException("not written by Spark")
+        held = df.select("*", F.col("_metadata.file_name").alias(f"_file_{name}"), F.col("_metadata.row_index").alias(f"_row_{name}"))
+        held.schema  # noqa: B018
+    except AnalysisException:
+        placed = mix(df, **options)
+        extra = placed.columns[len(df.columns) :]
+        return placed.withColumnRenamed(extra[-1], name).drop(*extra[:-1]), name
+    file, row = F.col(f"_file_{name}"), F.col(f"_row_{name}")
+    # part-<task>-<id>-c<file of the task>: 20 bits, 10 bits, and 33 bits for rows
+    part = F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
+    own = F.coalesce(F.regexp_extract(file, r"[-.]c(\d+)\.", 1).try_cast("long"), F.lit(0).cast("long"))
+    return held.withColumn(name, F.shiftleft(part, 43) + F.shiftleft(own, 33) + row).drop(f"_file_{name}", f"_row_{name}"), name

@@ -385,6 +385,25 @@ def test_mixed_order_is_kept_by_files(spark, docs, tmp_path):
     assert [order[d] for d in read] == sorted(order.values())
 
 
+def test_run_returns_the_mixed_order(spark, tmp_path, monkeypatch):
+    rows = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id")), (F.col("id") % 50 + 1).cast("int")).alias("text"),
+        F.lit("en").alias("lang"), F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "source", "position").orderBy("position").collect()
+    want = mixing.mix(rows).orderBy("position").collect()
+    assert len({r["position"] for r in got}) == 3000 and [r["doc_id"] for r in got] == [r["doc_id"] for r in want]
+    # by default the targets are 2 to 1 here: 2400 and 600 rows by their square roots
+    done = 0
+    for n, r in enumerate(got[:1500], 1):
+        done += r["source"] == "b"
+        assert abs(done - n / 3) <= 16
+    # and for rows that come from no file
+    loose = corpus_pipeline.piece_codes(spark, spark.createDataFrame(rows.limit(300).collect(), rows.schema), "")
+    assert len({r["position"] for r in loose.collect()}) == 300
+
+
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_same_as_sql(spark, name):
     con = pytest.importorskip("duckdb").connect()
