@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairlake.llm import ann, classifier, linededup, mixing, ngramjoin, pieces, pii, quality, secretscan, sharding
+from pairlake.llm import alignment, ann, classifier, linededup, mixing, ngramjoin, pieces, pii, quality, secretscan, sharding
 from pairlake.llm.common import table
+from pairlake.session import cut
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +61,22 @@ def op10_slot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    wanted = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")
+    # encoded once: the links of each document are written, not the texts
+    rows = cut(alignment.align(docs, wanted=wanted).select("doc_id", "aligned.*"))
+    held = alignment.strength(F.col("links"), alignment.pair_counts(F.col("links"), rows))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", held.alias("held"), "groups_sha256").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "held.n_best", "held.count_sum", "groups_sha256"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_secret_scan, op3_source_mix, op4_one_bit_search, op5_line_dedup, op6_quality_rules, op7_piece_codes,
-        op8_personal_data, op9_quality_votes, op10_slot_table,
+        op8_personal_data, op9_quality_votes, op10_slot_table, op11_token_alignment,
     )
 }
 
