@@ -1,5 +1,9 @@
 """Edit distances between two columns, over whole texts.
 
+With a limit, or where two long inputs differ little, the furthest points that so
+many edits reach on each diagonal are enough (Ukkonen, 1985): the work grows with
+the square of the distance, and with the length only to compare equal runs.
+
 Long inputs use the bit-parallel row update of Myers (1999) in Hyyro's form,
 inside Arrow batches: about 20 times faster than a cell-by-cell table and with
 no limit on length or on the number of distinct symbols. Short texts stay in
@@ -14,7 +18,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from pairlake.functions.costs import Costs, Table
+
 SHORT_CELLS = 64 * 64
+#: Symbols compared at first when a run of equal ones is looked for; doubled while they are equal.
+RUN = 32
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
@@ -60,6 +68,54 @@ def _without_ends(a: Sequence, b: Sequence) -> tuple[Sequence, Sequence]:
     return a, b
 
 
+def coded(a: Sequence, b: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """Both as numbers, equal just where the symbols are."""
+    if isinstance(a, str) and isinstance(b, str):
+        return tuple(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for x in (a, b))
+    known: dict = {}
+    return tuple(np.array([known.setdefault(s, len(known)) for s in x], np.int64) for x in (a, b))
+
+
+def _run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many symbols from a[i] and b[j] on are equal."""
+    most, at, wide = min(len(a) - i, len(b) - j), 0, RUN
+    while at < most:
+        differ = a[i + at : i + min(at + wide, most)] != b[j + at : j + min(at + wide, most)]
+        stop = int(differ.argmax())
+        if differ[stop]:
+            return at + stop
+        at += len(differ)
+        wide *= 2
+    return most
+
+
+def within(a: Sequence, b: Sequence, limit: int) -> int | None:
+    """Unit-cost distance of two sequences if it is at most ``limit``, else None."""
+    if limit < 0 or abs(len(a) - len(b)) > limit:
+        return None
+    x, y = coded(*_without_ends(a, b))
+    return _reach(x, y, limit)
+
+
+def _reach(x: np.ndarray, y: np.ndarray, limit: int) -> int | None:
+    n, m = len(x), len(y)
+    goal = m - n
+    far = {0: _run(x, y, 0, 0)}  # diagonal j - i -> furthest i
+    for edits in range(limit + 1):
+        if far.get(goal, -1) >= n:
+            return edits
+        if edits == limit:
+            return None
+        rest, after = limit - edits - 1, {}
+        for k in range(max(-edits - 1, goal - rest), min(edits + 1, goal + rest) + 1):
+            i = max(far.get(k, -2) + 1, far.get(k - 1, -2), far.get(k + 1, -2) + 1)
+            i = min(i, n, m - k)
+            if i >= 0 and i + k >= 0:
+                after[k] = i + _run(x, y, i, i + k)
+        far = after
+    return None
+
+
 def contained(short: Sequence, long: Sequence) -> bool:
     """Whether ``short`` arises from ``long`` by leaving symbols out: then only their number counts."""
     rest = iter(long)
@@ -69,7 +125,18 @@ def contained(short: Sequence, long: Sequence) -> bool:
 def distance(a: Sequence, b: Sequence) -> int:
     """``edit_distance`` with the quick cases first (a text mixed whole into another)."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    return len(long) - len(short) if contained(short, long) else edit_distance(a, b)
+    if contained(short, long):
+        return len(long) - len(short)
+    # few edits in long inputs: cheaper than a row of bits per symbol, with a limit that doubles as long as that holds
+    a, b = _without_ends(a, b)
+    limit, most = 8, len(long) // 256
+    if limit <= most:
+        x, y = coded(a, b)
+        while limit <= most:
+            if abs(len(x) - len(y)) <= limit and (found := _reach(x, y, limit)) is not None:
+                return found
+            limit *= 2
+    return edit_distance(a, b)
 
 
 def _pairwise(a: pd.Series, b: pd.Series, split) -> pd.Series:
@@ -110,33 +177,56 @@ def token_distance(a: Column, b: Column) -> Column:
     return _joined_tokens(a, b)
 
 
-def weighted(a: Sequence, b: Sequence, insert: float, remove: float, update: float) -> float:
-    """Distance with own costs; one numpy row per symbol of ``a``.
+def token_distance_within(a: Column, b: Column, limit: int) -> Column:
+    """Distance of two token sequences (blank-joined texts) where it is at most ``limit``, else -1; null for null."""
+
+    @F.pandas_udf(T.LongType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y):
+            found = None if p is None or q is None else within(p.split(" ") if p else [], q.split(" ") if q else [], limit)
+            out.append(None if p is None or q is None else -1 if found is None else found)
+        return pd.Series(out, dtype="Int64")
+
+    return run(a, b)
+
+
+def weighted(
+    a: Sequence, b: Sequence, insert: float = 1.0, remove: float = 1.0, update: float = 1.0, costs: Costs | None = None
+) -> float:
+    """Distance with own costs (``costs``, or three numbers); one numpy row per symbol of ``a``.
 
     The dependence on the left neighbour is a running minimum after taking the
-    insertion slope out.
+    cost of the insertions out.
     """
-    code: dict = {}
-    left = [code.setdefault(x, len(code)) for x in a]
-    right = np.array([code.setdefault(x, len(code)) for x in b], dtype=np.int64)
-    slope = np.arange(len(right) + 1) * float(insert)
-    row = slope.copy()
-    for symbol in left:
-        best = row + remove
-        best[1:] = np.minimum(best[1:], row[:-1] + np.where(right == symbol, 0.0, update))
+    costs = costs or Costs(insert, remove, update)
+    kinds = {s: k for k, s in enumerate(dict.fromkeys(b))}
+    right = np.array([kinds[s] for s in b], np.int64)
+    slope = np.concatenate([[0.0], np.cumsum(costs.inserted(b))])
+    row, change = slope.copy(), {}
+    for symbol, gone in zip(a, costs.removed(a).tolist()):
+        if symbol not in change:
+            change[symbol] = costs.changed(symbol, kinds)
+        best = row + gone
+        best[1:] = np.minimum(best[1:], row[:-1] + change[symbol][right])
         row = np.minimum.accumulate(best - slope) + slope
-    return float(row[-1])
+    return float(row[-1]) / costs.scale
+
 
+def weighted_distance(
+    a: Column, b: Column, insert: float = 1.0, remove: float = 1.0, update: float = 1.0, table: Table | None = None
+) -> Column:
+    """Token distance (blank-joined texts) with caller-given costs, from ``a`` to ``b``.
 
-def weighted_distance(a: Column, b: Column, insert: float = 1.0, remove: float = 1.0, update: float = 1.0) -> Column:
-    """Token distance (blank-joined texts) with caller-given costs, from ``a`` to ``b``."""
+    ``table``: costs of single tokens, as ``Costs`` takes them.
+    """
+    costs = Costs(insert, remove, update, dict(table or {}))
 
     @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         cut = lambda t: t.split(" ") if t else []
         return pd.Series(
-            [None if p is None or q is None else weighted(cut(p), cut(q), insert, remove, update) for p, q in zip(x, y)],
-            dtype="float64",
+            [None if p is None or q is None else weighted(cut(p), cut(q), costs=costs) for p, q in zip(x, y)], dtype="float64"
         )
 
     return run(a, b)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pairlake.functions.bind import let
+from pairlake.functions.costs import Costs, Table
 from pairlake.functions.lexer import js_escape
 from pairlake.functions.text import line_count
 from pairlake.functions.treedist import forest_within, tree_distance as _pair_distance
@@ -144,18 +145,31 @@ def with_parent(tree: DataFrame, key: str) -> DataFrame:
 
 def strip_keys(stream: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     """The stream without nodes labelled by one of ``names`` and everything below them."""
+    return _without(stream, key, F.col("label").isin(*names))
+
+
+def select_children(stream: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """The stream with only those nodes that are to count as children.
+
+    A node with a label stays if the label is one of ``names`` and its holder stays;
+    one without a label (an element of an array, the whole text) stays where its holder does.
+    """
+    return _without(stream, key, (F.col("label") != "") & ~F.col("label").isin(*names))
+
+
+def _without(stream: DataFrame, key: str, gone: Column) -> DataFrame:
+    """The stream without the nodes that ``gone`` says, and everything below them."""
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     s = stream.withColumn("_run", F.sum("delta").over(w))
     s = s.withColumn("_level", F.when(F.col("delta") == -1, F.col("_run") + 1).otherwise(F.col("_run")))
-    s = s.withColumn("_hit", F.col("label").isin(*names) & (F.col("delta") >= 0))
+    s = s.withColumn("_hit", gone & (F.col("delta") >= 0))
     # a closing mark takes the verdict of the container it closes: the bracket before it on its level
     own = Window.partitionBy(key, "_level", F.col("delta") == 0).orderBy("pos")
     s = s.withColumn("_opened", F.lag("_hit").over(own))
     s = s.withColumn("_hit", F.when(F.col("delta") == -1, F.col("_opened")).otherwise(F.col("_hit"))).drop("_opened")
     inside = F.sum(F.when(F.col("_hit"), F.col("delta")).otherwise(0)).over(w)
     s = s.withColumn("_in", inside)
-    gone = (F.col("_in") > 0) | F.col("_hit")
-    return s.where(~gone).select(*stream.columns)
+    return s.where(~((F.col("_in") > 0) | F.col("_hit"))).select(*stream.columns)
 
 
 def json_node_count(json: Column) -> Column:
@@ -274,28 +288,44 @@ def _parse(text: str) -> tuple[list[int], list[str]]:
     return [int(d) for d, _ in parts], [label for _, label in parts]
 
 
-def _text_distance(x: str | None, y: str | None, insert: float, remove: float, update) -> float | None:
+def _text_distance(
+    x: str | None, y: str | None, insert: float = 1, remove: float = 1, update=None, costs: Costs | None = None
+) -> float | None:
     if x is None or y is None:
         return None
+    costs = costs or Costs(insert, remove, 1.0 if update is None else update)
     (da, la), (db, lb) = _parse(x), _parse(y)
-    if update is None and len(la) <= len(lb) and forest_within(da, la, db, lb):
-        return (len(lb) - len(la)) * float(insert)
-    if update is None and len(lb) < len(la) and forest_within(db, lb, da, la):
-        return (len(la) - len(lb)) * float(remove)
-    # with the root above the top-level nodes, equal in both trees
-    return _pair_distance([0, *da], ["", *la], [0, *db], ["", *lb], insert, remove, update)
+    if costs.unit and len(la) <= len(lb) and forest_within(da, la, db, lb):
+        return float(len(lb) - len(la))
+    if costs.unit and len(lb) < len(la) and forest_within(db, lb, da, la):
+        return float(len(la) - len(lb))
+    return _pair_distance(da, la, db, lb, costs=costs)
 
 
-def tree_distance(a: Column, b: Column, insert: float = 1, remove: float = 1, update=None) -> Column:
-    """Exact ordered tree distance of two tree texts; ``update(x, y)`` costs a label change."""
+def tree_distance(a: Column, b: Column, insert: float = 1, remove: float = 1, update=None, table: Table | None = None) -> Column:
+    """Exact ordered tree distance of two tree texts.
+
+    ``update``: cost of a label change, a number or a function of two labels; ``table``: costs of single labels,
+    as ``Costs`` takes them.
+    """
+    costs = Costs(insert, remove, 1.0 if update is None else update, dict(table or {}))
 
     @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_text_distance(p, q, insert, remove, update) for p, q in zip(x, y)], dtype="float64")
+        return pd.Series([_text_distance(p, q, costs=costs) for p, q in zip(x, y)], dtype="float64")
 
     return run(a, b)
 
 
+def _difference(pairs: DataFrame, pair: str, a: str, b: str, counts: DataFrame, key: str, *by: str) -> DataFrame:
+    """(pair, net, gross): by how much the counts ``c`` of two trees differ, with and without sign. Counts meet the pairs, not nodes."""
+    side = lambda col, sign: pairs.select(pair, F.col(col).alias(key)).join(counts, key).select(
+        pair, *by, (F.col("c") * sign).alias("d")
+    )
+    both = side(a, 1).unionByName(side(b, -1)).groupBy(pair, *by).agg(F.sum("d").alias("d"))
+    return both.groupBy(pair).agg(F.sum("d").alias("net"), F.sum(F.abs("d")).alias("gross"))
+
+
 def tree_bound(pairs: DataFrame, pair: str, a: str, b: str, tree: DataFrame, key: str) -> DataFrame:
     """(pair, bound): at least this many unit edits, from label counts alone.
 
@@ -303,29 +333,69 @@ def tree_bound(pairs: DataFrame, pair: str, a: str, b: str, tree: DataFrame, key
     needed. Counts are pre-aggregated per tree before they meet the pairs.
     """
     counts = tree.groupBy(key, "label").agg(F.count("*").alias("c"))
-    side = lambda col, sign: pairs.select(pair, F.col(col).alias(key)).join(counts, key).select(
-        pair, "label", (F.col("c") * sign).alias("d")
-    )
-    both = side(a, 1).unionByName(side(b, -1)).groupBy(pair, "label").agg(F.sum("d").alias("d"))
-    bound = both.groupBy(pair).agg(F.sum("d").alias("net"), F.sum(F.abs("d")).alias("gross"))
+    bound = _difference(pairs, pair, a, b, counts, key, "label")
     bound = bound.select(pair, ((F.abs("net") + F.col("gross")) / 2).cast("bigint").alias("bound"))
     return pairs.select(pair).join(bound, pair, "left").select(pair, F.coalesce("bound", F.lit(0)).alias("bound"))
 
 
+def tree_grams(tree: DataFrame, key: str) -> DataFrame:
+    """(key, label, child, sibling, c): how often a tree has a node with this first child and this next sibling; '' where it has none.
+
+    The root above the top-level nodes is one of them (its label is null).
+    """
+    placed = with_parent(tree.select(key, "node_id", "depth", "label", "kind"), key)
+    at = Window.partitionBy(key, "parent_id").orderBy("node_id")
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # no node is no label
+    placed = placed.select(
+        key, "node_id", "parent_id", "label", marked(F.lead("label").over(at)).alias("sibling"), F.row_number().over(at).alias("_n"))
+    firsts = placed.where("_n = 1").select(key, F.col("parent_id").alias("node_id"), marked(F.col("label")).alias("child"))
+    # the root is told by its first child; a tree without nodes has no grams
+    own = F.struct("label", F.coalesce("child", F.lit("")).alias("child"), "sibling")
+    root = F.struct(F.lit(None).cast("string").alias("label"), marked(F.col("label")).alias("child"), F.lit("").alias("sibling"))
+    at_top = (F.col("parent_id") == -1) & (F.col("_n") == 1)
+    both = placed.join(firsts, [key, "node_id"], "left").select(key, F.explode(F.when(at_top, F.array(own, root)).otherwise(F.array(own))).alias("g"))
+    return both.select(key, "g.*").groupBy(key, "label", "child", "sibling").agg(F.count("*").alias("c"))
+
+
+def structure_bound(pairs: DataFrame, pair: str, a: str, b: str, tree: DataFrame, key: str) -> DataFrame:
+    """(pair, bound): at least this many unit edits, from the nodes' grams (``tree_grams``).
+
+    An insertion or removal changes the grams of the node, of the one that comes
+    before it (its parent or left sibling) and of its last child: five more or fewer
+    at most; a new label changes four. So the grams that two trees do not share are
+    at most five times the edits (Yang, Kalnis and Tung, 2005). Grams of longer
+    paths and several children have no such factor: it grows with the children of a node.
+    """
+    counts = tree_grams(tree, key)
+    bound = _difference(pairs, pair, a, b, counts, key, "label", "child", "sibling")
+    bound = bound.select(pair, F.ceil(F.col("gross") / 5).cast("bigint").alias("bound"))
+    return pairs.select(pair).join(bound, pair, "left").select(pair, F.coalesce("bound", F.lit(0)).alias("bound"))
+
+
 def tree_distance_within(
-    pairs: DataFrame, pair: str, a: str, b: str, tree: DataFrame, key: str, limit: int | None = None
+    pairs: DataFrame, pair: str, a: str, b: str, tree: DataFrame, key: str, limit: int | None = None, costs: Costs | None = None
 ) -> DataFrame:
     """(pair, distance, exact): the exact distance; with ``limit``, pairs whose lower
-    bound is above it keep the bound and exact = false."""
+    bound is above it keep the bound and exact = false.
+
+    The bound is the larger one of those by label counts and by structure. With own ``costs`` there is no bound and so no limit.
+    """
+    costs = costs or Costs()
     texts = tree_texts(tree, key)
     ids = pairs.select(pair, a, b)
     left = texts.select(F.col(key).alias(a), F.col("tree").alias("_a"))
     right = texts.select(F.col(key).alias(b), F.col("tree").alias("_b"))
     both = ids.join(left, a, "left").join(right, b, "left").fillna("", ["_a", "_b"])
-    both = fan_out(both, pair)
+    exact = lambda x, y: tree_distance(x, y, costs.insert, costs.remove, costs.update, costs.table)
     if limit is None:
-        return both.select(pair, tree_distance(F.col("_a"), F.col("_b")).cast("bigint").alias("distance"), F.lit(True).alias("exact"))
-    both = both.join(tree_bound(pairs, pair, a, b, tree, key), pair)
+        whole = exact(F.col("_a"), F.col("_b"))
+        whole = whole.cast("bigint") if costs.unit else whole
+        return fan_out(both, pair).select(pair, whole.alias("distance"), F.lit(True).alias("exact"))
+    if not costs.unit:
+        raise ValueError("a limit needs unit costs: the bounds count edits")
+    bounds = tree_bound(pairs, pair, a, b, tree, key).withColumnRenamed("bound", "_l").join(
+        structure_bound(pairs, pair, a, b, tree, key).withColumnRenamed("bound", "_s"), pair)
+    both = fan_out(both.join(bounds.select(pair, F.greatest("_l", "_s").alias("bound")), pair), pair)
     near = F.col("bound") <= limit
-    exact = tree_distance(F.when(near, F.col("_a")), F.when(near, F.col("_b"))).cast("bigint")
-    return both.select(pair, F.coalesce(exact, "bound").alias("distance"), near.alias("exact"))
+    found = exact(F.when(near, F.col("_a")), F.when(near, F.col("_b"))).cast("bigint")
+    return both.select(pair, F.coalesce(found, "bound").alias("distance"), near.alias("exact"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from pairlake.operators.trees import TAG_GROUPS
 from pairlake.plans import flagship as flagship_plan
-from pairlake.plans import learning, measuring, modelling, pairing, perturbing, storing, texts
+from pairlake.plans import editing, learning, measuring, modelling, pairing, perturbing, storing, texts
 
-MODULES = (flagship_plan, pairing, texts, perturbing, measuring, learning, modelling, storing)
+MODULES = (flagship_plan, pairing, texts, perturbing, measuring, editing, learning, modelling, storing)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
 flagship = flagship_plan.flagship

@@ -8,6 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from pairlake.functions import edit, vectors
+from pairlake.functions.costs import Costs, cost_table
 from pairlake.operators import distances, report
 
 
@@ -128,3 +129,58 @@ def test_token_stats(spark):
     assert tuple(report.token_stats(t, ["k"]).first()) == (5, 3, 2, 3)
     assert tuple(report.token_stats(t, ["k"], approximate=True).first()) == (5, 3, 2, 3)
     assert {r.value: r.freq for r in report.token_frequencies(t).collect()} == {"a": 3, "b": 1, "c": 1}
+
+
+@pytest.mark.parametrize("limit", [0, 1, 4, 30])
+def test_distance_within_a_limit(limit):
+    rng = random.Random(limit)
+    for _ in range(300):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.choice("abcd")] * rng.randint(0, 1)
+        d = edit.edit_distance(a, b)
+        assert edit.within(a, b, limit) == edit.within("".join(a), "".join(b), limit) == (d if d <= limit else None)
+
+
+def test_long_sequences_with_few_edits_are_quick():
+    import time
+
+    rng = random.Random(1)
+    a = [f"w{rng.randrange(1000)}" for _ in range(100_000)]
+    b = list(a)
+    for k in range(50):
+        at = rng.randrange(len(b))
+        b[at : at + (k % 3 > 0)] = ["new"] * (k % 3 < 2)
+    edit.within(a[:100], b[:100], 5)
+    start = time.time()
+    d = edit.within(a, b, 60)
+    assert time.time() - start < 1 and 40 <= d <= 50
+    assert edit.within(a, b, d) == d and edit.within(a, b, d - 1) is None
+    assert edit.distance(a[:6000], b[:6000]) == edit.edit_distance(a[:6000], b[:6000])
+
+
+def test_costs_of_single_symbols():
+    costs = Costs(1.0, 2.0, 2.5, {("a", "b"): 0.25, ("a", None): 0.5, (None, "c"): 4.0, ("b", "b"): 0.125})
+    assert edit.weighted("a", "b", costs=costs) == 0.25 and edit.weighted("b", "a", costs=costs) == 2.5
+    assert edit.weighted("aa", "", costs=costs) == 1.0 and edit.weighted("", "cb", costs=costs) == 5.0
+    assert edit.weighted("b", "b", costs=costs) == 0.125  # named, so not free
+    assert edit.weighted("xb", "b", costs=Costs(update=lambda x, y: 9.0 * (x != y))) == 1.0
+    assert Costs(0.1, 0.2, 0.3).scale == 10
+
+
+def test_cost_table_is_checked(spark):
+    rows = spark.createDataFrame([("a", "b", 0.5), (None, "b", 1.0)], "a string, b string, cost double")
+    assert cost_table(rows) == {("a", "b"): 0.5, (None, "b"): 1.0}
+    for wrong in (rows.union(rows), rows.selectExpr("null as a", "null as b", "cost").limit(1), rows.selectExpr("a", "b", "null as cost")):
+        with pytest.raises(ValueError):
+            cost_table(wrong)
+    with pytest.raises(ValueError):
+        cost_table(rows, most=1)
+
+
+def test_token_distance_within_of_odd_rows(spark):
+    df = spark.createDataFrame([("a b c", "a c"), ("", ""), (None, "a"), ("a b", "c d e f")], "x string, y string")
+    got = [r.d for r in df.select(edit.token_distance_within(F.col("x"), F.col("y"), 2).alias("d")).collect()]
+    assert got == [1, 0, None, -1]

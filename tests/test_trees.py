@@ -120,10 +120,9 @@ def brute(f, g):
     return min(brute(f[:-1] + v[1], g) + 1, brute(f, g[:-1] + w[1]) + 1, brute(v[1], w[1]) + brute(f[:-1], g[:-1]) + (v[0] != w[0]))
 
 
-@pytest.mark.parametrize("wide", [0, 48])
-def test_tree_distance_is_exact(monkeypatch, wide):
-    monkeypatch.setattr(treedist, "WIDE", wide)
-    rng = random.Random(wide)
+@pytest.mark.parametrize("seed", [0, 48])
+def test_tree_distance_is_exact(seed):
+    rng = random.Random(seed)
 
     def tree():
         depths = [0]
@@ -131,7 +130,7 @@ def test_tree_distance_is_exact(monkeypatch, wide):
             depths.append(rng.randint(1, depths[-1] + 1))
         return depths, [rng.choice("abc") for _ in depths]
 
-    for _ in range(120):
+    for _ in range(600):
         a, b = tree(), tree()
         d = treedist.tree_distance(*a, *b)
         assert d == brute(forest(*a), forest(*b)) == treedist.tree_distance(*b, *a)
@@ -165,6 +164,87 @@ def test_tree_costs():
     assert treedist.tree_distance([0], ["a"], [0], ["b"], update=lambda x, y: 0.5 * (x != y)) == 0.5
 
 
+def test_whole_trees_of_many_shapes_are_exact():
+    """Deep, broad and lopsided ones, where paths nest on both sides; none is trimmed away."""
+    rng = random.Random(3)
+
+    def tree(size, deep):
+        depths = [0]
+        while len(depths) < size:
+            depths.append(depths[-1] + 1 if rng.random() < deep else rng.randint(1, depths[-1] + 1))
+        return depths, [rng.choice("ab") for _ in depths]
+
+    for _ in range(60):
+        a, b = tree(rng.randint(5, 11), rng.random()), tree(rng.randint(5, 11), rng.random())
+        plain = treedist._distance(*[treedist.Forest(*treedist.post_order(*t)) for t in (a, b)], treedist.Costs())
+        turned = treedist._distance(*[treedist.Forest(*treedist.post_order(*t)).mirrored() for t in (a, b)], treedist.Costs())
+        assert plain == turned == brute(forest(*a), forest(*b)) == treedist.tree_distance(*a, *b)
+
+
+@functools.lru_cache(None)
+def brute_costs(f, g, costs):
+    names = dict(costs)
+    cost = lambda x, y, plain: names.get((x, y), plain)
+    gone = lambda x: sum(cost(n[0], None, 2) + gone(n[1]) for n in x)
+    made = lambda x: sum(cost(None, n[0], 0.5) + made(n[1]) for n in x)
+    if not f or not g:
+        return gone(f) + made(g)
+    v, w = f[-1], g[-1]
+    return min(
+        brute_costs(f[:-1] + v[1], g, costs) + cost(v[0], None, 2), brute_costs(f, g[:-1] + w[1], costs) + cost(None, w[0], 0.5),
+        brute_costs(v[1], w[1], costs) + brute_costs(f[:-1], g[:-1], costs) + cost(v[0], w[0], 0 if v[0] == w[0] else 1.25))
+
+
+def test_tree_distance_with_a_cost_table():
+    rng = random.Random(4)
+    table = {("a", "b"): 0.25, ("b", "a"): 3.0, ("a", None): 0.75, (None, "c"): 7.0, ("c", "c"): 0.125, (None, "a"): 0.0}
+
+    def tree():
+        depths = [rng.randint(0, 0)]
+        for _ in range(rng.randint(0, 5)):
+            depths.append(rng.randint(0, depths[-1] + 1))
+        return depths, [rng.choice("abc") for _ in depths]
+
+    costs = treedist.Costs(0.5, 2, 1.25, table)
+    for _ in range(200):
+        a, b = tree(), tree()
+        assert treedist.tree_distance(*a, *b, costs=costs) == brute_costs(forest(*a), forest(*b), tuple(table.items()))
+        by_call = treedist.Costs(0.5, 2, lambda x, y: 0 if x == y else 1.25, table)
+        assert treedist.tree_distance(*a, *b, costs=by_call) == pytest.approx(treedist.tree_distance(*a, *b, costs=costs))
+    for wrong in ({"insert": -1}, {"update": float("inf")}, {"table": {("a", "b"): float("nan")}}):
+        with pytest.raises(ValueError):
+            treedist.Costs(**wrong)
+
+
+def test_trimmed_trees_leave_what_differs():
+    one = treedist.Forest(*treedist.post_order([0, 1, 2, 1, 1], list("rabcd")))
+    two = treedist.Forest(*treedist.post_order([0, 1, 2, 1, 2, 1], list("rabxyd")))
+    a, b = treedist.trimmed(one, two)
+    assert a.labels == ["c"] and b.labels == ["y", "x"]
+    assert [len(t.labels) for t in treedist.trimmed(one, one)] == [0, 0]
+
+
+def page(rows, seed):
+    """Depths and labels of a page with a long table and some changed cells."""
+    rng = random.Random(seed)
+    depths, labels = [0, 1], ["html", "body"]
+    while len(depths) < rows:
+        depths += [2, 3, 4, 4, 5, 4, 3, 4, 5, 5]
+        labels += ["div", "p", "a", rng.choice(["b", "i"]), "em", "span", "ul", rng.choice(["li", "dt"]), "a", rng.choice(["img", "br"])]
+    return depths[:rows], labels[:rows]
+
+
+def test_pages_of_many_nodes_take_little_memory():
+    import resource
+    import time
+
+    a, b = page(4_000, 1), page(4_000, 2)
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    d = treedist.tree_distance(*a, *b)
+    assert 0 < d < 2_000 and time.time() - start < 60
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
 def test_bound_and_limit(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     ids = [r.page_id for r in pages.select("page_id").orderBy("page_id").collect()]
@@ -177,3 +257,43 @@ def test_bound_and_limit(spark):
     limit = sorted(bound.values())[len(bound) // 2]
     for r in trees.tree_distance_within(made, "pair_id", "a", "b", tree, "page_id", limit).collect():
         assert r.exact == (bound[r.pair_id] <= limit) and r.distance == (exact if r.exact else bound)[r.pair_id]
+
+
+def test_structure_bounds_the_distance(spark):
+    rng = random.Random(6)
+    tags = ["b", "i", "p", "u"]
+
+    def html_of(size):
+        marks, opened = [], []
+        for _ in range(size):
+            while opened and rng.random() < 0.5:
+                marks.append(f"</{opened.pop()}>")
+            opened.append(rng.choice(tags))
+            marks.append(f"<{opened[-1]}>")
+        return "".join(marks) + "".join(f"</{t}>" for t in reversed(opened))
+
+    texts = [html_of(rng.randint(0, 14)) for _ in range(40)]
+    tree = nodes_of(spark, *texts)
+    made = spark.createDataFrame([(f"{a}-{b}", a, b) for a in range(0, 40, 2) for b in range(1, 40, 6)], "pair_id string, a long, b long")
+    exact = {r.pair_id: r.distance for r in trees.tree_distance_within(made, "pair_id", "a", "b", tree, "k").collect()}
+    by_structure = {r.pair_id: r.bound for r in trees.structure_bound(made, "pair_id", "a", "b", tree, "k").collect()}
+    by_labels = {r.pair_id: r.bound for r in trees.tree_bound(made, "pair_id", "a", "b", tree, "k").collect()}
+    assert len(exact) == len(by_structure) == 140 and all(by_structure[p] <= exact[p] and by_labels[p] <= exact[p] for p in exact)
+    limit = 4
+    skipped = [r for r in trees.tree_distance_within(made, "pair_id", "a", "b", tree, "k", limit).collect() if not r.exact]
+    assert {r.pair_id for r in skipped} == {p for p in exact if max(by_structure[p], by_labels[p]) > limit}
+    assert all(r.distance <= exact[r.pair_id] for r in skipped)
+    print(f"skipped {len(skipped)} of {len(exact)}, by labels alone {sum(by_labels[p] > limit for p in exact)}")
+    with pytest.raises(ValueError):
+        trees.tree_distance_within(made, "pair_id", "a", "b", tree, "k", limit, treedist.Costs(insert=2))
+
+
+def test_select_children(spark):
+    df = json_frame(spark, '{"a":1,"b":{"a":[{"c":{}}]},"x":{"a":[1,2],"b":{"x":null,"z":3}}}')
+    rows = trees.nodes(trees.select_children(trees.json_stream(df, "k", "j"), "k", ("a", "b")), "k").orderBy("node_id").collect()
+    assert [(r.label, r.depth) for r in rows] == [("", 1), ("a", 2), ("b", 2), ("a", 3), ("", 4)]
+
+
+def test_small_tree_costs_by_column(spark):
+    row = spark.range(1).select(trees.tree_distance(F.lit("1:a 2:b"), F.lit("1:a 2:c 2:d"), insert=2, table={("b", "c"): 0.5}).alias("d")).first()
+    assert row.d == 2.5
