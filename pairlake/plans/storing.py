@@ -120,6 +120,29 @@ QUERIES["read_records"] = _excluded
 ORACLES["read_records"] = "SELECT doc_id, lang, source FROM documents"
 
 
+def _merged_runs(s, d):
+    """Three runs of one table: a key less, a key more, and keys of wider types."""
+    root, docs = scratch(s, "runs"), table(s, d, "documents")
+    third = lambda k: docs.where(F.col("doc_id") % 3 == k)
+    words = F.size(F.split("text", " "))
+    R.add_run(third(0).select(F.col("doc_id").cast("int").alias("doc_id"), "lang", words.alias("size"), F.array(words.cast("short")).alias("sizes")), root)
+    R.add_run(third(1).select("doc_id", "source", (words / 2).alias("size"), F.struct("lang").alias("of")), root)
+    R.add_run(third(2).select("doc_id", "lang", F.array(words.cast("long"), words.cast("long")).alias("sizes"), F.struct("source", F.length("text").alias("n")).alias("of")), root)
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    return R.read_runs(s, root).select(
+        F.col("doc_id"), shown(F.col("lang")).alias("lang"), shown(F.col("source")).alias("source"), F.coalesce("size", F.lit(-1.0)).alias("size"),
+        shown(F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",")).alias("sizes"), shown(F.col("of.lang")).alias("of_lang"),
+        shown(F.col("of.source")).alias("of_source"), F.coalesce(F.col("of.n"), F.lit(-1)).alias("of_n"))
+
+
+QUERIES["merge_runs"] = _merged_runs
+ORACLES["merge_runs"] = """
+WITH w AS (SELECT *, doc_id % 3 AS k, len(string_split(text, ' ')) AS n FROM documents)
+SELECT doc_id, CASE WHEN k = 1 THEN '-' ELSE lang END AS lang, CASE WHEN k = 1 THEN source ELSE '-' END AS source,
+  CASE k WHEN 0 THEN cast(n AS DOUBLE) WHEN 1 THEN n / 2 ELSE -1 END AS size, CASE k WHEN 0 THEN cast(n AS VARCHAR) WHEN 1 THEN '-' ELSE n || ',' || n END AS sizes,
+  CASE WHEN k = 1 THEN lang ELSE '-' END AS of_lang, CASE WHEN k = 2 THEN source ELSE '-' END AS of_source, cast(CASE WHEN k = 2 THEN length(text) ELSE -1 END AS INTEGER) AS of_n FROM w"""
+
+
 def _memo(s, d):
     root = scratch(s, "memo")
 
@@ -196,6 +219,22 @@ QUERIES["stream_derive"] = _stream
 ORACLES["stream_derive"] = f"SELECT doc_id, len({sql_tokens('text')}) AS n_tokens FROM documents"
 
 
+def _stream_keyed(s, d):
+    """A second batch of files repeats keys of the first one, with other values, beside new ones."""
+    base = scratch(s, "stream")
+    docs = table(s, d, "documents").select("doc_id", F.length("text").alias("chars"))
+    run = lambda: N.stream_derive(s, f"{base}/in", docs.schema, lambda df: df.withColumn("even", F.col("chars") % 2 == 0), f"{base}/sink", f"{base}/progress", key="doc_id")
+    docs.where("doc_id % 3 < 2").write.parquet(f"{base}/in")
+    run()
+    docs.where("doc_id % 3 > 0").withColumn("chars", F.when(F.col("doc_id") % 3 == 1, -1).otherwise(F.col("chars"))).write.mode("append").parquet(f"{base}/in")
+    run()
+    return run().select("doc_id", "chars", F.col("even").cast("int").alias("even"))
+
+
+QUERIES["stream_by_key"] = _stream_keyed
+ORACLES["stream_by_key"] = "SELECT doc_id, cast(length(text) AS INTEGER) AS chars, cast(length(text) % 2 = 0 AS INTEGER) AS even FROM documents"
+
+
 def _extended(s, d):
     extend.register("long_turns", lambda df: df.where(F.length("text") > 40))
     kept = extend.apply(table(s, d, "conversations"), "long_turns")

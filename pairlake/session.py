@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Tables that ``cut`` wrote and ``drop_cuts`` has not deleted yet.
+#: Tables that ``cut`` wrote and ``drop_cuts`` has not deleted yet, and the session of each.
 CUTS: list[str] = []
+OWNERS: dict[str, str] = {}
 
 
 def build(master: str = "local[8]", app: str = "pairlake", **conf: str) -> SparkSession:
@@ -60,16 +61,28 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch(df.sparkSession, "cut")
     CUTS.append(path)
+    OWNERS[path] = _session(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts(spark: SparkSession) -> int:
-    """Deletes the tables that ``cut`` wrote in this session so far; call it when no query needs them any more."""
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
+
+
+def cuts(spark: SparkSession) -> list[str]:
+    """The tables that ``cut`` wrote in this session and that are still there."""
+    return [path for path in CUTS if OWNERS[path] == _session(spark)]
+
+
+def drop_cuts(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Deletes tables that ``cut`` wrote in this session, all or the given ones; call it when no query needs them any more."""
     conf, done = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while CUTS:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(CUTS.pop())
-        done += bool(path.getFileSystem(conf).delete(path, True))
+    for path in cuts(spark) if paths is None else [p for p in paths if p in cuts(spark)]:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        done += bool(target.getFileSystem(conf).delete(target, True))
+        CUTS.remove(path)
+        del OWNERS[path]
     return done
 
 

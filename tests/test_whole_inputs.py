@@ -166,6 +166,16 @@ def test_cuts_can_be_dropped(spark):
         spark.read.parquet(path).count()
 
 
+def test_cuts_of_other_sessions_stay(spark):
+    session.drop_cuts(spark)
+    other = spark.newSession()
+    mine, theirs = session.cut(spark.range(3)), session.cut(other.range(4))
+    assert session.drop_cuts(spark) == 1 and theirs.count() == 4
+    one, two = session.cut(other.range(5)), session.cut(other.range(6))
+    assert session.drop_cuts(other, session.cuts(other)[1:2]) == 1 and two.count() == 6 and len(session.cuts(other)) == 2
+    assert session.drop_cuts(other) == 2 and not session.CUTS
+
+
 def test_search_is_exact_with_rings(spark):
     rng = np.random.default_rng(8)
     points = np.concatenate([rng.standard_normal((150, 6)), np.repeat(rng.standard_normal((1, 6)), 60, 0) + 1e-3 * rng.standard_normal((60, 6))])
