@@ -1,14 +1,16 @@
-"""Extension points: named transforms, record mappers."""
+"""Extension points: named transforms of tables, named steps of texts, record mappers."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 Transform = Callable[[DataFrame], DataFrame]
 TRANSFORMS: dict[str, Transform] = {}
+#: Steps of the profile runner: a text to a text.
+STEPS: dict[str, Callable[[Column], Column]] = {}
 
 
 def register(name: str, transform: Transform) -> None:
@@ -16,6 +18,11 @@ def register(name: str, transform: Transform) -> None:
     TRANSFORMS[name] = transform
 
 
+def register_step(name: str, step: Callable[[Column], Column]) -> None:
+    """Makes a step of texts known by name: profiles may list it in their flag ``own_steps``, ``perturb.compose`` takes it by name."""
+    STEPS[name] = step
+
+
 def apply(df: DataFrame, *names: str) -> DataFrame:
     """The named transforms one after the other."""
     for name in names:

@@ -17,6 +17,7 @@ from pairlake.functions.bind import let
 from pairlake.functions.draws import draw, share, step_past
 from pairlake.functions.lexer import is_integer, is_name, is_string, literal_parts, raw_tokens, tokens
 from pairlake.functions.text import compact
+from pairlake.operators.extend import STEPS
 from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES, profile_rows
 from pairlake.operators.ranks import shuffled_rank
 
@@ -426,62 +427,97 @@ def steps_of(flags: dict[str, str], seed_no: int, keys: Sequence[str], donor: Co
         (on("permute"), f"permute {moved}", after(lambda t: permute_lines(t, moved, seed_no, *keys)["text"])),
         (on("dead"), f"dead {dead}", after(lambda t: dead_from(t, donor, dead, seed_no, *keys))),
         (on("compact"), "compact", after(compact)),
-        (to_ast, "tree", as_tree),
     ]
+    # registered steps, in the order of the flag, before a text becomes a tree
+    known += [(True, f"own {name}", after(STEPS[name])) for name in flags.get("own_steps", "").split(",") if name]
+    known.append((to_ast, "tree", as_tree))
     return [(name, step) for wanted, name, step in known if wanted]
 
 
-Cell = tuple[dict[str, str], dict[str, str], bool, bool, bool]  # tags, flags, partial, mixed, to_ast
+#: What a cell is made of: its tags, the column it starts from, its steps, and what is done with the text at the end.
+Recipe = tuple[dict[str, str], str, Sequence[Step], Callable[[Column], Column]]
+#: What is handed on of a finished text, by name.
+Outputs = dict[str, Callable[[Column], Column]]
+WHOLE: Outputs = {"target_text": lambda text: text}
 
 
-def run_cells(pairs: DataFrame, seed_no: int, cells: Sequence[Cell]) -> DataFrame:
-    """One row per pair and cell: the pair columns, the tags of the cell, ``target_text``.
+def run_recipes(df: DataFrame, recipes: Sequence[Recipe], keep: Sequence[str], outputs: Outputs = WHOLE) -> DataFrame:
+    """One row per row and recipe: the columns ``keep``, the tags, the outputs.
 
-    A cell transforms the alt text, mixed in the base before (``mixed``), after the
-    transformation (``mixed`` and ``partial``) or not at all. All cells are
-    projections of the pair rows: the texts are shuffled once, by the attach step,
-    and a step that several cells begin with is done once.
+    All recipes are projections of the row, which is not shuffled. Steps are told
+    by their names: what several recipes begin with, from the same column, is done
+    once. Only the outputs are held beside each other, so a caller that wants a
+    digest or a length of the texts does not hold the texts.
     """
-    place, base = draw(seed_no, "inject", "pair_id"), F.col("base_text")
-    early = [mixed and not partial for _, _, partial, mixed, _ in cells]
-    work = pairs.withColumn("_plain", F.col("alt_text"))
-    if any(early):
-        work = work.withColumn("_mixed", inject(F.col("alt_text"), base, place))
-    trails = [("_mixed",) if e else ("_plain",) for e in early]
-    columns = {t: t[0] for t in trails}  # steps taken so far -> column
-    todo = [steps_of(flags, seed_no, ["pair_id"], base, to_ast) for _, flags, _, _, to_ast in cells]
-    for depth in range(max(map(len, todo), default=0)):
+    columns = {(start,): start for _, start, _, _ in recipes}  # steps taken so far -> column
+    trails = [(start,) for _, start, _, _ in recipes]
+    for depth in range(max((len(steps) for _, _, steps, _ in recipes), default=0)):
         new = {}
-        for c, steps in enumerate(todo):
+        for c, (_, _, steps, _) in enumerate(recipes):
             if depth < len(steps):
                 name, step = steps[depth]
                 before, trails[c] = trails[c], (*trails[c], name)
                 if trails[c] not in columns:
                     columns[trails[c]] = f"_step{len(columns)}"
                     new[columns[trails[c]]] = step(F.col(columns[before]))
-        work = work.withColumns(new)
+        df = df.withColumns(new)
     rows = []
-    for (tags, _, partial, mixed, _), trail in zip(cells, trails):
-        done = F.col(columns[trail])
-        target = inject(done, base, place) if mixed and partial else done
-        rows.append(F.struct(*[F.lit(v).alias(k) for k, v in tags.items()], target.alias("target_text")))
-    names = [*cells[0][0], "target_text"]
-    return work.select(*pairs.columns, F.explode(F.array(*rows)).alias("_cell")).select(
-        *pairs.columns, *[f"_cell.{n}" for n in names]
-    )
+    for (tags, _, _, finish), trail in zip(recipes, trails):
+        shown = lambda text: F.struct(*[make(text).alias(name) for name, make in outputs.items()])
+        done = finish(F.col(columns[trail]))
+        made = shown(done) if len(outputs) == 1 else let(done, shown)
+        rows.append(F.struct(*[F.lit(v).alias(k) for k, v in tags.items()], made.alias("_made")))
+    out = df.select(*keep, F.explode(F.array(*rows)).alias("_cell"))
+    return out.select(*keep, *[f"_cell.{t}" for t in recipes[0][0]], *[f"_cell._made.{o}" for o in outputs])
+
+
+def compose(
+    df: DataFrame, text: str, recipes: dict[str, Sequence[str]], steps: dict[str, Callable[[Column], Column]] | None = None,
+    outputs: Outputs = WHOLE,
+) -> DataFrame:
+    """``df`` without its text, once per recipe: ``recipe`` and the outputs of its text.
+
+    A recipe lists steps by name: those given, else those that ``extend.register_step`` knows.
+    """
+    known = {**STEPS, **(steps or {})}
+    made = [({"recipe": r}, text, [(n, known[n]) for n in names], lambda t: t) for r, names in recipes.items()]
+    return run_recipes(df, made, [c for c in df.columns if c != text], outputs)
+
+
+Cell = tuple[dict[str, str], dict[str, str], bool, bool, bool]  # tags, flags, partial, mixed, to_ast
+
+
+def run_cells(pairs: DataFrame, seed_no: int, cells: Sequence[Cell], outputs: Outputs = WHOLE) -> DataFrame:
+    """One row per pair and cell: the pair columns, the tags of the cell, the outputs (``target_text``).
+
+    A cell transforms the alt text, mixed in the base before (``mixed``), after the
+    transformation (``mixed`` and ``partial``) or not at all. The texts are shuffled once, by the attach step.
+    """
+    place, base = draw(seed_no, "inject", "pair_id"), F.col("base_text")
+    work = pairs.withColumn("_plain", F.col("alt_text"))
+    if any(mixed and not partial for _, _, partial, mixed, _ in cells):
+        work = work.withColumn("_mixed", inject(F.col("alt_text"), base, place))
+    late = lambda text: inject(text, base, place)
+    recipes = [
+        (tags, "_mixed" if mixed and not partial else "_plain", steps_of(flags, seed_no, ["pair_id"], base, to_ast),
+         late if mixed and partial else lambda text: text)
+        for tags, flags, partial, mixed, to_ast in cells
+    ]
+    return run_recipes(work, recipes, pairs.columns, outputs)
 
 
 def apply_profiles(
-    pairs: DataFrame, seed_no: int, exps: Sequence[str] = EXPERIMENTS, mixes: Sequence[str] = MIXES, partial: bool = False
+    pairs: DataFrame, seed_no: int, exps: Sequence[str] = EXPERIMENTS, mixes: Sequence[str] = MIXES, partial: bool = False,
+    outputs: Outputs = WHOLE,
 ) -> DataFrame:
     """The grid of experiments: M1 transforms the alt text alone, M2 mixes it in the base
     first, M3 adds dead lines of the base. ``partial`` transforms before mixing."""
     flags = lambda exp, mix: {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[exp], "dead": str(mix == "M3").lower()}
-    return run_cells(pairs, seed_no, [({"exp": e, "mix": m}, flags(e, m), partial, m != "M1", False) for e in exps for m in mixes])
+    return run_cells(pairs, seed_no, [({"exp": e, "mix": m}, flags(e, m), partial, m != "M1", False) for e in exps for m in mixes], outputs)
 
 
-def apply_modes(pairs: DataFrame, seed_no: int, names: Sequence[str]) -> DataFrame:
+def apply_modes(pairs: DataFrame, seed_no: int, names: Sequence[str], outputs: Outputs = WHOLE) -> DataFrame:
     """The same for profiles given by name or mode word; adds ``mode``."""
     rows = {key: r for r in profile_rows() for key in (r["mode"], r["name"])}
     cells = [({"mode": n}, {**DEFAULT_FLAGS, **rows[n]["over"]}, rows[n]["partial"], rows[n]["mixed"], rows[n]["to_ast"]) for n in names]
-    return run_cells(pairs, seed_no, cells)
+    return run_cells(pairs, seed_no, cells, outputs)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ast
+import re
+
 from pyspark.sql import functions as F
 
 from pairlake.functions.draws import draw
 from pairlake.functions.lexer import LITERAL_PARTS
 from pairlake.operators import pairs as P
 from pairlake.operators import perturb as E
+from pairlake.operators import extend
 from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES, profile_rows
 from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_rank, sql_step, table, texts
-from pairlake.plans.pairing import STAGED, _staged
+from pairlake.plans.pairing import CHANGES, FLAG_DEFAULTS, PROFILE_VALUES, STAGED, _staged
 from pairlake.plans.texts import SQL_IS_NAME, SQL_IS_STRING, _q, sql_class, sql_compact, sql_raw
 
 QUERIES, ORACLES = {}, {}
@@ -284,18 +288,52 @@ def sql_cell(tags, flags, partial, mixed, to_ast=False, out="md5(hdr || t) AS di
     return f"SELECT pair_id, label, {named}, {out} FROM ({sql})"
 
 
-QUERIES["profile_cells"] = lambda s, d: E.apply_profiles(_attached(s, d), SEED).select(
-    "pair_id", "label", "exp", "mix", F.md5("target_text").alias("digest"), F.length("target_text").alias("chars")
-)
+# digests and lengths, so that no cell's text is held beside the others
+DIGESTS = {"digest": F.md5, "chars": lambda t: F.length(t).cast("bigint")}
+QUERIES["profile_cells"] = lambda s, d: E.apply_profiles(_attached(s, d), SEED, outputs=DIGESTS).select("pair_id", "label", "exp", "mix", "digest", "chars")
 ORACLES["profile_cells"] = f"WITH {ATTACHED} " + " UNION ALL ".join(
     sql_cell({"exp": e, "mix": m}, {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[e], "dead": str(m == "M3").lower()}, False, m != "M1")
     for e in EXPERIMENTS for m in MIXES
 )
 
-PROFILES = profile_rows()
-QUERIES["profile_modes"] = lambda s, d: E.apply_modes(_attached(s, d), SEED, [r["name"] for r in PROFILES]).select(
-    "pair_id", "label", "mode", F.md5("target_text").alias("digest"), F.length("target_text").cast("bigint").alias("chars")
-)
+QUERIES["profile_modes"] = lambda s, d: E.apply_modes(_attached(s, d), SEED, [r["name"] for r in profile_rows()], outputs=DIGESTS).select(
+    "pair_id", "label", "mode", "digest", "chars")
+
+
+def written_profiles() -> list[tuple[str, dict[str, str], bool, bool, bool]]:
+    """The profiles as they are written down by hand for the check of ``profile_flags``, not from operators.grid."""
+    listed = lambda text: ast.literal_eval(f"[{text}]")
+    rows = []
+    for _, _, name, _, partial, mixed, to_ast in listed(PROFILE_VALUES):
+        own = {flag: value for pattern, flag, value in listed(CHANGES) if re.fullmatch(pattern, name)}
+        rows.append((name, {**dict(listed(FLAG_DEFAULTS)), **own}, bool(partial), bool(mixed), bool(to_ast)))
+    return rows
+
+
 ORACLES["profile_modes"] = f"WITH {ATTACHED} " + " UNION ALL ".join(
-    sql_cell({"mode": r["name"]}, {**DEFAULT_FLAGS, **r["over"]}, r["partial"], r["mixed"], r["to_ast"]) for r in PROFILES
+    sql_cell({"mode": name}, flags, partial, mixed, to_ast) for name, flags, partial, mixed, to_ast in written_profiles()
 )
+
+# ---- a caller's own steps ---------------------------------------------------
+
+
+def _own_steps(s, d):
+    extend.register_step("loud", lambda t: F.translate(t, "aeiou", "AEIOU"))
+    extend.register_step("numbered", lambda t: F.regexp_replace(t, "[0-9]+", "<$0>"))
+    flags = lambda **over: {**DEFAULT_FLAGS, **over}
+    cells = [
+        ({"mode": "plain"}, flags(permute="true"), False, True, False), ({"mode": "loud"}, flags(permute="true", own_steps="loud"), False, True, False),
+        ({"mode": "both"}, flags(permute="true", own_steps="loud,numbered"), False, True, False), ({"mode": "tree"}, flags(own_steps="numbered"), True, False, True),
+    ]
+    return E.run_cells(_attached(s, d), SEED, cells, DIGESTS).select("pair_id", "label", "mode", "digest", "chars")
+
+
+QUERIES["own_steps"] = _own_steps
+_own_cell = lambda flags, partial, mixed: sql_cell({"mode": "x"}, {**DEFAULT_FLAGS, **flags}, partial, mixed, out="hdr || t AS t")
+_own_out = lambda name, sql, text: f"SELECT pair_id, label, '{name}' AS mode, md5({text}) AS digest, length({text}) AS chars FROM ({sql})"
+_permuted, _alone = _own_cell({"permute": "true"}, False, True), _own_cell({}, True, False)
+_loud = "translate(t, 'aeiou', 'AEIOU')"
+_numbered = lambda t: f"regexp_replace({t}, '[0-9]+', '<\\0>', 'g')"
+_tree = f"SELECT pair_id, label, cast(to_json(list_transform({sql_lines(_numbered('t'))}, lambda l: list_transform({sql_raw('l')}, lambda x: {sql_class()}))) AS varchar) AS t FROM ({_alone})"
+ORACLES["own_steps"] = f"WITH {ATTACHED} " + " UNION ALL ".join([
+    _own_out("plain", _permuted, "t"), _own_out("loud", _permuted, _loud), _own_out("both", _permuted, _numbered(_loud)), _own_out("tree", _tree, "t")])
