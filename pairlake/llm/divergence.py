@@ -4,8 +4,9 @@ A term is a run of letters: one translate table over the bytes of a text lowers
 Z and blanks all other ASCII characters, so that a split gives the terms and a
 counter per document their frequencies; its keys count the document. A task adds these up
 per language and source in tables of bounded size, and what it hands on are
-sparse counts (language, source, term), which Spark adds up. No part of the
-vocabulary or of a group is ever gathered in one place.
+sparse counts (language, source, term), so a term in all texts is a few rows per
+task and source. They are dealt by language and term once; there the sources of a
+term are added up, its documents counted, and only terms that are kept go on.
 
 Smoothed shares are whole numbers, p = 1 + floor(SCALE (count + ALPHA) / (N + ALPHA V)) over the V
 kept terms of the language, so all sums and differences are exact.
@@ -27,7 +28,7 @@ LEAST_DOCS, ALPHA, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Entries that a task adds up before it hands them on.
 HELD = 400_000
 #: Terms of a bucket, sources of a block, and terms compared at a time.
-BUCKET_TERMS, BLOCK_SOURCES, STEP_TERMS = 16_384, 128, 1024
+BUCKET_TERMS, BLOCK_SOURCES, STEP_TERMS = 2048, 128, 1024
 #: A to Z in lower case, a blank for every other ASCII character but letters.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -38,15 +39,15 @@ def counted(text: bytes | None) -> Counter:
 
 
 def _sums(held: int) -> Callable:
-    """Rows (lang, source, text) to (lang, source, term, n, docs); the term null counts all documents of the group."""
+    """Rows (lang, source, text) to (lang, source, term, n, docs), added up for some texts."""
     kinds = [("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())]
 
     def rows(often: dict[tuple, Counter], docs: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), found in often.items():
-            terms = list(docs[lang, source])
+        for (lang, source), found in docs.items():
+            total, size = often[lang, source], len(found)
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()),
-                pa.array([found[t] for t in terms], pa.int64()), pa.array([docs[lang, source][t] for t in terms], pa.int64()),
+                pa.repeat(lang, size), pa.repeat(source, size), pa.array(list(found), pa.binary()),
+                pa.array([total[t] for t in found], pa.int64()), pa.array(list(found.values()), pa.int64()),
             ], [k for k, _ in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,6 @@ def _sums(held: int) -> Callable:
                 size -= len(seen)
                 total.update(each)
                 seen.update(each.keys())
-                seen[None] += 1
                 size += len(seen)
                 if size >= held:
                     yield from rows(often, docs)
@@ -70,16 +70,25 @@ def _sums(held: int) -> Callable:
     return run
 
 
-def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", held: int = HELD) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term; the row with a null term has the group's documents.
+def _read(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    """(lang, source, text): nulls are '', texts are bytes."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return docs.select(plain(lang).alias("lang"), plain(source).alias("source"), F.col(text).cast("binary").alias("text"))
+
+
+def vocabulary(
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, held: int = HELD
+) -> DataFrame:
+    """(lang, term, n, by): the terms in ``least_docs`` documents of a language or more, how often they occur there, and
+    array<struct<source, n>> how often in each source that has them.
 
     Null text, lang and source are ''. Terms are bytes of UTF-8. A text is read once; an empty table gives no rows.
     """
-    read = docs.select(
-        F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
-        F.col(text).cast("binary").alias("text"))
-    each = read.mapInArrow(_sums(held), "lang string, source string, term binary, n long, docs long")
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    each = _read(docs, text, lang, source).mapInArrow(_sums(held), "lang string, source string, term binary, n long, docs long")
+    per = each.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = per.groupBy("lang", "term").agg(
+        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("by"))  # as many as there are sources
+    return whole.where(F.col("docs") >= least_docs).select("lang", "term", "n", "by")
 
 
 def share(count: Column, whole: Column, kept: Column, alpha: int = ALPHA, scale: int = SCALE) -> Column:
@@ -90,35 +99,28 @@ def share(count: Column, whole: Column, kept: Column, alpha: int = ALPHA, scale:
     return F.lit(1).cast("long") + F.call_function("div", above, below)
 
 
-def vocabulary(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term, n): the terms in ``least_docs`` documents of a language or more, and how often they occur there."""
-    per = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    return per.where(F.col("docs") >= least_docs).select("lang", "term", "n")
-
-
-def shares(counts: DataFrame, kept: DataFrame, alpha: int = ALPHA, scale: int = SCALE) -> tuple[DataFrame, DataFrame]:
-    """(cells, groups).
+def shares(kept: DataFrame, groups: DataFrame, alpha: int = ALPHA, scale: int = SCALE) -> tuple[DataFrame, DataFrame]:
+    """(cells, groups) of a vocabulary and the (lang, source) that occur.
 
-    Cells: (lang, source, term, n, p, q) of the kept terms that occur in a group, with its share p and the language's q.
+    Cells: (lang, source, term, p, q) of the kept terms that occur in a group, with its share p and the language's q.
     Groups: (lang, source, kept, whole, zero) of each group: kept terms of the language, the group's occurrences
     of them, and the share of a kept term that it does not have (null where the language has none).
     """
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("all"))
-    cells = counts.where("term is not null").select("lang", "source", "term", "n").join(kept.withColumnRenamed("n", "every"), ["lang", "term"])
+    cells = kept.select("lang", "term", F.col("n").alias("every"), F.explode("by").alias("b")).select("lang", "b.source", "term", "b.n", "every")
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("whole"))
-    groups = counts.where("term is null").select("lang", "source").join(langs, "lang", "left").join(sums, ["lang", "source"], "left")
-    groups = groups.select(
-        "lang", "source", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("all", F.lit(0)).alias("all"),
-        F.coalesce("whole", F.lit(0)).alias("whole"))
+    groups = groups.join(langs, "lang", "left").join(sums, ["lang", "source"], "left").select(
+        "lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("kept", "all", "whole")])
     zero = F.when(F.col("kept") > 0, share(F.lit(0), F.col("whole"), F.col("kept"), alpha, scale))
     groups = groups.withColumn("zero", zero)
     p, q = share(F.col("n"), F.col("whole"), F.col("kept"), alpha, scale), share(F.col("every"), F.col("all"), F.col("kept"), alpha, scale)
-    cells = cells.join(groups.drop("zero"), ["lang", "source"]).select("lang", "source", "term", "n", p.alias("p"), q.alias("q"))
+    cells = cells.join(groups.drop("zero"), ["lang", "source"]).select("lang", "source", "term", p.alias("p"), q.alias("q"))
     return cells, groups.drop("all")
 
 
 def _differences(step: int) -> Callable:
-    """Rows (lang, i, j, bucket, term, block, source, p), sorted so, to (lang, a, b, value): sums of |p - q| over the terms of a bucket.
+    """Rows (lang, i, j, bucket, term, block, source, p), sorted so, to (lang, a, b, value): sums over the terms of a bucket of
+    |p - q|, less what two sources without the term differ by.
 
     The rows without a term come first and name all sources of both blocks with their shares of absent terms.
     """
@@ -175,9 +177,9 @@ class _Block:
         p = np.repeat(np.array(self.zeros, np.int64)[:, None], self.terms, 1)
         source, term, value = np.array(self.cells, np.int64).T
         p[source, term] = value
-        other = p[self.right]
+        other, zeros = p[self.right], np.array(self.zeros, np.int64)
         for k, at in enumerate(self.left):
-            self.sums[k] += np.abs(p[at] - other).sum(1)
+            self.sums[k] += np.abs(p[at] - other).sum(1) - self.terms * np.abs(zeros[at] - zeros[self.right])
         self.cells, self.terms = [], 0
 
     def ended(self) -> pa.RecordBatch:
@@ -195,8 +197,8 @@ def source_pairs(
 ) -> DataFrame:
     """(lang, source, item, value): for each source of a language and each other one, the sum of |p - q| over all kept terms.
 
-    Only terms that some source has come as cells; the others' shares are the
-    groups' ``zero``. A language's terms are dealt into buckets and its sources into
+    Two sources without a term differ by their ``zero`` shares; that much is taken for
+    all kept terms, and corrected for those that a source of the two blocks has. A language's terms are dealt into buckets and its sources into
     blocks, so a task holds two blocks of sources and ``step`` terms at a time.
     """
     blocks = groups.groupBy("lang").agg(
@@ -212,6 +214,9 @@ def source_pairs(
     met = met.select("lang", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "bucket", "term", "block", "source", "p")
     dealt = met.repartition("lang", "i", "j", "bucket").sortWithinPartitions("lang", "i", "j", "bucket", F.col("term").asc_nulls_first(), "source")
     sums = dealt.mapInArrow(_differences(step), "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    ends = [groups.select("lang", F.col("source").alias(c), F.col("zero").alias(f"z{c}"), F.col("kept").alias(f"k{c}")) for c in "ab"]
+    sums = sums.join(ends[0], ["lang", "a"]).join(ends[1], ["lang", "b"]).select(
+        "lang", "a", "b", (F.col("value") + F.col("ka") * F.abs(F.col("za") - F.col("zb"))).alias("value"))
     # a language without kept terms: all differences are 0
     bare = groups.where("kept = 0").select("lang", F.col("source").alias("a"))
     bare = bare.join(bare.withColumnRenamed("a", "b"), "lang").where("a < b").withColumn("value", F.lit(0).cast("long"))
@@ -222,7 +227,7 @@ def source_pairs(
 
 def over_represented(cells: DataFrame) -> DataFrame:
     """(lang, source, item, value): terms whose share in a group is above the language's, and by how much."""
-    return cells.where("n > 0 and p > q").select("lang", "source", F.col("term").cast("string").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    return cells.where("p > q").select("lang", "source", F.col("term").cast("string").alias("item"), (F.col("p") - F.col("q")).alias("value"))
 
 
 def audit(
@@ -238,8 +243,8 @@ def audit(
     ''; a group of texts without terms has no ``term`` rows; repeated rows count
     each; other columns do not matter; an empty table gives no rows.
     """
-    counts = cut(term_counts(docs, text, lang, source))
-    cells, groups = shares(counts, vocabulary(counts, least_docs), alpha, scale)
+    kept = cut(vocabulary(docs, text, lang, source, least_docs))
+    cells, groups = shares(kept, cut(_read(docs, text, lang, source).select("lang", "source").distinct()), alpha, scale)
     cells, groups = cut(cells), cut(groups)
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = source_pairs(cells, groups, **sizes).withColumn("rank", F.row_number().over(by))
