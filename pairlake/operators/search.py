@@ -1,7 +1,8 @@
 """Clone search: the k most similar seeds of each target, exact.
 
 A k-nearest-neighbour join over pivots (Lu et al., PVLDB 2012). Seeds belong to
-the cell of their nearest pivot, and in it to a ring by their distance to the pivot.
+the cell of their nearest pivot, and in a large cell to one of some rings of about equal
+count, by their distance to the pivot.
 The triangle inequality gives each target a distance within which its k
 neighbours must lie, hence the rings it has to visit; the others are skipped
 without losing a result. Visited rings are cut in blocks, so that a cell with most of all seeds (many copies of one text)
@@ -20,7 +21,8 @@ from pairlake.session import cut
 
 MAX_PIVOTS = 4096
 MAX_K = 1000
-RINGS = 64
+#: Rings that a cell may have, and seeds that a ring has at least (but for ties and estimates).
+RINGS, RING_ROWS = 64, 1024
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -32,6 +34,28 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
+def _in_rings(placed: DataFrame) -> DataFrame:
+    """``placed`` with its ring; the ring's number tells the cell. At most ``MAX_PIVOTS`` rows of quantiles come to the driver."""
+    counts = {r["cell"]: r["c"] for r in placed.groupBy("cell").agg(F.count("*").alias("c")).collect()}
+    many = {c: min(RINGS, -(-n // RING_ROWS)) for c, n in counts.items()}
+    if max(many.values(), default=1) == 1:
+        return placed.withColumn("ring", F.col("cell") * RINGS)
+    shares = F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)])
+    large = placed.where(F.col("cell").isin([c for c, n in many.items() if n > 1]))
+    spots = {r["cell"]: r["q"] for r in large.groupBy("cell").agg(F.percentile_approx("far", shares, F.lit(10_000)).alias("q")).collect()}
+    cuts = {c: np.unique([q[-(-RINGS * i // many[c]) - 1] for i in range(1, many[c])]) for c, q in spots.items()}
+
+    @F.pandas_udf(T.IntegerType())
+    def ring(cell: pd.Series, far: pd.Series) -> pd.Series:
+        out = cell.to_numpy().astype(np.int32) * RINGS
+        for c in set(cell).intersection(cuts):
+            here = (cell == c).to_numpy()
+            out[here] += np.searchsorted(cuts[c], far.to_numpy()[here]).astype(np.int32)
+        return pd.Series(out)
+
+    return placed.withColumn("ring", ring("cell", "far"))
+
+
 def search(
     targets: DataFrame, seeds: DataFrame, k: int, target: str = "target_id", seed: str = "seed_id",
     vector: str = "vector", skip_same: bool = False, pivots: int | None = None, block: int = 2048, seed_no: int = 0,
@@ -64,8 +88,7 @@ def search(
         return pd.DataFrame({"cell": cell.astype("int32"), "far": d[np.arange(len(cell)), cell]})
 
     placed = cut(s.select("id", "v", nearest("v").alias("n")).select("id", "v", "n.cell", "n.far"))
-    # distances of unit vectors are below 2
-    placed = placed.withColumn("ring", F.col("cell") * RINGS + F.least(F.floor(F.col("far") * (RINGS / 2)), F.lit(RINGS - 1)).cast("int"))
+    placed = _in_rings(placed)
     stats = placed.groupBy("ring").agg(F.count("*").alias("c"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect()
     order = Window.partitionBy("cell").orderBy("far", "id")
     close = placed.select("cell", "far", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= wanted)

@@ -176,7 +176,9 @@ def test_cuts_of_other_sessions_stay(spark):
     assert session.drop_cuts(other) == 2 and not session.CUTS
 
 
-def test_search_is_exact_with_rings(spark):
+@pytest.mark.parametrize("rows", (1024, 7))
+def test_search_is_exact_with_rings(spark, monkeypatch, rows):
+    monkeypatch.setattr("pairlake.operators.search.RING_ROWS", rows)
     rng = np.random.default_rng(8)
     points = np.concatenate([rng.standard_normal((150, 6)), np.repeat(rng.standard_normal((1, 6)), 60, 0) + 1e-3 * rng.standard_normal((60, 6))])
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
