@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from pairlake.functions.bind import let
@@ -66,3 +70,22 @@ def kl_divergence(p: Column, q: Column) -> Column:
 def overlap_penalty(p: Column, q: Column, i: Column, j: Column) -> Column:
     """1 - divergence of two different filters; 0 for a filter with itself."""
     return F.when(i != j, 1 - kl_divergence(p, q)).otherwise(F.lit(0.0))
+
+
+def sparse_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two sparse vectors, arrays of (id, n) without repeated ids; 0 where one is empty or null."""
+
+    @F.arrow_udf("double")
+    def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for sides in pairs:
+            flat = [(x.offsets.to_numpy(), x.values.field(0).to_numpy(), x.values.field(1).to_numpy().astype(np.float64)) for x in sides]
+            out = np.zeros(len(sides[0]))
+            for k in range(len(out)):
+                (i, m), (j, n) = ((ids[at[k] : at[k + 1]], counts[at[k] : at[k + 1]]) for at, ids, counts in flat)
+                _, p, q = np.intersect1d(i, j, True, return_indices=True)
+                size = np.sqrt((m * m).sum() * (n * n).sum())
+                out[k] = m[p] @ n[q] / size if size else 0.0
+            yield pa.array(out)
+
+    nothing = F.array().cast("array<struct<id: int, n: int>>")
+    return run(F.coalesce(a, nothing), F.coalesce(b, nothing))

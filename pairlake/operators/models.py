@@ -6,9 +6,11 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,10 +18,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairlake.functions.edit import string_distance
-from pairlake.functions.lexer import class_string, raw_tokens
+from pairlake.functions.lexer import class_string, raw_tokens, tokens
 from pairlake.functions.text import truncate
-from pairlake.functions.vectors import cosine01
+from pairlake.functions.vectors import FLOOR, cosine01, sparse_cosine
 from pairlake.operators import metrics as M
+from pairlake.operators.vocab import term_frequencies
+from pairlake.sources.cells import append_history
 
 FEATURES = ("size_ratio", "class_cosine", "overlap", "containment", "token_delta", "size_delta")
 LETTERS = "ndsacbeihu.,;:()[]{}?*&|%@#"
@@ -31,18 +35,37 @@ def _histogram(letters: Column) -> Column:
     return F.array(*[gone(c).cast("double") for c in LETTERS])
 
 
-def pair_features(pairs: DataFrame, seed: str = "seed_text", target: str = "target_text") -> DataFrame:
-    """The pair columns (without the texts) plus the numeric features; one narrow stage."""
+def pair_features(
+    pairs: DataFrame, seed: str = "seed_text", target: str = "target_text", vocab: DataFrame | None = None,
+    corpus: DataFrame | None = None, seed_id: str = "seed_id",
+) -> DataFrame:
+    """The pair columns (without the texts) plus the numeric features; one narrow stage.
+
+    With ``vocab`` (token, id) there is ``tf_cosine`` as well, the cosine of the counts of
+    its tokens. ``corpus`` (seed_id, text) gives the seed documents, so that their counts are
+    made once per document and joined; else they are made per pair.
+    """
     keep = [c for c in pairs.columns if c not in (seed, target)]
+    if vocab is not None:
+        counts = lambda text: term_frequencies(tokens(F.col(text), "value"), vocab)
+        pairs = pairs.withColumn("_u", counts(target))
+        if corpus is None:
+            pairs = pairs.withColumn("_v", counts(seed))
+        else:
+            texts = corpus.toDF(seed_id, seed)
+            pairs = pairs.join(texts.select(seed_id, counts(seed).alias("_v")), seed_id, "left")
+        cosine = [sparse_cosine(F.col("_v"), F.col("_u")).alias("tf_cosine")]
+    else:
+        cosine = []
     lexed = pairs.select(
-        *keep, class_string(F.col(seed)).alias("_a"), class_string(F.col(target)).alias("_b"),
+        *keep, *cosine, class_string(F.col(seed)).alias("_a"), class_string(F.col(target)).alias("_b"),
         F.array_distinct(raw_tokens(F.col(seed))).alias("_s"), F.array_distinct(raw_tokens(F.col(target))).alias("_t"),
     )
     shared = F.size(F.array_intersect("_s", "_t"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     n, m = F.length("_a"), F.length("_b")
     return lexed.select(
-        *keep, ratio(F.least(n, m), F.greatest(n, m)).alias("size_ratio"),
+        *keep, *(["tf_cosine"] if cosine else []), ratio(F.least(n, m), F.greatest(n, m)).alias("size_ratio"),
         cosine01(_histogram(F.col("_a")), _histogram(F.col("_b"))).alias("class_cosine"),
         ratio(shared, F.size(F.array_union("_s", "_t"))).alias("overlap"), ratio(shared, F.size("_s")).alias("containment"),
         ratio(string_distance(F.col("_a"), F.col("_b")), F.greatest(n, m)).alias("token_delta"), ratio(F.abs(n - m), n).alias("size_delta"),
@@ -97,6 +120,85 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+# ---- training that stops --------------------------------------------------
+
+
+@dataclass
+class Stopped:
+    """A logistic model of the best epoch: weights of the standardised features, the last one for the constant."""
+
+    columns: list[str]
+    means: np.ndarray
+    scales: np.ndarray
+    weights: np.ndarray
+    best_epoch: int
+    epochs: int
+
+    def score(self) -> Column:
+        """The chance of label 1."""
+        z = F.lit(float(self.weights[-1]))
+        for c, m, s, w in zip(self.columns, self.means.tolist(), self.scales.tolist(), self.weights.tolist()):
+            z = z + (F.col(c) - m) / s * w
+        return 1 / (1 + F.exp(-z))
+
+
+def _gradients(dim: int, means: np.ndarray, scales: np.ndarray, weights: np.ndarray) -> Callable:
+    """Rows (training, label, features..) to (training, k, s): per task the sums of gradients, of the losses, and the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, dim + 3))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], 1)
+            x = np.concatenate([(x - means) / scales, np.ones((len(x), 1))], 1)
+            y, side = batch.column(1).to_numpy(zero_copy_only=False).astype(float), batch.column(0).to_numpy(zero_copy_only=False).astype(int)
+            p = 1 / (1 + np.exp(-(x @ weights)))
+            kept = np.clip(p, FLOOR, 1 - FLOOR)
+            loss = -(y * np.log(kept) + (1 - y) * np.log(1 - kept))
+            for k in range(2):
+                here = side == k
+                total[k] += [*((p - y)[here] @ x[here]), loss[here].sum(), here.sum()]
+        places = np.arange(2 * (dim + 3))
+        yield pa.RecordBatch.from_arrays([pa.array(places // (dim + 3)), pa.array(places % (dim + 3)), pa.array(total.ravel())], ["training", "k", "s"])
+
+    return run
+
+
+def train_until(
+    features: DataFrame, columns: Sequence[str], history: str, training: Column, epochs: int = 20, patience: int = 30, rate: float = 1.0,
+    label: str = "label",
+) -> Stopped:
+    """A logistic model by gradient descent over a stored table, with the weights of the best epoch.
+
+    ``training`` tells the rows to learn from; all others are for validation. After each
+    epoch the losses of both go to ``history`` (epoch, train_loss, validation_loss), and the
+    training stops ``patience`` epochs after the last improvement of the validation loss. An epoch is one
+    pass: gradients are added up in tasks, and to the driver come as many numbers as there are features.
+    """
+    spark, columns = features.sparkSession, list(columns)
+    rows = features.select(training.cast("int").alias("_training"), F.col(label).cast("double").alias("_label"), *[F.col(c).cast("double") for c in columns])
+    shown = rows.where("_training = 1").agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    means, scales = (np.array([shown[f"{n}{k}"] for k in range(len(columns))], float) for n in "ms")
+    scales = np.where(scales > 0, scales, 1.0)
+    weights, best, kept, gradient = np.zeros(len(columns) + 1), np.inf, None, None
+    for epoch in range(epochs + 1):
+        if epoch:
+            weights = weights - rate * gradient
+        sums = np.zeros((2, len(columns) + 3))
+        made = rows.mapInArrow(_gradients(len(columns), means, scales, weights), "training long, k long, s double")
+        for r in made.groupBy("training", "k").agg(F.sum("s").alias("s")).collect():
+            sums[r["training"], r["k"]] = r["s"]
+        gradient = sums[1, :-2] / max(sums[1, -1], 1)
+        if not epoch:
+            continue  # the first pass gives the first step
+        losses = [float(sums[k, -2] / max(sums[k, -1], 1)) for k in (1, 0)]
+        append_history(spark.createDataFrame([(epoch, *losses)], "epoch int, train_loss double, validation_loss double"), history)
+        if losses[1] < best:
+            best, kept = losses[1], (epoch, weights)
+        elif epoch - kept[0] >= patience:
+            break
+    return Stopped(columns, means, scales, kept[1], kept[0], epoch)
+
+
 # ---- pluggable encoders ---------------------------------------------------
 
 # The JVM's rule for blanks.

@@ -217,6 +217,18 @@ def category_vector(df: DataFrame, key: str, html: str = "html", groups: dict[st
     return df.select(key, let(_opening(F.col(html)), record).alias("_g")).select(key, "_g.*")
 
 
+def vector_difference(pairs: DataFrame, pair: str, a: str, b: str, vectors: DataFrame, key: str) -> DataFrame:
+    """(pair, difference, total): place by place the vector of ``a`` less that of ``b``, and the sum without signs.
+
+    Vectors (key, vec) are made once per text and meet the pairs by key.
+    """
+    side = lambda c, name: vectors.select(F.col(key).alias(c), F.col("vec").alias(name))
+    met = pairs.select(pair, a, b).join(side(a, "_a"), a).join(side(b, "_b"), b)
+    difference = F.zip_with("_a", "_b", lambda x, y: x - y)
+    return met.select(pair, difference.alias("difference")).withColumn(
+        "total", F.aggregate("difference", F.lit(0).cast("bigint"), lambda s, x: s + F.abs(x)))
+
+
 # ---- distances ------------------------------------------------------------
 
 

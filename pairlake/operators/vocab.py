@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -53,6 +54,23 @@ def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, n: int, max_tok
     return whole.select(key, pad_to(F.col("ids"), F.lit(n)).alias("ids"), F.size("ids").alias("length"))
 
 
+def term_frequencies(tokens: Column, vocab: DataFrame, max_tokens: int = MAX_TOKENS) -> Column:
+    """array<struct<id, n>>: how often each token of the vocabulary occurs, by id; others do not count. Null for null.
+
+    The vocabulary, whose size is checked, goes to the tasks as a dictionary.
+    """
+    known = {r["token"]: r["id"] for r in vocab.select("token", "id").limit(max_tokens + 1).collect()}
+    if len(known) > max_tokens:
+        raise ValueError(f"the vocabulary has more than {max_tokens} tokens")
+
+    @F.pandas_udf("array<struct<id: int, n: int>>")
+    def run(rows: pd.Series) -> pd.Series:
+        count = lambda row: sorted(Counter([known[w] for w in row if w in known]).items())
+        return rows.map(lambda row: None if row is None else [{"id": i, "n": n} for i, n in count(row)])
+
+    return run(tokens)
+
+
 def pad_to(ids: Column, n: Column) -> Column:
     missing = F.greatest(n - F.size(ids), F.lit(0)).cast("int")
     return F.concat(ids, F.array_repeat(F.lit(PAD), missing))

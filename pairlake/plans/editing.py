@@ -8,6 +8,7 @@ from pairlake.functions import edit
 from pairlake.functions.costs import Costs, cost_table
 from pairlake.operators import trees as TR
 from pairlake.plans.common import sql_pairs, table
+from pairlake.plans.measuring import ORACLES as ORACLES_OF_PAGES
 from pairlake.plans.measuring import HTML_NODES, JSON_TEXT, PAGE_STAGED, TURNS, _event_json, _letters, _page_nodes, _page_pairs, _turn_tokens
 from pairlake.plans.texts import sql_tokens
 
@@ -169,3 +170,18 @@ SELECT event_id, CASE WHEN key IS NULL OR try_cast(key AS INTEGER) IS NOT NULL T
 FROM (SELECT e.event_id, t.key, t.type, t.fullkey FROM (SELECT event_id, {JSON_TEXT} AS j FROM events) e, json_tree(e.j) t)
 WHERE len(list_filter(regexp_extract_all(fullkey, '\\."?([^."\\[]+)', 1), lambda x: x NOT IN ('body', 'v', 'k'))) = 0
 GROUP BY ALL"""
+
+# ---- differences of tag vectors ---------------------------------------------
+
+
+def _tag_difference(s, d):
+    made = TR.vector_difference(_page_pairs(s, d), "pair_id", "seed_id", "base_id", TR.feature_vector(table(s, d, "pages"), "page_id"), "page_id")
+    return made.select("pair_id", F.array_join(F.transform("difference", lambda x: x.cast("string")), ",").alias("difference"), "total")
+
+
+QUERIES["tag_difference"] = _tag_difference
+ORACLES["tag_difference"] = f"""
+WITH s AS ({PAGE_STAGED}), {sql_pairs("s", "page_id")},
+v AS (SELECT page_id, list_transform(string_split(vec, ','), lambda x: cast(x AS BIGINT)) AS v FROM ({ORACLES_OF_PAGES["feature_vector"]})),
+d AS (SELECT pair_id, list_transform(a.v, lambda x, i: x - b.v[i]) AS d FROM pairs JOIN v a ON a.page_id = seed_id JOIN v b ON b.page_id = base_id)
+SELECT pair_id, array_to_string(list_transform(d, lambda x: cast(x AS VARCHAR)), ',') AS difference, cast(list_sum(list_transform(d, lambda x: abs(x))) AS BIGINT) AS total FROM d"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairlake.functions import vectors as V
 from pairlake.functions.draws import draw
 from pairlake.functions.lexer import join_tokens, lex, raw_tokens, tokens
+from pairlake.operators import embedding as B
 from pairlake.operators import metrics as M
 from pairlake.operators import pairs as P
 from pairlake.operators import sequences as Q
@@ -15,6 +16,7 @@ from pairlake.plans.common import SEED, sql_draw, sql_pairs, table, texts
 from pairlake.plans.measuring import VECTOR_PAIRS, _soft, _vector_pairs
 from pairlake.plans.pairing import STAGED, _staged
 from pairlake.plans.texts import sql_raw, sql_tokens
+from pairlake.session import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -168,6 +170,33 @@ WITH {VOCAB}, t AS (SELECT doc_id, unnest({sql_tokens("text", "value")}) AS toke
 SELECT doc_id, {", ".join(f"round(avg(({sql_draw(f'dim{i}', 'token')} % 2001 - 1000) / 1000.0), 6) AS v{i}" for i in range(4))}
 FROM t JOIN vocab USING (token) GROUP BY doc_id"""
 
+
+
+def _cooccurring(s, d):
+    docs = texts(s, d).select(tokens(F.col("text"), "value").alias("toks"))
+    return B.cooccurrence(docs, "toks", _vocab(s, d), 2)
+
+
+QUERIES["cooccurrence"] = _cooccurring
+ORACLES["cooccurrence"] = f"""
+WITH {VOCAB}, t AS (SELECT doc_id, unnest({sql_tokens("text", "value")}) AS token, generate_subscripts({sql_tokens("text", "value")}, 1) AS pos FROM documents),
+i AS (SELECT doc_id, pos, id FROM t JOIN vocab USING (token)),
+p AS (SELECT x.id AS a, y.id AS b FROM i x JOIN i y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 UNION ALL
+  SELECT x.id, y.id FROM i x JOIN i y ON x.doc_id = y.doc_id AND y.pos = x.pos + 2)
+SELECT a, b, count(*) AS n FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) GROUP BY a, b"""
+
+
+def _trained(s, d):
+    """Documents by the mean of trained vectors. The directions are orthogonal, so their products over the vocabulary vanish."""
+    docs = texts(s, d).select("doc_id", tokens(F.col("text"), "value").alias("toks"))
+    vectors = cut(B.train_table(docs, "toks", _vocab(s, d), 4, 2))
+    toks = docs.select("doc_id", F.explode("toks").alias("token"))
+    e = I.embed(toks, "doc_id", F.broadcast(vectors), 4)  # the vocabulary limit bounds it
+    return e.select("doc_id", *[F.round(F.get("vector", F.lit(i)), 4).alias(f"v{i}") for i in range(4)])
+
+
+QUERIES["embed_trained"] = _trained
+
 # ---- sequences ------------------------------------------------------------
 
 KERNELS = ([1, 2, 3, 2, 1], [1, -1, 1, -1], [2, 0, 1])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from pairlake.functions import vectors as V
@@ -13,10 +17,13 @@ from pairlake.operators.search import search
 from pairlake.operators.shapes import infer_shapes
 from pairlake.operators.splits import with_stage
 from pairlake.functions.draws import draw
-from pairlake.plans.common import SEED, sql_pairs, sql_split, table
+from pairlake.plans.common import SEED, sql_draw, sql_pairs, sql_split, table
 from pairlake.plans.pairing import STAGED
-from pairlake.plans.perturbing import ATTACHED, _attached, sql_cell
+from pairlake.plans.learning import VOCAB, _vocab
+from pairlake.plans.perturbing import ATTACHED, _attached, sql_cell, sql_inject
+from pairlake.plans.texts import sql_class, sql_raw, sql_tokens
 from pairlake.session import cut, scratch
+from pairlake.sources import cells as C
 
 QUERIES, ORACLES = {}, {}
 
@@ -95,6 +102,100 @@ def _mixed(s, d):
     return made.select("pair_id", "stage", "label", "seed_text", target.alias("target_text"))
 
 
+# ---- features of pairs ------------------------------------------------------
+
+
+def _all_features(s, d):
+    corpus = table(s, d, "documents").select("doc_id", "text")
+    made = _attached(s, d)
+    target = E.inject(F.col("alt_text"), F.col("base_text"), draw(SEED, "inject", "pair_id"))
+    made = made.select("pair_id", "seed_id", "stage", "label", "seed_text", target.alias("target_text"))
+    f = K.pair_features(made, vocab=cut(_vocab(s, d)), corpus=corpus)
+    return f.select("pair_id", "stage", "label", *[F.round(c, 6).alias(c) for c in (*K.FEATURES, "tf_cosine")])
+
+
+QUERIES["pair_features"] = _all_features
+_hist = lambda c: f"list_transform(string_split('{K.LETTERS}', ''), lambda x: (length({c}) - length(replace({c}, x, '')))::DOUBLE)"
+_ratio = lambda a, b: f"round(CASE WHEN {b} = 0 THEN 0 ELSE ({a}) / ({b})::DOUBLE END, 6)"
+_made = f"""att AS (SELECT pairs.*, x.text AS seed_text, {sql_inject("y.text", "z.text", sql_draw("inject", "pair_id"))} AS target_text FROM pairs
+  JOIN documents x ON x.doc_id = seed_id JOIN documents y ON y.doc_id = alt_id JOIN documents z ON z.doc_id = base_id)"""
+_letters_of = lambda c: f"array_to_string(list_transform({sql_raw(c)}, lambda x: {sql_class(True)}), '')"
+_features_sql = f"""
+l AS MATERIALIZED (SELECT pair_id, stage, label, {_letters_of("seed_text")} AS a, {_letters_of("target_text")} AS b,
+  list_distinct({sql_raw("seed_text")}) AS s, list_distinct({sql_raw("target_text")}) AS t FROM att),
+h AS (SELECT *, length(a) AS n, length(b) AS m, len(list_intersect(s, t)) AS k FROM l)"""
+ORACLES["pair_features"] = f"""
+WITH {VOCAB}, {_made}, {_features_sql},
+g AS (SELECT doc_id, id, count(*) AS n FROM (SELECT doc_id, unnest({sql_tokens("text", "value")}) AS token FROM documents) JOIN vocab USING (token) GROUP BY ALL),
+tu AS (SELECT pair_id, id, count(*) AS n FROM (SELECT pair_id, unnest({sql_tokens("target_text", "value")}) AS token FROM att) JOIN vocab USING (token) GROUP BY ALL),
+gg AS (SELECT doc_id, sum(n * n) AS q FROM g GROUP BY doc_id), uu AS (SELECT pair_id, sum(n * n) AS q FROM tu GROUP BY pair_id),
+gu AS (SELECT tu.pair_id, sum(g.n * tu.n) AS dot FROM tu JOIN pairs USING (pair_id) JOIN g ON g.doc_id = seed_id AND g.id = tu.id GROUP BY tu.pair_id)
+SELECT h.pair_id, h.stage, h.label, {_ratio("least(n, m)", "greatest(n, m)")} AS size_ratio,
+  round(greatest(0, least(1, (CASE WHEN n = 0 OR m = 0 THEN 0 ELSE list_cosine_similarity({_hist("a")}, {_hist("b")}) END + 1) / 2)), 6) AS class_cosine,
+  {_ratio("k", "len(s) + len(t) - k")} AS overlap, {_ratio("k", "len(s)")} AS containment, {_ratio("levenshtein(a, b)", "greatest(n, m)")} AS token_delta,
+  {_ratio("abs(n - m)", "n")} AS size_delta, round(CASE WHEN gg.q * uu.q > 0 THEN coalesce(dot, 0) / sqrt(gg.q * uu.q) ELSE 0 END, 6) AS tf_cosine
+FROM h JOIN pairs USING (pair_id) LEFT JOIN gg ON gg.doc_id = seed_id LEFT JOIN uu USING (pair_id) LEFT JOIN gu USING (pair_id)"""
+
+# a rate so large that the validation loss goes up again
+PLAIN, RATE = ("size_ratio", "overlap", "size_delta"), 24.0
+
+
+def _trained_until(s, d):
+    """The history of a training that stops, with the best epoch marked and its loss from the scores of the weights that it gives back."""
+    features = cut(K.pair_features(_mixed(s, d)).where("stage <> 'test'").select("pair_id", "stage", "label", *[F.round(c, 9).alias(c) for c in PLAIN]))
+    path = scratch(s, "history")
+    model = K.train_until(features, PLAIN, path, F.col("stage") == "train", 12, 2, RATE)
+    held = features.where("stage = 'validation'").select("label", model.score().alias("p"))
+    loss = -F.avg(F.col("label") * F.log("p") + (1 - F.col("label")) * F.log(1 - F.col("p")))
+    again = held.agg(loss.alias("again")).withColumn("epoch", F.lit(model.best_epoch))
+    rows = C.read_history(s, path, "epoch int, train_loss double, validation_loss double").join(again, "epoch", "left")
+    return rows.select("epoch", *[F.round(c, 6).alias(c) for c in ("train_loss", "validation_loss")], F.coalesce(F.round("again", 6), F.lit(-1.0)).alias("best"))
+
+
+QUERIES["train_until"] = _trained_until
+_z = ["(x0 - m0) / s0", "(x1 - m1) / s1", "(x2 - m2) / s2"]
+ORACLES["train_until"] = f"""
+WITH RECURSIVE s AS ({STAGED}), {sql_pairs("s", "doc_id")}, {_made}, {_features_sql},
+f AS MATERIALIZED (SELECT stage, label, round(CASE WHEN greatest(n, m) = 0 THEN 0 ELSE least(n, m) / greatest(n, m)::DOUBLE END, 9) AS x0,
+  round(CASE WHEN len(s) + len(t) = k THEN 0 ELSE k / (len(s) + len(t) - k)::DOUBLE END, 9) AS x1, round(CASE WHEN n = 0 THEN 0 ELSE abs(n - m) / n::DOUBLE END, 9) AS x2
+  FROM h WHERE stage <> 'test'),
+o AS (SELECT avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x0) AS s0, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM f WHERE stage = 'train'),
+z AS MATERIALIZED (SELECT stage, label, {_z[0]} AS z0, {_z[1]} AS z1, {_z[2]} AS z2 FROM f, o),
+r(epoch, w0, w1, w2, b) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT epoch + 1, w0 - {RATE} * avg((p - label) * z0), w1 - {RATE} * avg((p - label) * z1), w2 - {RATE} * avg((p - label) * z2), b - {RATE} * avg(p - label)
+  FROM (SELECT r.*, z.*, 1 / (1 + exp(-(w0 * z0 + w1 * z1 + w2 * z2 + b))) AS p FROM r, z WHERE stage = 'train' AND epoch < 12) GROUP BY epoch, w0, w1, w2, b),
+e AS (SELECT epoch, stage, avg(-(label * ln(q) + (1 - label) * ln(1 - q))) AS loss FROM (SELECT epoch, stage, label,
+  greatest(1e-7, least(1 - 1e-7, 1 / (1 + exp(-(w0 * z0 + w1 * z1 + w2 * z2 + b))))) AS q FROM r, z WHERE epoch > 0) GROUP BY epoch, stage),
+v AS (SELECT a.epoch, a.loss AS tr, b.loss AS va FROM e a JOIN e b USING (epoch) WHERE a.stage = 'train' AND b.stage = 'validation'),
+b AS (SELECT x.*, (SELECT arg_min(y.epoch, (y.va, y.epoch)) FROM v y WHERE y.epoch <= x.epoch) AS top FROM v x),
+k AS (SELECT * FROM b WHERE epoch <= coalesce((SELECT min(epoch) FROM b WHERE epoch - top >= 2), 12))
+SELECT cast(epoch AS INTEGER) AS epoch, round(tr, 6) AS train_loss, round(va, 6) AS validation_loss,
+  CASE WHEN epoch = (SELECT arg_min(epoch, (va, epoch)) FROM k) THEN round(va, 6) ELSE -1.0 END AS best FROM k"""
+
+
+def _arguments(s, d):
+    """Arguments as JSON, arguments that cannot be read, and a model of other stages: with that much ridge all scores are the share of label 1."""
+    features = cut(K.pair_features(P.attach(P.make_pairs(with_stage(table(s, d, "documents").select("doc_id"), "doc_id", SEED), "doc_id", SEED, 2, 1),
+                                            table(s, d, "documents").select("doc_id", "text")).withColumnRenamed("base_text", "target_text")
+                                   .select("pair_id", "stage", "label", "seed_text", "target_text")))
+    K.MODELS["two_features"] = lambda **kw: [VectorAssembler(inputCols=["overlap", "size_delta"], outputCol="features"), LogisticRegression(**{"regParam": 1e4, **kw})]
+    out = []
+    for name, arguments in (("logistic", '{"regParam": 1e4, "maxIter": 5}'), ("two_features", "{not json"), ("two_features", '{"maxIter": 3}')):
+        model = K.train(features.where("stage = 'train'"), name, arguments)
+        scored = K.score(model, features).groupBy("stage").agg(F.count("*").alias("rows"), F.round(F.min("score"), 4).alias("least"), F.round(F.max("score"), 4).alias("most"))
+        out.append(scored.withColumn("model", F.lit(f"{name} {len(K.parse_arguments(arguments))}")))
+    return functools.reduce(lambda a, b: a.unionByName(b), out)
+
+
+QUERIES["model_arguments"] = _arguments
+ORACLES["model_arguments"] = f"""
+WITH s AS ({STAGED}), {sql_pairs("s", "doc_id", 2, 1)}, t AS (SELECT round(avg(label), 4) AS share FROM pairs WHERE stage = 'train')
+SELECT stage, count(*) AS rows, any_value(share) AS least, any_value(share) AS most, model FROM pairs, t,
+  (VALUES ('logistic 2'), ('two_features 0'), ('two_features 1')) m(model) GROUP BY stage, model"""
+
+
 def _train_evaluate(s, d):
     features = cut(K.pair_features(_mixed(s, d)))  # numbers only; read by every pass of the fit
     model = K.train(features.where("stage = 'train'"))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlake.operators import metrics, models, search, sequences, vocab
+from pairlake.functions import vectors
+from pairlake.operators import embedding, metrics, models, search, sequences, vocab
 
 
 def scores(spark, n=300):
@@ -174,3 +175,90 @@ def test_encoder_scores(spark):
     assert made.first().score == pytest.approx(1)
     cut = spark.createDataFrame([(1, "a" * 1024 + "b", "a" * 1024 + "c")], "label int, seed_text string, target_text string")
     assert models.score_pairs(cut, max_length=1024).first().cosine == pytest.approx(1) and models.score_pairs(cut).first().cosine < 0.999
+
+
+def test_factorisation_agrees_with_numpy(spark):
+    rng = np.random.default_rng(2)
+    n, dim, extra = 30, 3, 4
+    m = np.where(rng.random((n, n)) < 0.2, rng.random((n, n)), 0.0)
+    m = m + m.T
+    rows = [(int(a), int(b), float(m[a, b])) for a, b in zip(*np.nonzero(m))]
+    matrix = spark.createDataFrame(rows, "a int, b int, v double")
+    got = {r.id: np.array(r.vec) for r in embedding.factorise(matrix, dim, extra, 8, seed=5).collect()}
+    weight, turn = np.linalg.eigh(m)
+    order = np.argsort(-np.abs(weight))[:dim]
+    found = np.stack([got[k] for k in sorted(got)])
+    used = sorted(got)
+    want = turn[used][:, order] * np.sqrt(np.abs(weight[order]))
+    # up to the sign of a direction
+    assert np.allclose(np.abs((found * want).sum(0)), (want * want).sum(0), rtol=2e-2)
+    # the same steps in numpy, exactly
+    start = {r.id: r.vec for r in embedding.random_columns(spark.createDataFrame([(k,) for k in used], "id int"), dim + extra, 5).collect()}
+    small = m[np.ix_(used, used)]
+
+    def basis(y):
+        w, t = np.linalg.eigh(y.T @ y)
+        return y @ (t / np.sqrt(w))
+
+    q = basis(small @ np.array([start[k] for k in used]))
+    for _ in range(8):
+        q = basis(small @ q)
+    w, t = np.linalg.eigh(q.T @ small @ q)
+    order = np.argsort(-np.abs(w), kind="stable")[:dim]
+    exact = q @ t[:, order] * np.sqrt(np.abs(w[order]))
+    assert np.allclose(np.abs(found), np.abs(exact), atol=1e-6)
+    assert embedding.factorise(matrix.limit(0), 2, 2).count() == 0
+
+
+def test_trained_table_brings_like_tokens_together(spark):
+    rng = np.random.default_rng(4)
+    groups = [[f"{g}{i}" for i in range(6)] for g in "xyz"]
+    texts = [[str(w) for w in rng.choice(groups[k % 3], 30)] for k in range(90)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,), ([],), (["x0"],)], "toks array<string>")
+    known = spark.createDataFrame([(w, i) for i, w in enumerate(sum(groups, []))], "token string, id int")
+    vec = {r.token: np.array(r.vec) for r in embedding.train_table(df, "toks", known, 3, 3, 3).collect()}
+    cos = lambda a, b: vec[a] @ vec[b] / np.linalg.norm(vec[a]) / np.linalg.norm(vec[b])
+    assert len(vec) == 18 and min(cos("x0", f"x{i}") for i in range(6)) > 0.9 and max(abs(cos("x0", f"{g}{i}")) for g in "yz" for i in range(6)) < 0.2
+    counts = {(r.a, r.b): r.n for r in embedding.cooccurrence(spark.createDataFrame([(["x0", "?", "x1", "x0"],)], "t array<string>"), "t", known, 2).collect()}
+    assert counts == {(0, 1): 2, (1, 0): 2}
+    with pytest.raises(ValueError):
+        embedding.cooccurrence(df, "toks", known, 2, max_tokens=5)
+
+
+def test_training_stops_and_gives_the_best_weights(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((200, 2)) * [2.0, 0.5] + [1.0, -3.0]
+    y = (x[:, 0] + rng.standard_normal(200) > 1).astype(int)
+    rows = [(float(a), float(b), 5.0, int(k), "train" if i < 140 else "validation") for i, ((a, b), k) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, label int, stage string").repartition(3)
+    path = str(tmp_path / "h")
+    model = models.train_until(df, ["a", "b", "c"], path, F.col("stage") == "train", 15, 3, 9.0)
+    full = np.column_stack([x, np.full(200, 5.0)])
+    mean, scale = full[:140].mean(0), full[:140].std(0)
+    z = np.column_stack([(full - mean) / np.where(scale > 0, scale, 1), np.ones(200)])
+    p = lambda w: 1 / (1 + np.exp(-(z @ w)))
+    loss = lambda w, s: -np.mean(y[s] * np.log(np.clip(p(w)[s], 1e-7, 1 - 1e-7)) + (1 - y[s]) * np.log(np.clip(1 - p(w)[s], 1e-7, 1 - 1e-7)))
+    w, seen, train, held = np.zeros(4), [], slice(0, 140), slice(140, 200)
+    for _ in range(15):
+        w = w - 9.0 * ((p(w) - y)[train] @ z[train]) / 140
+        seen.append((w, loss(w, train), loss(w, held)))
+        best = int(np.argmin([s[2] for s in seen]))
+        if len(seen) - 1 - best >= 3:
+            break
+    history = sorted(spark.read.json(path).collect(), key=lambda r: r.epoch)
+    assert [r.epoch for r in history] == list(range(1, len(seen) + 1)) and model.epochs == len(seen) < 15
+    assert np.allclose([(r.train_loss, r.validation_loss) for r in history], [s[1:] for s in seen], atol=1e-9)
+    assert model.best_epoch == best + 1 and np.allclose(model.weights, seen[best][0], atol=1e-9)
+    scores = [r.s for r in df.select("a", model.score().alias("s")).orderBy("a").collect()]
+    assert np.allclose(scores, p(seen[best][0])[np.argsort(x[:, 0])])
+
+
+def test_sparse_counts_and_cosines(spark):
+    known = spark.createDataFrame([("a", 2), ("b", 3), ("c", 9)], "token string, id int")
+    df = spark.createDataFrame([(["a", "b", "a", "?"], ["c", "a"]), ([], ["a"]), (None, None), (["c"], ["c", "c"])], "x array<string>, y array<string>")
+    got = df.select(vocab.term_frequencies(F.col("x"), known).alias("x"), vocab.term_frequencies(F.col("y"), known).alias("y"))
+    rows = got.select("x", vectors.sparse_cosine(F.col("x"), F.col("y")).alias("c")).collect()
+    assert [[tuple(e) for e in r.x] if r.x is not None else None for r in rows] == [[(2, 2), (3, 1)], [], None, [(9, 1)]]
+    assert np.allclose([r.c for r in rows], [2 / 10**0.5, 0, 0, 1])
+    with pytest.raises(ValueError):
+        vocab.term_frequencies(F.col("x"), known, 2)
