@@ -7,8 +7,11 @@ seed always gives one segmentation of a document, other seeds and documents give
 others, and all of them decode to the text, character by character. Without
 dropout the segmentation is the model's own.
 
-Pieces never cross a blank before a word, so words are encoded apart: with dropout
-each word of each document once, and otherwise remembered; the memory of a task is bounded.
+Pieces never cross a blank before a word, so words are encoded apart. A word's merges
+without dropout are remembered. In a document they are tested, in their order, by
+the keyed hash: if it skips none of them, the agenda would take just these, and the
+remembered pieces are the word's; only words with a skipped merge go through the
+agenda. The memory of a task is bounded.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 DROPOUT, SEED, REMEMBERED = 0.1, 42, 200_000
 #: Behind all merges; the longest word that is merged in a table; words and characters handled at a time.
-NEVER, SHORT, TABLE_WORDS, STEP_CHARS = 1 << 31, 40, 8_000, 1_000_000
+NEVER, SHORT, TABLE_WORDS, STEP_CHARS = (1 << 31) - 1, 40, 4_000, 500_000
 MASK = (1 << 64) - 1
 #: A word with the blanks before it, blanks alone, a line end, or the blank sign itself.
 _WORDS = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}")
@@ -47,14 +51,26 @@ def skips(own, place, piece, limit):
     return (mixed ^ (mixed >> 31)) < limit
 
 
-def _skips_all(own: np.ndarray, place: np.ndarray, piece: np.ndarray, limit: int) -> np.ndarray:
+def _salts(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """What a candidate merge adds to the hash of its word."""
     u = np.uint64
-    mixed = own ^ ((place.astype(u) + u(1)) * u(0x9E3779B97F4A7C15)) ^ (piece.astype(u) * u(0xC2B2AE3D27D4EB4F))
+    return ((place.astype(u) + u(1)) * u(0x9E3779B97F4A7C15)) ^ (piece.astype(u) * u(0xC2B2AE3D27D4EB4F))
+
+
+def _skips_all(own: np.ndarray, salts: np.ndarray, limit: int) -> np.ndarray:
+    u = np.uint64
+    mixed = own ^ salts
     mixed = (mixed ^ (mixed >> u(30))) * u(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ (mixed >> u(27))) * u(0x94D049BB133111EB)
     return (mixed ^ (mixed >> u(31))) < u(limit)
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All of starts[k], starts[k] + 1, .. (counts[k] of them) for each k, in one array."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 class Model:
     """Pieces and scores of a merge-type model with byte fallback."""
 
@@ -101,24 +117,40 @@ class Model:
                 if left is not None and right is not None:
                     found[left * self.width + right] = made
         self.pairs = np.array(sorted(found), np.int64)
-        self.made = np.array([found[k] for k in self.pairs.tolist()], np.int64)
-        self.places = np.full(len(self.shown), NEVER, np.int64)
+        self.made = np.array([found[k] for k in self.pairs.tolist()], np.int32)
+        self.places = np.full(len(self.shown), NEVER, np.int32)
         for piece, i in self.ids.items():
             self.places[i] = self.ranks[piece]
 
     def _join(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece, place) of each pair of symbols; (0, NEVER) where they make none."""
-        keys = left * self.width + right
+        keys = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
         known = (self.pairs[at] == keys) & (left >= 0) & (right >= 0)
         made = np.where(known, self.made[at], 0)
         return made, np.where(known, self.places[made], NEVER)
 
     def words(self, words: list[str], dropout: float, key: int | list[int]) -> list[bytes]:
-        """Ids of many short words, as bytes of 32-bit numbers; the agendas of all words advance together.
-
-        ``key``: of all words, or of each. A word's agenda is a row of places; each round takes the first best
-        of every row, and merges or skips it.
+        """Ids of many short words, as bytes of 32-bit numbers. ``key``: of all words, or of each."""
+        keys = [key] * len(words) if isinstance(key, int) else key
+        own = np.array(list(map(xxhash.xxh3_64_intdigest, words, keys)), np.uint64)
+        ids, counts = self.agendas(words, own, min(int(dropout * (1 << 64)), MASK))
+        ends = np.cumsum(counts).tolist()
+        return [ids[b - c : b].tobytes() for b, c in zip(ends, counts.tolist())]
+
+    def merges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many of each word, salts of the merges in their order, how many of each word) of short words without dropout."""
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        ids, counts = self.agendas(words, np.zeros(len(words), np.uint64), 0, taken)
+        rows = np.concatenate([np.zeros(0, np.int64), *[r for r, _ in taken]])
+        salts = np.concatenate([np.zeros(0, np.uint64), *[s for _, s in taken]])
+        return ids, counts, salts[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(words))
+
+    def agendas(self, words: list[str], own: np.ndarray, limit: int, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word) of words by their hashes; the agendas of all words advance together.
+
+        A word's agenda is a row of places; each round takes the first best of every row, and merges or skips it.
+        The merges are listed in ``taken``, as (row, salt).
         """
         sizes = np.array([len(w) for w in words])
         codes = np.frombuffer("".join(words).replace(" ", BLANK).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -129,16 +161,13 @@ class Model:
         n, wide = len(words), int(sizes.max())
         row = np.repeat(np.arange(n), sizes)
         column = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        symbol = np.full((n, wide + 1), -(1 << 40), np.int64)
+        symbol = np.full((n, wide + 1), -(1 << 30), np.int32)
         symbol[row, column] = numbers[where]
         alive = np.zeros((n, wide + 1), bool)
         alive[row, column] = True
-        after = np.broadcast_to(np.arange(1, wide + 2), (n, wide + 1)).copy()
+        after = np.broadcast_to(np.arange(1, wide + 2, dtype=np.int16), (n, wide + 1)).copy()
         before = after - 2
         made, agenda = self._join(symbol[:, :-1], symbol[:, 1:])
-        keys = [key] * n if isinstance(key, int) else key
-        own = np.array(list(map(xxhash.xxh3_64_intdigest, words, keys)), np.uint64)
-        limit = min(int(dropout * (1 << 64)), MASK)
         rows = np.arange(n)
         while len(rows):
             at = agenda[rows].argmin(1)
@@ -146,8 +175,11 @@ class Model:
             rows, at = rows[open_], at[open_]
             piece = made[rows, at]
             agenda[rows, at] = NEVER
-            kept = ~_skips_all(own[rows], at, piece, limit)
+            salts = _salts(at, piece)
+            kept = ~_skips_all(own[rows], salts, limit)
             r, left = rows[kept], at[kept]
+            if taken is not None:
+                taken.append((r, salts[kept]))
             right = after[r, left]
             symbol[r, left] = piece[kept]
             alive[r, right] = False
@@ -164,21 +196,18 @@ class Model:
             x, a, b = r[more], prior[more], left[more]
             made[x, a], agenda[x, a] = self._join(symbol[x, a], symbol[x, b])
         flat, counts = symbol[alive], alive.sum(1)
-        out: list[bytes] = []
-        whole = (flat >= 0) & (flat < len(self.shown))
-        ends = np.cumsum(counts)
-        spelt = np.add.reduceat(~whole, ends - counts) if n else []
-        small = flat.astype(np.int32)
-        odd = {v: c for c, v in zip(chars, numbers.tolist()) if not 0 <= v < len(self.shown)}
-        for k, (end, count) in enumerate(zip(ends.tolist(), counts.tolist())):
-            if not spelt[k]:
-                out.append(small[end - count : end].tobytes())
-                continue
-            ids: list[int] = []
-            for s in flat[end - count : end].tolist():
-                ids += self._single(odd[s]) if s in odd else [s]
-            out.append(array("i", ids).tobytes())
-        return out
+        odd = np.flatnonzero((flat < 0) | (flat >= len(self.shown)))
+        if not len(odd):
+            return flat, counts
+        # characters without a piece are spelt as bytes
+        spelt = dict(zip(numbers.tolist(), chars))
+        singles = [self._single(spelt[v]) for v in flat[odd].tolist()]
+        width = np.ones(len(flat), np.int64)
+        width[odd] = [len(x) for x in singles]
+        ends = np.cumsum(width)
+        ids = np.repeat(flat, width)
+        ids[_ranges((ends - width)[odd], width[odd])] = [i for x in singles for i in x]
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
     def word(self, word: str, dropout: float, key: int) -> list[int]:
         """Ids of one word of any length with the blanks before it; the agenda is a heap."""
@@ -283,8 +312,38 @@ def encode_all(texts: list[str], words: Words) -> list[bytes]:
     return out
 
 
-def encode_each(texts: list[str], keys: list[int], model: Model, dropout: float) -> list[bytes]:
-    """As ``encode_all``, but each text has a key of its own, so that nothing is remembered from text to text."""
+class Merges:
+    """Ids and salts of the merges of short words without dropout, in two long arrays; so many words as there is room for.
+
+    When there is none, further words are not remembered: the usual ones came before.
+    """
+
+    def __init__(self, model: Model, most: int = REMEMBERED):
+        self.model, self.most = model, most
+        self.index: dict[str, int] = {}
+        self.ids, self.salts = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        self.id_ends, self.salt_ends = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        # the signs that never merge
+        signs = [np.array(model.word(sign, 0, 0), np.int32) for sign in (BLANK, "\n")]
+        self._add([BLANK, "\n"], np.concatenate(signs), np.array([len(x) for x in signs]), self.salts, np.zeros(2, np.int64))
+
+    def _add(self, words: list[str], ids: np.ndarray, id_counts: np.ndarray, salts: np.ndarray, salt_counts: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.ids, self.salts = np.concatenate([self.ids, ids]), np.concatenate([self.salts, salts])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(id_counts)])
+        self.salt_ends = np.concatenate([self.salt_ends, self.salt_ends[-1] + np.cumsum(salt_counts)])
+
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in words if len(w) <= SHORT and w not in self.index][: max(self.most - len(self.index), 0)]
+        new.sort(key=len)  # words of like length fill a table
+        tables = [new[at : at + TABLE_WORDS] for at in range(0, len(new), TABLE_WORDS)]
+        if tables:
+            self._add(new, *map(np.concatenate, zip(*map(self.model.merges, tables))))
+
+
+def encode_each(texts: list[str], keys: list[int], model: Model, dropout: float, known: Merges | None = None) -> list[bytes]:
+    """As ``encode_all``, but the dropout of each text has a key of its own."""
+    known = Merges(model) if known is None else known
     out: list[bytes] = []
     some: list[list[str]] = []
     size = 0
@@ -292,25 +351,48 @@ def encode_each(texts: list[str], keys: list[int], model: Model, dropout: float)
         some.append(_WORDS.findall(" " + text) if text else [])
         size += len(text)
         if size >= STEP_CHARS or k == len(texts) - 1:
-            own = keys[len(out) : k + 1]
-            known: list[dict[str, bytes]] = [dict.fromkeys(words, b"") for words in some]
-            short: list[tuple[str, int]] = []
-            for n, (found, key) in enumerate(zip(known, own)):
-                for w in found:
-                    if len(w) <= SHORT and w != BLANK and w != "\n":
-                        short.append((w, n))
-                    else:
-                        found[w] = array("i", model.word(w, dropout, key)).tobytes()
-            short.sort(key=lambda x: len(x[0]))  # words of like length fill a table
-            for at in range(0, len(short), TABLE_WORDS):
-                table = short[at : at + TABLE_WORDS]
-                for (w, n), ids in zip(table, model.words([w for w, _ in table], dropout, [own[n] for _, n in table])):
-                    known[n][w] = ids
-            out += [b"".join(map(found.__getitem__, words)) for words, found in zip(some, known)]
+            out += _encode_some(some, keys[len(out) : k + 1], model, dropout, known)
             some, size = [], 0
     return out
 
 
+def _encode_some(texts: list[list[str]], keys: list[int], model: Model, dropout: float, known: Merges) -> list[bytes]:
+    limit = min(int(dropout * (1 << 64)), MASK)
+    flat = [w for words in texts for w in words]
+    kinds = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+    names = list(kinds)
+    known.learn(names)
+    sizes = np.array([len(words) for words in texts], np.int64)
+    # each word of each text once; ``inverse`` is the place of an occurrence among them
+    occurs = np.repeat(np.arange(len(texts)), sizes) * max(len(names), 1) + np.fromiter(map(kinds.__getitem__, flat), np.int64, len(flat))
+    pairs, inverse = np.unique(occurs, return_inverse=True)
+    owner, kind = pairs // max(len(names), 1), pairs % max(len(names), 1)
+    words, own_keys = [names[k] for k in kind.tolist()], [keys[n] for n in owner.tolist()]
+    hashes = np.array(list(map(xxhash.xxh3_64_intdigest, words, own_keys)), np.uint64)
+    place = np.fromiter(map(known.index.get, names, repeat(-1)), np.int64, len(names))[kind]
+    stored = place >= 0
+    # the merges of the remembered words, tested in their order
+    starts, counts = known.salt_ends[place], np.where(stored, known.salt_ends[np.minimum(place + 1, len(known.salt_ends) - 1)] - known.salt_ends[place], 0)
+    skipped = np.concatenate([[0], np.cumsum(_skips_all(np.repeat(hashes, counts), known.salts[_ranges(starts, counts)], limit))])
+    ends = np.cumsum(counts)
+    again = np.flatnonzero(~stored | (skipped[ends] > skipped[ends - counts]))
+    lengths = np.fromiter(map(len, names), np.int64, len(names))[kind[again]]
+    again = again[np.argsort(lengths, kind="stable")].tolist()  # words of like length fill a table
+    short = int((lengths <= SHORT).sum())
+    tables = [again[at : min(at + TABLE_WORDS, short)] for at in range(0, short, TABLE_WORDS)]
+    made = [model.agendas([words[x] for x in table], hashes[table], limit) for table in tables]
+    made += [(np.array(ids, np.int32), [len(ids)]) for ids in (model.word(words[x], dropout, own_keys[x]) for x in again[short:])]
+    starts, counts = known.id_ends[place], known.id_ends[np.minimum(place + 1, len(known.id_ends) - 1)] - known.id_ends[place]
+    if made:
+        counts[again] = np.concatenate([c for _, c in made])
+        starts[again] = len(known.ids) + np.cumsum(counts[again]) - counts[again]
+    ids = np.concatenate([known.ids, *[i for i, _ in made]])
+    each = counts[inverse]
+    whole = ids[_ranges(starts[inverse], each)]
+    stops = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [whole[a:b].tobytes() for a, b in zip(stops, stops[1:])]
+
+
 def read_model(spark: SparkSession, path: str) -> bytes:
     """The bytes of a model file, by Spark's reader, so that any store will do."""
     url = path if "://" in path else f"file://{path}"
@@ -321,11 +403,11 @@ def _ids(data, dropout: float, remembered: int):
     @F.arrow_udf("array<int>")
     def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = Model(data.value)
-        words = Words(model, dropout, 0, remembered)
+        words, known = Words(model, dropout, 0, remembered), Merges(model, remembered)
         for texts, keys in parts:
             plain = [t or "" for t in texts.to_pylist()]
             if dropout > 0:
-                found = encode_each(plain, [k & MASK for k in keys.to_pylist()], model, dropout)
+                found = encode_each(plain, [k & MASK for k in keys.to_pylist()], model, dropout, known)
             else:
                 found = encode_all(plain, words)
             ends = np.cumsum([0] + [len(f) // 4 for f in found]).astype(np.int32)
@@ -344,7 +426,7 @@ def encode(
     The dropout of a row hangs on its key and the seed, so a word is cut differently
     from document to document, alike inside of one, and rows with equal keys and texts
     have equal ids. A row without key takes its text as the key. Null and empty texts
-    have no ids. ``remembered``: words that a task keeps where there is no dropout.
+    have no ids. ``remembered``: words whose merges a task keeps.
     Other columns and an empty table pass through. One row for each row given, no
     shuffle; the model is read once and broadcast.
     """
