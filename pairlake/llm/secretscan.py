@@ -29,6 +29,29 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{4,}"
 SAMPLE, SMOOTHING, UNIFORM, THRESHOLD, SEED = 4000, 10.0, 0.25, 10.0, 42
 MARK = "\x01"
+#: Elements of a block of ``_before``; behind all places.
+BLOCK, BEHIND = 512, 1 << 60
+
+
+def _before(values: Column, start: int, combine) -> Column:
+    """For each of an array of longs all values before it, combined (an associative operation), from ``start`` on.
+
+    In blocks, whose own results are combined first: an array that grows by one element
+    is copied each time, so it must stay short.
+    """
+    nothing = F.array().cast("array<bigint>")
+    first = F.lit(start).cast("bigint")
+
+    def inside(some: Column, begin: Column) -> Column:
+        step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found"))
+        return F.aggregate(some, F.struct(begin.alias("at"), nothing.alias("found")), step, lambda acc: acc["found"])
+
+    def whole(blocks: Column) -> Column:
+        each = F.transform(blocks, lambda b: F.aggregate(b, first, lambda x, y: combine(x, y)))
+        return F.flatten(F.zip_with(blocks, inside(each, first), inside))
+
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(parts(v), whole)).otherwise(nothing))
 
 
 def spans(text: Column, rule: str) -> Column:
@@ -38,19 +61,15 @@ def spans(text: Column, rule: str) -> Column:
     the text it is replaced by another such character), so every second piece is a
     match, and the lengths of the pieces give the places.
     """
-    nothing = F.array().cast("array<struct<start: long, end: long, part: string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("hit"), nothing.alias("found"))
+    nothing = F.array().cast("array<struct<start: bigint, end: bigint, part: string>>")
+    pieces = F.split(F.regexp_replace(F.translate(text, MARK, "\x02"), rule, f"{MARK}$0{MARK}"), MARK, -1)
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        found = F.when(
-            acc["hit"],
-            F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), end.cast("long").alias("end"), piece.alias("part")))),
-        ).otherwise(acc["found"])
-        return F.struct(end.cast("long").alias("at"), (~acc["hit"]).alias("hit"), found.alias("found"))
+    def placed(parts: Column) -> Column:
+        starts = _before(F.transform(parts, lambda p: F.length(p).cast("bigint")), 0, lambda a, b: a + b)
+        each = F.zip_with(parts, starts, lambda p, at: F.struct(at.alias("start"), (at + F.length(p)).alias("end"), p.alias("part")))
+        return F.filter(each, lambda s, i: i % 2 == 1)
 
-    pieces = F.split(F.regexp_replace(F.translate(text, MARK, "\x02"), rule, f"{MARK}$0{MARK}"), MARK, -1)
-    return F.when(text.rlike(rule), F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(nothing)
+    return F.when(text.rlike(rule), let(pieces, placed)).otherwise(nothing)
 
 
 def _of_kind(found: Column, kind: str, fine=None) -> Column:
@@ -154,14 +173,23 @@ def scan(
     """
     if model is None:
         model = fit(samples(docs, key, text))
-    whole, base, name = fresh(docs, "_whole", "_base", "secrets")
+    whole, name = fresh(docs, "_whole", "secrets")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn(whole, F.coalesce(F.col(text), F.lit(""))).withColumn(base, base_spans(F.col(whole)))
-    apart = lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = _of_kind(
-        spans(F.col(whole), CANDIDATE), "random", lambda s: F.when(apart(s), ratio(s["part"], model) >= threshold).otherwise(False)
-    )
-    return rows.select(*own, F.array_sort(F.concat(F.col(base), added)).alias(name))
+    rows = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    candidates = _of_kind(spans(F.col(whole), CANDIDATE), "random")
+    random = lambda s: s["place"] == len(BASE)
+
+    def chosen(found: Column) -> Column:
+        """Of all spans, sorted, the base ones and the candidates that meet none of them and look random."""
+        ends = _before(F.transform(found, lambda s: F.when(random(s), 0).otherwise(s["end"])), 0, F.greatest)
+        starts = F.reverse(F.transform(found, lambda s: F.when(random(s), BEHIND).otherwise(s["start"])))
+        next_ = F.reverse(_before(starts, BEHIND, F.least))
+        met = F.zip_with(F.zip_with(found, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), next_, lambda x, n: F.struct(
+            x["s"].alias("s"), (~random(x["s"]) | ((x["e"] <= x["s"]["start"]) & (n >= x["s"]["end"]))).alias("apart")))
+        kept = F.filter(met, lambda x: x["apart"] & F.when(random(x["s"]), ratio(x["s"]["part"], model) >= threshold).otherwise(True))
+        return F.transform(kept, lambda x: x["s"])
+
+    return rows.select(*own, let(F.array_sort(F.concat(base_spans(F.col(whole)), candidates)), chosen).alias(name))
 
 
 def _number(spans: str, kind: str) -> Column:

@@ -109,6 +109,34 @@ def test_secret_models(spark):
     assert [s["part"] for s in secretscan.scan(text, model).first()["secrets"]] == [strings[150]]
 
 
+def test_random_spans_against_a_plain_scan(spark, docs):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list(secretscan.ALPHABET), n))
+    texts = SECRETS + [" ".join([word(20), "token=" + word(30), word(15), "some_ordinary_identifier_name", f"AKIA{'Z' * 18}", word(40) + "\n" + word(3)]) for _ in range(30)]
+    rows = spark.createDataFrame([(-k, t) for k, t in enumerate(texts, 1)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    model, n, kept = secretscan.fit(secretscan.samples(docs)), len(secretscan.ALPHABET) + 1, 0
+    for _, text, spans in secretscan.scan(rows, model, threshold=1.0).collect():
+        base, want = ascii_spans(text), []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text or ""):
+            at = [secretscan.ALPHABET.find(c) + 1 for c in m[0]]
+            if not any(b[0] < m.end() and m.start() < b[2] for b in base) and sum(model[a * n + b] for a, b in zip(at, at[1:])) >= 1.0:
+                want.append((m.start(), 3, m.end(), "random"))
+        kept += len(want)
+        assert [(s["start"], s["place"], s["end"], s["kind"]) for s in spans] == sorted(base + want)
+    assert kept > 20
+
+
+def test_texts_of_many_matches_take_linear_time(spark):
+    import time
+
+    text = " ".join(f'token = "f3ef4d6b27{i:08d}" Zx9Qw8Er7Ty6Ui5Op4{i}' for i in range(20_000))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    found = secretscan.scan(rows, [0.0] * (len(secretscan.ALPHABET) + 1) ** 2, threshold=0.0).first()["secrets"]
+    assert time.time() - start < 60 and len(found) == 40_000
+    assert [s["start"] for s in found] == sorted(s["start"] for s in found) and all(s["part"] == text[s["start"] : s["end"]] for s in found[::997])
+
+
 def luhn(s):
     digits = [int(c) for c in s[::-1]]
     return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
