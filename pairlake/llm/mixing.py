@@ -212,18 +212,17 @@ def read_position(df: DataFrame, **options) -> tuple[DataFrame, str]:
     row's place in the file, as Spark reads files in any order. Rows that come from
     no file, or from files that Spark did not write, are placed anew by ``mix`` with the same options.
     """
-    name = fresh(df, "position")[0]
+    name, file, row = fresh(df, "position", "_file", "_row")
     try:
         if not all(re.search(r"/part-\d+[^/]*$", f) for f in df.inputFiles()):
             raise AnalysisException("not written by Spark")
-        held = df.select("*", F.col("_metadata.file_name").alias(f"_file_{name}"), F.col("_metadata.row_index").alias(f"_row_{name}"))
+        held = df.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
         held.schema  # noqa: B018
     except AnalysisException:
         placed = mix(df, **options)
         extra = placed.columns[len(df.columns) :]
         return placed.withColumnRenamed(extra[-1], name).drop(*extra[:-1]), name
-    file, row = F.col(f"_file_{name}"), F.col(f"_row_{name}")
     # part-<task>-<id>-c<file of the task>: 20 bits, 10 bits, and 33 bits for rows
-    part = F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
-    own = F.coalesce(F.regexp_extract(file, r"[-.]c(\d+)\.", 1).try_cast("long"), F.lit(0).cast("long"))
-    return held.withColumn(name, F.shiftleft(part, 43) + F.shiftleft(own, 33) + row).drop(f"_file_{name}", f"_row_{name}"), name
+    part = F.regexp_extract(F.col(file), r"^part-(\d+)", 1).cast("long")
+    own = F.coalesce(F.regexp_extract(F.col(file), r"[-.]c(\d+)\.", 1).try_cast("long"), F.lit(0).cast("long"))
+    return held.withColumn(name, F.shiftleft(part, 43) + F.shiftleft(own, 33) + F.col(row)).drop(file, row), name

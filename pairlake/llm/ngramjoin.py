@@ -2,11 +2,11 @@
 
 A text is the set of its five-word shingles. Texts with equal sets are one
 class. Each class gets a signature of ``TREES`` keys of ``LONGEST`` minima; a tree
-is a sorted prefix trie of one key. Two classes are candidates if they share a
-prefix in some tree. The prefix is shortened step by step until the recall
-reaches its target: by the chance of meeting at the similarity threshold, and by
-what the links found so far say about those not found. Candidates are verified
-on their whole shingle sets.
+is a prefix trie of one key. Two classes are candidates if they share a prefix in
+some tree. The prefix is as long as the chance of meeting at the similarity threshold
+allows (``sure``), and is shortened further only if what the links found so far say
+about those not found asks for it (``recall``); with the default parameters it does
+not. Candidates are verified on their whole shingle sets.
 
 A trie node is compared in blocks of bounded size, inside tasks: what leaves a
 task are one row per class and block with the number of its links, and one row
