@@ -6,6 +6,11 @@ keys that both dictionaries have are the ends that both agree on: sorted, they
 cut both lists of ids into groups that cover the same bytes. Inside each group
 the tokens that end with it are linked, every one of A with every one of B.
 
+No token of either side crosses the blank before a word, so both sides end where a
+word does. A text is taken apart there; parts that are new are joined by their blanks,
+encoded and aligned together, and what each of them has is remembered. The groups of
+a text are those of its parts. The memory of a task is bounded.
+
 Over the corpus the links of two ids are counted. A link says that one token's
 bytes are the tail of the other's, so there are at most as many different pairs
 as the two vocabularies have tails of each other (``most_pairs``, 0.2 million for
@@ -17,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -32,32 +36,29 @@ from pairlake.llm.pieces import BLANK, read_model
 #: Files of the two public tokenizers.
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Texts are encoded in parts of about so many characters; so many characters are encoded at a time.
-PART_CHARS, STEP_CHARS = 1 << 20, 1 << 20
-#: Ids that a task hands to Spark in one batch.
-BATCH_IDS = 1 << 21
-#: A place that no token of either side crosses: before a blank that follows another character.
+#: Parts of texts that a task remembers; characters whose new parts are aligned at a time.
+REMEMBERED, STEP_CHARS = 400_000, 1 << 20
+#: A part that joins others by a blank without changing how they are encoded; characters of one such text.
+_SAFE = re.compile(r"(?![\s▁]).*[^\s]", re.DOTALL)
+JOINED_CHARS = 1 << 16
+#: A place that no token of either side crosses: before a blank between two other characters. Whether a text has other blanks.
 _CUT = re.compile(r"(?<=[^\s])\x20(?=[^\s▁])")
+_PLAIN = re.compile(r"\x20")
+_ODD = re.compile(r"\s\x20|\x20(?:[\s▁]|\Z)")
 FIELDS = {
     "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(),
     "links": pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])),
     "a_ids": pa.list_(pa.int32()), "b_ids": pa.list_(pa.int32()), "a_sizes": pa.list_(pa.int32()), "b_sizes": pa.list_(pa.int32()),
 }
+DETAILS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
 _SQL = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "groups_sha256": "string",
         "links": "array<struct<a: int, b: int, n: int>>", "a_ids": "array<int>", "b_ids": "array<int>", "a_sizes": "array<int>",
         "b_sizes": "array<int>"}
 
 
-def parts(text: str, size: int = PART_CHARS) -> list[str]:
-    """``text`` in parts that can be encoded apart; one without a fitting blank is as long as it is."""
-    out, at = [], 0
-    while len(text) - at > size:
-        found = _CUT.search(text, at + size)
-        if not found:
-            break
-        out.append(text[at : found.start()])
-        at = found.start()
-    return [*out, text[at:]]
+def parts(text: str) -> list[str]:
+    """``text``, which begins with a blank, in parts that can be encoded apart, each without the blank that it begins with."""
+    return (_CUT if _ODD.search(text) else _PLAIN).split(text[1:])
 
 
 class ByteSide:
@@ -79,8 +80,8 @@ class ByteSide:
             self.bytes[i] = bytes(back[c] for c in token) if known else token.encode()
 
     def encode(self, some: list[str]) -> list[list[int]]:
-        """Ids of parts; the first of a text begins with the space put before it."""
-        return [e.ids for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
+        """Ids of each blank+part."""
+        return [e.ids for e in self.model.encode_batch_fast([f" {p}" for p in some], add_special_tokens=False)]
 
 
 class PieceSide:
@@ -94,27 +95,12 @@ class PieceSide:
         for i in range(known.get_piece_size()):
             piece = known.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if known.is_byte(i) else piece.replace(BLANK, " ").encode())
+            if BLANK in piece.lstrip(BLANK):
+                raise ValueError("the model has pieces across words")
 
     def encode(self, some: list[str]) -> list[list[int]]:
-        """Ids of parts, each of which begins with the space that the model puts there itself."""
-        return self.model.encode([p[1:] for p in some], num_threads=1)
-
-
-def encode(side: ByteSide | PieceSide, texts: list[str], part_chars: int = PART_CHARS) -> list[list[int]]:
-    """Ids of each space+text; none of an empty text."""
-    cut = [parts(f" {t}", part_chars) if t else [] for t in texts]
-    flat, found = [p for c in cut for p in c], []
-    at = size = 0
-    for k, part in enumerate(flat):
-        size += len(part)
-        if size >= STEP_CHARS or k == len(flat) - 1:
-            found += side.encode(flat[at : k + 1])
-            at, size = k + 1, 0
-    out, at = [], 0
-    for c in cut:
-        out.append(found[at] if len(c) == 1 else list(chain.from_iterable(found[at : at + len(c)])))
-        at += len(c)
-    return out
+        """Ids of each blank+part; the model puts the blank there itself."""
+        return self.model.encode(some, num_threads=1)
 
 
 def groups(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
@@ -136,57 +122,105 @@ def tails(sizes: list[int], first: int, stop: int) -> int:
     return stop - at
 
 
-class Aligned:
-    """One text aligned. ``a`` and ``b`` are ids, ``cuts`` the groups; all empty where the bytes do not give the text."""
-
-    def __init__(self, text: str, a: list[int], b: list[int], a_known: _Side, b_known: _Side):
-        whole = f" {text}".encode("utf-8", "surrogatepass")
-        fits = bool(text) and b"".join(map(a_known.bytes.__getitem__, a)) == whole and b"".join(map(b_known.bytes.__getitem__, b)) == whole
-        self.a, self.b = (a, b) if fits else ([], [])
-        self.known = a_known, b_known
-        self.a_sizes, self.b_sizes = list(map(a_known.sizes.__getitem__, self.a)), list(map(b_known.sizes.__getitem__, self.b))
-        self.cuts = groups(self.a_sizes, self.b_sizes)
-
-    def links(self) -> Counter:
-        """How often each (A id, B id) is linked here."""
-        stops_a, stops_b = [i for i, _ in self.cuts], [j for _, j in self.cuts]
-        out = Counter(zip((self.a[i - 1] for i in stops_a), (self.b[j - 1] for j in stops_b)))
-        if 0 in self.a_sizes or 0 in self.b_sizes:
-            out.clear()
-            i0 = j0 = 0
-            for i, j in self.cuts:
-                for x in self.a[i - tails(self.a_sizes, i0, i) : i]:
-                    for y in self.b[j - tails(self.b_sizes, j0, j) : j]:
-                        out[x, y] += 1
-                i0, j0 = i, j
-        return out
-
-    def sha256(self) -> str:
-        """Of a1,a2|b1;a3|b2,b3; '' without tokens."""
-        if not self.a:
-            return ""
-        a, b = list(map(self.known[0].shown.__getitem__, self.a)), list(map(self.known[1].shown.__getitem__, self.b))
-        shown, i0, j0 = [], 0, 0
-        for i, j in self.cuts:
-            shown.append(f"{a[i0] if i == i0 + 1 else ','.join(a[i0:i])}|{b[j0] if j == j0 + 1 else ','.join(b[j0:j])}")
-            i0, j0 = i, j
-        return hashlib.sha256(";".join(shown).encode()).hexdigest()
-
-    def field(self, name: str, links: Counter):
-        if name == "n_links":
-            return sum(links.values())
-        if name in ("a_sizes", "b_sizes"):
-            stops = [c[name == "b_sizes"] for c in self.cuts]
-            return [y - x for x, y in zip([0, *stops], stops)]
-        return {"n_a": lambda: len(self.a), "n_b": lambda: len(self.b), "n_groups": lambda: len(self.cuts), "groups_sha256": self.sha256,
-                "a_ids": lambda: self.a, "b_ids": lambda: self.b}[name]()
-
-
-class _Side:
+class Side:
     """What alignment needs of a vocabulary, per id."""
 
     def __init__(self, data: list[bytes]):
         self.bytes, self.sizes, self.shown = data, list(map(len, data)), list(map(str, range(len(data))))
+        self.lengths = np.array(self.sizes)
+
+
+def linked(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int], cuts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The links of the tokens that end with each group, as a << 32 | b, and where each group's links stop."""
+    i, j = np.array(cuts, np.int64).reshape(-1, 2).T
+    if 0 not in a_sizes and 0 not in b_sizes:
+        return (np.array(a, np.int64)[i - 1] << 32) | np.array(b, np.int64)[j - 1], np.arange(1, len(cuts) + 1)
+    out, stops, i0, j0 = [], [], 0, 0
+    for i, j in cuts:
+        ends = a[i - tails(a_sizes, i0, i) : i], b[j - tails(b_sizes, j0, j) : j]
+        out += [x << 32 | y for x in ends[0] for y in ends[1]]
+        stops.append(len(out))
+        i0, j0 = i, j
+    return np.array(out, np.int64), np.array(stops, np.int64)
+
+
+def written(a: list[int], b: list[int], cuts: list[tuple[int, int]], sides: tuple[Side, Side]) -> list[str]:
+    """Each group as a1,a2|b1."""
+    x, y = (list(map(s.shown.__getitem__, ids)) for s, ids in zip(sides, (a, b)))
+    out, i0, j0 = [], 0, 0
+    for i, j in cuts:
+        out.append(f"{x[i0] if i == i0 + 1 else ','.join(x[i0:i])}|{y[j0] if j == j0 + 1 else ','.join(y[j0:j])}")
+        i0, j0 = i, j
+    return out
+
+
+#: What is known of a part: whether its bytes are those of the tokens on both sides, tokens, tokens, groups, the groups written out, the
+#: links as bytes of 64-bit numbers, and, if asked for, ids and sizes of the groups on both sides.
+Known = tuple[bool, int, int, int, str, bytes, tuple]
+UNFIT: Known = (False, 0, 0, 0, "", b"", ((), (), (), ()))
+
+
+def align_parts(found: list[str], sides: tuple, known: tuple[Side, Side], details: bool) -> list[Known]:
+    """What is known of each of some parts, joined to one text by the blanks that they begin with."""
+    whole = " ".join(found)
+    a, b = (s.encode([whole])[0] for s in sides)
+    data = f" {whole}".encode("utf-8", "surrogatepass")
+    sizes = [list(map(k.sizes.__getitem__, ids)) for k, ids in zip(known, (a, b))]
+    if all([b"".join(map(k.bytes.__getitem__, ids)) == data for k, ids in zip(known, (a, b))]):
+        cuts = groups(*sizes)
+        ends = np.cumsum(sizes[0])[[i - 1 for i, _ in cuts]]
+        goals = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in found])
+        stops = np.searchsorted(ends, goals)
+        if stops[-1] < len(ends) and (ends[stops] == goals).all():
+            (links, upto), shown = linked(a, b, *sizes, cuts), written(a, b, cuts, known)
+            data, upto = links.tobytes(), (upto * 8).tolist()
+            out, last, i0, j0, p0 = [], 0, 0, 0, 0
+            for stop in (stops + 1).tolist():
+                i, j = cuts[stop - 1]
+                p = upto[stop - 1]
+                detail = ()
+                if details:
+                    some = cuts[last:stop]
+                    detail = (a[i0:i], b[j0:j], np.diff([i0, *[x for x, _ in some]]).tolist(), np.diff([j0, *[y for _, y in some]]).tolist())
+                out.append((True, i - i0, j - j0, stop - last, ";".join(shown[last:stop]), data[p0:p], detail))
+                last, i0, j0, p0 = stop, i, j, p
+            return out
+    # some part's bytes are not those of its tokens
+    return [UNFIT] if len(found) == 1 else [known_of for p in found for known_of in align_parts([p], sides, known, details)]
+
+
+class Parts(dict):
+    """What is known of parts, as many as there is room for; the usual ones come before it is full."""
+
+    def __init__(self, sides: tuple, most: int = REMEMBERED, details: bool = False):
+        super().__init__()
+        self.sides, self.most, self.details = sides, most, details
+        self.known = tuple(Side(s.bytes) for s in sides)
+        self.once: dict[str, Known] = {}  # those of the texts at hand that are not remembered
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Aligns the new parts of some texts together."""
+        seen: set[str] = set()
+        for found in texts:
+            seen.update(found)
+        new = [p for p in seen if p not in self]
+        tables, size = [], JOINED_CHARS
+        for part in new:
+            if not _SAFE.fullmatch(part):
+                tables.insert(0, [part])
+                continue
+            if size >= JOINED_CHARS:
+                tables.append([])
+                size = 0
+            tables[-1].append(part)
+            size += len(part) + 1
+        made = [(p, k) for table in tables for p, k in zip(table, align_parts(table, self.sides, self.known, self.details))]
+        room = max(self.most - len(self), 0)
+        self.update(made[:room])
+        self.once = dict(made[room:])
+
+    def __missing__(self, part: str) -> Known:
+        return self.once[part]
 
 
 def most_pairs(a: list[bytes], b: list[bytes]) -> int:
@@ -197,24 +231,35 @@ def most_pairs(a: list[bytes], b: list[bytes]) -> int:
     return found + sum(often[y[k:]] for y in b for k in range(1, len(y) + 1))  # equal ones counted above
 
 
-def _column(wanted: tuple[str, ...], made: list[Aligned]) -> pa.StructArray:
-    links = [m.links() for m in made] if {"links", "n_links"} & set(wanted) else [Counter()] * len(made)
+def _column(wanted: tuple[str, ...], texts: list[list[Known]]) -> pa.StructArray:
+    """The fields of texts from what is known of their parts; none of a text with a part that is unfit."""
+    texts = [each if all([k[0] for k in each]) else [] for each in texts]
     columns = []
     for name in wanted:
         if name == "links":
-            flat = array("i", chain.from_iterable((x, y, n) for each in links for (x, y), n in each.items()))
-            values = np.frombuffer(flat, np.int32).reshape(-1, 3)
-            ends = np.cumsum([0, *map(len, links)]).astype(np.int32)
-            inner = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(3)], ["a", "b", "n"])
-            columns.append(pa.ListArray.from_arrays(pa.array(ends), inner))
+            flat = [np.unique(np.frombuffer(b"".join([k[5] for k in each]), np.int64), return_counts=True) for each in texts]
+            pairs, often = (np.concatenate([np.zeros(0, np.int64), *[f[n] for f in flat]]) for n in (0, 1))
+            ends = np.cumsum([0, *[len(f[0]) for f in flat]]).astype(np.int32)
+            inner = [pa.array(x.astype(np.int32)) for x in (pairs >> 32, pairs & 0xFFFFFFFF, often)]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(inner, ["a", "b", "n"])))
+            continue
+        if name in DETAILS:
+            at = DETAILS.index(name)
+            values = [[x for k in each for x in k[6][at]] for each in texts]
+        elif name == "groups_sha256":
+            values = [hashlib.sha256(";".join([k[4] for k in each]).encode()).hexdigest() if each else "" for each in texts]
+        elif name == "n_links":
+            values = [sum([len(k[5]) for k in each]) // 8 for each in texts]
         else:
-            columns.append(pa.array([m.field(name, each) for m, each in zip(made, links)], FIELDS[name]))
+            at = ("n_a", "n_b", "n_groups").index(name) + 1
+            values = [sum([k[at] for k in each]) for each in texts]
+        columns.append(pa.array(values, FIELDS[name]))
     return pa.StructArray.from_arrays(columns, list(wanted))
 
 
 def align(
     docs: DataFrame, text: str = "text", a: str = BYTE_MODEL, b: str = PIECE_MODEL, wanted: tuple[str, ...] = tuple(FIELDS),
-    part_chars: int = PART_CHARS,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """``docs`` with the struct ``aligned`` of the fields ``wanted``.
 
@@ -225,8 +270,7 @@ def align(
     Null and empty texts have no tokens, nor has a text that the bytes of either
     side's tokens do not give (a blank sign in the text becomes a space in B): counts
     of 0, empty lists, and '' as the digest. Special tokens' strings are plain text.
-    Long texts are encoded in parts whose borders no token crosses. One row for each
-    row given, repeated ones alike; other columns and an empty table pass through;
+    ``remembered``: parts of texts that a task keeps. One row for each row given, repeated ones alike; other columns and an empty table pass through;
     where ``aligned`` is taken, underscores are put before. No shuffle.
     """
     spark = docs.sparkSession
@@ -235,16 +279,16 @@ def align(
 
     @F.arrow_udf(", ".join(f"{f}: {_SQL[f]}" for f in wanted))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        sides = ByteSide(data[0].value), PieceSide(data[1].value)
-        known = tuple(_Side(s.bytes) for s in sides)
+        known = Parts((ByteSide(data[0].value), PieceSide(data[1].value)), remembered, bool(set(DETAILS) & set(wanted)))
         for batch in batches:
             made, held, size = [], [], 0
             for k, value in enumerate(batch):
-                held.append(value.as_py() or "")
-                size += len(held[-1])
+                whole = value.as_py() or ""
+                held.append(parts(f" {whole}") if whole else [])
+                size += len(whole)
                 if size >= STEP_CHARS or k == len(batch) - 1:
-                    both = [encode(s, held, part_chars) for s in sides]
-                    made.append(_column(wanted, [Aligned(t, x, y, *known) for t, x, y in zip(held, *both)]))
+                    known.learn(held)
+                    made.append(_column(wanted, [list(map(known.__getitem__, found)) for found in held]))
                     held, size = [], 0
             yield pa.concat_arrays(made) if made else _column(wanted, [])
 
