@@ -257,6 +257,77 @@ def test_all_repeated_passages_go_whole(spark, glue):
         assert all(a["end"] < b["at"] for a, b in zip(r["removed"], r["removed"][1:]))
 
 
+def slow_removed(rows, words=50):
+    """Texts without repeated passages and repeated anchors, by going through all texts in order."""
+    seen, out = {}, []
+    for doc, text in sorted(rows):
+        spans, found = [], linededup._Units(text) if text else None
+        if found:
+            n, starts, ends = found.size, found.starts.tolist(), found.ends.tolist()
+            parts = [text[a:b].strip() for a, b in zip(starts, ends)]
+            sizes = [len(p.split()) for p in parts]
+            upto = [0]
+            for size in sizes:
+                upto.append(upto[-1] + size)
+
+            def stop(t):
+                e = t + 1
+                while e <= n and upto[e] - upto[t] < words and not (upto[e] - upto[t] >= 10 and e - t >= 2):
+                    e += 1
+                return e
+
+            stops = [stop(t) for t in range(n)]
+            after = {a: next((b for b in range(a + 1, n + 1) if upto[b] - upto[a] >= words), None) for a in range(n)}
+            runs = {(a, b) for a, b in after.items() if b}
+            runs |= {(max(a for a in range(b) if upto[b] - upto[a] >= words), b) for b in range(1, n + 1) if upto[b] >= words}
+            fits = [t for t in range(n) if stops[t] <= n]
+            rolled = dict(zip(fits, found.hashes(0, np.array(fits, int), np.array([stops[t] for t in fits], int)).tolist()))
+            least = lambda a, b: min((t for t in range(a, b) if stops[t] <= b), key=lambda t: (rolled[t], t), default=None)
+            anchor = {a: least(a, after[a]) for a, _ in runs}
+            chosen = set(anchor.values()) if runs else {least(0, n)} - {None}
+            entries = [(a, b, ("run", tuple(parts[a:b]))) for a, b in runs]
+            entries += [(t, stops[t], ("chunk", tuple(parts[t : stops[t]]))) for t in chosen if stops[t] - t >= 2]
+            for a, b, kind in sorted(entries, key=lambda x: x[:2]):
+                first = seen.setdefault(kind, (doc, starts[a], ends[b - 1]))
+                if first[0] != doc:
+                    spans.append((starts[a], ends[b - 1]))
+                elif first[1] != starts[a]:
+                    spans.append((max(starts[a], first[2]), ends[b - 1]))
+        kept, at = [], 0
+        for a, b in sorted(spans):
+            if a < b:
+                kept.append(text[at:a])
+                at = max(at, b)
+        out.append((doc, "".join(kept) + text[at:] if text else text))
+    return out
+
+
+def test_passages_and_anchors_against_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    glued = [(1000 + k, (" " if k % 2 else "\n").join([passage(3, k % 5), passage(2 + k % 4, k % 7), passage(4, k % 3)])) for k in range(40)]
+    made = spark.createDataFrame(rows + glued, "doc_id long, text string")
+    got = linededup.dedup(made, words=50)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == slow_removed(rows + glued)
+
+
+def test_odd_rows_of_passages(spark):
+    long = " ".join(f"w{i % 977}" for i in range(3000)) + "."
+    text = passage(9, 5)
+    rows = [(1, None, "a"), (2, "", "b"), (None, text, "c"), (None, text, "c"), (None, None, "d"), (3, text, "e"), (3, text, "e"), (4, f"{text}\n{long}", "f"),
+            (5, long, "g"), (5, text[:-1], "h"), (6, " \n\t ", "i"), (7, "x", "j"), (8, f"{text}\n{text}", "k")]
+    df = spark.createDataFrame([(*r, "s", "t") for r in rows], "doc_id long, text string, removed string, _digest string, _gaps string")
+    out = linededup.dedup(df, words=50)
+    assert out.columns[:5] == df.columns and len({c.lower() for c in out.columns}) == 6
+    got = {}
+    for r in out.collect():
+        got.setdefault((r["doc_id"], r["removed"]), []).append(r["text"])
+    assert len(out.collect()) == len(rows) and got[3, "e"] == [text, text]  # the first by key; repeated rows are one document
+    assert got[4, "f"] == [long] and got[5, "g"] == [""] and got[None, "c"] == ["", ""] and got[1, "a"] == [None] and got[2, "b"] == [""]
+    assert got[6, "i"] == [" \n\t "] and got[7, "j"] == ["x"] and got[8, "k"] == [""]
+    assert linededup.dedup(df.limit(0), words=50).count() == 0
+    assert [r["text"] for r in linededup.dedup(df.where("text is null"), words=50).collect()] == [None, None]
+
+
 def test_chunks_partition_in_order():
     for seed in range(30):
         text = "\n".join(passage(random.Random(seed + k).randint(1, 9), seed + k) for k in range(6))
@@ -366,7 +437,7 @@ def test_pipeline_stages_against_brute_force(spark, docs, tmp_path):
             assert {10_001, 10_002, 10_003, 10_004} <= ids and not {10_005, 10_006} & ids and set(after) <= set(before)
             assert all(quality.base_counts(t)[0] >= 50 for _, t in after)
         elif name == "line_dedup":
-            assert sorted(after) == slow_dedup(before)
+            assert sorted(after) == slow_removed(before)
         elif name == "near_duplicates":
             rows = sorted(before)
             _, root = slow_links(rows)
