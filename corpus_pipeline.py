@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlake.llm import linededup, mixing, ngramjoin, pieces, quality
 from pairlake.llm.common import table
-from pairlake.session import cut
+from pairlake.session import cut, cuts, drop_cuts
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go, no document does; ``n_chars`` follows the text."""
-    less = linededup.dedup(docs).select(*docs.columns)
+    """Repeated passages and chunks of lines go, no document does; ``n_chars`` follows the text."""
+    less = linededup.dedup(docs, words=linededup.PASSAGE_WORDS).select(*docs.columns)
     return less.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else less
 
 
@@ -59,9 +59,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), set(cuts(spark))
     for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place < len(STAGES) - 1:
+            used = [path for path in cuts(spark) if path not in before]
             docs = cut(docs)
+            drop_cuts(spark, used)  # the next stage reads what is written now
     return docs
