@@ -16,6 +16,10 @@ GRAMMAR_WITH_BLANKS = GRAMMAR + r"|\s+"
 # are the same as those of the full grammar, at a fraction of the pieces.
 LITERAL_PARTS = r"""\"[^\"\n]*\"|'[^'\n]*'|[^\"']+|[\"']"""
 
+# String literals, names, and the runs between them. A name begins at the first letter that no
+# literal or name holds, so both are those of the full grammar, at half of the pieces.
+NAME_PARTS = r"""\"[^\"\n]*\"|'[^'\n]*'|[\p{L}_$][\p{L}\p{N}_$]*|[^\"'\p{L}_$]+|[\"']"""
+
 # Operator groups, whose label is also the name of the class.
 OPERATOR_GROUPS = {
     "+/-": ("+", "-"),
@@ -49,6 +53,11 @@ def literal_parts(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LITERAL_PARTS), F.lit(0))
 
 
+def name_parts(text: Column) -> Column:
+    """The text cut in string literals, names and whatever lies between them."""
+    return F.regexp_extract_all(text, F.lit(NAME_PARTS), F.lit(0))
+
+
 def is_name(token: Column) -> Column:
     return token.rlike(r"^[\p{L}_$]")
 

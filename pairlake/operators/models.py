@@ -207,27 +207,53 @@ WORDS = re.compile(r"[^ \t\n\x0b\f\r]+")
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
+#: Words whose bucket and sign a task remembers.
+REMEMBERED = 200_000
+
+
+class _Codes(dict):
+    """Word to bucket, plus ``dim`` where the sign is negative; remembered up to a bound."""
+
+    def __init__(self, dim: int, most: int = REMEMBERED):
+        super().__init__()
+        self.dim, self.most = dim, most
+
+    def __missing__(self, word: str) -> int:
+        code = hashlib.md5(word.encode()).hexdigest()
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = int(code[:15], 16) % self.dim + (0 if code[15] < "8" else self.dim)
+        return found
+
+
 def hashing_encoder(dim: int = 256) -> Encoder:
     """Token counts in ``dim`` signed hash buckets: the default encoder."""
+    codes = _Codes(dim)
 
     def encode(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
-            for word in WORDS.findall(text):
-                code = hashlib.md5(word.encode()).hexdigest()
-                out[i, int(code[:15], 16) % dim] += 1.0 if code[15] < "8" else -1.0
+            found = np.fromiter(map(codes.__getitem__, WORDS.findall(text)), np.int64)
+            signed = np.bincount(found, minlength=2 * dim)
+            out[i] = signed[:dim] - signed[dim:]
         return out
 
     return encode
 
 
+def _encode_distinct(encode: Encoder, texts: list[str]) -> np.ndarray:
+    """The vectors of the texts; equal ones are encoded once."""
+    places = {text: k for k, text in enumerate(dict.fromkeys(texts))}
+    return encode(list(places))[[places[text] for text in texts]]
+
+
 def score_pairs(
     pairs: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encoder,
     seed: str = "seed_text", target: str = "target_text", max_length: int | None = None,
 ) -> DataFrame:
     """The pair columns (without the texts) with cosine, score and pred from a text encoder.
 
-    The encoder is made once per task and fed Arrow batches. Texts are
+    The encoder is made once per task and fed the distinct texts of Arrow batches. Texts are
     taken whole; ``max_length`` cuts them, for an encoder with a fixed context.
     """
     keep = [f for f in pairs.schema.fields if f.name not in (seed, target)]
@@ -237,7 +263,9 @@ def score_pairs(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make_encoder()
         for batch in batches:
-            a, b = encode(batch[seed].tolist()), encode(batch[target].tolist())
+            if batch.empty:
+                continue
+            a, b = (_encode_distinct(encode, batch[c].tolist()) for c in (seed, target))
             size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
             dots = (a * b).sum(axis=1)
             batch["cosine"] = np.divide(dots, size, out=np.zeros(len(size)), where=size > 0)

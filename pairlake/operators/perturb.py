@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairlake.functions.bind import let
 from pairlake.functions.draws import draw, share, step_past
-from pairlake.functions.lexer import is_integer, is_name, is_string, literal_parts, raw_tokens, tokens
+from pairlake.functions.lexer import is_integer, is_name, is_string, literal_parts, name_parts, raw_tokens, tokens
 from pairlake.functions.text import compact
 from pairlake.operators.extend import STEPS
 from pairlake.operators.grid import DEFAULT_FLAGS, EXPERIMENT_FLAGS, EXPERIMENTS, MIXES, profile_rows
@@ -77,7 +77,7 @@ def _free(token: Column, reserved: Sequence[str]) -> Column:
 def rename(text: Column, seed_no: int, *keys, reserved: Sequence[str] = ()) -> Column:
     """Names replaced by generated ones, the same for equal names of one document (reversible)."""
     one = lambda t: F.when(is_name(t) & _free(t, reserved), new_name(seed_no, t, *keys)).otherwise(t)
-    return F.array_join(F.transform(raw_tokens(text, blanks=True), one), "")
+    return F.array_join(F.transform(name_parts(text), one), "")
 
 
 def rename_map(df: DataFrame, key: str, text: str, seed_no: int, reserved: Sequence[str] = ()) -> DataFrame:
@@ -109,8 +109,7 @@ def rename_text_keys(text: Column, seed_no: int, *keys) -> Column:
     """Names and string literals before a ':' replaced, in any text; equal keys alike, quotes stay."""
 
     def recode(toks: Column) -> Column:
-        at = lambda i: F.coalesce(F.get(toks, i), F.lit(""))
-        before_colon = lambda i: (at(i + 1) == ":") | (at(i + 1).rlike(r"^\s+$") & (at(i + 2) == ":"))
+        before_colon = lambda i: F.coalesce(F.get(toks, i + 1), F.lit("")).rlike(r"^\s*:")
         inner = lambda t: F.substr(t, F.lit(2), F.length(t) - 2)
         quote = lambda t: F.substring(t, 1, 1)
         one = lambda t, i: F.when(is_name(t) & before_colon(i), new_name(seed_no, t, *keys)).when(
@@ -118,7 +117,7 @@ def rename_text_keys(text: Column, seed_no: int, *keys) -> Column:
         ).otherwise(t)
         return F.array_join(F.transform(toks, one), "")
 
-    return let(raw_tokens(text, blanks=True), recode)
+    return let(name_parts(text), recode)
 
 
 def eligible_literals(df: DataFrame, key: str, text: str = "text", reserved: Sequence[str] = ()) -> DataFrame:
@@ -183,19 +182,27 @@ def split_literals(text: Column, n: int, reserved: Sequence[str] = ()) -> Column
     return F.array_join(F.transform(literal_parts(text), one), "")
 
 
-def permute_lines(text: Column, threshold: float, seed_no: int, *keys) -> Column:
-    """struct(text, line_order): the lines of a share of documents in random order (reversible)."""
+def _permuted(text: Column, threshold: float, seed_no: int, *keys) -> Column:
+    """The lines as array<struct(h, i, x)> in their new order."""
     place = lambda moved, i: F.when(moved, draw(seed_no, "line", *keys, i)).otherwise(i.cast("bigint"))
-    tagged = let(
+    return let(
         share(draw(seed_no, "permute", *keys), threshold),
         lambda moved: F.array_sort(
             F.transform(lines_of(text), lambda x, i: F.struct(place(moved, i).alias("h"), i.alias("i"), x.alias("x")))
         ),
     )
+
+
+def _joined(rows: Column) -> Column:
+    return F.array_join(F.transform(rows, lambda r: r["x"]), "\n")
+
+
+def permute_lines(text: Column, threshold: float, seed_no: int, *keys) -> Column:
+    """struct(text, line_order): the lines of a share of documents in random order (reversible)."""
     return let(
-        tagged,
+        _permuted(text, threshold, seed_no, *keys),
         lambda rows: F.struct(
-            F.array_join(F.transform(rows, lambda r: r["x"]), "\n").alias("text"),
+            _joined(rows).alias("text"),
             F.array_join(F.transform(rows, lambda r: r["i"].cast("string")), ",").alias("line_order"),
         ),
     )
@@ -424,7 +431,7 @@ def steps_of(flags: dict[str, str], seed_no: int, keys: Sequence[str], donor: Co
         (on("numbers"), "numbers", lambda t: number_expressions(t, seed_no, *keys)),
         (array, f"words {words_share} {rotate} {shuffle} {reserved} {coding}", lambda t: with_dictionary(t, words(t), coding)),
         (on("split_strings"), f"split {chunk} {reserved}", after(lambda t: split_literals(t, chunk, reserved))),
-        (on("permute"), f"permute {moved}", after(lambda t: permute_lines(t, moved, seed_no, *keys)["text"])),
+        (on("permute"), f"permute {moved}", after(lambda t: _joined(_permuted(t, moved, seed_no, *keys)))),
         (on("dead"), f"dead {dead}", after(lambda t: dead_from(t, donor, dead, seed_no, *keys))),
         (on("compact"), "compact", after(compact)),
     ]

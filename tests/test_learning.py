@@ -1,5 +1,6 @@
 """Metrics, losses, vocabulary, sequences, search, models."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -177,6 +178,22 @@ def test_encoder_scores(spark):
     assert models.score_pairs(cut, max_length=1024).first().cosine == pytest.approx(1) and models.score_pairs(cut).first().cosine < 0.999
 
 
+def test_equal_texts_are_encoded_once_and_words_remembered_up_to_a_bound(spark):
+    def make():
+        def encode(texts):
+            assert len(texts) == len(set(texts))
+            return np.array([[len(t) + 1.0, 1.0] for t in texts])
+
+        return encode
+
+    df = spark.createDataFrame([(k, "seed", f"target {k % 3}") for k in range(12)], "k int, seed_text string, target_text string").coalesce(1)
+    assert models.score_pairs(df, make).count() == 12 and models.score_pairs(df, make).agg({"score": "min"}).first()[0] > 0.5
+    codes = models._Codes(256, 2)
+    for word in ("a", "b", "c", "a"):
+        code = hashlib.md5(word.encode()).hexdigest()
+        assert codes[word] == int(code[:15], 16) % 256 + (0 if code[15] < "8" else 256) and len(codes) <= 2
+
+
 def test_factorisation_agrees_with_numpy(spark):
     rng = np.random.default_rng(2)
     n, dim, extra = 30, 3, 4

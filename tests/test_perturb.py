@@ -1,8 +1,11 @@
 """Transformations and their inverse."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from pairlake.functions import lexer
 from pairlake.operators import perturb
 
 TEXT = "var x = 'one two three four';\nif (x) { y(x, \"zwei\") }\nx = 'one two three four' + 12;"
@@ -120,3 +123,19 @@ def test_modes_by_name(spark):
     assert out["w_string"] == out["EXP_val_m1"] and "'abcdefghi'+'jkl'" in out["w_string"] and "b0" not in out["w_string"]
     assert [x for x in out["p_control"].split("\n") if x[0] == "b"] == ["b0", "b1", "b2"]
     assert "_s(0x0)" in out["B"] and "_0x" in out["hi"] and "(" in out["hi"] and " 5" not in out["hi"]
+
+
+def test_names_and_keys_are_those_of_the_full_grammar(spark):
+    rows = [(k, text) for k, text in enumerate((
+        "ab12.5e3 'x y' : \"k\":1, 7z \"open x 'q r' b\n:c", "\u00b2x \u0663y é:1 中文\t: \"\" :a::b $ :", "x\u0085:y\u00a0:z '' \"a\nb\"", ""))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = lambda t: F.when(lexer.is_name(t), perturb.new_name(42, t, "doc_id")).otherwise(t)
+    plain = F.array_join(F.transform(lexer.raw_tokens(F.col("text"), blanks=True), one), "")
+    got = df.select(plain.alias("want"), perturb.rename(F.col("text"), 42, "doc_id").alias("got"), F.size(lexer.name_parts(F.col("text"))).alias("n"),
+                    F.size(lexer.raw_tokens(F.col("text"), blanks=True)).alias("m")).collect()
+    assert all(r.want == r.got for r in got) and sum(r.n for r in got) < sum(r.m for r in got)
+    keys = [r[0] for r in df.select(perturb.rename_text_keys(F.col("text"), 42, "doc_id")).collect()]
+    new = lambda k, name: "_0x" + hashlib.md5(f"42|{k}|{name}".encode()).hexdigest()[:16]
+    assert keys[0] == f"ab12.5e3 {new(0, 'x y').join(chr(39) * 2)} : {new(0, 'k').join(chr(34) * 2)}:1, 7z \"open x 'q r' {new(0, 'b')}\n:c"
+    assert keys[1] == f"\u00b2x \u0663y {new(1, 'é')}:1 {new(1, '中文')}\t: \"\" :{new(1, 'a')}::b {new(1, '$')} :"
+    assert keys[2].startswith("x\u0085:y\u00a0:z") and keys[3] == ""
