@@ -17,7 +17,7 @@ from pairlake.functions.costs import Costs, Table
 from pairlake.functions.lexer import js_escape
 from pairlake.functions.text import line_count
 from pairlake.functions.treedist import forest_within, tree_distance as _pair_distance
-from pairlake.session import fan_out
+from pairlake.session import by_key, fan_out
 
 # HTML elements without content.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -103,8 +103,9 @@ def json_stream(df: DataFrame, key: str, json: str) -> DataFrame:
     """(key, mode, pos, label, kind, delta) of a JSON text; the label is the object key or ''.
 
     mode: 'strict' if the text parses, 'loose' if only its brackets close, else 'failed'.
+    Texts are dealt by key before, so windows over the tokens of a text shuffle no tokens.
     """
-    toks = df.select(key, F.try_parse_json(json).isNotNull().alias("ok"), json_tokens(F.col(json)).alias("t"))
+    toks = by_key(df.select(key, json), key).select(key, F.try_parse_json(json).isNotNull().alias("ok"), json_tokens(F.col(json)).alias("t"))
     count = lambda *marks: F.size(F.filter("t", lambda x: x.isin(*marks)))
     mode = F.when(F.col("ok"), "strict").when(count("{", "[") == count("}", "]"), "loose").otherwise("failed")
     at = lambda i: F.get(F.col("t"), i)

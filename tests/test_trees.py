@@ -297,3 +297,12 @@ def test_select_children(spark):
 def test_small_tree_costs_by_column(spark):
     row = spark.range(1).select(trees.tree_distance(F.lit("1:a 2:b"), F.lit("1:a 2:c 2:d"), insert=2, table={("b", "c"): 0.5}).alias("d")).first()
     assert row.d == 2.5
+
+
+def test_windows_over_json_tokens_shuffle_no_tokens(spark):
+    df = spark.createDataFrame([(k, '{"a":[1,{"k":null}],"b":2}') for k in range(9)] + [(3, "[1]"), (None, "[]")], "k long, j string")
+    made = trees.nodes(trees.strip_keys(trees.json_stream(df, "k", "j"), "k", ["k"]), "k").groupBy("k", "label").agg(F.count("*").alias("n"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange")
+    found = {(r.k, r.label): r.n for r in made.collect()}
+    assert found[1, "a"] == 1 and (1, "k") not in found and found[3, ""] == found[1, ""] + 2 and found[None, ""] == 1
