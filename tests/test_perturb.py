@@ -139,3 +139,11 @@ def test_names_and_keys_are_those_of_the_full_grammar(spark):
     assert keys[0] == f"ab12.5e3 {new(0, 'x y').join(chr(39) * 2)} : {new(0, 'k').join(chr(34) * 2)}:1, 7z \"open x 'q r' {new(0, 'b')}\n:c"
     assert keys[1] == f"\u00b2x \u0663y {new(1, 'é')}:1 {new(1, '中文')}\t: \"\" :{new(1, 'a')}::b {new(1, '$')} :"
     assert keys[2].startswith("x\u0085:y\u00a0:z") and keys[3] == ""
+
+
+def test_names_of_a_document_are_gathered_without_a_shuffle(spark):
+    df = spark.createDataFrame([(k, TEXT) for k in range(9)] + [(3, "x new"), (None, "x")], "doc_id long, text string")
+    names = perturb.rename_map(df, "doc_id", "text", 42).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("new").alias("d"))
+    plan = names._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert {r.doc_id: (r.n, r.d) for r in names.collect()} == {**{k: (4, 4) for k in range(9)}, 3: (6, 5), None: (1, 1)}
