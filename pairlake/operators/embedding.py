@@ -12,9 +12,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from pairlake.functions.draws import draw
 from pairlake.session import cut
@@ -34,9 +34,17 @@ def cooccurrence(df: DataFrame, tokens: str, vocab: DataFrame, window: int = WIN
     if len(known) > max_tokens:
         raise ValueError(f"the vocabulary has more than {max_tokens} tokens")
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(found: pd.Series) -> pd.Series:
-        return found.map(lambda t: [known.get(w, -1) for w in t] if t is not None else [])
+    # looked up in Arrow, so that a batch of whole texts makes no Python strings
+    names = pa.array(list(known), pa.string())
+    places = np.array([*known.values(), -1], np.int32)
+
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sizes = batch.value_lengths().fill_null(0).to_numpy()
+            at = pc.index_in(batch.flatten(), names).fill_null(len(names)).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(places[at]))
 
     near = df.select(ids(F.col(tokens)).alias("i"), F.explode(F.sequence(F.lit(1), F.lit(window))).alias("o")).where("size(i) > o")
     pairs = near.select(F.explode(F.arrays_zip(F.expr("slice(i, 1, size(i) - o)").alias("a"), F.expr("slice(i, 1 + o, size(i) - o)").alias("b"))).alias("p"))

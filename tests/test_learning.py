@@ -194,6 +194,16 @@ def test_equal_texts_are_encoded_once_and_words_remembered_up_to_a_bound(spark):
         assert codes[word] == int(code[:15], 16) % 256 + (0 if code[15] < "8" else 256) and len(codes) <= 2
 
 
+def test_tokens_are_looked_up_in_arrow(spark):
+    known = spark.createDataFrame([("a", 2), ("é", 3)], "token string, id int")
+    df = spark.createDataFrame([(["a", None, "é", "zz", "a"],), (None,), ([],), (["é", "a"],)], "t array<string>")
+    counts = embedding.cooccurrence(df, "t", known, 2)
+    assert {(r.a, r.b): r.n for r in counts.collect()} == {(2, 3): 3, (3, 2): 3}
+    assert embedding.cooccurrence(df, "t", known.limit(0), 2).count() == 0
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [ids(" in plan and "], 200" not in plan.split("ArrowEvalPython", 1)[1].split("\n")[0]  # 200: lists of Python strings
+
+
 def test_factorisation_agrees_with_numpy(spark):
     rng = np.random.default_rng(2)
     n, dim, extra = 30, 3, 4
