@@ -18,7 +18,8 @@ looked at. Of every unit the shortest run that begins with it, and the shortest
 that ends with it, are compared; any unit of a repeated run is in a repeated
 shortest one: if it is not in the one that begins the run, the one that ends with the
 unit lies inside the run. So their union is all repeated passages, to their last
-unit. Repeated anchors of several units go too, as chunks do.
+unit. Repeated anchors of several units go too, as chunks do. Before anything goes, its
+bytes are compared with those of its first occurrence, which are cut from that text and sent along.
 """
 
 from __future__ import annotations
@@ -271,10 +272,11 @@ def _each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, digest, places, firsts) to (doc, digest, at, end): the runs that are not the first of their kind.
+    """Rows (doc, digest, places, firsts) to the runs that are not the first of their kind, with the place of the first.
 
-    All runs of a row hold its anchor, so those whose first is elsewhere are one
-    place together. A first run in the same text stays whole where a later one overlaps it.
+    (doc, digest, at, end) goes; it is from ``own`` on what stands in the text (fdoc, fdigest) from ``fat`` to ``fend``.
+    All runs of a row hold its anchor, so those whose first ones stand in another text side by
+    side are one place together. A first run in the same text stays whole where a later one overlaps it.
     """
     for batch in batches:
         ends, places = (np.frombuffer(b, np.int32) for b in batch.column(2).buffers()[1:3])
@@ -284,27 +286,48 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upto = firsts.offsets.to_numpy()
         row = np.repeat(np.arange(batch.num_rows), np.diff(upto))
         flat = firsts.flatten()
-        nth, doc, digest, first_at, first_end = (flat.field(k) for k in range(5))
+        nth, doc, digest, fat, fend = (flat.field(k) for k in range(5))
         at, end = places[ends[row] // 8 + nth.to_numpy()].T
+        fat, fend = fat.to_numpy(), fend.to_numpy()
         plain = lambda c: (c.fill_null(0).to_numpy(), c.is_null().to_numpy(zero_copy_only=False))
         (d1, n1), (d2, n2) = plain(batch.column(0)), plain(doc)
         same = (d1[row] == d2) & (n1[row] == n2) & (batch.column(1).to_numpy()[row] == digest.to_numpy())
-        # elsewhere: from the least to the greatest place of each row
+        # elsewhere: from the least to the greatest place of each row and text, if they lie alike there
+        shift = at - fat
+        alone = np.where(end - fend == shift, 0, np.arange(1, len(row) + 1))
+        keys = [row, d2, n2, digest.to_numpy(), shift, alone]
         other = np.flatnonzero(~same)
-        cuts = np.flatnonzero(np.diff(row[other], prepend=-1)) if len(other) else other
-        rows, low, high = row[other][cuts], *((f.reduceat(x[other], cuts) if len(cuts) else x[:0]) for f, x in ((np.minimum, at), (np.maximum, end)))
+        other = other[np.lexsort([k[other] for k in reversed(keys)])]
+        cuts = np.flatnonzero(_changes([k[other] for k in keys]))
+        ranges = [f.reduceat(x[other], cuts) if len(cuts) else x[:0] for f, x in ((np.minimum, at), (np.maximum, end), (np.minimum, fat), (np.maximum, fend))]
         # in the same text: behind the first
-        mine = np.flatnonzero(same & (at != first_at.to_numpy()))
-        begin = np.maximum(at, first_end.to_numpy())[mine]
+        mine = np.flatnonzero(same & (at != fat))
+        begin = np.maximum(at, fend)[mine]
         left = begin < end[mine]
-        back = pa.array(np.concatenate([rows, row[mine][left]]))
+        mine, begin = mine[left], begin[left]
+        from_ = pa.array(np.concatenate([other[cuts], mine]))
+        back = pa.array(row).take(from_)
+        joined = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(back), batch.column(1).take(back), pa.array(np.concatenate([low, begin[left]]).astype(np.int32)),
-             pa.array(np.concatenate([high, end[mine][left]]).astype(np.int32))], ["doc", "digest", "at", "end"])
+            [batch.column(0).take(back), batch.column(1).take(back), joined(ranges[0], begin), joined(ranges[1], end[mine]), joined(ranges[0], at[mine]),
+             doc.take(from_), digest.take(from_), joined(ranges[2], fat[mine]), joined(ranges[3], fend[mine])], [n for n, _ in _CLAIM])
+
+
+#: What ``_later`` says of a place.
+_CLAIM = [("doc", "long"), ("digest", "long"), ("at", "int"), ("end", "int"), ("own", "int"), ("fdoc", "long"), ("fdigest", "long"), ("fat", "int"), ("fend", "int")]
+
+
+def _changes(keys: list[np.ndarray]) -> np.ndarray:
+    """Where in sorted rows one of the keys differs from that of the row before; the first row differs."""
+    changed = np.zeros(len(keys[0]), bool)
+    changed[:1] = True
+    for key in keys:
+        changed[1:] |= key[1:] != key[:-1]
+    return changed
 
 
 def _repeated_runs(read: DataFrame, words: int, chunks_too: bool = False) -> DataFrame:
-    """(doc, digest, at, end) of what goes: all runs of ``words`` words but the first of their kind, and with ``chunks_too`` all such anchors.
+    """``_CLAIM`` of what goes: all runs of ``words`` words but the first of their kind, and with ``chunks_too`` all such anchors.
 
     A run is known by the hash of its anchor and its own, 128 bits together.
     Occurrences of an anchor with the same runs around it are one kind: their
@@ -328,7 +351,7 @@ def _repeated_runs(read: DataFrame, words: int, chunks_too: bool = False) -> Dat
     # as many as an anchor has runs
     known = known.groupBy("anchor", "kind").agg(F.collect_list(F.struct("nth", "f.doc", "f.digest", "f.at", "f.end")).alias("firsts"))
     met = rows.join(known, ["anchor", "kind"]).select("doc", "digest", "places", "firsts")
-    return met.mapInArrow(_later, "doc long, digest long, at int, end int")
+    return met.mapInArrow(_later, ", ".join(f"{n} {kind}" for n, kind in _CLAIM))
 
 
 def _listed(with_text: bool):
@@ -365,27 +388,33 @@ def _listed(with_text: bool):
 _TYPES = "hash long, size int, doc long, digest long, at int, "
 
 
-def _merged(gaps: Column) -> Column:
-    """Places (at, end) in order; what overlaps or touches is one. Null for null."""
+_PLACES = "array<struct<at: int, end: int, own: int, fat: int, fend: int>>"
+
 
-    @F.arrow_udf("array<struct<at: int, end: int>>")
+def _chained(claims: Column) -> Column:
+    """Places of a text (at, end, own, fat, fend) that overlap or touch, and lie alike in the text of the first ones, as one."""
+
+    @F.arrow_udf(_PLACES)
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in parts:
-            upto, flat = np.concatenate([[0], np.cumsum(batch.value_lengths().fill_null(0).to_numpy())]), batch.flatten()
-            row = np.repeat(np.arange(len(batch)), np.diff(upto))
-            # each text's places lie behind those of the one before it
-            lift = row * (1 << 32)
-            at, end = (flat.field(k).to_numpy().astype(np.int64) + lift for k in range(2))
-            order = np.argsort(at, kind="stable")
-            at, reach, row = at[order], np.maximum.accumulate(end[order]), row[order]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] > reach[:-1]])) if len(at) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(batch)), batch.value_lengths().fill_null(0).to_numpy())
+            at, end, own, fat, fend = (batch.flatten().field(k).to_numpy().astype(np.int64) for k in range(5))
+            alone = np.where((at == own) & (end - fend == own - fat), 0, np.arange(1, len(row) + 1))
+            order = np.lexsort((own, own - fat, alone, row))
+            row, at, end, own, fat, fend, alone = (x[order] for x in (row, at, end, own, fat, fend, alone))
+            changed = _changes([row, alone, own - fat])
+            lift = np.cumsum(changed) << 32  # each group's places lie behind those of the one before it
+            reach = np.maximum.accumulate(end + lift)
+            changed[1:] |= (own + lift)[1:] > reach[:-1]
+            first = np.flatnonzero(changed)
             last = np.append(first[1:], len(at))[: len(first)] - 1
-            low, high = at[first] - (row[first] << 32), reach[last] - (row[first] << 32)
+            stop = (reach - lift)[last]
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(batch)))]).astype(np.int32)
-            inner = pa.StructArray.from_arrays([pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["at", "end"])
-            yield pa.ListArray.from_arrays(pa.array(ends), inner, mask=batch.is_null() if batch.null_count else None)
+            columns = [at[first], stop, own[first], fat[first], np.where(alone[first] > 0, fend[first], fat[first] + stop - own[first])]
+            inner = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], ["at", "end", "own", "fat", "fend"])
+            yield pa.ListArray.from_arrays(pa.array(ends), inner)
 
-    return run(gaps)
+    return run(claims)
 
 
 def _without(text: Column, gaps: Column) -> Column:
@@ -422,26 +451,77 @@ def _packed(text: Column) -> Column:
     return run(text)
 
 
-def _unpacked_without(packed: Column, gaps: Column) -> Column:
-    """The texts without the places (at, end) in ``gaps``, whatever their order and overlap; whole where it is null."""
+def _cited(packed: Column, claims: Column) -> Column:
+    """What stands at the first places (fat, fend) of a packed text, one behind the other, packed."""
 
-    @F.arrow_udf("string")
-    def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        back = zstandard.ZstdDecompressor()
-        for texts, removed in pairs:
+    @F.arrow_udf("binary")
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        press, back = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+        for texts, places in parts:
             out = []
-            for value, places in zip(texts.to_pylist(), removed.to_pylist()):
-                whole = None if value is None else back.decompress(value).decode()
-                if whole is not None and places:
-                    kept, upto = [], 0
-                    for place in sorted((p["at"], p["end"]) for p in places):
-                        kept.append(whole[upto : place[0]])
-                        upto = max(upto, place[1])
-                    whole = "".join(kept) + whole[upto:]
+            for value, found in zip(texts, places):
+                whole = back.decompress(value.as_py()).decode()
+                out.append(press.compress("".join(whole[p["fat"] : p["fend"]] for p in found.as_py()).encode()))
+            yield pa.array(out, pa.binary())
+
+    return run(packed, claims)
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether two runs have the same bytes, blanks behind units left aside."""
+    parts = lambda text, ends: [text[x:y].rstrip() for x, y in zip([0, *ends], ends)]
+    return a == b or parts(a, units(a)) == parts(b, units(b))
+
+
+def _verified(whole: str, cited: list[dict], unpack) -> list[tuple[int, int]]:
+    """The places (at, end) whose bytes are those of their first ones, in order; what overlaps or touches is one."""
+    kept = []
+    for one in cited:
+        theirs, upto = unpack(one["blob"]).decode(), 0
+        for p in one["claims"]:
+            size = p["fend"] - p["fat"]
+            if alike(whole[p["own"] : p["end"]], theirs[upto : upto + size]):
+                kept.append((p["at"], p["end"]))
+            upto += size
+    out: list[tuple[int, int]] = []
+    for at, end in sorted(kept):
+        if out and at <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((at, end))
+    return out
+
+
+def _unpacked_less(packed: Column, cited: Column) -> Column:
+    """struct(text, removed): the texts without the verified places of ``cited``; whole where it is null."""
+
+    @F.arrow_udf("text string, removed array<struct<at: int, end: int>>")
+    def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        place = pa.list_(pa.struct([("at", pa.int32()), ("end", pa.int32())]))
+        for texts, found in pairs:
+            out, removed = [], []
+            for value, here in zip(texts, found):
+                whole = unpack(value.as_py()).decode() if value.is_valid else None
+                places = _verified(whole, here.as_py(), unpack) if whole is not None and here.is_valid else []
+                if places:
+                    edges = [0, *(x for p in places for x in p), len(whole)]
+                    whole = "".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out.append(whole)
-            yield pa.array(out, pa.string())
+                removed.append([{"at": a, "end": b} for a, b in places])
+            yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(removed, place)], ["text", "removed"])
+
+    return run(packed, cited)
+
 
-    return run(packed, gaps)
+def cited_places(read: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, digest, cited): the places that are to go from each text, by the text of their first ones, with what stands there."""
+    claims = found.groupBy("doc", "digest", "fdoc", "fdigest").agg(_chained(F.collect_set(F.struct("at", "end", "own", "fat", "fend"))).alias("claims"))
+    texts = read.select(F.col("doc").alias("_k"), F.col("digest").alias("_d"), _packed(F.col("text")).alias("_packed"))
+    met = claims.join(texts, F.col("fdoc").eqNullSafe(F.col("_k")) & (F.col("fdigest") == F.col("_d")))
+    met = met.select("doc", "digest", F.struct("claims", _cited(F.col("_packed"), F.col("claims")).alias("blob")).alias("c"))
+    # a set, as rows that repeat in key and text cite alike
+    return met.groupBy("doc", "digest").agg(F.collect_set("c").alias("cited"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
@@ -457,8 +537,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int |
 
     ``words``: if given, all repeated passages of so many words go, whole, and all repeated
     anchors of several units, by the same order; ``removed`` then has merged places.
-    Runs are compared by 128 bits of hash, blanks behind units left aside. What goes
-    always has such a copy at an earlier place.
+    Runs are found by 128 bits of hash; each is then compared with its first occurrence by its
+    bytes, blanks behind units left aside, and stays if they differ. So what goes always has such a copy at an earlier place.
 
     Chunks are counted by partial aggregation, so a passage in a third of all texts
     meets no task whole, and the repeated ones are joined by a shuffle that can
@@ -473,12 +553,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int |
     nothing = F.array().cast("array<struct<at: int, end: int>>")
     if words is not None:
         found = _repeated_runs(read, words, chunks_too=True)
-        taken = found.groupBy(F.col("doc").alias(k2), F.col("digest").alias(d2)).agg(F.collect_set(F.struct("at", "end")).alias(gaps))
-        taken = taken.withColumn(gaps, _merged(F.col(gaps)))
+        taken = cited_places(read, found).select(F.col("doc").alias(k2), F.col("digest").alias(d2), F.col("cited").alias(gaps))
         held = keyed.withColumn(text, _packed(F.col(text)))
         out = held.join(taken, F.col(key).cast("long").eqNullSafe(F.col(k2)) & (F.col(digest) == F.col(d2)), "left")
-        shown = [_unpacked_without(F.col(text), F.col(gaps)).alias(text) if c == text else o for c, o in zip(docs.columns, own)]
-        return out.select(*shown, F.coalesce(F.col(gaps), nothing).alias(removed))
+        out = out.withColumn(gaps, _unpacked_less(F.col(text), F.col(gaps)))
+        return out.select(*[F.col(gaps)["text"].alias(text) if c == text else o for c, o in zip(docs.columns, own)], F.col(gaps)["removed"].alias(removed))
     # least and largest bytes of all chunks of one hash: equal only if all are
     known = read.mapInArrow(_listed(True), _TYPES + "part string").groupBy("hash", "size").agg(
         F.count("*").alias("n"), F.min(place).alias("first"), F.min("part").alias("least"), F.max("part").alias("most")

@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -257,6 +258,20 @@ def test_all_repeated_passages_go_whole(spark, glue):
         assert all(a["end"] < b["at"] for a, b in zip(r["removed"], r["removed"][1:]))
 
 
+def test_passages_go_only_if_their_bytes_are_those_of_the_first(spark):
+    text = {1: "One two three.\nfour five six. seven.\n", 2: "x. One two three. \n four five six. seven.\ny", None: "y. four five SIX. z"}
+    read = spark.createDataFrame([(d, 7, t) for d, t in text.items()], "doc long, digest long, text string")
+    names = [n for n, _ in linededup._CLAIM]
+    at, none = text[2].index("One"), text[None].index("four")
+    claims = [(2, 7, at, len(text[2]) - 1, at, 1, 7, 0, len(text[1])),  # alike but for blanks
+              (None, 7, none, none + 14, none, 1, 7, 15, 29),  # equal hashes, other bytes
+              (1, 7, 0, 3, 0, None, 7, 0, 3)]
+    found = spark.createDataFrame(claims, ", ".join(f"{n} {k}" for n, k in linededup._CLAIM)).select(*names)
+    cited = {r["doc"]: [c.asDict(recursive=True) for c in r["cited"]] for r in linededup.cited_places(read, found).collect()}
+    unpack = zstandard.ZstdDecompressor().decompress
+    assert {d: linededup._verified(text[d], c, unpack) for d, c in cited.items()} == {2: [(at, len(text[2]) - 1)], None: [], 1: []}
+
+
 def slow_removed(rows, words=50):
     """Texts without repeated passages and repeated anchors, by going through all texts in order."""
     seen, out = {}, []
