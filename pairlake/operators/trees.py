@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pairlake.functions.bind import let
 from pairlake.functions.costs import Costs, Table
 from pairlake.functions.lexer import js_escape
+from pairlake.functions.lexing import escaped
 from pairlake.functions.text import line_count
 from pairlake.functions.treedist import forest_within, tree_distance as _pair_distance
 from pairlake.session import by_key, fan_out
@@ -242,17 +243,6 @@ def tree_texts(tree: DataFrame, key: str) -> DataFrame:
     return whole.select(key, F.array_join(F.transform("es", lambda r: r["e"]), " ").alias("tree"), F.size("es").alias("n"))
 
 
-def _escaped(label: str) -> str:
-    """``js_escape`` of a label, for the rare one that needs it."""
-    units = label.encode("utf-16-be")
-    codes = [units[i] << 8 | units[i + 1] for i in range(0, len(units), 2)]
-    return "".join(chr(c) if chr(c) in PLAIN else f"%{c:02X}" if c < 256 else f"%u{c:04X}" for c in codes)
-
-
-# Fixed value: the characters that ``js_escape`` leaves alone.
-PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@*_+-./")
-
-
 @F.pandas_udf(T.StructType([T.StructField("tree", T.StringType()), T.StructField("n", T.IntegerType())]))
 def _row_trees(tags: pd.Series) -> pd.DataFrame:
     """Tree texts from arrays of 'name' and '/name': the rules of ``html_stream`` and ``nodes``, in one pass over a row."""
@@ -267,12 +257,12 @@ def _row_trees(tags: pd.Series) -> pd.DataFrame:
             close, name = m[0] == "/", m.lstrip("/")
             if net[name]:
                 if not close:
-                    entries.append(f"{max(depth + 1, 1)}:{_escaped(name)}")
+                    entries.append(f"{max(depth + 1, 1)}:{escaped(name)}")
             elif close:
                 depth -= 1
             else:
                 depth += 1
-                entries.append(f"{max(depth, 1)}:{_escaped(name)}")
+                entries.append(f"{max(depth, 1)}:{escaped(name)}")
         return " ".join(entries), len(entries)
 
     return pd.DataFrame([("", 0) if x is None else one(x) for x in tags], columns=["tree", "n"])

@@ -289,3 +289,47 @@ def test_sparse_counts_and_cosines(spark):
     assert np.allclose([r.c for r in rows], [2 / 10**0.5, 0, 0, 1])
     with pytest.raises(ValueError):
         vocab.term_frequencies(F.col("x"), known, 2)
+
+
+def test_lexed_texts_have_the_tokens_of_the_lexer_and_the_features_of_the_texts(spark):
+    from pairlake.functions import lexer, lexing
+    from pairlake.operators import vocab as I
+
+    odd = "ab \u0531\u0562 '\u0905 x' \U0001f600 1.5\n== n%41;"
+    texts = ["", "\n", "a b\n c1 'x y' \"p\u00a0q\" 12.50 ++ --x !== % %20; \u00e9t\u00e9 \u4e00\u3042", "x\u00a0\u2028y\u0085 #\x00 'open\n>>>= <<", odd, None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexed = docs.withColumn("lexed", lexing.lexed_lines(F.col("text")))
+    both = lexed.select(
+        F.replace(lexer.class_lines(F.col("text")), F.lit("\n"), F.lit("")).alias("a"), F.size(F.split("text", "\n")).alias("n"), F.size(F.split("lexed", "\n")).alias("m"),
+        lexing.compared(F.col("lexed"), F.col("lexed"), models.LETTERS)["a"].alias("b"), F.size(F.array_distinct(lexer.raw_tokens(F.col("text")))).alias("k"),
+        lexing.compared(F.col("lexed"), F.col("lexed"), models.LETTERS)["own"].alias("own"),
+        *[lexer.join_tokens(lexer.tokens(F.col("text"), m)).alias(m) for m in ("class", "value")],
+        *[lexing.token_text(F.col("text"), m)["tokens"].alias(f"{m}2") for m in ("class", "value")],
+    ).collect()
+    for r in both:
+        assert (r.a, r["class"], r.value, r.n) == (r.b, r.class2, r.value2, r.m) and (r.a is None or r.k == r.own)
+    vocab = I.fit_vocab(lexed.select(lexing.token_text(F.col("text"), "value")["tokens"].alias("t")), ["t"])
+    pairs = docs.alias("x").crossJoin(docs.alias("y")).selectExpr("x.doc_id as seed_id", "y.doc_id as other", "x.text as seed_text", "concat(y.text, '\n', x.text, '\n', y.text) as target_text")
+    at = lambda df, **kw: {(r.seed_id, r.other): r for r in models.pair_features(df, vocab=vocab, **kw).collect()}
+    ready = lexed.select("doc_id", F.col("lexed").alias("text"))
+    mixed = ready.alias("x").crossJoin(ready.alias("y")).selectExpr("x.doc_id as seed_id", "y.doc_id as other", "x.text as seed_text", "concat(y.text, '\n', x.text, '\n', y.text) as target_text")
+    whole = at(pairs, corpus=docs)
+    assert whole == at(mixed, corpus=ready, lexed=True) == at(mixed, lexed=True) and len(whole) == 36
+    assert whole[2, 2].overlap == 1.0 and whole[2, 2].size_delta == 2.0 and whole[5, 2].overlap == 0.0
+
+
+def test_distances_of_many_pairs_are_those_of_each(spark):
+    import random
+
+    from pairlake.functions import edit
+
+    draw = random.Random(5)
+    text = lambda n, kinds: "".join(draw.choices(kinds, k=n))
+    for kinds in ("ab", "nnnn.,", "a\u00e9\u4e00\U0001f600"):
+        pairs = [(text(draw.randrange(300), kinds), text(draw.randrange(300), kinds)) for _ in range(150)]
+        pairs += [("", "a"), ("a", ""), ("", ""), ("a" * 64, "b" * 64), ("ab" * 64, "ba" * 64)]
+        want = [edit.edit_distance(a, b) for a, b in pairs]
+        assert edit.edit_distances(pairs) == want == edit.edit_distances([(list(a), list(b)) for a, b in pairs])
+        group = [(-(-max(len(a), len(b)) // 64), max(len(a), len(b)), k, *sorted((a, b), key=len, reverse=True)) for k, (a, b) in enumerate(pairs) if a and b]
+        assert edit._together(group) == [want[g[2]] for g in group]
