@@ -319,6 +319,15 @@ def test_lexed_texts_have_the_tokens_of_the_lexer_and_the_features_of_the_texts(
     assert whole[2, 2].overlap == 1.0 and whole[2, 2].size_delta == 2.0 and whole[5, 2].overlap == 0.0
 
 
+def test_odd_characters_are_those_outside_the_known_ranges(spark):
+    from pairlake.functions import lexing
+
+    inside = [chr(c) for a, _, b in lexing.SAME for c in (ord(a), (ord(a) + ord(b)) // 2, ord(b))]
+    outside = ["\u0250", "\u03ff", "\u0500", "\u200f", "\u2028", "\u205f", "\u302a", "\u3040", "\u9fa6", "\ud7a4", "\uff61", "\uffff", "\U0001f600", "\U0010ffff"]
+    rows = spark.createDataFrame([("a" + c + "b", c in outside) for c in inside + outside], "text string, odd boolean")
+    assert rows.where(lexing.odd(F.col("text")) != F.col("odd")).count() == 0
+
+
 def test_distances_of_many_pairs_are_those_of_each(spark):
     import random
 
