@@ -40,8 +40,8 @@ from pairlake.session import cut, cuts, drop_cuts
 FOLD_BLANKS, MIN_LINES, MIN_BLANKS, ONE_IN = 40, 2, 9, 2
 #: Words of a passage; words and units that an anchor has at least; the bases of the rolling hashes of anchors and of runs.
 PASSAGE_WORDS, ANCHOR_WORDS, ANCHOR_UNITS, BASES = 50, 10, 2, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Rows handed to Spark at a time.
-BATCH_ROWS = 4096
+#: Rows handed to Spark at a time, and code points of the texts that are cut in units together.
+BATCH_ROWS, GROUP_CHARS = 4096, 1 << 17
 _SENTENCE = re.compile(r"[.!?]+\x20+")
 _UNIT = re.compile(r"[.!?]+[\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*")
 _WORD = re.compile(WORD)
@@ -132,32 +132,54 @@ _POWERS = [_Powers(base) for base in BASES]
 
 
 class _Units:
-    """A text as units, with rolling hashes of all their runs: sums of hash x base ** place, times base ** -start, so that they do not hang on the place."""
+    """Texts as units, with rolling hashes of all runs: sums of hash x base ** place, times base ** -start, so that they do not hang on the place.
 
-    def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        # a blank before and behind the text, so that runs of blanks begin and end inside
+    The units of all texts are numbered together, with a number more at the end of each text, so a run is told by the
+    numbers of its first unit and of what comes behind its last one. Places are those in a unit's own text.
+    """
+
+    def __init__(self, *texts: str):
+        whole = " ".join(texts)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(t) for t in texts])
+        behind = np.cumsum(sizes + 1) - 1
+        front = behind - sizes
+        # a blank before and behind the texts, so that runs of blanks begin and end inside
         blank = np.ones(len(codes) + 2, bool)
         blank[1:-1] = (codes == 32) | ((codes >= 9) & (codes <= 13))
         edges = np.flatnonzero(blank[1:] != blank[:-1])  # a word begins, ends, ..
         begin, end = edges[::2], edges[1::2]
-        # runs of blanks, from the end of a word (or the start) to the next one (or the end)
-        start, stop = np.concatenate([[0], end]), np.concatenate([begin, [len(codes)]])
+        # runs of blanks, from the end of a word (or the start of a text) to the next one (or the end)
+        start = np.sort(np.concatenate([front, end]), kind="stable")
+        stop = np.sort(np.concatenate([begin, behind]), kind="stable")
         lines = np.flatnonzero(codes == 10)
-        sign = codes[np.maximum(start, 1) - 1] if len(codes) else codes
+        sign = codes[np.maximum(start, 1) - 1] if len(codes) else start
         # as ``units``: after a line end, and after a sign that ends a sentence
         cuts = np.searchsorted(lines, stop) > np.searchsorted(lines, start)
         cuts |= (start > 0) & ((sign == 33) | (sign == 46) | (sign == 63))
-        ends = stop[cuts & (start < stop)]
-        self.ends = ends if len(ends) and ends[-1] == len(codes) else np.append(ends, len(codes))
-        self.starts = np.concatenate([[0], self.ends[:-1]])
-        self.upto = np.concatenate([[0], np.searchsorted(begin, self.ends)])
-        self.size = len(self.ends)
-        own = np.array([_hash(text[a:b].rstrip()) for a, b in zip(self.starts.tolist(), self.ends.tolist())], np.uint64)
+        cuts &= start < stop
+        cuts[np.searchsorted(stop, behind)] = True
+        ends = stop[cuts]
+        upto = np.searchsorted(ends, behind, "right")  # units up to the end of each text
+        heads = np.concatenate([[0], upto[:-1]])
+        starts = np.concatenate([[0], ends[:-1]])
+        starts[heads] = front
+        self.size = len(ends)
+        self.doc = np.repeat(np.arange(len(texts)), upto - heads)
+        own = np.array([_hash(whole[a:b].rstrip()) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+        self.starts, self.ends = starts - front[self.doc], ends - front[self.doc]
+        # by number: first and last of each text, words before each unit, text of each unit
+        self.first, self.last = heads + np.arange(len(texts)), upto + np.arange(len(texts))
+        self.number = np.arange(self.size) + self.doc
+        self.text = np.repeat(np.arange(len(texts)), upto - heads + 1)
+        self.words = np.empty(len(self.text), np.int64)
+        self.words[self.first], self.words[self.number + 1] = np.searchsorted(begin, front), np.searchsorted(begin, ends)
         self.sums, self.inverse = [], []
+        held = np.zeros(len(self.text), np.uint64)
+        held[self.number] = own
         for k, base in enumerate(BASES):
-            powers, inverse = _POWERS[k].upto(self.size)
-            mixed = (own ^ (own >> np.uint64(31))) * np.uint64(base) if k else own
+            powers, inverse = _POWERS[k].upto(len(held))
+            mixed = (held ^ (held >> np.uint64(31))) * np.uint64(base) if k else held
             self.inverse.append(inverse)
             self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers[:-1], dtype=np.uint64)]))
 
@@ -169,32 +191,47 @@ class _Units:
         return h ^ (h >> u(31))
 
 
-def anchors(found: _Units, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, anchor, stop): the shortest runs of units with ``words`` words, from and up to each unit, the unit
-    where each run's anchor begins, and, of every unit, where a chunk that begins with it stops (behind all units: there is none).
+class _Anchors:
+    """Of the texts in ``found``: (first, last, anchor) of the shortest runs of units with ``words`` words, from and up to each
+    unit, with the unit where each run's anchor begins; and the chunks that fit into their texts: (begin, stop, hash, how often its text has it).
 
-    A text with fewer words has one anchor: a run without an own hash, from its first to its last unit.
+    A text with fewer words has one anchor: a run without an own hash, from its first to its last unit (``short``).
     """
-    n, upto = found.size, found.upto
-    place = np.arange(n)
-    last = np.searchsorted(upto, upto[:-1] + words)  # units first <= k < last
-    begin = np.searchsorted(upto, upto[1:] - words, "right") - 1
-    # an anchor is never longer than the run that begins with it
-    stop = np.minimum(np.maximum(np.searchsorted(upto, upto[:-1] + ANCHOR_WORDS), place + ANCHOR_UNITS), last)
-    pairs = np.unique(np.concatenate([(place * (n + 1) + last)[last <= n], (begin * (n + 1) + place + 1)[begin >= 0]]))
-    first, end = pairs // (n + 1), pairs % (n + 1)
-    upper = last if len(pairs) else np.full(n, n)
-    if not len(pairs):
-        first, end = np.zeros(1, np.int64), np.full(1, n)
-    fits = int(np.searchsorted(stop, n, "right"))  # chunks that end inside the text; ``stop`` ascends
-    if not fits:
-        return first[:0], end[:0], first[:0], stop
-    order = np.argsort(found.hashes(0, place[:fits], stop[:fits]), kind="stable")
-    rank = np.empty(fits + 1, np.int64)
-    rank[order], rank[fits] = np.arange(fits), fits
-    behind = np.minimum(np.searchsorted(stop, upper[first], "right"), fits)
-    least = np.minimum.reduceat(rank, np.stack([first, np.maximum(behind, first + 1)], 1).ravel())[::2]
-    return first, end, order[np.minimum(least, fits - 1)], stop
+
+    def __init__(self, found: _Units, words: int):
+        number, limit = found.number, found.last[found.doc]
+        # lifted, so that no run reaches into the next text
+        upto = found.words + found.text * max(words, ANCHOR_WORDS)
+        own, after = upto[number], upto[number + 1]
+        last = np.searchsorted(upto, own + words)  # units first <= k < last
+        begin = np.searchsorted(upto, after - words, "right") - 1
+        # an anchor is never longer than the run that begins with it
+        stop = np.minimum(np.maximum(np.searchsorted(upto, own + ANCHOR_WORDS), number + ANCHOR_UNITS), last)
+        few = found.words[found.last] - found.words[found.first] < words
+        upper = np.zeros(len(upto), np.int64)
+        upper[number] = last
+        upper[found.first[few]] = found.last[few]
+        wide, whole, back = len(upto) + 1, last <= limit, begin >= found.first[found.doc]
+        pairs = np.unique(np.concatenate([
+            number[whole] * wide + last[whole], begin[back] * wide + number[back] + 1, found.first[few] * wide + found.last[few]]))
+        first, end = pairs // wide, pairs % wide
+        fits = stop <= limit  # chunks that end inside the text; in a text they are the first ones, and ``stop`` ascends
+        self.begin, self.stop = number[fits], stop[fits]
+        self.hash = found.hashes(0, self.begin, self.stop)
+        order = np.argsort(self.hash, kind="stable")
+        rank = np.empty(len(order) + 1, np.int64)
+        rank[order], rank[-1] = np.arange(len(order)), len(order)
+        low, high = np.searchsorted(self.begin, first), np.searchsorted(self.stop, upper[first], "right")
+        some = low < high
+        least = np.minimum.reduceat(rank, np.stack([low[some], high[some]], 1).ravel())[::2]
+        self.first, self.last, self.anchor = first[some], end[some], self.begin[order[least]]
+        self.short = few[found.text[self.first]]
+        text = found.text[self.begin]
+        order = order[np.argsort(text[order], kind="stable")]
+        cuts = np.flatnonzero(_changes([text[order], self.hash[order]]))
+        counts = np.diff(np.append(cuts, len(order)))
+        self.often = np.empty(len(order), np.int64)
+        self.often[order] = np.repeat(counts, counts)
 
 
 def _blobs(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
@@ -203,56 +240,48 @@ def _blobs(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _anchored(text: str, words: int, chunks_too: bool) -> tuple[np.ndarray, ...] | None:
-    """(anchors, how often the text has such a chunk, where each begins, runs of each, hashes of the runs, their places).
+def _anchor_rows(words: int, chunks_too: bool):
+    """Rows (doc, digest, text) to one row per anchor of a text: how often the text has such a chunk, where it begins, the hashes of its runs, and their places (start, end).
 
-    Runs are in the order of their anchors. With ``chunks_too`` the anchor itself is the first of its runs, if it has several units.
+    With ``chunks_too`` the anchor itself is the first of its runs, if it has several units. Texts are taken together,
+    some ``GROUP_CHARS`` code points at a time.
     """
-    found = _Units(text)
-    first, last, anchor, stop = anchors(found, words)
-    if not len(anchor):
-        return None
-    at = np.unique(anchor)
-    if found.upto[-1] < words:  # it has no run of so many words
-        first, last, anchor = first[:0], last[:0], anchor[:0]
-    names = found.hashes(0, at, stop[at])
-    fits = np.flatnonzero(stop <= found.size)
-    kinds, often = np.unique(found.hashes(0, fits, stop[fits]), return_counts=True)
-    own = at[stop[at] - at >= ANCHOR_UNITS] if chunks_too else at[:0]
-    first, last, owner = np.concatenate([own, first]), np.concatenate([stop[own], last]), np.concatenate([own, anchor])
-    order = np.lexsort((np.arange(len(owner)), owner))
-    first, last = first[order], last[order]
-    places = np.stack([found.starts[first], found.ends[last - 1]], 1).astype(np.int32)
-    counts = np.bincount(np.searchsorted(at, owner), minlength=len(at))
-    return names.view(np.int64), often[np.searchsorted(kinds, names)], found.starts[at], counts, found.hashes(1, first, last), places
-
-
-def _anchor_rows(words: int, chunks_too: bool):
-    """Rows (doc, digest, text) to one row per anchor of a text: the hashes of its runs, and their places (start, end)."""
-    names = ["anchor", "n", "runs", "places", "pos", "doc", "digest"]
 
-    def made(held: list[tuple], docs: list, digests: list) -> pa.RecordBatch:
-        anchor, n, pos, counts, runs, places = (np.concatenate(x) for x in zip(*held))
-        back = pa.array(np.repeat(np.arange(len(held)), [len(h[0]) for h in held]))
+    def made(texts: list, docs: list, digests: list) -> pa.RecordBatch:
+        found = _Units(*texts)
+        met = _Anchors(found, words)
+        at = np.unique(met.anchor)
+        chunk = np.searchsorted(met.begin, at)
+        stop = met.stop[chunk]
+        # a text with fewer words has no run of so many
+        first, last, anchor = met.first[~met.short], met.last[~met.short], met.anchor[~met.short]
+        several = stop - at >= ANCHOR_UNITS if chunks_too else np.zeros(len(at), bool)
+        first, last, owner = np.concatenate([at[several], first]), np.concatenate([stop[several], last]), np.concatenate([at[several], anchor])
+        order = np.argsort(owner, kind="stable")
+        first, last = first[order], last[order]
+        unit = lambda number: number - found.text[number]
+        places = np.stack([found.starts[unit(first)], found.ends[unit(last - 1)]], 1).astype(np.int32)
+        counts = np.bincount(np.searchsorted(at, owner), minlength=len(at))
+        back = pa.array(found.text[at])
         return pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(n), _blobs(counts * 8, runs), _blobs(counts * 8, places), pa.array(pos.astype(np.int32)),
-             pa.array(docs, pa.int64()).take(back), pa.array(digests, pa.int64()).take(back)], names)
+            [pa.array(met.hash[chunk].view(np.int64)), pa.array(met.often[chunk]), _blobs(counts * 8, found.hashes(1, first, last)),
+             _blobs(counts * 8, places), pa.array(found.starts[unit(at)].astype(np.int32)),
+             pa.array(docs, pa.int64()).take(back), pa.array(digests, pa.int64()).take(back)],
+            ["anchor", "n", "runs", "places", "pos", "doc", "digest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, docs, digests, size = [], [], [], 0
+            texts, docs, digests, size = [], [], [], 0
             for doc, digest, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found = _anchored(value.as_py(), words, chunks_too)
-                if found is not None:
-                    held.append(found)
-                    docs.append(doc)
-                    digests.append(digest)
-                    size += len(found[0])
-                if size >= BATCH_ROWS:
-                    yield made(held, docs, digests)
-                    held, docs, digests, size = [], [], [], 0
-            if held:
-                yield made(held, docs, digests)
+                texts.append(value.as_py())
+                docs.append(doc)
+                digests.append(digest)
+                size += len(texts[-1])
+                if size >= GROUP_CHARS:
+                    yield made(texts, docs, digests)
+                    texts, docs, digests, size = [], [], [], 0
+            if texts:
+                yield made(texts, docs, digests)
 
     return run
 

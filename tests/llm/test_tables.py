@@ -6,6 +6,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -258,6 +259,23 @@ def test_all_repeated_passages_go_whole(spark, glue):
         assert all(a["end"] < b["at"] for a, b in zip(r["removed"], r["removed"][1:]))
 
 
+def test_texts_cut_in_units_together_have_the_anchors_of_each_alone():
+    draw = random.Random(11)
+    parts = ["a", "word ", "b. ", " ", "\n", "! ", ".", "?\n", "\t", "\U0001F600 "]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 150))) for _ in range(300)] + [" ", "\n", ".", "a. b", "x " * 60, "x. " * 60]
+    batch = lambda rows: pa.RecordBatch.from_arrays(
+        [pa.array([k if k % 5 else None for k, _ in rows], pa.int64()), pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows])],
+        ["doc", "digest", "text"])
+    for words, chunks_too in ((50, True), (12, False), (5, True)):
+        run = linededup._anchor_rows(words, chunks_too)
+        together = pa.Table.from_batches(run(iter([batch(list(enumerate(texts)))])))
+        alone = pa.Table.from_batches([b for row in enumerate(texts) for b in run(iter([batch([row])]))])
+        assert together.num_rows > 0 and together.combine_chunks().equals(alone.combine_chunks())
+    found = linededup._Units(*texts)
+    for k, text in enumerate(texts):
+        assert found.ends[found.doc == k].tolist() == linededup.units(text)
+
+
 def test_passages_go_only_if_their_bytes_are_those_of_the_first(spark):
     text = {1: "One two three.\nfour five six. seven.\n", 2: "x. One two three. \n four five six. seven.\ny", None: "y. four five SIX. z"}
     read = spark.createDataFrame([(d, 7, t) for d, t in text.items()], "doc long, digest long, text string")
