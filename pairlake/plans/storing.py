@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from pairlake.functions.lexer import join_tokens, tokens
@@ -71,10 +69,11 @@ ORACLES["scan_json"] = "SELECT page_id, url, md5(html) AS digest FROM pages"
 def _cells(s, d):
     path = scratch(s, "cells")
     docs = with_stage(table(s, d, "documents"), "doc_id", SEED).select("doc_id", "text", "stage")
-    C.write_cells(G.grid(docs, exp=G.EXPERIMENTS, mix=G.MIXES), path)
+    copies = [G.grid(docs, exp=[e], mix=[m]) for e in G.EXPERIMENTS for m in G.MIXES]
+    C.write_cells(C.union_cells(copies), path, spread=False)
     every = [C.read_cells(s, path, stage="test", exp=e, mix=m).select(F.lit(e).alias("exp"), F.lit(m).alias("mix"), "doc_id", F.md5("text").alias("digest"))
              for e in G.EXPERIMENTS for m in G.MIXES]
-    return functools.reduce(lambda a, b: a.unionByName(b), every)
+    return C.union_cells(every)
 
 
 QUERIES["read_cells"] = _cells

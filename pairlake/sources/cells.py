@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,13 +10,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 CELL = ("stage", "exp", "mix")
 
 
-def write_cells(df: DataFrame, path: str, by: Sequence[str] = CELL) -> None:
+def write_cells(df: DataFrame, path: str, by: Sequence[str] = CELL, spread: bool = True) -> None:
     """One folder per cell.
 
     Rows are first spread by cell and key hash through AQE's rebalance, which
-    keeps files large and splits a cell that holds most of the rows.
+    keeps files large and splits a cell that holds most of the rows. Without ``spread`` each
+    task writes its rows as they are: for a corpus that is laid out in several cells, one after
+    another (``union_cells``), so that no copy of it is shuffled and a task sorts no more than one. Files are packed by zstd.
     """
-    df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").partitionBy(*by).parquet(path)
+    df = df.hint("rebalance", *[F.col(c) for c in by]) if spread else df
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
+
+
+def union_cells(copies: Sequence[DataFrame]) -> DataFrame:
+    """The rows of all cells; a partition holds rows of one of ``copies`` only."""
+    return functools.reduce(lambda a, b: a.unionByName(b), copies)
 
 
 def read_cells(spark: SparkSession, path: str, **cell: str) -> DataFrame:

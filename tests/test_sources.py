@@ -84,6 +84,20 @@ def test_listed_and_derived(spark, tmp_path):
     assert back == {"a": ("a", "ok", None), "data/unknown/c": (None, "failed", "not A")}
 
 
+def test_cells_one_after_another_are_written_without_a_shuffle(spark, tmp_path):
+    path, rows = str(tmp_path / "cells"), spark.range(20, numPartitions=2).withColumn("stage", F.when(F.col("id") < 15, "train").otherwise("test"))
+    copies = [grid.grid(rows, exp=[e], mix=[m]) for e in ("e", "f") for m in ("M1", "M2")]
+    every = cells.union_cells(copies)
+    assert every.rdd.getNumPartitions() == 8
+    assert all(len({r["exp"] + r["mix"] for r in part}) == 1 for part in every.rdd.glom().collect())
+    cells.write_cells(every, path, spread=False)
+    whole = grid.grid(rows, exp=["e", "f"], mix=["M1", "M2"])
+    assert sorted(map(tuple, cells.read_cells(spark, path).select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    assert cells.read_cells(spark, path, stage="test", exp="f", mix="M2").count() == 5
+    files = list((tmp_path / "cells").rglob("*.parquet"))
+    assert len(files) <= 12 and all(f.name.endswith(".zstd.parquet") for f in files)  # a file per task and cell at most
+
+
 def test_cells_are_pruned(spark, tmp_path):
     path = str(tmp_path / "c")
     cells.write_cells(grid.grid(spark.range(10), stage=["train", "test"], exp=["e", "f"], mix=["M1"]), path)
