@@ -1,7 +1,8 @@
 """A corpus pipeline: quality rules, line dedup, near-duplicates, mixing, piece codes.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept. All but the last return the columns of ``documents``. Null texts count as
+kept. All but the last return the columns of ``documents``. Stages that hand texts to Python
+workers set the session to small Arrow batches, as four of them share an executor. Null texts count as
 empty, and so go with the first stage; the other stages keep their own rules for
 nulls, repeated rows and empty tables (see the operators).
 """
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlake.llm import linededup, mixing, ngramjoin, pieces, quality
 from pairlake.llm.common import table
-from pairlake.session import cut, cuts, drop_cuts
+from pairlake.session import cut, cuts, drop_cuts, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule go."""
+    small_batches(spark)
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     judged = quality.judge(docs, trusted)
     return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
@@ -24,12 +26,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages and chunks of lines go, no document does; ``n_chars`` follows the text."""
+    small_batches(spark)
     less = linededup.dedup(docs, words=linededup.PASSAGE_WORDS).select(*docs.columns)
     return less.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else less
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    small_batches(spark)
     return ngramjoin.keep_first(docs)
 
 
@@ -40,6 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, text, position): the codes of each document, the text that they decode to, and its place in the mixed order."""
+    small_batches(spark)
     placed, position = mixing.read_position(docs)
     coded = pieces.encode(placed).select("doc_id", "lang", "source", "ids", F.col(position).alias("position"))
     return coded.select("doc_id", "lang", "source", "ids", pieces.decode(coded).alias("text"), "position")
