@@ -38,25 +38,26 @@ class Costs:
             if x is not None and y is not None:
                 self.changes_of.setdefault(x, {})[y] = cost
         # whole multiples of one unit are added up without error
-        self.scale = 1
+        self.scale, self.exact = 1, False
         if not callable(self.update):
             parts = [Fraction(str(float(n))).denominator for n in numbers]
             whole = math.lcm(*parts)
-            self.scale = whole if whole <= 10**6 else 1
+            self.scale, self.exact = (whole, True) if whole <= 10**6 else (1, False)
 
     @property
     def unit(self) -> bool:
         return not self.table and not callable(self.update) and self.insert == self.remove == self.update == 1
 
-    def _sized(self, value):
+    def sized(self, value):
+        """Costs in units of 1 / ``scale``."""
         return value if self.scale == 1 else np.rint(np.asarray(value, np.float64) * self.scale)
 
     def inserted(self, symbols: Sequence) -> np.ndarray:
         """Cost of each symbol's insertion, in units of 1 / ``scale``."""
-        return self._sized(np.array([self.table.get((None, s), self.insert) for s in symbols], np.float64))
+        return self.sized(np.array([self.table.get((None, s), self.insert) for s in symbols], np.float64))
 
     def removed(self, symbols: Sequence) -> np.ndarray:
-        return self._sized(np.array([self.table.get((s, None), self.remove) for s in symbols], np.float64))
+        return self.sized(np.array([self.table.get((s, None), self.remove) for s in symbols], np.float64))
 
     def changed(self, symbol: Hashable, kinds: Mapping[Hashable, int]) -> np.ndarray:
         """Cost of changing ``symbol`` to each of ``kinds`` (symbol -> place)."""
@@ -69,7 +70,7 @@ class Costs:
         for other, cost in self.changes_of.get(symbol, {}).items():
             if other in kinds:
                 out[kinds[other]] = cost
-        return self._sized(out)
+        return self.sized(out)
 
 
 UNIT = Costs()

@@ -17,7 +17,7 @@ from pairlake.functions.costs import Costs, Table
 from pairlake.functions.lexer import js_escape
 from pairlake.functions.lexing import escaped
 from pairlake.functions.text import line_count
-from pairlake.functions.treedist import forest_within, tree_distance as _pair_distance
+from pairlake.functions.treedist import forest_within, tree_distance as _pair_distance, tree_distances
 from pairlake.session import by_key, fan_out
 
 # HTML elements without content.
@@ -34,6 +34,8 @@ TAG_GROUPS = {
     "media": ("img", "video", "audio", "source", "iframe"),
     "meta": ("meta", "link", "style", "script", "noscript"),
 }
+#: Nodes up to which trees are small: their distances go together.
+SMALL_TREE = 16
 TEMPLATE = tuple(tag for tags in TAG_GROUPS.values() for tag in tags)
 
 # Fixed value: a tag. The name reaches to a blank, '/' or '>'; a '>' in a quoted value does not end
@@ -305,6 +307,23 @@ def _text_distance(
     return _pair_distance(da, la, db, lb, costs=costs)
 
 
+def _text_distances(x: Sequence[str | None], y: Sequence[str | None], costs: Costs) -> list[float | None]:
+    """``_text_distance`` of many pairs; small trees go together, larger ones take the quick cases first."""
+    out: list[float | None] = [None] * len(x)
+    places, pairs = [], []
+    for k, (p, q) in enumerate(zip(x, y)):
+        if p is None or q is None:
+            continue
+        if costs.exact and max(p.count(" "), q.count(" ")) < SMALL_TREE:
+            places.append(k)
+            pairs.append((_parse(p), _parse(q)))
+        else:
+            out[k] = _text_distance(p, q, costs=costs)
+    for k, value in zip(places, tree_distances(pairs, costs)):
+        out[k] = value
+    return out
+
+
 def tree_distance(a: Column, b: Column, insert: float = 1, remove: float = 1, update=None, table: Table | None = None) -> Column:
     """Exact ordered tree distance of two tree texts.
 
@@ -315,7 +334,7 @@ def tree_distance(a: Column, b: Column, insert: float = 1, remove: float = 1, up
 
     @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_text_distance(p, q, costs=costs) for p, q in zip(x, y)], dtype="float64")
+        return pd.Series(_text_distances(x, y, costs), dtype="float64")
 
     return run(a, b)
 

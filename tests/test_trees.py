@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlake.functions import treedist
+from pairlake.functions.costs import Costs
 from pairlake.operators import trees
 
 
@@ -306,3 +307,20 @@ def test_windows_over_json_tokens_shuffle_no_tokens(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange")
     found = {(r.k, r.label): r.n for r in made.collect()}
     assert found[1, "a"] == 1 and (1, "k") not in found and found[3, ""] == found[1, ""] + 2 and found[None, ""] == 1
+
+
+def test_small_trees_together_have_the_distances_of_each_pair_alone():
+    draw = random.Random(17)
+
+    def tree(most):
+        depth, out = 0, []
+        for _ in range(draw.randint(0, most)):
+            depth = draw.randint(1, depth + 1)
+            out.append((depth, draw.choice(["a", "b", "", "k:v"])))
+        return [d for d, _ in out], [x for _, x in out]
+
+    pairs = [(tree(5), tree(5)) for _ in range(1500)] + [(tree(25), tree(25)) for _ in range(20)]
+    table = {("a", "b"): 0.5, ("a", None): 2.0, ("b", "b"): 0.25, (None, ""): 3.0}
+    for costs in (Costs(), Costs(1.0, 1.5, 2.0, table), Costs(0.5, 1.0, 3.0), Costs(1.0, 1.0, lambda x, y: len(x + y) / 3)):
+        assert treedist.tree_distances(pairs, costs) == [treedist.tree_distance(*a, *b, costs=costs) for a, b in pairs]
+    assert treedist.tree_distances([], Costs()) == []
