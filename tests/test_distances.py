@@ -184,3 +184,20 @@ def test_token_distance_within_of_odd_rows(spark):
     df = spark.createDataFrame([("a b c", "a c"), ("", ""), (None, "a"), ("a b", "c d e f")], "x string, y string")
     got = [r.d for r in df.select(edit.token_distance_within(F.col("x"), F.col("y"), 2).alias("d")).collect()]
     assert got == [1, 0, None, -1]
+
+
+def test_edit_distance_over_many_words_is_that_of_the_table():
+    draw = random.Random(23)
+
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, before = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(before[j] + (x != y), before[j + 1] + 1, row[-1] + 1))
+        return row[-1]
+
+    for size in (0, 1, 5, 63, 64, 65, 200):
+        for _ in range(6):
+            a, b = ("".join(draw.choice("abcd") for _ in range(draw.randint(0, size))) for _ in range(2))
+            assert edit.edit_distance(a, b) == edit.edit_distance(list(a), list(b)) == slow(a, b)
