@@ -4,9 +4,10 @@ A k-nearest-neighbour join over pivots (Lu et al., PVLDB 2012). Seeds belong to
 the cell of their nearest pivot, and in a large cell to one of some rings of about equal
 count, by their distance to the pivot.
 The triangle inequality gives each target a distance within which its k
-neighbours must lie, hence the rings it has to visit; the others are skipped
-without losing a result. Visited rings are cut in blocks, so that a cell with most of all seeds (many copies of one text)
-is still spread over tasks, and each task keeps only its k best per target.
+neighbours must lie, hence the rings it has to visit. Rings lie together in blocks, and a target meets the blocks
+that hold one of its rings; the others are skipped without losing a result. A vector is sent once to a block, however many rings it
+visits there, and there are few blocks, so what is shuffled grows with the rows and not with rows times rings. A ring with most of all seeds
+(many copies of one text) is spread over several blocks, and each task keeps only its k best per target.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ MAX_PIVOTS = 4096
 MAX_K = 1000
 #: Rings that a cell may have, and seeds that a ring has at least (but for ties and estimates).
 RINGS, RING_ROWS = 64, 1024
+#: Blocks of either side, as long as they have between so many rows and so many; scores held at a time.
+BLOCKS, LEAST_ROWS, BLOCK_ROWS, SCORES = 16, 1024, 131_072, 1 << 22
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -56,9 +59,63 @@ def _in_rings(placed: DataFrame) -> DataFrame:
     return placed.withColumn("ring", ring("cell", "far"))
 
 
+def _block_rows(rows: int, most: int) -> int:
+    """Rows of a block: a vector is sent to ``BLOCKS`` blocks at most, unless blocks would be larger than memory allows."""
+    return min(most, max(LEAST_ROWS, -(-rows // BLOCKS)))
+
+
+def _blocks(cells: np.ndarray, counts: np.ndarray, centres: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, many): the blocks of each ring. Rings are taken along the axis on which the pivots differ most, so that a block holds
+    neighbours; a ring larger than a block is spread over several of its own."""
+    size = _block_rows(int(counts.sum()), most)
+    axis = np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0]
+    first, many = np.zeros(len(cells), np.int32), np.ones(len(cells), np.int32)
+    at, held = 0, 0
+    for k in np.lexsort((np.arange(len(cells)), cells, (centres @ axis)[cells])).tolist():
+        if held and held + counts[k] > size:
+            at, held = at + 1, 0
+        first[k], many[k] = at, max(1, -(-int(counts[k]) // size))
+        if many[k] > 1:
+            at, held = at + many[k], 0
+        else:
+            held += counts[k]
+    return first, many
+
+
+def _best(keys: np.ndarray, asking: np.ndarray, ids: np.ndarray, offered: np.ndarray, k: int, skip_same: bool) -> tuple[np.ndarray, ...]:
+    """(key, id, score) of the ``k`` best of ``offered`` for each row of ``asking``, ties by id."""
+    order = np.argsort(ids, kind="stable")
+    parts, step, n = [], max(1, SCORES // len(ids)), len(ids)
+    wide = max(1, n // (4 * k))
+    for start in range(0, len(keys), step):
+        some = keys[start : start + step]
+        raw = asking[start : start + step] @ offered.T
+        if skip_same:
+            at, stop = np.searchsorted(ids, some, sorter=order), np.searchsorted(ids, some, "right", sorter=order)
+            for more in range(int((stop - at).max())):
+                row = np.flatnonzero((at + more < stop) & (some == some))
+                raw[row, order[at[row] + more]] = -np.inf
+        if n > k:
+            # the k-th of the best of so many groups is no better than the k-th of all; all that may tie with it stay
+            tops = raw[:, : n // wide * wide].reshape(len(some), -1, wide).max(2)
+            least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
+            row, column = np.nonzero(raw >= (least - 4e-9)[:, None])
+        else:
+            row, column = np.nonzero(raw == raw)
+        raw = raw[row, column]
+        left = raw > -np.inf
+        row, column, scores = row[left], column[left], np.round(np.clip((raw[left] + 1) / 2, 0, 1), 9)
+        sort = np.lexsort((ids[column], -scores, row))
+        row, column, scores = row[sort], column[sort], scores[sort]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < k
+        parts.append((some[row[kept]], ids[column[kept]], scores[kept]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def search(
     targets: DataFrame, seeds: DataFrame, k: int, target: str = "target_id", seed: str = "seed_id",
-    vector: str = "vector", skip_same: bool = False, pivots: int | None = None, block: int = 2048, seed_no: int = 0,
+    vector: str = "vector", skip_same: bool = False, pivots: int | None = None, block: int = BLOCK_ROWS, seed_no: int = 0,
 ) -> DataFrame:
     """(target, seed, score, place): the k best seeds by (cosine + 1) / 2, ties by seed id.
 
@@ -97,7 +154,7 @@ def search(
         near[r["cell"], r["r"] - 1] = r["far"]
     rings = np.array([r["ring"] for r in stats], dtype=np.int32)
     lows, highs = np.array([r["lo"] for r in stats]), np.array([r["hi"] for r in stats])
-    parts = {r["ring"]: -(-r["c"] // block) for r in stats}
+    first, many = _blocks(rings // RINGS, np.array([r["c"] for r in stats], np.int64), centres, block)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def visits(v: pd.Series) -> pd.Series:
@@ -108,43 +165,32 @@ def search(
             # scores are compared to 9 decimals: (distance)^2 = 4 - 4 * score
             reach = np.sqrt(limit * limit + 8e-9) + 1e-6
             far = row[rings // RINGS]
-            found.append(rings[(far - highs <= reach) & (lows - far <= reach)])
+            here = (far - highs <= reach) & (lows - far <= reach)
+            # the blocks that hold a ring within reach
+            found.append(np.unique(np.repeat(first[here] + many[here] - np.cumsum(many[here]), many[here]) + np.arange(many[here].sum())).astype(np.int32))
         return pd.Series(found)
 
-    placed = placed.drop("cell").withColumnRenamed("ring", "cell")
-    asked = cut(t.select("id", "v", F.explode(visits("v")).alias("cell")))
-    asks = {r["cell"]: -(-r["c"] // block) for r in asked.groupBy("cell").agg(F.count("*").alias("c")).collect()}
-    # one row per ring, at most MAX_PIVOTS * RINGS: how many blocks either side has there.
-    # A pair of blocks is one task group; rings without seeds or targets drop out.
-    sizes = [(int(c), int(parts[c]), int(asks[c])) for c in parts if c in asks]
-    table = F.broadcast(targets.sparkSession.createDataFrame(sizes, "cell int, seed_blocks int, target_blocks int"))
     own = lambda n: F.pmod(draw(seed_no, "block", "id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(table, "cell").select("cell", own("target_blocks").alias("tb"), every("seed_blocks").alias("sb"), "id", "v")
-    right = placed.join(table, "cell").select("cell", every("target_blocks").alias("tb"), own("seed_blocks").alias("sb"), "id", "v")
+    places = F.broadcast(targets.sparkSession.createDataFrame(list(zip(rings.tolist(), first.tolist(), many.tolist())), "ring int, first int, many int"))
+    placed = placed.drop("cell").join(places, "ring").select("id", "v", (F.col("first") + own("many")).alias("cell"))
+    # a vector once, with the blocks it asks: it is multiplied in the shuffle only
+    asked = cut(t.select("id", "v", visits("v").alias("cells")))
+    asks = asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("c")).collect()
+    # one row per seed block: how many target blocks meet it; a pair of blocks is one task group
+    size = _block_rows(max((r["c"] for r in asks), default=0), block)
+    sizes = [(r["cell"], -(-r["c"] // size)) for r in asks]
+    table = F.broadcast(targets.sparkSession.createDataFrame(sizes, "cell int, target_blocks int"))
+    left = asked.select("id", "v", F.explode("cells").alias("cell")).join(table, "cell").select("cell", own("target_blocks").alias("tb"), "id", "v")
+    right = placed.join(table, "cell").select("cell", every("target_blocks").alias("tb"), "id", "v")
 
     def best(asking: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(offered):
             return pd.DataFrame({target: [], seed: [], "score": []}).astype({target: "int64", seed: "int64", "score": "float64"})
-        ids = offered["id"].to_numpy()
-        others = _matrix(offered["v"])
-        keys_of, seeds_of, scores_of = [], [], []
-        for start in range(0, len(asking), 256):
-            some = asking.iloc[start : start + 256]
-            scores = np.round(np.clip((_matrix(some["v"]) @ others.T + 1) / 2, 0, 1), 9)
-            for key, line in zip(some["id"].to_numpy(), scores):
-                allowed = np.flatnonzero(ids != key) if skip_same else np.arange(len(ids))
-                if len(allowed) > k:
-                    # everything that ties with the k-th stays until ids decide
-                    allowed = allowed[line[allowed] >= np.partition(line[allowed], -k)[-k]]
-                order = allowed[np.lexsort((ids[allowed], -line[allowed]))][:k]
-                keys_of.append(np.full(len(order), key))
-                seeds_of.append(ids[order])
-                scores_of.append(line[order])
-        parts = [np.concatenate(x) for x in (keys_of, seeds_of, scores_of)]
-        return pd.DataFrame(dict(zip((target, seed, "score"), parts)))
-
-    keys = ["cell", "tb", "sb"]
+        found = _best(asking["id"].to_numpy(), _matrix(asking["v"]), offered["id"].to_numpy(), _matrix(offered["v"]), k, skip_same)
+        return pd.DataFrame(dict(zip((target, seed, "score"), found)))
+
+    keys = ["cell", "tb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, out)
     rank = F.row_number().over(Window.partitionBy(target).orderBy(F.desc("score"), seed))
     return found.withColumn("place", rank).where(F.col("place") <= k)

@@ -342,3 +342,31 @@ def test_distances_of_many_pairs_are_those_of_each(spark):
         assert edit.edit_distances(pairs) == want == edit.edit_distances([(list(a), list(b)) for a, b in pairs])
         group = [(-(-max(len(a), len(b)) // 64), max(len(a), len(b)), k, *sorted((a, b), key=len, reverse=True)) for k, (a, b) in enumerate(pairs) if a and b]
         assert edit._together(group) == [want[g[2]] for g in group]
+
+
+def test_clone_search_sends_a_vector_to_few_blocks_and_keeps_all_ties():
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(700, 8))
+    counts = draw.integers(1, 1000, 700)
+    counts[5] = 200_000
+    first, many = search._blocks(np.arange(700), counts, centres, 10**6)
+    used = np.concatenate([np.arange(f, f + m) for f, m in zip(first, many)])
+    assert set(used) == set(range(used.max() + 1)) and used.max() < 2 * search.BLOCKS + 2
+    size = search._block_rows(int(counts.sum()), 10**6)
+    held = np.bincount(first[many == 1], counts[many == 1])
+    assert held.max() <= size and many[5] == -(-200_000 // size)
+    assert search._block_rows(10**9, 5000) == 5000 and search._block_rows(3, 5000) == search.LEAST_ROWS
+    # copies of vectors tie; ids repeat
+    vectors = draw.normal(size=(40, 4))
+    vectors /= np.sqrt((vectors**2).sum(1))[:, None]
+    vectors = vectors[draw.integers(0, 40, 900)]
+    ids = draw.permutation(900)
+    ids[:20] = ids[20:40]
+    for k, skip_same, rows in ((3, True, 900), (5, False, 900), (50, True, 40)):
+        keys, found, scores = search._best(ids[:rows], vectors[:rows], ids, vectors, k, skip_same)
+        wanted = []
+        for key, v in zip(ids[:rows], vectors[:rows]):
+            line = np.round(np.clip((vectors @ v + 1) / 2, 0, 1), 9)
+            wanted += sorted([(-s, i) for i, s in zip(ids, line) if not (skip_same and i == key)])[:k]
+        assert [(-s, i) for s, i in zip(scores.tolist(), found.tolist())] == [(s, int(i)) for s, i in wanted]
+        assert keys.tolist() == np.repeat(ids[:rows], k).tolist()
