@@ -527,3 +527,18 @@ def test_pipeline_runs_on_an_empty_table(spark, tmp_path, docs):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_hand_small_batches_to_python(spark, docs):
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        corpus_pipeline.line_dedup(spark, docs, FOLDER)
+        texts = spark.range(2500, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert sum(r["n"] for r in sizes) == 2500 and max(r["n"] for r in sizes) <= 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
