@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairlake.functions.edit import string_distance
 from pairlake.functions.lexing import compared, lexed_lines, no_size, token_counts
+from pairlake.functions.rewriting import md5
 from pairlake.functions.text import truncate
 from pairlake.functions.vectors import FLOOR, cosine01, sparse_cosine
 from pairlake.operators import metrics as M
@@ -213,23 +213,47 @@ class _Codes(dict):
         self.dim, self.most = dim, most
 
     def __missing__(self, word: str) -> int:
-        code = hashlib.md5(word.encode()).hexdigest()
+        code = int.from_bytes(md5(word.encode()).digest()[:8])  # 15 hex digits for the bucket, one for the sign
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = int(code[:15], 16) % self.dim + (0 if code[15] < "8" else self.dim)
+        found = self[word] = (code >> 4) % self.dim + (0 if code & 15 < 8 else self.dim)
+        return found
+
+
+#: Bytes of vectors of lines that a task remembers, and the length up to which it does.
+LINES_REMEMBERED, LINE = 8 << 20, 4096
+
+
+class _Lines(dict):
+    """Line to its counts in ``dim`` signed buckets; remembered up to a bound."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.codes, self.most = _Codes(dim), LINES_REMEMBERED // (8 * dim) + 1
+
+    def __missing__(self, line: str) -> np.ndarray:
+        dim = self.codes.dim
+        signed = np.bincount(np.fromiter(map(self.codes.__getitem__, WORDS.findall(line)), np.int64), minlength=2 * dim)
+        found = (signed[:dim] - signed[dim:]).astype(float)
+        if len(line) <= LINE:
+            if len(self) >= self.most:
+                self.clear()
+            self[line] = found
         return found
 
 
 def hashing_encoder(dim: int = 256) -> Encoder:
-    """Token counts in ``dim`` signed hash buckets: the default encoder."""
-    codes = _Codes(dim)
+    """Token counts in ``dim`` signed hash buckets: the default encoder.
+
+    No word spans a line, and the texts made of one pair are made of the same lines, so a text's vector is the sum of those of its lines.
+    """
+    lines = _Lines(dim)
 
     def encode(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
-        for i, text in enumerate(texts):
-            found = np.fromiter(map(codes.__getitem__, WORDS.findall(text)), np.int64)
-            signed = np.bincount(found, minlength=2 * dim)
-            out[i] = signed[:dim] - signed[dim:]
+        for row, text in zip(out, texts):
+            for vector in map(lines.__getitem__, text.split("\n")):
+                row += vector
         return out
 
     return encode

@@ -8,11 +8,15 @@ The steps marked reversible have their inverse in ``restore``.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pairlake.functions import rewriting
 from pairlake.functions.bind import let
 from pairlake.functions.draws import draw, share, step_past
 from pairlake.functions.lexer import is_integer, is_name, is_string, literal_parts, name_parts, raw_tokens, tokens
@@ -416,10 +420,12 @@ def as_tree(text: Column) -> Column:
     return F.to_json(F.transform(lines_of(text), lambda x: tokens(x)))
 
 
-def steps_of(flags: dict[str, str], seed_no: int, keys: Sequence[str], donor: Column, to_ast: bool = False) -> list[Step]:
-    """The steps that the flags of a profile switch on, in order; equal steps have equal names.
+def _known_steps(
+    flags: dict[str, str], seed_no: int, keys: Sequence[str], donor: Column, to_ast: bool
+) -> list[tuple[str, Callable[[Column], Column], rewriting.Rule | None]]:
+    """The steps that the flags of a profile switch on, in order, as columns and, where there is one, as the rule for texts in batches.
 
-    Steps after the string dictionary leave its line alone.
+    Equal steps have equal names. Steps after the string dictionary leave its line alone.
     """
     on = lambda name: flags[name] == "true"
     reserved = [p for p in [flags["reserved_strings"]] if p]
@@ -429,27 +435,56 @@ def steps_of(flags: dict[str, str], seed_no: int, keys: Sequence[str], donor: Co
     array = on("string_array") and words_share > 0
     words = lambda t: string_dictionary(t, words_share, seed_no, *keys, rotate=rotate, shuffle=shuffle, reserved=reserved)
     after = lambda step: (lambda t: let(parted(t), lambda p: F.concat(p["header"], step(p["body"])))) if array else step
-    known: list[tuple[bool, str, Callable[[Column], Column]]] = [
-        (on("rename"), "rename", lambda t: rename(t, seed_no, *keys)),
-        (on("rename_keys"), "keys", lambda t: rename_text_keys(t, seed_no, *keys)),
-        (on("numbers"), "numbers", lambda t: number_expressions(t, seed_no, *keys)),
-        (array, f"words {words_share} {rotate} {shuffle} {reserved} {coding}", lambda t: with_dictionary(t, words(t), coding)),
-        (on("split_strings"), f"split {chunk} {reserved}", after(lambda t: split_literals(t, chunk, reserved))),
-        (on("permute"), f"permute {moved}", after(lambda t: _joined(_permuted(t, moved, seed_no, *keys)))),
-        (on("dead"), f"dead {dead}", after(lambda t: dead_from(t, donor, dead, seed_no, *keys))),
-        (on("compact"), "compact", after(compact)),
+    later = lambda rule: rewriting.behind(HEADER, rule) if array else rule
+    # patterns are the JVM's, but for those that hold no literal or every one
+    free, plain = not reserved, reserved in ([], [".*"])
+    listed = rewriting.with_dictionary(HEADER, words_share, rotate, shuffle, free, coding) if plain and coding in ("none", "base64") else None
+    known: list[tuple[bool, str, Callable[[Column], Column], rewriting.Rule | None]] = [
+        (on("rename"), "rename", lambda t: rename(t, seed_no, *keys), rewriting.rename),
+        (on("rename_keys"), "keys", lambda t: rename_text_keys(t, seed_no, *keys), rewriting.rename_keys),
+        (on("numbers"), "numbers", lambda t: number_expressions(t, seed_no, *keys), rewriting.numbers),
+        (array, f"words {words_share} {rotate} {shuffle} {reserved} {coding}", lambda t: with_dictionary(t, words(t), coding), listed),
+        (on("split_strings"), f"split {chunk} {reserved}", after(lambda t: split_literals(t, chunk, reserved)),
+         later(rewriting.split_literals(chunk, free)) if plain else None),
+        (on("permute"), f"permute {moved}", after(lambda t: _joined(_permuted(t, moved, seed_no, *keys))), later(rewriting.permute(moved))),
+        (on("dead"), f"dead {dead}", after(lambda t: dead_from(t, donor, dead, seed_no, *keys)), later(rewriting.dead(dead))),
+        (on("compact"), "compact", after(compact), later(rewriting.compact)),
     ]
     # registered steps, in the order of the flag, before a text becomes a tree
-    known += [(True, f"own {name}", after(STEPS[name])) for name in flags.get("own_steps", "").split(",") if name]
-    known.append((to_ast, "tree", as_tree))
-    return [(name, step) for wanted, name, step in known if wanted]
+    known += [(True, f"own {name}", after(STEPS[name]), None) for name in flags.get("own_steps", "").split(",") if name]
+    known.append((to_ast, "tree", as_tree, rewriting.as_tree))
+    return [found for wanted, *found in known if wanted]
+
+
+def steps_of(flags: dict[str, str], seed_no: int, keys: Sequence[str], donor: Column, to_ast: bool = False) -> list[Step]:
+    """The steps that the flags of a profile switch on, in order; equal steps have equal names.
+
+    Steps after the string dictionary leave its line alone.
+    """
+    return [(name, step) for name, step, _ in _known_steps(flags, seed_no, keys, donor, to_ast)]
 
 
 #: What a cell is made of: its tags, the column it starts from, its steps, and what is done with the text at the end.
 Recipe = tuple[dict[str, str], str, Sequence[Step], Callable[[Column], Column]]
+
+
+@dataclass(frozen=True)
+class Made:
+    """Something made of a text: as a column, and the same in Python with its type in Arrow."""
+
+    column: Callable[[Column], Column]
+    plain: Callable[[str], Any]
+    kind: pa.DataType
+
+    def __call__(self, text: Column) -> Column:
+        return self.column(text)
+
+
 #: What is handed on of a finished text, by name.
 Outputs = dict[str, Callable[[Column], Column]]
-WHOLE: Outputs = {"target_text": lambda text: text}
+WHOLE: Outputs = {"target_text": Made(lambda text: text, lambda text: text, pa.string())}
+DIGEST = Made(F.md5, lambda text: rewriting.md5(text.encode()).hexdigest(), pa.string())
+CHARS = Made(lambda text: F.length(text).cast("bigint"), len, pa.int64())
 
 
 def run_recipes(df: DataFrame, recipes: Sequence[Recipe], keep: Sequence[str], outputs: Outputs = WHOLE) -> DataFrame:
@@ -498,37 +533,108 @@ def compose(
 Cell = tuple[dict[str, str], dict[str, str], bool, bool, bool]  # tags, flags, partial, mixed, to_ast
 
 
-def run_cells(pairs: DataFrame, seed_no: int, cells: Sequence[Cell], outputs: Outputs = WHOLE) -> DataFrame:
-    """One row per pair and cell: the pair columns, the tags of the cell, the outputs (``target_text``).
+#: Bytes of texts that a task makes of some rows before it hands them on.
+HANDED_ON = 4 << 20
+
+
+def _rewritten(
+    seed_no: int, keep: int, tags: dict[str, list[str]], recipes: Sequence[tuple[bool, bool, Sequence[tuple[str, rewriting.Rule]]]],
+    outputs: Sequence[Callable[[str], Any]], schema: pa.Schema,
+) -> Callable:
+    """Rows (kept columns.., key, alt text, base text, foreign characters) to their cells; a recipe tells whether it is mixed before, or after its steps."""
+    trails = [(early, *(name for name, _ in steps)) for early, _, steps in recipes]
+
+    def cells(grammar: rewriting.Grammar, key: str | None, alt: str | None, base: str | None, told: dict | None) -> list[str | None]:
+        if told:
+            grammar.learn(told["letters"], told["numbers"])
+        row = rewriting.Row(seed_no, [key], base, grammar)
+        at = row.draw("inject")
+        made = {(False,): alt}  # steps taken so far -> text
+        if any(early for early, _, _ in recipes):
+            made[True,] = rewriting.inject(alt, base, at)
+        out = []
+        for trail, (_, late, steps) in zip(trails, recipes):
+            text = made[trail[:1]]
+            for depth, (_, step) in enumerate(steps, 2):
+                if trail[:depth] not in made:
+                    made[trail[:depth]] = None if text is None else step(text, row)
+                text = made[trail[:depth]]
+            out.append(rewriting.inject(text, base, at) if late else text)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = rewriting.Grammar()
+
+        def handed_on(batch: pa.RecordBatch, first: int, made: list[list]) -> pa.RecordBatch:
+            rows = len(made[0]) // len(recipes)
+            places = pa.array([i for i in range(first, first + rows) for _ in recipes], pa.int64())
+            kept = [c.take(places) for c in batch.columns[:keep]]
+            return pa.RecordBatch.from_arrays([*kept, *[pa.array(v * rows) for v in tags.values()], *[pa.array(v, f.type) for v, f in zip(made, list(schema)[-len(outputs) :])]], schema=schema_of(kept))
+
+        def schema_of(kept: list[pa.Array]) -> pa.Schema:
+            # the types as they came: Spark's own names of nested fields
+            return pa.schema([*[pa.field(f.name, c.type) for f, c in zip(schema, kept)], *list(schema)[keep:]])
+
+        for batch in batches:
+            sides = [c.to_pylist() for c in batch.columns[keep:]]
+            first, size, made = 0, 0, [[] for _ in outputs]
+            for i, row in enumerate(zip(*sides)):
+                found = cells(grammar, *row)
+                for column, make in zip(made, outputs):
+                    column.extend([None if text is None else make(text) for text in found])
+                size += sum(len(text) for text in found if text is not None)
+                if size >= HANDED_ON:
+                    yield handed_on(batch, first, made)
+                    first, size, made = i + 1, 0, [[] for _ in outputs]
+            if first < len(batch):
+                yield handed_on(batch, first, made)
+
+    return run
+
+
+def run_cells(pairs: DataFrame, seed_no: int, cells: Sequence[Cell], outputs: Outputs = WHOLE, keep: Sequence[str] | None = None) -> DataFrame:
+    """One row per pair and cell: the pair columns (or those of ``keep``), the tags of the cell, the outputs (``target_text``).
 
     A cell transforms the alt text, mixed in the base before (``mixed``), after the
     transformation (``mixed`` and ``partial``) or not at all. The texts are shuffled once, by the attach step.
+    Cells are made in Arrow batches, a step that several of them begin with once a row; with registered
+    steps, reserved patterns or outputs that are columns only, they are projections (``run_recipes``).
     """
+    keep = list(pairs.columns if keep is None else keep)
     place, base = draw(seed_no, "inject", "pair_id"), F.col("base_text")
+    known = [_known_steps(flags, seed_no, ["pair_id"], base, to_ast) for _, flags, _, _, to_ast in cells]
+    if all(rule for steps in known for _, _, rule in steps) and all(isinstance(make, Made) for make in outputs.values()):
+        alt = F.col("alt_text")
+        work = pairs.select(*keep, F.col("pair_id").cast("string").alias("_key"), alt.alias("_alt"), base.alias("_base"), rewriting.foreign(alt, base).alias("_foreign"))
+        recipes = [(mixed and not partial, mixed and partial, [(name, rule) for name, _, rule in steps]) for (_, _, partial, mixed, _), steps in zip(cells, known)]
+        tags = {t: [tags[t] for tags, *_ in cells] for t in cells[0][0]}
+        shown = T.StructType([*pairs.select(*keep).schema, *[T.StructField(t, T.StringType()) for t in tags],
+                              *[T.StructField(o, {pa.string(): T.StringType(), pa.int64(): T.LongType()}[make.kind]) for o, make in outputs.items()]])
+        made = pa.schema([*[pa.field(c, pa.null()) for c in keep], *[pa.field(t, pa.string()) for t in tags], *[pa.field(o, make.kind) for o, make in outputs.items()]])
+        return work.mapInArrow(_rewritten(seed_no, len(keep), tags, recipes, [make.plain for make in outputs.values()], made), shown)
     work = pairs.withColumn("_plain", F.col("alt_text"))
     if any(mixed and not partial for _, _, partial, mixed, _ in cells):
         work = work.withColumn("_mixed", inject(F.col("alt_text"), base, place))
     late = lambda text: inject(text, base, place)
     recipes = [
-        (tags, "_mixed" if mixed and not partial else "_plain", steps_of(flags, seed_no, ["pair_id"], base, to_ast),
-         late if mixed and partial else lambda text: text)
-        for tags, flags, partial, mixed, to_ast in cells
+        (tags, "_mixed" if mixed and not partial else "_plain", [(name, step) for name, step, _ in steps], late if mixed and partial else lambda text: text)
+        for (tags, _, partial, mixed, _), steps in zip(cells, known)
     ]
-    return run_recipes(work, recipes, pairs.columns, outputs)
+    return run_recipes(work, recipes, keep, outputs)
 
 
 def apply_profiles(
     pairs: DataFrame, seed_no: int, exps: Sequence[str] = EXPERIMENTS, mixes: Sequence[str] = MIXES, partial: bool = False,
-    outputs: Outputs = WHOLE,
+    outputs: Outputs = WHOLE, keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """The grid of experiments: M1 transforms the alt text alone, M2 mixes it in the base
     first, M3 adds dead lines of the base. ``partial`` transforms before mixing."""
     flags = lambda exp, mix: {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[exp], "dead": str(mix == "M3").lower()}
-    return run_cells(pairs, seed_no, [({"exp": e, "mix": m}, flags(e, m), partial, m != "M1", False) for e in exps for m in mixes], outputs)
+    return run_cells(pairs, seed_no, [({"exp": e, "mix": m}, flags(e, m), partial, m != "M1", False) for e in exps for m in mixes], outputs, keep)
 
 
-def apply_modes(pairs: DataFrame, seed_no: int, names: Sequence[str], outputs: Outputs = WHOLE) -> DataFrame:
+def apply_modes(pairs: DataFrame, seed_no: int, names: Sequence[str], outputs: Outputs = WHOLE, keep: Sequence[str] | None = None) -> DataFrame:
     """The same for profiles given by name or mode word; adds ``mode``."""
     rows = {key: r for r in profile_rows() for key in (r["mode"], r["name"])}
     cells = [({"mode": n}, {**DEFAULT_FLAGS, **rows[n]["over"]}, rows[n]["partial"], rows[n]["mixed"], rows[n]["to_ast"]) for n in names]
-    return run_cells(pairs, seed_no, cells, outputs)
+    return run_cells(pairs, seed_no, cells, outputs, keep)

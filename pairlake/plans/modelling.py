@@ -225,8 +225,8 @@ WITH s AS ({STAGED}), {sql_pairs("s", "doc_id")} SELECT stage, count(*) AS rows,
 
 
 def _encoder_scores(s, d):
-    cells = E.apply_profiles(_attached(s, d), SEED)
-    scored = K.score_pairs(cells.select("exp", "mix", "stage", "label", "seed_text", "target_text"))
+    cells = E.apply_profiles(_attached(s, d), SEED, keep=["stage", "label", "seed_text"])
+    scored = K.score_pairs(cells)
     r = K.evaluate(scored.withColumn("score", F.round("score", 9)), ["exp", "mix", "stage"])
     return r.select("exp", "mix", "stage", "tp", "fp", "fn", "tn", F.round("auc", 6).alias("auc"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -194,6 +195,21 @@ def test_equal_texts_are_encoded_once_and_words_remembered_up_to_a_bound(spark):
         assert codes[word] == int(code[:15], 16) % 256 + (0 if code[15] < "8" else 256) and len(codes) <= 2
 
 
+def test_texts_are_encoded_by_lines_remembered_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(models, "LINES_REMEMBERED", 8 * 16)
+    monkeypatch.setattr(models, "LINE", 5)
+    texts = ["a b\na b\nc", "", "\n", "a long line\r\nb\x0bc\u00a0d", "c\na b\ne\tf a", "a long line"]
+    want = np.zeros((len(texts), 16))
+    for row, text in zip(want, texts):
+        for word in re.findall("[^ \t\n\x0b\f\r]+", text):
+            code = hashlib.md5(word.encode()).hexdigest()
+            row[int(code[:15], 16) % 16] += 1 if code[15] < "8" else -1
+    lines = models._Lines(16)
+    monkeypatch.setattr(models, "_Lines", lambda dim: lines)
+    encode = models.hashing_encoder(16)
+    assert (encode(texts) == want).all() and (encode(texts) == want).all() and 0 < len(lines) <= 2 and all(len(x) <= 5 for x in lines)
+
+
 def test_tokens_are_looked_up_in_arrow(spark):
     known = spark.createDataFrame([("a", 2), ("é", 3)], "token string, id int")
     df = spark.createDataFrame([(["a", None, "é", "zz", "a"],), (None,), ([],), (["é", "a"],)], "t array<string>")
