@@ -290,7 +290,7 @@ def sql_cell(tags, flags, partial, mixed, to_ast=False, out="md5(hdr || t) AS di
 
 # digests and lengths, so that no cell's text is held beside the others
 DIGESTS = {"digest": E.DIGEST, "chars": E.CHARS}
-QUERIES["profile_cells"] = lambda s, d: E.apply_profiles(_attached(s, d), SEED, outputs=DIGESTS).select("pair_id", "label", "exp", "mix", "digest", "chars")
+QUERIES["profile_cells"] = lambda s, d: E.apply_profiles(_attached(s, d), SEED, outputs=DIGESTS, keep=["pair_id", "label"])
 ORACLES["profile_cells"] = f"WITH {ATTACHED} " + " UNION ALL ".join(
     sql_cell({"exp": e, "mix": m}, {**DEFAULT_FLAGS, **EXPERIMENT_FLAGS[e], "dead": str(m == "M3").lower()}, False, m != "M1")
     for e in EXPERIMENTS for m in MIXES
