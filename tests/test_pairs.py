@@ -98,3 +98,32 @@ def test_one_pair_and_unions(spark):
     assert (r.seed_text, r.target_text) == ("c", "a")
     u = pairs.union_records(c, spark.createDataFrame([(9, 1.5)], "k long, x double"))
     assert u.columns == ["k", "t", "x"] and u.where("x is null").count() == 3
+
+
+def test_packed_texts_are_those_of_the_plain_way(spark):
+    made = pairs.make_pairs(keys(spark, 40), "doc_id", 1, 2, 1)
+    odd = spark.createDataFrame([(0, None), (1, ""), (2, "é\n٣ \U0001f600"), (2, "z"), (2, "é\n"), (3, None), (3, "b"), (None, "x")], "doc_id long, text string")
+    corpus = spark.range(4, 38).select(F.col("id").alias("doc_id"), F.concat(F.lit("t" * 500), "id").alias("text")).unionByName(odd)
+    again = made.where("seed_id < 5").unionByName(made).unionByName(  # pairs that come twice, of unknown documents, without a key, and of one name
+        spark.createDataFrame([("u", 90, 91, 92, 1, 0, "s"), ("v", None, 5, 6, 1, 0, "s"), ("w", 5, None, None, 1, 1, "s"), ("x", 90, 90, 7, 1, 1, "s"), ("y", 8, 9, 10, 1, 0, "s"), ("y", 8, 11, 12, 1, 0, "s")], made.schema))
+    rows = [sorted((tuple(r) for r in pairs.attach(again, corpus, pack=pack).select(*made.columns, "seed_text", "alt_text", "base_text").collect()), key=repr) for pack in (False, True)]
+    assert rows[0] == rows[1] and len(rows[0]) == again.count() - 1 and any(r[-2] == "t" * 500 + "9" for r in rows[0])
+
+
+def test_packed_texts_make_a_smaller_shuffle(spark):
+    corpus = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("some words of "), "id"), 60).alias("text"))
+    made = pairs.make_pairs(keys(spark, 200), "doc_id", 1)
+    sizes = []
+    for pack in (False, True):
+        df = pairs.attach(made, corpus, pack=pack)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        found, todo = 0, [plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+        while todo:
+            node = todo.pop()
+            inner = node.plan() if "QueryStage" in node.nodeName() else None
+            todo += [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                found += node.metrics().apply("dataSize").value()
+        sizes.append(found)
+    assert sizes[1] < 0.4 * sizes[0]
