@@ -106,8 +106,12 @@ def test_packed_texts_are_those_of_the_plain_way(spark):
     corpus = spark.range(4, 38).select(F.col("id").alias("doc_id"), F.concat(F.lit("t" * 500), "id").alias("text")).unionByName(odd)
     again = made.where("seed_id < 5").unionByName(made).unionByName(  # pairs that come twice, of unknown documents, without a key, and of one name
         spark.createDataFrame([("u", 90, 91, 92, 1, 0, "s"), ("v", None, 5, 6, 1, 0, "s"), ("w", 5, None, None, 1, 1, "s"), ("x", 90, 90, 7, 1, 1, "s"), ("y", 8, 9, 10, 1, 0, "s"), ("y", 8, 11, 12, 1, 0, "s")], made.schema))
-    rows = [sorted((tuple(r) for r in pairs.attach(again, corpus, pack=pack).select(*made.columns, "seed_text", "alt_text", "base_text").collect()), key=repr) for pack in (False, True)]
-    assert rows[0] == rows[1] and len(rows[0]) == again.count() - 1 and any(r[-2] == "t" * 500 + "9" for r in rows[0])
+    # a name that pairs of two seeds have
+    both = again.unionByName(spark.createDataFrame([("y", 12, 13, 14, 1, 0, "s"), ("v", 9, 10, None, 1, 0, "s"), ("z", None, 10, 3, 1, 0, "s"), ("z", 0, 10, 3, 1, 0, "s")], made.schema))
+    assert pairs._one_seed_each(again) and not pairs._one_seed_each(both)
+    for given in (again, both):
+        rows = [sorted((tuple(r) for r in pairs.attach(given, corpus, pack=pack).select(*made.columns, "seed_text", "alt_text", "base_text").collect()), key=repr) for pack in (False, True)]
+        assert rows[0] == rows[1] and len(rows[0]) == given.count() - 1 and any(r[-2] == "t" * 500 + "9" for r in rows[0])
 
 
 def test_packed_texts_make_a_smaller_shuffle(spark):
