@@ -533,8 +533,8 @@ def compose(
 Cell = tuple[dict[str, str], dict[str, str], bool, bool, bool]  # tags, flags, partial, mixed, to_ast
 
 
-#: Bytes of texts that a task makes of some rows before it hands them on.
-HANDED_ON = 4 << 20
+#: Characters of texts that a task makes of some rows before it hands them on, and rows of a batch that it takes at a time.
+HANDED_ON, ROWS = 4 << 20, 500
 
 
 def _rewritten(
@@ -575,7 +575,7 @@ def _rewritten(
             # the types as they came: Spark's own names of nested fields
             return pa.schema([*[pa.field(f.name, c.type) for f, c in zip(schema, kept)], *list(schema)[keep:]])
 
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
             sides = [c.to_pylist() for c in batch.columns[keep:]]
             first, size, made = 0, 0, [[] for _ in outputs]
             for i, row in enumerate(zip(*sides)):

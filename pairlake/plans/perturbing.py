@@ -22,7 +22,7 @@ NL = "chr(10)"
 
 
 def _attached(s, d):
-    return P.attach(P.make_pairs(_staged(s, d), "doc_id", SEED), table(s, d, "documents"))
+    return P.attach(P.make_pairs(_staged(s, d), "doc_id", SEED), table(s, d, "documents"), pack=True)
 
 
 ATTACHED = f"""s AS ({STAGED}), {sql_pairs("s", "doc_id")},

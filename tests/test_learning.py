@@ -335,6 +335,35 @@ def test_lexed_texts_have_the_tokens_of_the_lexer_and_the_features_of_the_texts(
     assert whole[2, 2].overlap == 1.0 and whole[2, 2].size_delta == 2.0 and whole[5, 2].overlap == 0.0
 
 
+def test_texts_of_pairs_are_not_shuffled_for_the_counts_of_the_seeds(spark):
+    known = spark.createDataFrame([("a", 2), ("b", 3), ("num", 4)], "token string, id int")
+    corpus = spark.createDataFrame([(1, "a a b 7"), (2, None), (3, "b"), (3, "a b c")], "doc_id long, text string")
+    rows = [(k, seed, text, target) for k, (seed, text) in enumerate([(1, "a a b 7"), (2, None), (3, "b"), (4, "a"), (None, "a")]) for target in ("b 1 2\na", "", None, "zz")]
+    pairs = spark.createDataFrame(rows, "k int, seed_id long, seed_text string, target_text string")
+    features = models.pair_features(pairs, vocab=known, corpus=corpus)
+    assert features.columns == ["k", "seed_id", "tf_cosine", *models.FEATURES]
+    counts = {1: [[2, 1, 1]], 2: [[0, 0, 0]], 3: [[0, 1, 0], [1, 1, 0]], 4: [[0, 0, 0]], None: [[0, 0, 0]]}
+    targets = {"b 1 2\na": [1, 1, 2]}
+    cosine = lambda x, y: round(float(np.dot(x, y)) / (np.linalg.norm(x) * np.linalg.norm(y)), 9) if any(x) and any(y) else 0.0
+    want = sorted((k, cosine(x, targets.get(t, [0, 0, 0]))) for k, seed, _, t in rows for x in counts[seed])
+    assert sorted((r.k, round(r.tf_cosine, 9)) for r in features.collect()) == want
+    plain = models.pair_features(pairs, vocab=known).drop("tf_cosine")
+    assert {tuple(r) for r in features.drop("tf_cosine").collect()} == {tuple(r) for r in plain.collect()}
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = models.pair_features(pairs, vocab=known, corpus=corpus)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    todo, sent = [plan.executedPlan() if "Adaptive" in plan.nodeName() else plan], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            sent.append(node.output().toString())
+    assert len(sent) == 2 and not any("text" in columns for columns in sent)
+
+
 def test_odd_characters_are_those_outside_the_known_ranges(spark):
     from pairlake.functions import lexing
 
