@@ -190,7 +190,8 @@ def _attach_by_seed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sent = roles.join(docs, "_k").select("_seed", F.struct("pair_id", "role", "packs").alias("o"))
     sides = fan_out(sent, "_seed").groupBy("_seed").agg(F.collect_list("o").alias("_others"))
     own = docs.select(F.col("_k").alias("_seed"), F.col("packs").alias("_own"))
-    found = pairs.withColumn("_seed", key("seed_id")).join(sides, "_seed", "left").join(own, "_seed", "left")
+    # dealt out in any case: few files of ids would otherwise meet small broadcast texts in as few tasks
+    found = fan_out(pairs.withColumn("_seed", key("seed_id")), "_seed").join(sides, "_seed", "left").join(own, "_seed", "left")
     found = found.withColumn("_others", F.filter("_others", lambda o: o["pair_id"] == F.col("pair_id")))
     # as by a join on the pair: it has a document at least
     found = found.where(F.col("pair_id").isNotNull() & (F.col("_own").isNotNull() | F.coalesce(F.size("_others") > 0, F.lit(False))))

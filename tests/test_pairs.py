@@ -131,3 +131,9 @@ def test_packed_texts_make_a_smaller_shuffle(spark):
                 found += node.metrics().apply("dataSize").value()
         sizes.append(found)
     assert sizes[1] < 0.4 * sizes[0]
+
+
+def test_packed_pairs_of_few_files_keep_all_tasks_busy(spark):
+    corpus = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).coalesce(1)
+    made = pairs.make_pairs(keys(spark, 40), "doc_id", 1).coalesce(1)
+    assert pairs.attach(made, corpus, pack=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
